@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, simhash
+from docloom.llm import bpe, packing, simhash
 from docloom.llm.common import table
 
 #: Where executors find the vocabulary; a parameter of the operators.
@@ -18,9 +18,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_BPE).withColumnRenamed("id", "doc_id")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_BPE).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op9_bpe": op9_bpe}
+QUERIES = {"op1_simhash": op1_simhash, "op6_packing": op6_packing, "op9_bpe": op9_bpe}
 ORACLES: dict[str, str] = {}
