@@ -52,16 +52,16 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 
 
 def words_of(data: bytes, block: int = 1 << 20) -> Iterator[list[bytes]]:
-    """Lists of words of one text, A-Z lower-cased, in blocks so that a very long text stays in bounds.
+    """Lists of words of one text in blocks, so that a very long text stays in bounds.
 
     Words are runs of anything but space and 0x09-0x0D, which is what bytes.split() takes as separators.
     """
     if len(data) <= block:
-        yield data.lower().split()
+        yield data.split()
         return
     start, rest = 0, b""
     while start < len(data):
-        piece = rest + data[start : start + block].lower()
+        piece = rest + data[start : start + block]
         start += block
         words = piece.split()
         rest = words.pop() if words and start < len(data) and not piece[-1:].isspace() else b""

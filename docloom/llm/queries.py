@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, language, packing, simhash
+from docloom.llm import bpe, language, packing, quality, secrets, simhash
 from docloom.llm.common import crc_bucket, table
 
 #: Where executors find the vocabulary; a parameter of the operators.
@@ -26,13 +26,23 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    samples = language.labelled_sample(docs, "text", "lang", "doc_id", rows=quality.SAMPLE_ROWS)
+    return quality.judge(docs.select("doc_id", "text"), samples).drop("text")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_BPE).withColumnRenamed("id", "doc_id")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text", "redacted")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_BPE).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op6_packing": op6_packing, "op9_bpe": op9_bpe}
+QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op4_quality": op4_quality, "op6_packing": op6_packing, "op8_secrets": op8_secrets, "op9_bpe": op9_bpe}
 ORACLES: dict[str, str] = {}

@@ -39,10 +39,10 @@ LANES = _lanes()
 
 
 def shingle_hashes(data: bytes, width: int) -> Iterator[np.ndarray]:
-    """XXH64 of the text's word shingles, repeats included, in blocks; texts with fewer words are one shingle."""
+    """XXH64 of the word shingles of the text, A-Z lower-cased, repeats included, in blocks; texts with fewer words are one shingle."""
     kept: list[bytes] = []
     many = False
-    for words in words_of(data):
+    for words in words_of(data.lower()):
         words = kept + words
         if len(words) >= width:
             many = True
