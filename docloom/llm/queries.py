@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, language, packing, quality, secrets, simhash
+from docloom.llm import bpe, language, packing, quality, secrets, simhash, topk, urls
 from docloom.llm.common import crc_bucket, table
 
 #: Where executors find the vocabulary; a parameter of the operators.
@@ -32,6 +32,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs.select("doc_id", "text"), samples).drop("text")
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(table(spark, sf_dir, "pages", "page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "probability", "verdict")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_BPE).withColumnRenamed("id", "doc_id")
 
@@ -44,5 +49,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_BPE).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op4_quality": op4_quality, "op6_packing": op6_packing, "op8_secrets": op8_secrets, "op9_bpe": op9_bpe}
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding").where(topk.usable("embedding"))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    return topk.top_k(vectors.select("vec_id", whole.alias("vector")), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op4_quality": op4_quality, "op5_urls": op5_urls, "op6_packing": op6_packing, "op8_secrets": op8_secrets, "op9_bpe": op9_bpe, "op10_topk": op10_topk}
 ORACLES: dict[str, str] = {}
