@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, language, packing, quality, secrets, simhash, topk, urls
+from docloom.llm import bpe, language, packing, quality, secrets, simhash, sql, topk, urls, warc
 from docloom.llm.common import crc_bucket, table
 
 #: Where executors find the vocabulary; a parameter of the operators.
@@ -41,6 +41,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_BPE).withColumnRenamed("id", "doc_id")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    derived = warc.derive(warc.responses(table(spark, sf_dir, "pages", "page_id", "url", "html")))
+    return derived.withColumnRenamed("source_id", "page_id")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text", "redacted")
 
@@ -55,5 +60,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.select("vec_id", whole.alias("vector")), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op4_quality": op4_quality, "op5_urls": op5_urls, "op6_packing": op6_packing, "op8_secrets": op8_secrets, "op9_bpe": op9_bpe, "op10_topk": op10_topk}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op4_quality": op4_quality, "op5_urls": op5_urls, "op6_packing": op6_packing, "op7_warc": op7_warc, "op8_secrets": op8_secrets, "op9_bpe": op9_bpe, "op10_topk": op10_topk}
+ORACLES: dict[str, str] = {"op7_warc": sql.OP7}
