@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, language, packing, quality, secrets, simhash, sql, topk, urls, warc
+from docloom.llm import bpe, katz, language, packing, quality, secrets, simhash, sql, topk, urls, warc
 from docloom.llm.common import crc_bucket, table
 
 #: Where executors find the vocabulary; a parameter of the operators.
@@ -26,6 +26,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return katz.score(docs, crc_bucket("doc_id", 7) == 2).withColumnRenamed("id", "doc_id")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     samples = language.labelled_sample(docs, "text", "lang", "doc_id", rows=quality.SAMPLE_ROWS)
@@ -60,5 +65,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.select("vec_id", whole.alias("vector")), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op4_quality": op4_quality, "op5_urls": op5_urls, "op6_packing": op6_packing, "op7_warc": op7_warc, "op8_secrets": op8_secrets, "op9_bpe": op9_bpe, "op10_topk": op10_topk}
+QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_katz": op3_katz, "op4_quality": op4_quality, "op5_urls": op5_urls, "op6_packing": op6_packing, "op7_warc": op7_warc, "op8_secrets": op8_secrets, "op9_bpe": op9_bpe, "op10_topk": op10_topk}
 ORACLES: dict[str, str] = {"op7_warc": sql.OP7}
