@@ -152,7 +152,7 @@ class Model:
         return [self.languages[i] if k else UNDETERMINED for i, k in zip(best, n_letters, strict=True)], score, first
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def model_of(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> Model:
     """One per task process: the sample is small to send, the automata are built where they are used."""
     return Model(dict(samples))
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, samples: tuple, text_col: str = "text") -> DataFra
     schema = StructType(list(plain.schema.fields)).add("lang_pred", "string").add("lang_score", "double").add("lang_bits", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col, SLICE_BYTES):
+        for part in slices(batches, text_col, SLICE_BYTES // 2):
             lang, score, bits = model_of(samples).predict([x or "" for x in part.column(text_col).to_pylist()])
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], schema.names)
 
