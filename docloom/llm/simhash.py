@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from xxhash import xxh64_intdigest
 
 from docloom.llm import golay
@@ -27,6 +28,8 @@ SEED = 42
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Parts into which the rows of a frequent key are dealt.
 SALTS = 16
+#: Words per section on average, and further fingerprints of a text, where copies are sought beyond 3 bits.
+SECTION, WIDE = 16, 8
 
 
 def _lanes() -> np.ndarray:
@@ -70,14 +73,20 @@ def fingerprint(data: bytes, width: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc, fp): the 64-bit SimHash of each whole text as a signed long; null and wordless texts have 0."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    return with_fingerprints(rows, "text", width).select("doc", "fp")
+
+
+def with_fingerprints(docs: DataFrame, text_col: str = "text", width: int = 3) -> DataFrame:
+    """The rows with their fingerprint as column fp."""
+    schema = StructType(list(docs.drop("fp").schema.fields)).add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            fps = pa.array([fingerprint(x, width) for x in text_bytes(part.column("text"))], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc"), fps], ["doc", "fp"])
+        for part in slices(batches, text_col):
+            fps = pa.array([fingerprint(x, width) for x in text_bytes(part.column(text_col))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*part.columns, fps], schema.names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc long, fp long")
+    return docs.drop("fp").mapInArrow(run, schema)
 
 
 def _segment(fps: np.ndarray, low: int, width: int) -> np.ndarray:
@@ -120,17 +129,82 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _grouped(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc, fp, label, component) of rows (doc, fp) whose fingerprints are joined by edges (a, b)."""
+    fps = rows.groupBy("fp").agg(F.min("doc").alias("least"))
+    labels = components(edges).select(F.col("node").alias("fp"), "label")
+    group = cut_lineage(fps.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label")))
+    tops = group.groupBy("label").agg(F.min("least").alias("component"))
+    known = cut_lineage(lookup(group.select("fp", "label"), tops, "label").select("fp", "label", "component"))
+    return lookup(rows, known, "fp").select("doc", "fp", "label", "component")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3) -> DataFrame:
-    """(doc, fp, component): each row's fingerprint and the smallest id that it reaches over links, itself included.
+    """(doc, fp, label, component): each row's fingerprint, and the smallest fingerprint and id that it reaches over links.
 
     Null texts and texts without words have fingerprint 0 and link like any other; rows with a null id take part, but their
     id names no component unless no other is there. Equal rows stay equal rows; an empty table gives an empty result.
     """
     rows = cut_lineage(fingerprints(docs, id_col, text_col, width))
-    fps = cut_lineage(rows.groupBy("fp").agg(F.min("doc").alias("least")))
-    labels = components(links(fps, max_bits)).select(F.col("node").alias("fp"), "label")
-    group = fps.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    tops = group.groupBy("label").agg(F.min("least").alias("component"))
-    group = cut_lineage(group.select("fp", "label"))
-    known = cut_lineage(lookup(group, tops, "label").select("fp", "component"))
-    return lookup(rows, known, "fp").select("doc", "fp", "component")
+    return _grouped(rows, links(rows.select("fp").distinct(), max_bits))
+
+
+def _sections(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of each section of a text: its shingles up to one whose hash is a multiple of SECTION, 255 at most."""
+    ends = np.flatnonzero(hashes % np.uint64(SECTION) == 0) + 1
+    starts = np.unique(np.r_[0, ends[ends < len(hashes)], np.arange(0, len(hashes), 255)])
+    sizes = np.diff(np.r_[starts, len(hashes)])
+    sums = np.add.reduceat(LANES[hashes.view(np.uint8).reshape(-1, 8)], starts, axis=0)
+    bits = sums.view(np.uint8).reshape(len(starts), 64) * np.int16(2) > sizes[:, None]
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()
+
+
+def sketch(data: bytes, width: int) -> tuple[int, list[int], np.ndarray]:
+    """(fingerprint, eight more of them from remixed shingle hashes, fingerprints of the sections)."""
+    counts, n, sections = np.zeros((WIDE + 1, 64), dtype=np.int64), 0, [np.zeros(0, dtype=np.int64)]
+    for hashes in shingle_hashes(data, width):
+        n += len(hashes)
+        sections.append(_sections(hashes))
+        for i in range(WIDE + 1):
+            counts[i] += bit_counts(hashes)
+            hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            hashes ^= hashes >> np.uint64(29)
+    fps = np.packbits(counts * 2 > n, axis=1, bitorder="little").view(np.int64).ravel().tolist()
+    return fps[0], fps[1:], np.unique(np.concatenate(sections))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc, fp, label, component) as near_duplicates() gives them, for copies that share `similarity` of their shingles.
+
+    At a Jaccard similarity of 0.8, fingerprints differ in ten bits of 64, out of reach of keys that are good for three. So
+    texts are also brought together by the fingerprints of their sections: within the texts that have a section in common,
+    each is compared with the one whose sections are the most widely shared, as an original's are among its copies. The
+    comparison is of 512 further fingerprint bits, at the number that `similarity` gives plus two standard deviations. Each
+    shared section gives one comparison per text, however many texts share it. Nulls, ties and repeats are as there.
+    """
+    schema = "doc long, fp long, wide array<long>, sections array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            fps, wide, sections = zip(*(sketch(x, width) for x in text_bytes(part.column("text"))), strict=True)
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (wide, sections)]
+            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(fps, pa.int64()), *lists], ["doc", "fp", "wide", "sections"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    rows = cut_lineage(texts.mapInArrow(run, schema))
+    nodes = rows.groupBy("fp").agg(F.first("wide").alias("wide"), F.first("sections").alias("sections"))
+    nodes = cut_lineage(nodes)
+    held = cut_lineage(nodes.select("fp", F.size("sections").alias("size"), F.explode("sections").alias("section")))
+    often = cut_lineage(held.groupBy("section").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = cut_lineage(lookup(held, often, "section").select("section", "fp", "size", "n"))
+    rank = shared.groupBy("fp").agg((F.sum("n") / F.first("size")).alias("rank"))
+    chosen = shared.join(rank, "fp").groupBy("section").agg(F.max(F.struct("rank", "fp")).alias("top"))
+    chosen = cut_lineage(chosen.select("section", F.col("top.fp").alias("other")))
+    pairs = cut_lineage(lookup(shared.select("section", "fp"), chosen, "section").where("fp <> other").select("fp", "other").distinct())
+    paired = cut_lineage(pairs.join(nodes.select("fp", "wide"), "fp"))
+    both = lookup(paired, nodes.select(F.col("fp").alias("other"), F.col("wide").alias("of")), "other")
+    bits = F.aggregate(F.zip_with("wide", "of", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    limit = int(64 * WIDE * share + 2 * np.sqrt(64 * WIDE * share * (1 - share)))
+    near = both.where(bits <= limit).select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    return _grouped(rows.select("doc", "fp"), near.union(links(nodes.select("fp"))))
