@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+from docloom.plans import core
+from docloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "core"]
+FLAGSHIP = "w07_char_windows"
