@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docloom.plans import core, search, texts
+from docloom.plans import core, documents, search, texts
 from docloom.plans.registry import ORACLES, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "core", "search", "texts"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "core", "documents", "search", "texts"]
 FLAGSHIP = "r02_bm25"
