@@ -9,6 +9,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 UNICODE_BLANKS = r"(?U)\s+"
 
@@ -38,28 +39,28 @@ def knowledge_id(source: Column, obj: Column, kind: Column) -> Column:
     return F.concat(F.lit("K_"), F.substring(F.sha2(F.concat_ws("|", source, obj, kind), 256), 1, 12))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def point_id(values: pd.Series) -> pd.Series:
     """name-based UUID (version 5) of a fingerprint."""
     return values.map(lambda x: None if x is None else str(uuid.uuid5(uuid.NAMESPACE_URL, x)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else x.casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescaped(values: pd.Series) -> pd.Series:
     """HTML entities spelled out."""
     return values.map(lambda x: None if x is None else html.unescape(x))

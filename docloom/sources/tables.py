@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 CORRUPT = "_corrupt"
 
@@ -87,7 +88,7 @@ def parse_strict(text: str | None) -> tuple[str | None, str | None]:
     return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":")), None
 
 
-@F.pandas_udf("value string, error string")
+@F.pandas_udf(StructType().add("value", StringType()).add("error", StringType()))
 def strict_json(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_strict(t) for t in texts], columns=["value", "error"])
 
