@@ -32,7 +32,7 @@ K, SHARE = 5, 1e-3
 END = np.uint64(xxh64_intdigest(b"\n"))
 BLOCK_TOKENS = 2 << 20
 #: Text bytes per partition of the tables, parts in which a task goes through a partition, and texts per final group.
-PARTITION_BYTES, PARTS, GROUP_TEXTS = 32 << 20, 4, 4096
+PARTITION_BYTES, PARTS, GROUP_TEXTS = 32 << 20, 8, 4096
 HOT = 1000
 TOKENS, TEXTS, HISTORIES, PENDING, WORDS, SUMS = range(6)
 MOVED = "bucket long, part int, kind int, payload binary"
@@ -68,6 +68,47 @@ def coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(values, return_inverse=True)
 
 
+class Sums:
+    """Columns summed by key, merged whenever twice as many rows are held as there were keys."""
+
+    def __init__(self, least: int = 500_000):
+        self.parts: list[tuple] = []
+        self.held, self.limit, self.least = 0, least, least
+
+    def add(self, keys: np.ndarray, columns: list[np.ndarray]) -> None:
+        self.parts.append((keys, [c.astype(np.min_scalar_type(c.max())) if c.dtype.kind == "i" and len(c) else c for c in columns]))
+        self.held += len(keys)
+        if self.held > self.limit:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, list[np.ndarray]] | None:
+        if not self.parts:
+            return None
+        if len(self.parts) > 1:
+            keys, at = coded(np.concatenate([k for k, _ in self.parts]))
+            columns = []
+            for column in zip(*(c for _, c in self.parts), strict=True):
+                total = np.bincount(at, np.concatenate(column), len(keys))
+                columns.append(total if column[0].dtype.kind == "f" else total.astype(np.int64))
+            self.parts, self.held = [], 0
+            self.limit = max(self.least, 2 * len(keys))
+            self.add(keys, columns)
+        return self.parts[0]
+
+
+def counted(w: np.ndarray, v: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct triples of three code columns in order, and how often each occurs."""
+    sizes = [int(c.max()) + 1 for c in (w, v, t)]
+    if sizes[0] * sizes[1] * sizes[2] < 1 << 63:
+        key, n = np.unique((w * sizes[1] + v) * sizes[2] + t, return_counts=True)
+        rest, t = np.divmod(key, sizes[2])
+        return *np.divmod(rest, sizes[1]), t, n
+    order = np.lexsort((t, v, w))
+    w, v, t = w[order], v[order], t[order]
+    first = np.flatnonzero(np.r_[True, (np.diff(w) != 0) | (np.diff(v) != 0) | (np.diff(t) != 0)])
+    return w[first], v[first], t[first], np.diff(np.r_[first, len(w)])
+
+
 def discounts(n: np.ndarray) -> np.ndarray:
     """Good-Turing discount of the counts 0 to K, and of all larger ones, from n[r], the number of things counted r times.
 
@@ -173,25 +214,21 @@ def _bigrams(partitions: int, hot: np.ndarray):
         held: list[tuple] = []
         texts: list[tuple] = []
 
-        def out() -> pa.RecordBatch:
-            word = np.concatenate([h[0] for h in held])
-            history = np.concatenate([h[1] for h in held])
-            text = np.repeat(np.array([h[2] for h in held]), [len(h[0]) for h in held])
+        def tokens_moved() -> Iterator[tuple]:
+            lengths = np.array([len(h[0]) for h in held])
+            rows, t = coded(np.array([h[1] for h in held]))
+            t = np.repeat(t, lengths - 1)
+            words, code = coded(np.concatenate([h[0] for h in held]))
             held.clear()
-            words, w = coded(word)
-            histories, v = coded(history)
-            rows, t = coded(text)
-            order = np.lexsort((t, v, w))
-            w, v, t = w[order], v[order], t[order]
-            first = np.flatnonzero(np.r_[True, (np.diff(w) != 0) | (np.diff(v) != 0) | (np.diff(t) != 0)])
-            n = np.diff(np.r_[first, len(w)])
-            w, v, t = w[first], v[first], t[first]
+            ends = np.cumsum(lengths)
+            w, v = np.delete(code, ends - lengths), np.delete(code, ends - 1)  # each piece starts with its first word's history
+            del code
+            w, v, t, n = counted(w, v, t)
             spread = np.isin(words, hot)[w]
-            bucket, part = place(np.where(spread, mixed(words[w], histories[v]), words[w]), partitions)
+            bucket, part = place(np.where(spread, mixed(words[w], words[v]), words[w]), partitions)
             where = bucket * PARTS + part
             order = np.argsort(where, kind="stable")
             ends = np.flatnonzero(np.r_[np.diff(where[order]) != 0, True]) + 1
-            moved = []
             for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True):
                 at = order[a:b]
                 wd, wi = coded(w[at])
@@ -201,7 +238,10 @@ def _bigrams(partitions: int, hot: np.ndarray):
                 starts = np.cumsum(lengths) - lengths
                 steps = np.diff(vi, prepend=0)
                 steps[starts] = vi[starts]
-                moved.append((int(bucket[at[0]]), int(part[at[0]]), TOKENS, pack(words[wd], lengths, histories[vd], steps, rows[td], ti, n[at])))
+                yield int(bucket[at[0]]), int(part[at[0]]), TOKENS, pack(words[wd], lengths, words[vd], steps, rows[td], ti, n[at])
+
+        def out() -> pa.RecordBatch:
+            moved = list(tokens_moved()) if held else []
             if texts:
                 columns = [np.array(c) for c in zip(*texts, strict=True)]
                 groups = columns[0] // (2 * GROUP_TEXTS)
@@ -220,7 +260,7 @@ def _bigrams(partitions: int, hot: np.ndarray):
                 for tokens in hashed(data):
                     if not len(tokens):
                         continue
-                    held.append((tokens, np.r_[last, tokens[:-1]], number))
+                    held.append((np.r_[last, tokens], number))
                     last = tokens[-1]
                     n += len(tokens)
                     size += len(tokens)
@@ -306,20 +346,16 @@ def _scored(partitions: int, hot: np.ndarray, hot_counts: np.ndarray):
         out = [tuple(r.values()) for r in group.filter(pc.equal(group.column("kind"), TEXTS)).to_pylist()]
         for i, (bucket, part, kind, payload) in enumerate(out):
             out[i] = (-1 - int(unpack(payload)[0][0]) // (2 * GROUP_TEXTS), part, kind, payload)
+        texts, histories = Sums(), Sums()
         for part in parts_of(group, hot, hot_counts):
             count = part.word_n[part.w]
             seen = part.seen > 0
             sums = [part.by_text(np.log10(count + 1.0)), part.by_text(np.log10(np.maximum(count, 1.0))), part.by_text(np.log10(np.maximum(part.seen, 1.0)))]
-            sums = [x.astype(np.float32) for x in sums]
             whole = [part.by_text((count > 0).astype(float)), *(part.by_text((capped(part.seen) == r).astype(float)) for r in range(1, K + 2))]
-            whole = [x.astype(np.int64) for x in whole]
-            groups = part.rows // (2 * GROUP_TEXTS)
-            for g in np.unique(groups).tolist():
-                at = groups == g
-                out.append((-1 - g, 0, SUMS, pack((part.rows[at] - 2 * g * GROUP_TEXTS).astype(np.int64), *(x[at] for x in (*sums, *whole)))))
-            history, *numbers = (c[~np.isin(part.followers()[0], hot)] for c in part.followers())
-            for b, at in _dealt(place(history, partitions)[0]):
-                out.append((b, 0, HISTORIES, pack(history[at], *(c[at] for c in numbers))))
+            texts.add(part.rows, sums + [x.astype(np.int64) for x in whole])
+            history, *numbers = part.followers()
+            rare = ~np.isin(history, hot)
+            histories.add(history[rare], [c[rare] for c in numbers])
             known = np.flatnonzero((part.word_n > 0) & ~part.is_hot)
             for b, at in _dealt(place(part.words[known], partitions)[0]):
                 out.append((b, 0, WORDS, pack(part.words[known[at]], part.word_n[known[at]])))
@@ -329,6 +365,14 @@ def _scored(partitions: int, hot: np.ndarray, hot_counts: np.ndarray):
             for b, at in _dealt(place(deal, partitions)[0]):
                 keys, v = coded(history[at])
                 out.append((b, 0, PENDING, pack(keys, v, rows[at], part.n[new[at]], count[new[at]])))
+        if merged := texts.merge():
+            rows, columns = merged
+            for g, at in _dealt(rows // (2 * GROUP_TEXTS)):
+                out.append((-1 - g, 0, SUMS, pack(rows[at] - 2 * g * GROUP_TEXTS, *(c[at] for c in columns))))
+        if merged := histories.merge():
+            history, numbers = merged
+            for b, at in _dealt(place(history, partitions)[0]):
+                out.append((b, 0, HISTORIES, pack(history[at], *(c[at] for c in numbers))))
         return _table(out)
 
     return run
