@@ -195,11 +195,22 @@ def axis_counts(reviews: DataFrame, axes: list[str]) -> DataFrame:
 
 
 def validation_report(resources: DataFrame, required: list[str]) -> DataFrame:
-    """Per kind the number of resources, how many are complete, and the ids of those that aren't. A kind is a bounded list of one course."""
+    """Per kind the number of resources, how many are complete, and the first that isn't."""
+    missing = _lacking(required)
+    return resources.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(~missing).alias("complete"), F.min(F.when(missing, F.col("resource_id"))).alias("first_incomplete"))
+
+
+def incomplete(resources: DataFrame, required: list[str]) -> DataFrame:
+    """The resources that lack something, one row each, with what they lack."""
+    lacks = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in required)))
+    return resources.select("kind", "resource_id", lacks.alias("lacks")).where(F.size("lacks") > 0)
+
+
+def _lacking(required: list[str]) -> Column:
     missing = F.lit(False)
     for c in required:
         missing = missing | F.col(c).isNull()
-    return resources.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(~missing).alias("complete"), F.sort_array(F.collect_list(F.when(missing, F.col("resource_id")))).alias("incomplete"))
+    return missing
 
 
 def first_outputs(outputs: DataFrame) -> DataFrame:

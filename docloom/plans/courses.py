@@ -70,10 +70,19 @@ def axis_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materials.axis_counts(orders, ["o_orderstatus", "o_orderpriority"])
 
 
-@query("a25_validation_report", "SELECT lang AS kind, count(*) AS n, count(quality) AS complete, array_to_string(coalesce(list(doc_id ORDER BY doc_id) FILTER (quality IS NULL), []), ',') AS incomplete FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
+@query("a25_validation_report", "SELECT lang AS kind, count(*) AS n, count(quality) AS complete, min(doc_id) FILTER (quality IS NULL) AS first_incomplete FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
 def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materials.validation_report(_labelled(spark, sf_dir), ["quality"])
+
+
+@query("a25_incomplete", "SELECT lang AS kind, doc_id AS resource_id, 'quality' AS lacks FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL")
+def incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materials.incomplete(_labelled(spark, sf_dir), ["quality"]).withColumn("lacks", F.array_join("lacks", ","))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "lang").join(read(spark, sf_dir, "labels", "doc_id", "quality"), "doc_id", "left")
-    return materials.validation_report(docs.withColumnsRenamed({"lang": "kind", "doc_id": "resource_id"}), ["quality"]).withColumn("incomplete", F.array_join("incomplete", ","))
+    return docs.withColumnsRenamed({"lang": "kind", "doc_id": "resource_id"})
 
 
 @query("a32_first_outputs", "SELECT event_type AS kind, user_id AS identity, event_id AS ordinal FROM events WHERE value > 1 QUALIFY row_number() OVER (PARTITION BY event_type, user_id, props ORDER BY event_id) = 1")
