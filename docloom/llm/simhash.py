@@ -125,7 +125,7 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     many = many.join(hot, "key", "left").select("key", "y", F.explode(salts).alias("salt"))
     close = (F.col("x") != F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= max_bits)
-    found = one.join(many.hint("shuffle_hash"), (one.key == many.key) & (one.salt == many.salt) & close)
+    found = one.hint("shuffle_hash").join(many, (one.key == many.key) & (one.salt == many.salt) & close)
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
