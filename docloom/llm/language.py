@@ -163,15 +163,16 @@ def labelled_sample(docs: DataFrame, text_col: str, lang_col: str, key, rows: in
 
     Rows are first counted per language from the label column alone; at most `rows` excerpts per language reach the driver.
     """
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).withColumn("_h", F.xxhash64(key, text_col))
-    sizes = labelled.groupBy(lang_col).agg(F.count("*").alias("_n"))
-    total = sizes.agg(F.sum("_n").alias("_total"))
-    sizes = sizes.join(F.broadcast(total), F.col("_n") * LEAST_SHARE >= F.col("_total")).drop("_total")
-    draw = F.pmod("_h", F.lit(1 << 30)) / F.lit(float(1 << 30))
-    low = labelled.join(F.broadcast(sizes), lang_col).where(draw < F.lit(1.5 * rows) / F.col("_n"))
-    at = F.pmod(F.shiftright("_h", 20), F.greatest(F.length(text_col) - excerpt, F.lit(0)) + 1).cast("int") + 1
-    taken = low.select(F.col(lang_col).alias("lang"), "_h", F.substring(F.col(text_col), at, F.lit(excerpt)).alias("part"))
-    kept = taken.groupBy("lang").agg(F.slice(F.sort_array(F.collect_set(F.struct("_h", "part"))), 1, rows).alias("parts"))
+    text, lang = F.col(text_col), F.col(lang_col)
+    labelled = docs.where(lang.isNotNull() & text.isNotNull()).select(lang.alias("lang"), text.alias("text"), F.xxhash64(key, text).alias("hash"))
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n").alias("total"))
+    sizes = sizes.join(F.broadcast(total), F.col("n") * LEAST_SHARE >= F.col("total")).drop("total")
+    draw = F.pmod("hash", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    low = labelled.join(F.broadcast(sizes), "lang").where(draw < F.lit(1.5 * rows) / F.col("n"))
+    at = F.pmod(F.shiftright("hash", 20), F.greatest(F.length("text") - excerpt, F.lit(0)) + 1).cast("int") + 1
+    taken = low.select("lang", "hash", F.substring(F.col("text"), at, F.lit(excerpt)).alias("part"))
+    kept = taken.groupBy("lang").agg(F.slice(F.sort_array(F.collect_set(F.struct("hash", "part"))), 1, rows).alias("parts"))
     return tuple(sorted((r["lang"], tuple(p["part"] for p in r["parts"])) for r in kept.collect()))
 
 

@@ -138,6 +138,6 @@ def judge(pages: DataFrame, rules: tuple = RULES, labelled: tuple = LABELLED, ur
         return hosts.combine(paths, lambda h, p: probability(h, p, model))
 
     parts = plain.withColumn("host", host).withColumn("path", path)
-    ruled = parts.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("probability", scored("host", "path"))
-    model = F.when(F.col("probability") >= 0.5, "allow").otherwise("block")
-    return ruled.select(*parts.columns, F.col("_rule.rule").alias("rule"), "probability", F.coalesce("_rule.verdict", model).alias("verdict"))
+    ruled, model = rule_of(F.col("host"), F.col("path"), rules), F.when(F.col("probability") >= 0.5, "allow").otherwise("block")
+    found = parts.withColumn("probability", scored("host", "path"))
+    return found.select(*parts.columns, ruled["rule"].alias("rule"), "probability", F.coalesce(ruled["verdict"], model).alias("verdict"))
