@@ -28,16 +28,15 @@ def digest(block: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     """Text of a page: hidden elements and comments out, block elements as line ends, tags out, entities spelled, blanks folded."""
-    text = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    for tag in HIDDEN:
-        text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
+    hidden = "|".join(HIDDEN)
+    text = F.regexp_replace(html, rf"(?is)<!--.*?-->|<({hidden})\b[^>]*>.*?</\1\s*>", " ")
     text = F.regexp_replace(text, rf"(?i)</?(?:{BREAKING})\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[A-Za-z/!?][^>]*>", "")
     for name, character in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(character))
-    text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
+    text = F.regexp_replace(text, r" {2,}| *[\t\r\f][ \t\r\f]*", " ")
     text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
+    return F.btrim(text, F.lit(" \n"))
 
 
 def title(html: Column) -> Column:
