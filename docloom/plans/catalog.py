@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docloom.plans import core, courses, documents, search, texts
+from docloom.plans import composed, core, courses, documents, search, texts
 from docloom.plans.registry import ORACLES, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "core", "courses", "documents", "search", "texts"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "composed", "core", "courses", "documents", "search", "texts"]
 FLAGSHIP = "r02_bm25"
