@@ -9,7 +9,7 @@ from docloom.functions.base import numbered
 
 
 def cell_counts(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
-    """Rows per key."""
+    """Rows per key."""
     return df.groupBy(*keys).agg(F.count("*").alias(name))
 
 

@@ -114,7 +114,7 @@ def url_policy(urls: pd.Series) -> pd.Series:
 
 
 def published(claims: DataFrame, approved: DataFrame) -> DataFrame:
-    """Claims as they may be shown: their address only where it is harmless and approved, private columns left out."""
+    """Claims as they may be shown: their address only where it is harmless and approved, private columns left out."""
     checked = claims.withColumn("_bad", url_policy("url")).join(approved.select("url", F.lit(True).alias("_ok")).distinct(), "url", "left")
     shown = F.col("_bad").isNull() & F.coalesce("_ok", F.lit(False))
     return checked.select("claim_id", "text", F.when(shown, F.col("url")).alias("url"), F.when(~shown, F.coalesce("_bad", F.lit("not_approved"))).alias("withheld"))

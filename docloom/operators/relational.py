@@ -80,7 +80,7 @@ def long_form(df: DataFrame, ids: list[str], values: list[str], variable: str =
 
 
 def sets_differ(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows that one side has more often than the other, with the side."""
+    """Rows that one side has more often than the other, with the side."""
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
 
 

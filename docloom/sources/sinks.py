@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def write_parquet(df: DataFrame, path: str, rows_per_file: int | None = None, mode: str = "errorifexists") -> None:
@@ -20,13 +22,19 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 
 
+def _there(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
+    """The table at a path, or nothing where there is none yet; only Spark looks, so that any store works."""
+    try:
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def _read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """A table that may not be there yet; its place is looked up through Spark, so that any store works."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-        return spark.createDataFrame([], like.schema)
-    return spark.read.schema(like.schema).parquet(path)
+    found = _there(spark, path, like.schema)
+    return spark.createDataFrame([], like.schema) if found is None else found
 
 
 def install(blobs: DataFrame, path: str) -> int:
@@ -126,11 +134,11 @@ def cache_key(params: dict) -> str:
 def cached(spark: SparkSession, root: str, params: dict, build) -> DataFrame:
     """The table of these parameters, built once."""
     path = f"{root}/{cache_key(params)}"
-    jvm = spark.sparkContext._jvm
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    found = _there(spark, path)
+    if found is None:
+        build().write.parquet(path)
+        found = spark.read.parquet(path)
+    return found
 
 
 def snapshot(tables: dict[str, DataFrame], root: str) -> DataFrame:
