@@ -9,8 +9,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -106,7 +108,8 @@ def model_spans(text: str) -> list[tuple[int, int, str]]:
 def spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, base and model spans); model spans that touch a base span are left to it."""
     base = base_spans(text)
-    added = [s for s in model_spans(text) if not any(s[0] < b[1] and b[0] < s[1] for b in base)]
+    starts, reach = [b[0] for b in base], [0, *accumulate((b[1] for b in base), max)]
+    added = [s for s in model_spans(text) if reach[bisect_left(starts, s[1])] <= s[0]]  # no base span before its end goes past its start
     return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]))) if added else base
 
 
