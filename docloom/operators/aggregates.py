@@ -103,7 +103,7 @@ def merged_resources(df: DataFrame, key: str, blocks: str) -> DataFrame:
 
 
 def statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Count, least, median, mean and largest value."""
+    """Count, least, median, mean and largest value."""
     return df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.median(value).alias("median"), F.avg(value).alias("mean"), F.max(value).alias("max"))
 
 

@@ -133,3 +133,11 @@ def line_classes(lines: DataFrame) -> DataFrame:
             last = now if now != "margin" else last
 
     return fold(lines, ["page"], ["line"], step, "page long, line long, class string")
+
+
+def page_metadata(words: DataFrame, key: str = "page") -> DataFrame:
+    """Type sizes, fonts, share of bold words and outer indents of each page, from words (x_start, x_end, size, font, is_bold)."""
+    return words.groupBy(key).agg(
+        F.median("size").alias("median_size"), F.max("size").alias("max_size"), F.array_sort(F.collect_set("font")).alias("fonts"),
+        F.avg(F.col("is_bold").cast("int")).alias("bold_share"), F.min("x_start").alias("left_indent"), F.max("x_end").alias("right_indent"),
+    )

@@ -228,7 +228,7 @@ def schedule_totals(lectures: DataFrame) -> DataFrame:
 
 
 def overview(offers: DataFrame, formats: list[str]) -> DataFrame:
-    """Offers of each course by format."""
+    """Offers of each course by format."""
     return offers.groupBy("course_id").pivot("format", formats).count().na.fill(0)
 
 
@@ -401,3 +401,9 @@ def identity_scores(df: DataFrame, features: list[str], model: tuple) -> DataFra
     fitted = [sum((s * float(axes[i, j]) for j, s in enumerate(scores)), F.lit(0.0)) for i in range(len(features))]
     q = sum(((x - f) * (x - f) for x, f in zip(centred, fitted, strict=True)), F.lit(0.0))
     return df.withColumn("q", q).withColumn("t2", sum((s * s / float(v) for s, v in zip(scores, variances, strict=True)), F.lit(0.0)))
+
+
+def reference_coverage(references: DataFrame, course: str, kind: str, kinds: list[str], supported: Column) -> DataFrame:
+    """References of each course by kind, how many of them can be fetched, and their share."""
+    fetched = F.count_if(supported)
+    return references.groupBy(course).agg(*(F.count_if(F.col(kind) == k).alias(k) for k in kinds), fetched.alias("supported"), (fetched / F.count("*")).alias("supported_share"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.base import r6, read
-from docloom.operators import pipelines
+from docloom.operators import layout, materials, pipelines
 from docloom.plans.registry import query
 from docloom.sources import office
 
@@ -53,3 +53,19 @@ def union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations", "conv_id", "turn", "role").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("x"))
     return turns.select("conv_id", F.array_join(F.array_distinct(F.transform("x", lambda r: r["role"])), ",").alias("roles"))
+
+
+@query("a28_page_metadata", """SELECT l_orderkey AS page, median(l_quantity) AS median_size, max(l_quantity) AS max_size, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS fonts,
+round(avg((l_linestatus = 'O')::INTEGER), 6) AS bold_share, min(l_discount) AS left_indent, max(l_tax) AS right_indent FROM lineitem GROUP BY l_orderkey""")
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = read(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity", "l_returnflag", "l_linestatus", "l_discount", "l_tax")
+    words = words.select(F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("size"), F.col("l_returnflag").alias("font"), (F.col("l_linestatus") == "O").alias("is_bold"), F.col("l_discount").alias("x_start"), F.col("l_tax").alias("x_end"))
+    return layout.page_metadata(words).withColumn("fonts", F.array_join("fonts", ",")).withColumn("bold_share", r6(F.col("bold_share")))
+
+
+@query("a36_reference_coverage", """SELECT user_id, count_if(event_type = 'view') AS "view", count_if(event_type = 'click') AS click, count_if(value > 50) AS supported,
+round(count_if(value > 50) / count(*), 6) AS supported_share FROM events GROUP BY user_id""")
+def reference_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events", "user_id", "event_type", "value")
+    found = materials.reference_coverage(events, "user_id", "event_type", ["view", "click"], F.col("value") > 50)
+    return found.withColumn("supported_share", r6(F.col("supported_share")))
