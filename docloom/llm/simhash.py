@@ -28,8 +28,8 @@ SEED = 42
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Parts into which the rows of a frequent key are dealt.
 SALTS = 16
-#: Words per section on average, and further fingerprints of a text, where copies are sought beyond 3 bits.
-SECTION, WIDE = 16, 8
+#: Shingles that are put last because they are frequent, and shingles counted at a time to find them; any choice gives all pairs.
+FREQUENT, BLOCK = 100_000, 1 << 21
 
 
 def _lanes() -> np.ndarray:
@@ -77,13 +77,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return with_fingerprints(rows, "text", width).select("doc", "fp")
 
 
-def with_fingerprints(docs: DataFrame, text_col: str = "text", width: int = 3) -> DataFrame:
-    """The rows with their fingerprint as column fp."""
+def with_fingerprints(docs: DataFrame, text_col: str = "text", width: int = 3, of=fingerprint) -> DataFrame:
+    """The rows with their fingerprint, or what `of` gives instead, as column fp."""
     schema = StructType(list(docs.drop("fp").schema.fields)).add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
-            fps = pa.array([fingerprint(x, width) for x in text_bytes(part.column(text_col))], pa.int64())
+            fps = pa.array([of(x, width) for x in text_bytes(part.column(text_col))], pa.int64())
             yield pa.RecordBatch.from_arrays([*part.columns, fps], schema.names)
 
     return docs.drop("fp").mapInArrow(run, schema)
@@ -149,62 +149,160 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _grouped(rows, links(rows.select("fp").distinct(), max_bits))
 
 
-def _sections(hashes: np.ndarray) -> np.ndarray:
-    """SimHash of each section of a text: its shingles up to one whose hash is a multiple of SECTION, 255 at most."""
-    ends = np.flatnonzero(hashes % np.uint64(SECTION) == 0) + 1
-    starts = np.unique(np.r_[0, ends[ends < len(hashes)], np.arange(0, len(hashes), 255)])
-    sizes = np.diff(np.r_[starts, len(hashes)])
-    sums = np.add.reduceat(LANES[hashes.view(np.uint8).reshape(-1, 8)], starts, axis=0)
-    bits = sums.view(np.uint8).reshape(len(starts), 64) * np.int16(2) > sizes[:, None]
-    return np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()
+def shingle_set(data: bytes, width: int) -> np.ndarray:
+    """The different shingle hashes of a text in rising order."""
+    return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(data, width)]))
 
 
-def sketch(data: bytes, width: int) -> tuple[int, list[int], np.ndarray]:
-    """(fingerprint, eight more of them from remixed shingle hashes, fingerprints of the sections)."""
-    counts, n, sections = np.zeros((WIDE + 1, 64), dtype=np.int64), 0, [np.zeros(0, dtype=np.int64)]
-    for hashes in shingle_hashes(data, width):
-        n += len(hashes)
-        sections.append(_sections(hashes))
-        for i in range(WIDE + 1):
-            counts[i] += bit_counts(hashes)
-            hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-            hashes ^= hashes >> np.uint64(29)
-    fps = np.packbits(counts * 2 > n, axis=1, bitorder="little").view(np.int64).ravel().tolist()
-    return fps[0], fps[1:], np.unique(np.concatenate(sections))
+def identity(data: bytes, width: int) -> int:
+    """One number for all texts with the same set of shingles, as a signed long; 0 without words."""
+    hashes = shingle_set(data, width)
+    return int(np.uint64(xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64)) if len(hashes) else 0
+
+
+def _frequent(sets: DataFrame) -> np.ndarray:
+    """The most frequent shingles, at most `FREQUENT`, in falling order; counted in blocks, where they must come twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = [], 0
+        for batch in batches:
+            for data in batch.column("hashes").to_pylist():
+                block.append(np.frombuffer(data, dtype=np.int64))
+                size += len(block[-1])
+                if size >= BLOCK:
+                    yield counted(block)
+                    block, size = [], 0
+        if block:
+            yield counted(block)
+
+    def counted(block: list[np.ndarray]) -> pa.RecordBatch:
+        values, n = np.unique(np.concatenate(block), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(values[n > 1]), pa.array(n[n > 1])], ["token", "n"])
+
+    top = sets.select("hashes").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = top.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
+    return found.column("token").to_numpy()
+
+
+def _prefixes(frequent: np.ndarray, similarity: float):
+    """Rows (token, fp, size, place): the first shingles of each set, the frequent ones last, that two similar sets can't both miss."""
+    order = np.argsort(frequent)
+    known = frequent[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "hashes"):
+            tokens, fps, sizes, places = [], [], [], []
+            for fp, data in zip(part.column("fp").to_pylist(), part.column("hashes").to_pylist(), strict=True):
+                hashes = np.frombuffer(data, dtype=np.int64)
+                n = len(hashes)
+                many = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+                at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+                last = known[at] == hashes if len(known) else np.zeros(n, dtype=bool)
+                rare = hashes[~last][:many]
+                rest = frequent[np.sort(order[at[last]])[::-1][: many - len(rare)]] if len(rare) < many else hashes[:0]
+                tokens += [rare, rest]
+                fps.append(np.full(many, fp))
+                sizes.append(np.full(many, n))
+                places.append(np.arange(many))
+            columns = [np.concatenate(x).astype(np.int64) for x in (tokens, fps, sizes, places)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["token", "fp", "size", "place"])
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows ordered by token and fp, those whose token several fps have, once each, with the first one's fp, size and place."""
+    names = ["token", "fp", "size", "place"]
+    rest, first = np.zeros((4, 0), dtype=np.int64), None
+
+    def out(rows: np.ndarray, hubs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*rows, *hubs[1:])], [*names, "hub", "hub_size", "hub_place"])
+
+    for batch in batches:
+        rows = np.concatenate([rest, np.stack([batch.column(c).to_numpy() for c in names])], axis=1)
+        if not rows.shape[1]:
+            continue
+        rows = rows[:, np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)]]
+        token = rows[0]
+        starts = np.r_[True, token[1:] != token[:-1]]
+        hubs = rows[:, np.maximum.accumulate(np.where(starts, np.arange(len(token)), 0))]
+        if first is not None and first[0] == token[0]:
+            hubs[:, token == token[0]] = first[:, None]
+        again = ~starts | np.r_[~starts[1:], False]
+        again[0] |= first is not None and first[0] == token[0]
+        again[-1] = False  # known with the next batch
+        yield out(rows[:, again], hubs[:, again])
+        # the last row waits; it belongs to a run before it when its hub is another row
+        rest = rows[:, -1:]
+        first = hubs[:, -1] if (hubs[:, -1] != rows[:, -1]).any() else None
+    if rest.shape[1] and first is not None:
+        yield out(rest, first[:, None])
+
+
+def _alike(similarity: float):
+    """Rows (a, b) of those whose sets of shingles have at least this Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("hashes"), batch.column("of"), strict=True):
+                left, right = np.frombuffer(x.as_buffer(), dtype=np.int64), np.frombuffer(y.as_buffer(), dtype=np.int64)
+                both = np.sort(np.concatenate([left, right]))
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                keep.append(common / (len(both) - common) >= similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc, fp, label, component) as near_duplicates() gives them, for copies that share `similarity` of their shingles.
 
-    At a Jaccard similarity of 0.8, fingerprints differ in ten bits of 64, out of reach of keys that are good for three. So
-    texts are also brought together by the fingerprints of their sections: within the texts that have a section in common,
-    each is compared with the one whose sections are the most widely shared, as an original's are among its copies. The
-    comparison is of 512 further fingerprint bits, at the number that `similarity` gives plus two standard deviations. Each
-    shared section gives one comparison per text, however many texts share it. Nulls, ties and repeats are as there.
+    fp is identity() here: at a Jaccard similarity of 0.8, SimHash fingerprints differ in ten bits of 64. Shingles are put in one
+    order for all texts, the frequent ones last. Of two similar sets, the first shingle that both have is among the first
+    fifth (at 0.8) of each, and the shingles from there on must suffice. First each text is compared with one holder of each such
+    shingle, then all pairs that are still in different components are. Every comparison is of the whole sets, and exact.
+    Nulls, ties and repeats are as there.
     """
-    schema = "doc long, fp long, wide array<long>, sections array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            fps, wide, sections = zip(*(sketch(x, width) for x in text_bytes(part.column("text"))), strict=True)
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (wide, sections)]
-            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(fps, pa.int64()), *lists], ["doc", "fp", "wide", "sections"])
+            sets = [shingle_set(x, width).tobytes() for x in text_bytes(part.column("text"))]
+            fps = np.array([xxh64_intdigest(x, SEED) if x else 0 for x in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(fps), pa.array(sets, pa.binary())], ["doc", "fp", "hashes"])
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        pairs = cut_lineage(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+        some = cut_lineage(sets.join(needed, "fp", "left_semi"))
+        left = lookup(pairs, some.withColumnRenamed("fp", "a"), "a")
+        both = lookup(cut_lineage(left), some.select(F.col("fp").alias("b"), F.col("hashes").alias("of")), "b")
+        return cut_lineage(both.select("a", "b", "hashes", "of").mapInArrow(_alike(similarity), "a long, b long"))
+
+    def may(n, i, m, j):
+        least = F.lit(similarity / (1 + similarity)) * (n + m) - 1e-9
+        return F.least(n - i, m - j) >= least
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    rows = cut_lineage(texts.mapInArrow(run, schema))
-    nodes = rows.groupBy("fp").agg(F.first("wide").alias("wide"), F.first("sections").alias("sections"))
-    nodes = cut_lineage(nodes)
-    held = cut_lineage(nodes.select("fp", F.size("sections").alias("size"), F.explode("sections").alias("section")))
-    often = cut_lineage(held.groupBy("section").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = cut_lineage(lookup(held, often, "section").select("section", "fp", "size", "n"))
-    rank = shared.groupBy("fp").agg((F.sum("n") / F.first("size")).alias("rank"))
-    chosen = shared.join(rank, "fp").groupBy("section").agg(F.max(F.struct("rank", "fp")).alias("top"))
-    chosen = cut_lineage(chosen.select("section", F.col("top.fp").alias("other")))
-    pairs = cut_lineage(lookup(shared.select("section", "fp"), chosen, "section").where("fp <> other").select("fp", "other").distinct())
-    paired = cut_lineage(pairs.join(nodes.select("fp", "wide"), "fp"))
-    both = lookup(paired, nodes.select(F.col("fp").alias("other"), F.col("wide").alias("of")), "other")
-    bits = F.aggregate(F.zip_with("wide", "of", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    limit = int(64 * WIDE * share + 2 * np.sqrt(64 * WIDE * share * (1 - share)))
-    near = both.where(bits <= limit).select(F.col("fp").alias("a"), F.col("other").alias("b"))
-    return _grouped(rows.select("doc", "fp"), near.union(links(nodes.select("fp"))))
+    rows = cut_lineage(texts.mapInArrow(run, "doc long, fp long, hashes binary"))
+    sets = rows.select("fp", "hashes").dropDuplicates(["fp"])
+    first = rows.mapInArrow(_prefixes(_frequent(rows), similarity), "token long, fp long, size long, place long")
+    schema = "token long, fp long, size long, place long, hub long, hub_size long, hub_place long"
+    shared = cut_lineage(first.repartition("token").sortWithinPartitions("token", "fp").mapInArrow(_shared, schema))
+    c = F.col
+    stars = shared.where((c("fp") != c("hub")) & may(c("size"), c("place"), c("hub_size"), c("hub_place")))
+    edges = alike(stars.select(c("fp").alias("x"), c("hub").alias("y")))
+
+    labels = components(edges).select(c("node").alias("fp"), "label")
+    held = shared.drop("hub", "hub_size", "hub_place").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    held = cut_lineage(held)
+    mixed = held.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
+    held = cut_lineage(held.join(mixed, "token", "left_semi"))
+    hot = F.broadcast(cut_lineage(hot_keys(held, "token")).withColumn("hot", F.lit(True)))
+    held = held.join(hot, "token", "left")
+    salt = F.when(c("hot"), F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(c("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    one = held.select("token", salt.alias("salt"), c("fp").alias("x"), c("size").alias("n"), c("place").alias("i"), c("label").alias("k"))
+    many = held.select("token", F.explode(salts).alias("salt"), c("fp").alias("y"), c("size").alias("m"), c("place").alias("j"), c("label").alias("l"))
+    pairs = one.join(many, ["token", "salt"]).where((c("x") < c("y")) & (c("k") != c("l")) & may(c("n"), c("i"), c("m"), c("j")))
+    return _grouped(rows.select("doc", "fp"), edges.union(alike(pairs.select("x", "y"))))

@@ -135,6 +135,44 @@ def test_near_copies_catches_edited_texts(spark, documents):
     assert {got[i] for i in range(21)} == {0} and not any(got[i] == 0 for i in range(21, len(got)))
 
 
+def brute_alike(texts, width=5, similarity=0.8):
+    sets = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (t.split() for t in texts)]
+    return {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) / len(a | b) >= similarity}
+
+
+def check_near_copies(spark, texts):
+    """Components of near_copies() are those of all pairs by brute force; gives the pairs."""
+    pairs = brute_alike(texts)
+    label = list(range(len(texts)))
+    for i, j in pairs:
+        low, high = sorted((label[i], label[j]))
+        label = [low if x == high else x for x in label]
+    got = {r.doc: r.component for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == label
+    return pairs
+
+
+def prose(rng, n, tag="w"):
+    return [f"{tag}{i}" for i in rng.integers(0, 10**6, n)]
+
+
+def test_near_copies_need_no_common_hub(spark):
+    rng = np.random.default_rng(4)
+    shared, texts = prose(rng, 120, "s"), []
+    for _ in range(12):  # two copies whose only unedited words are a passage that unrelated texts hold too
+        own = prose(rng, 24)
+        for _ in range(2):
+            texts.append(" ".join(shared + own[:6] + prose(rng, 1) + own[7:18] + prose(rng, 1)))
+    for _ in range(40):
+        texts.append(" ".join(shared + prose(rng, int(rng.integers(60, 200)))))
+    whole = prose(rng, 300, "c")  # a chain of deletions, whose ends are far apart
+    texts += [" ".join(whole[: 300 - 25 * i]) for i in range(8)]
+    for i in range(10):  # collages of passages that are similar to none of their sources
+        parts = [prose(rng, 80, f"p{i}_") for _ in range(3)]
+        texts += [" ".join(parts[0] + parts[1] + parts[2]), *(" ".join(p[:40] + ["x"] + p[43:]) for p in parts), *(" ".join(p) for p in parts)]
+    assert check_near_copies(spark, texts)
+
+
 # --- 2 ---
 
 
