@@ -173,6 +173,19 @@ def test_near_copies_need_no_common_hub(spark):
     assert check_near_copies(spark, texts)
 
 
+def test_near_copies_find_short_texts(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for n in [50] * 60 + list(range(50, 200, 3)):
+        words = prose(rng, n)
+        texts.append(" ".join(words))
+        other = list(words)
+        for at in [n // 2] if n == 50 else rng.choice(n, max(1, n // 60), replace=False):
+            other[at] = "edited"
+        texts.append(" ".join(other))
+    assert len(check_near_copies(spark, texts)) >= 60
+
+
 # --- 2 ---
 
 
