@@ -186,6 +186,17 @@ def test_near_copies_find_short_texts(spark):
     assert len(check_near_copies(spark, texts)) >= 60
 
 
+def test_near_copies_keep_texts_below_the_similarity(spark):
+    rng = np.random.default_rng(6)
+    texts = []
+    for share in np.linspace(0.7, 0.9, 41):  # the first n words of 200 are shared, the rest is replaced
+        words = prose(rng, 204)
+        same = round(200 * 2 * share / (1 + share))
+        texts += [" ".join(words), " ".join(words[: same + 4] + prose(rng, 200 - same))]
+    pairs = check_near_copies(spark, texts)
+    assert 10 < len(pairs) < 30
+
+
 # --- 2 ---
 
 
