@@ -26,8 +26,6 @@ EXCERPT = 512
 SEGMENT = 512
 #: Different characters that all languages together may use, the most frequent first; others match nothing.
 SYMBOLS = 1024
-#: Labels with fewer than this share of the labelled rows are not learned, so at most 1000 are.
-LEAST_SHARE = 1000
 
 
 @lru_cache(maxsize=1)
@@ -162,12 +160,11 @@ def labelled_sample(docs: DataFrame, text_col: str, lang_col: str, key, rows: in
     """Per language, one excerpt of each of about `rows` rows: those with the smallest hash, cut at a place that the hash gives.
 
     Rows are first counted per language from the label column alone; at most `rows` excerpts per language reach the driver.
+    Every label is learned, however small its share: the model grows with the number of labels.
     """
     text, lang = F.col(text_col), F.col(lang_col)
     labelled = docs.where(lang.isNotNull() & text.isNotNull()).select(lang.alias("lang"), text.alias("text"), F.xxhash64(key, text).alias("hash"))
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n").alias("total"))
-    sizes = sizes.join(F.broadcast(total), F.col("n") * LEAST_SHARE >= F.col("total")).drop("total")
     draw = F.pmod("hash", F.lit(1 << 30)) / F.lit(float(1 << 30))
     low = labelled.join(F.broadcast(sizes), "lang").where(draw < F.lit(1.5 * rows) / F.col("n"))
     at = F.pmod(F.shiftright("hash", 20), F.greatest(F.length("text") - excerpt, F.lit(0)) + 1).cast("int") + 1

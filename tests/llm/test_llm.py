@@ -207,6 +207,16 @@ def test_language_held_out_accuracy(spark, sf_dir, documents):
     assert (held.lang == held.lang_pred).mean() > 0.95 and found.score.between(0, 1).all()
 
 
+def test_language_learns_labels_of_any_share(spark):
+    rare = "ŝi ĉiam manĝas ĝustan ĵaŭdan panon kaj trinkas ĥoran akvon"
+    data = [(i, f"the cat sat on the mat number {i} and looked at the dog", "en") for i in range(3000)] + [(3000, rare, "eo"), (3001, rare + " hodiaŭ", "eo")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    samples = language.labelled_sample(docs, "text", "lang", "doc_id")
+    assert [k for k, _ in samples] == ["en", "eo"] and len(dict(samples)["eo"]) == 2
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs.where("doc_id >= 2999"), samples).collect()}
+    assert got == {2999: "en", 3000: "eo", 3001: "eo"}
+
+
 def test_language_phrases_match_brute_force():
     model = language.Model({"a": ("the cat sat on the mat",), "b": ("der hund und die katze",)})
     samples = ["".join(map(chr, model.plain(t))) for t in ("the cat sat on the mat", "der hund und die katze")]
