@@ -55,15 +55,19 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width: flo
 def contained(needles: DataFrame, hay: DataFrame, needle: str, text: str) -> DataFrame:
     """Pairs where the needle's text occurs in the other text exactly.
 
-    Candidates share the needle's first three words as a shingle, so the pairs come from an equality join.
+    Candidates share the needle's second to fourth word as a shingle, so the pairs come from an equality join: between other
+    words, these are whole words wherever the needle occurs. Needles of fewer words have no such shingle and are sought in every
+    text; they are broadcast.
     """
     words = F.split(F.col(needle), r"\s+")
-    starts = needles.withColumn("_key", F.xxhash64(F.array_join(F.slice(words, 1, 3), " ")))
+    key = F.xxhash64(F.array_join(F.slice(words, 2, 3), " "))
+    starts = needles.where(F.size(words) >= 5).withColumn("_key", key)
     parts = F.split(F.col(text), r"\s+")
     shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(parts, i, 3), " "))))
     dealt = hay.withColumn("_key", F.explode(shingles))
-    found = dealt.join(starts, "_key")
-    return found.where(F.contains(F.col(text), F.col(needle))).drop("_key")
+    holds = F.contains(F.col(text), F.col(needle))
+    found = dealt.join(starts, "_key").where(holds).drop("_key")
+    return found.unionByName(hay.join(F.broadcast(needles.where(F.size(words) < 5)), holds))
 
 
 def complete_grid(counts: DataFrame, cell: str, period: str, value: str, least: int = 1) -> DataFrame:

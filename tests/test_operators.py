@@ -23,6 +23,15 @@ def test_interval_join_gives_each_pair_once(spark):
     assert collect(relational.interval_join(left, right, ["k"], 4.0)) == want
 
 
+def test_contained_finds_every_occurrence(spark):
+    texts = ['he said "One two three four five six" today', "[one two three four five, six]", "xone two three four fivex", "  one  two three four five", "one two three.", "one two", "ab", "", None]
+    needles = ["One two three four five", "ne two three four five", "one two three four five", " one  two three four five", "one two three", "two three", "three four ", "one", "b", " ", "", "e f i v e", None]
+    left = spark.createDataFrame(list(enumerate(needles)), "item_id int, passage string")
+    right = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    want = [(i, d) for i, n in enumerate(needles) for d, t in enumerate(texts) if n is not None and t is not None and n in t]
+    assert collect(relational.contained(left, right, "passage", "text").select("item_id", "doc_id")) == want
+
+
 def test_acl_owner_or_grant(spark):
     rows = spark.createDataFrame([("s1", "me"), ("s2", "you"), ("s3", None), ("s4", "you")], "id string, owner string")
     grants = spark.createDataFrame([("s2", "me", "read"), ("s3", "me", "read"), ("s4", "me", "write"), ("s2", "me", "read")], "id string, subject string, permission string")
