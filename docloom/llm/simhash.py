@@ -9,6 +9,7 @@ and each meeting is then verified on all 64 bits.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -20,7 +21,7 @@ from pyspark.sql.types import StructType
 from xxhash import xxh64_intdigest
 
 from docloom.llm import golay
-from docloom.llm.common import cut_lineage, hot_keys, lookup, slices, text_bytes, words_of
+from docloom.llm.common import SLICE_BYTES, cut_lineage, hot_keys, lookup, slices, text_bytes, words_of
 from docloom.llm.components import components
 
 SEED = 42
@@ -160,14 +161,19 @@ def identity(data: bytes, width: int) -> int:
     return int(np.uint64(xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64)) if len(hashes) else 0
 
 
-def _frequent(sets: DataFrame) -> np.ndarray:
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    """shingle_set() of a text that is held compressed, to spare disk."""
+    return shingle_set(zlib.decompress(data), width).view(np.int64)
+
+
+def _frequent(rows: DataFrame, width: int) -> np.ndarray:
     """The most frequent shingles, at most `FREQUENT`, in falling order; counted in blocks, where they must come twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size = [], 0
         for batch in batches:
-            for data in batch.column("hashes").to_pylist():
-                block.append(np.frombuffer(data, dtype=np.int64))
+            for data in batch.column("packed").to_pylist():
+                block.append(_unpacked(data, width))
                 size += len(block[-1])
                 if size >= BLOCK:
                     yield counted(block)
@@ -179,21 +185,21 @@ def _frequent(sets: DataFrame) -> np.ndarray:
         values, n = np.unique(np.concatenate(block), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(values[n > 1]), pa.array(n[n > 1])], ["token", "n"])
 
-    top = sets.select("hashes").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    top = rows.select("packed").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     found = top.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
     return found.column("token").to_numpy()
 
 
-def _prefixes(frequent: np.ndarray, similarity: float):
+def _prefixes(frequent: np.ndarray, width: int, similarity: float):
     """Rows (token, fp, size, place): the first shingles of each set, the frequent ones last, that two similar sets can't both miss."""
     order = np.argsort(frequent)
     known = frequent[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "hashes"):
+        for part in slices(batches, "packed", SLICE_BYTES // 4):
             tokens, fps, sizes, places = [], [], [], []
-            for fp, data in zip(part.column("fp").to_pylist(), part.column("hashes").to_pylist(), strict=True):
-                hashes = np.frombuffer(data, dtype=np.int64)
+            for fp, data in zip(part.column("fp").to_pylist(), part.column("packed").to_pylist(), strict=True):
+                hashes = _unpacked(data, width)
                 n = len(hashes)
                 many = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
                 at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
@@ -239,18 +245,20 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(rest, first[:, None])
 
 
-def _alike(similarity: float):
+def _alike(width: int, similarity: float):
     """Rows (a, b) of those whose sets of shingles have at least this Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("hashes"), batch.column("of"), strict=True):
-                left, right = np.frombuffer(x.as_buffer(), dtype=np.int64), np.frombuffer(y.as_buffer(), dtype=np.int64)
-                both = np.sort(np.concatenate([left, right]))
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(common / (len(both) - common) >= similarity)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for part in slices([batch], "packed", SLICE_BYTES // 4):
+                keep, last, left = [], None, None
+                for x, data, of in zip(*(part.column(c).to_pylist() for c in ("a", "packed", "of")), strict=True):
+                    if x != last:
+                        last, left = x, _unpacked(data, width)
+                    both = np.sort(np.concatenate([left, _unpacked(of, width)]))
+                    common = int(np.count_nonzero(both[1:] == both[:-1]))
+                    keep.append(common / (len(both) - common) >= similarity)
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -267,26 +275,26 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            sets = [shingle_set(x, width).tobytes() for x in text_bytes(part.column("text"))]
-            fps = np.array([xxh64_intdigest(x, SEED) if x else 0 for x in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(fps), pa.array(sets, pa.binary())], ["doc", "fp", "hashes"])
+            data = text_bytes(part.column("text"))
+            fps, packed = [identity(x, width) for x in data], [zlib.compress(x, 1) for x in data]
+            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(fps, pa.int64()), pa.array(packed, pa.binary())], ["doc", "fp", "packed"])
 
     def alike(pairs: DataFrame) -> DataFrame:
         pairs = cut_lineage(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
         some = cut_lineage(sets.join(needed, "fp", "left_semi"))
         left = lookup(pairs, some.withColumnRenamed("fp", "a"), "a")
-        both = lookup(cut_lineage(left), some.select(F.col("fp").alias("b"), F.col("hashes").alias("of")), "b")
-        return cut_lineage(both.select("a", "b", "hashes", "of").mapInArrow(_alike(similarity), "a long, b long"))
+        both = lookup(cut_lineage(left), some.select(F.col("fp").alias("b"), F.col("packed").alias("of")), "b")
+        return cut_lineage(both.select("a", "b", "packed", "of").mapInArrow(_alike(width, similarity), "a long, b long"))
 
     def may(n, i, m, j):
         least = F.lit(similarity / (1 + similarity)) * (n + m) - 1e-9
         return F.least(n - i, m - j) >= least
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    rows = cut_lineage(texts.mapInArrow(run, "doc long, fp long, hashes binary"))
-    sets = rows.select("fp", "hashes").dropDuplicates(["fp"])
-    first = rows.mapInArrow(_prefixes(_frequent(rows), similarity), "token long, fp long, size long, place long")
+    rows = cut_lineage(texts.mapInArrow(run, "doc long, fp long, packed binary"))
+    sets = rows.select("fp", "packed").dropDuplicates(["fp"])
+    first = rows.mapInArrow(_prefixes(_frequent(rows, width), width, similarity), "token long, fp long, size long, place long")
     schema = "token long, fp long, size long, place long, hub long, hub_size long, hub_place long"
     shared = cut_lineage(first.repartition("token").sortWithinPartitions("token", "fp").mapInArrow(_shared, schema))
     c = F.col
