@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from docloom.llm.bpe import PATTERN, ranges, vocabulary
 from docloom.llm.common import slices
 
+#: Longest text, in characters, for the faster library: its pattern engine gives up on runs of about a million blanks.
+LIBRARY_CHARACTERS = 200_000
+
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -38,6 +41,13 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("documents", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=bpe.special)
 
 
+def token_ids(text: str, path: str) -> np.ndarray:
+    """Token ids of one whole text; long texts go through the merge rounds of bpe, which take runs of any length."""
+    if len(text) > LIBRARY_CHARACTERS:
+        return vocabulary(path).encode([text])[0].astype(np.uint32)
+    return encoder(path).encode_to_numpy(text, allowed_special="all")
+
+
 class Shard:
     """BM25 over the tails of one shard; terms are token ids, the query of a seed is its whole tail."""
 
@@ -110,7 +120,6 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, shard_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_to_numpy
         base, sequence = TaskContext.get().partitionId() << 36, 0
         rows: list[tuple] = []
         tails: list[np.ndarray] = []
@@ -141,7 +150,7 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, shard_
         held = 0
         for part in slices(batches):
             for doc, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                ids = np.append(encode(text or "", allowed_special="all"), np.uint32(end_id)).astype("<u4")
+                ids = np.append(token_ids(text or "", path), np.uint32(end_id)).astype("<u4")
                 whole = len(ids) // window * window
                 for at in range(0, whole, window):
                     rows.append(piece((doc, len(ids)), ids[at : at + window], at, 0))

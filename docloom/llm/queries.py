@@ -52,7 +52,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text", "redacted")
+    model = secrets.train(secrets.labelled_samples(spark))
+    return secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"), model).drop("text", "redacted")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and of ordinary identifiers.
 
-Two first-order models are trained from labelled samples. A candidate, a long run of identifier characters that mixes
-letters and digits, is reported where the random model explains it clearly better than the ordinary one.
+Two first-order models are trained from a labelled table. A candidate, a long run of identifier characters of mixed kinds, is
+reported where the random model explains it clearly better than the ordinary one.
 """
 
 from __future__ import annotations
@@ -9,14 +9,13 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import accumulate
+from importlib import import_module
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from docloom.llm.common import slices
@@ -28,68 +27,80 @@ PATTERNS = (
     ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24),
 )
 KINDS = (*(p[0] for p in PATTERNS), "markov")
-#: A candidate mixes letters and digits and isn't a plain UUID, which names things and opens nothing.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?![0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9+/_=-]))(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
+#: A candidate is a whole run of such characters that mixes letters with digits, or has a capital after a small letter.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+MIXED = re.compile(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z].*[A-Z]")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Log-likelihood ratio per character (natural logarithm) from which a candidate counts as random.
 LEAST_RATIO = 0.5
-#: Labelled ordinary sample: words of which identifiers are made.
-WORDS = (
-    "account action address array async auth backup balance base batch block buffer build button cache call case channel check child class client clock "
-    "cloud code column command config connect content context control copy count create current cursor data date default delete detail device domain "
-    "download driver edge email enable end entry error event export factory field file filter find first flag folder format frame function group handle "
-    "hash header height history home host icon image import index info init input insert item join key kind label language last layer left length level "
-    "library limit line link list load local lock log login main manager map mask match max member memory menu merge message method min mode model module "
-    "month mouse name next node number object offset open option order output owner page panel parent parse part password path pattern payment period "
-    "phone pixel player point policy pool port position price print process product profile project property provider proxy query queue random range rate "
-    "read record region release remote remove render report request reset resource response result right role root route rule sample save scale schema "
-    "screen script search second section select sender server service session set shape show sign size slot sort source space stack start state status "
-    "step stop store stream string style submit sum switch symbol sync system table tag target task template test text theme thread time title token top "
-    "total track transfer tree trigger type unit update upload user value vector version video view visible volume wait week width window word worker write year zone"
+#: Where the ordinary sample comes from: modules whose names people chose, and how such names are joined in other places.
+MODULES = (
+    "argparse ast asyncio base64 calendar codecs collections concurrent.futures configparser csv ctypes datetime decimal dis email.message ftplib functools "
+    "gettext glob gzip hashlib hmac html.parser http.client http.cookies http.server imaplib inspect io ipaddress itertools json logging logging.handlers "
+    "mailbox math mimetypes multiprocessing numbers operator os pathlib pickle platform poplib pyarrow.compute pyspark.sql.functions random sched selectors "
+    "shutil signal smtplib socket socketserver sqlite3 ssl statistics string struct subprocess sys tarfile tempfile textwrap threading time timeit "
+    "tokenize traceback types typing unittest.mock urllib.parse urllib.request uuid warnings wave weakref xml.dom.minidom xml.sax zipfile zlib"
 ).split()
 
 
-def labelled_strings(seed: int = 1, n: int = 4000) -> tuple[list[str], list[str]]:
-    """(random strings as keys and digests have them, ordinary identifiers): the labelled samples, made from a seed."""
+def _names() -> list[str]:
+    """Public names of the modules and of their classes, in order."""
+    found = set()
+    for module in map(import_module, MODULES):
+        for name, value in vars(module).items():
+            found.add(name)
+            found.update(vars(value) if isinstance(value, type) else ())
+    return sorted(n for n in found if len(n) >= 6 and n.isascii())
+
+
+def labelled_samples(spark: SparkSession, n: int = 6000, seed: int = 1) -> DataFrame:
+    """(string, secret): a labelled table to begin with; scan() takes any other of this shape.
+
+    Secrets are drawn at random as keys and digests are written; ordinary strings are names of public modules, alone and joined.
+    """
     draw = random.Random(seed)
     alphabets = (ALPHABET[:62], ALPHABET[:62] + "+/", "0123456789abcdef", ALPHABET[:26] + ALPHABET[52:62], ALPHABET[26:62], ALPHABET[:62] + "_-")
     unlike = ["".join(draw.choices(alphabets[i % len(alphabets)], k=draw.randint(16, 64))) for i in range(n)]
-    joins = (lambda w: "_".join(w), lambda w: "-".join(w), lambda w: w[0] + "".join(x.title() for x in w[1:]), lambda w: "".join(x.title() for x in w), lambda w: "_".join(w).upper(), lambda w: "/".join(w), "".join)
-    ends = ("", "", "2", "_v2", "-01", "_2024", "/2023/11/05", "3", "-1", "=1", "_10")
-    usual = [joins[i % len(joins)](draw.choices(WORDS, k=draw.randint(2, 6))) + draw.choice(ends) for i in range(n)]
-    return unlike, usual
+    names, ends = _names(), ("", "", "2", "_v2", "-01", "_2024", "/2023/11/05", "3", "-1", "=1", "_10")
+    usual = names + [draw.choice("_-/=+").join(draw.choices(names, k=draw.randint(1, 3))) + draw.choice(ends) for _ in range(n)]
+    return spark.createDataFrame([(s, 1) for s in unlike] + [(s, 0) for s in usual], "string string, secret int")
 
 
-class Markov:
-    """Log-probabilities of a character after another, with add-one smoothing; index 0 stands for the start and for any other character."""
+def encode(s: str) -> np.ndarray:
+    """Codes of the characters after a 0, which stands for the start and for any other character."""
+    return np.array([0, *map(INDEX.__getitem__, map(ord, s))])
 
-    def __init__(self, strings: list[str]):
-        seen = np.ones((len(ALPHABET) + 1, len(ALPHABET) + 1))
-        for s in strings:
-            codes = encode(s)
-            np.add.at(seen, (codes[:-1], codes[1:]), 1)
-        self.log = np.log(seen / seen.sum(axis=1, keepdims=True))
 
+INDEX = [0] * 128
+for _code, _c in enumerate(ALPHABET, 1):
+    INDEX[ord(_c)] = _code
 
-INDEX = np.zeros(128, dtype=np.int64)
-INDEX[[ord(c) for c in ALPHABET]] = np.arange(1, len(ALPHABET) + 1)
 
+def train(labelled: DataFrame) -> np.ndarray:
+    """Log-likelihood ratio of each character after another, random over ordinary, of a table (string, secret).
 
-def encode(s: str) -> np.ndarray:
-    return np.append(0, INDEX[np.frombuffer(s.encode("ascii"), dtype=np.uint8)])
+    Transitions are counted over all its rows, so it may be of any size; at most two counts per pair of characters reach the driver.
+    Counts are smoothed by one; rows with a null are left out.
+    """
+    rows = labelled.where(F.col("string").isNotNull() & F.col("secret").isin(0, 1)).select("secret", F.split("string", "").alias("c"))
+    pairs = rows.select("secret", F.explode(F.arrays_zip(F.concat(F.array(F.lit("")), "c").alias("before"), F.col("c").alias("at"))).alias("p")).where("p.at <> ''")
+    seen = np.ones((2, len(ALPHABET) + 1, len(ALPHABET) + 1))
+    counts = pairs.groupBy("secret", _code_of("p.before").alias("a"), _code_of("p.at").alias("b")).agg(F.count("*").alias("n"))
+    for r in counts.collect():
+        seen[r["secret"], r["a"], r["b"]] += r["n"]
+    log = np.log(seen / seen.sum(axis=2, keepdims=True))
+    return log[1] - log[0]
 
 
-@lru_cache(maxsize=1)
-def ratio_table() -> np.ndarray:
-    """Log-likelihood ratio of each transition, random over ordinary."""
-    unlike, usual = labelled_strings()
-    return Markov(unlike).log - Markov(usual).log
+def _code_of(column: str) -> Column:
+    """Place of a character in the alphabet from 1, 0 for the start and for any other."""
+    return F.when(F.col(column) == "", 0).otherwise(F.position(F.col(column), F.lit(ALPHABET)))
 
 
-def ratio(s: str) -> float:
+def ratio(s: str, table: np.ndarray) -> float:
     """Log-likelihood ratio per character."""
     codes = encode(s)
-    return float(ratio_table()[codes[:-1], codes[1:]].mean())
+    return float(table[codes[:-1], codes[1:]].mean())
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -100,17 +111,15 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def model_spans(text: str) -> list[tuple[int, int, str]]:
+def model_spans(text: str, table: np.ndarray) -> list[tuple[int, int, str]]:
     """(start, end, kind) of candidates that the random model explains better."""
-    return [(*m.span(), "markov") for m in CANDIDATE.finditer(text) if ratio(m[0]) >= LEAST_RATIO]
+    return [(*m.span(), "markov") for m in CANDIDATE.finditer(text) if MIXED.search(m[0]) and ratio(m[0], table) >= LEAST_RATIO]
 
 
-def spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """(base spans, base and model spans); model spans that touch a base span are left to it."""
+def spans(text: str, table: np.ndarray) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """(base spans, base and model spans): a model span stands beside the base spans, also where it overlaps one."""
     base = base_spans(text)
-    starts, reach = [b[0] for b in base], [0, *accumulate((b[1] for b in base), max)]
-    added = [s for s in model_spans(text) if reach[bisect_left(starts, s[1])] <= s[0]]  # no base span before its end goes past its start
-    return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]))) if added else base
+    return base, sorted(base + model_spans(text, table), key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def joined(found: list[tuple[int, int, str]]) -> str:
@@ -127,10 +136,10 @@ def redacted(text: str, found: list[tuple[int, int, str]], mark: str = "[secret]
     return "".join(out) + text[at:]
 
 
-def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, model: np.ndarray, text_col: str = "text") -> DataFrame:
     """The rows with n_assign, n_access, n_hex, base_sha256, spans and redacted added.
 
-    Whole texts are scanned; offsets are code points, the end exclusive. Null texts count as empty: no spans, and the digest
+    model: the result of train(). Whole texts are scanned; offsets are code points, the end exclusive. Null texts count as empty: no spans, and the digest
     of the empty string. Each row is scanned alone. Columns of the added names are replaced, others pass through unchanged.
     """
     added = [("n_assign", "long"), ("n_access", "long"), ("n_hex", "long"), ("base_sha256", "string"), ("spans", "string"), ("redacted", "string")]
@@ -143,7 +152,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for part in slices(batches, text_col):
             rows = []
             for text in part.column(text_col).to_pylist():
-                base, found = spans(text or "")
+                base, found = spans(text or "", model)
                 kinds = [s[2] for s in base]
                 digest = hashlib.sha256(joined(base).encode()).hexdigest()
                 rows.append((*map(kinds.count, KINDS[:3]), digest, joined(found), redacted(text, found) if found else text))

@@ -385,6 +385,12 @@ def test_packing_awkward_rows(odd, empty, tokenizer):
     assert packing.pack(empty, llm.BYTE_BPE).count() == 0
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000 + "x", "a" * 1_000_000, "ab <|endoftext|> " * 20_000])
+def test_packing_takes_runs_of_any_length(spark, tokenizer, text):
+    docs = spark.createDataFrame([(1, text), (2, "a short one")], "doc_id long, text string")
+    check_pieces(packing.pack(docs, llm.BYTE_BPE).toPandas().rename(columns={"id": "doc_id"}), {1: text, 2: "a short one"}, tokenizer)
+
+
 def test_packing_takes_the_nearest_tail():
     a, b, c = np.arange(10), np.arange(100, 110), np.arange(5, 15)
     first = next(packing.fill([a, b, c], 20))
@@ -455,15 +461,67 @@ def test_secrets_base_spans(spark, sf_dir, documents):
         assert secrets.joined(secrets.base_spans(text)) == brute_spans(text)
 
 
+def brute_ratio(labelled):
+    """Log-likelihood ratio per character of a string, from two smoothed first-order models."""
+    place = lambda c: secrets.ALPHABET.find(c) + 1 if c else 0
+    seen = [Counter(), Counter()]
+    for s, secret in labelled:
+        seen[secret].update(zip(map(place, ["", *s[:-1]]), map(place, s), strict=True))
+    size = len(secrets.ALPHABET) + 1
+    total = [Counter(), Counter()]
+    for t, n in zip(total, seen, strict=True):
+        for (a, _), k in n.items():
+            t[a] += k
+    log = lambda k, a, b: math.log((seen[k][a, b] + 1) / (total[k][a] + size))
+    return lambda s: sum(log(1, a, b) - log(0, a, b) for a, b in zip(map(place, ["", *s[:-1]]), map(place, s), strict=True)) / len(s)
+
+
+def test_secrets_model_spans_match_brute_force(spark, sf_dir, documents):
+    labelled = [tuple(r) for r in secrets.labelled_samples(spark).collect()]
+    ratio, n = brute_ratio(labelled), 0
+    texts = [f"{t} {labelled[37 * k % len(labelled)][0]}" for k, t in enumerate(documents.text)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secrets.scan(docs, secrets.train(secrets.labelled_samples(spark))).toPandas().set_index("doc_id")
+    for i, text in enumerate(texts):
+        want = set()
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+            s = m[0]
+            digit, letter = any(c.isdigit() for c in s), any(c.isalpha() for c in s)
+            small = next((k for k, c in enumerate(s) if c.islower()), len(s))
+            if len(s) >= 16 and ((digit and letter) or any(c.isupper() for c in s[small:])) and ratio(s) >= secrets.LEAST_RATIO:
+                want.add(f"markov:{m.start()}:{m.end()}")
+        assert {x for x in found.loc[i, "spans"].split(",") if x.startswith("markov")} == want
+        n += len(want)
+    assert n > 20
+
+
+def test_secrets_model_finds_held_out_secrets(spark):
+    labelled = secrets.labelled_samples(spark)
+    held = F.crc32(F.col("string").cast("binary")) % 5 == 0
+    model = secrets.train(labelled.where(~held))
+    rng = np.random.default_rng(8)
+    planted = {0: [], 1: []}
+    for r in labelled.where(held).collect():
+        words = prose(rng, 12)
+        at = int(rng.integers(0, 12))
+        text = " ".join([*words[:at], r.string, *words[at:]])
+        found = secrets.model_spans(text, model)
+        planted[r.secret].append(any(text[a:b] == r.string for a, b, _ in found))
+        assert all(text[a:b] == r.string for a, b, _ in found)
+    assert np.mean(planted[1]) > 0.98 and np.mean(planted[0]) < 0.005 and len(planted[0]) > 1000
+
+
 def test_secrets_model(odd, empty, spark):
-    unlike, usual = secrets.labelled_strings(seed=9, n=1000)
-    assert np.mean([secrets.ratio(s) >= secrets.LEAST_RATIO for s in unlike]) > 0.98 and np.mean([secrets.ratio(s) >= secrets.LEAST_RATIO for s in usual]) < 0.01
+    model = secrets.train(secrets.labelled_samples(spark))
     text = "key is q7Zx9Kp2Lm8Rt4Vw6Yb1 and name is user_account_name_2"
-    _, found = secrets.spans(text)
+    _, found = secrets.spans(text, model)
     assert secrets.joined(found) == "markov:7:27" and secrets.redacted(text, found) == "key is [secret] and name is user_account_name_2"
-    assert secrets.scan(odd).count() == len(ODD) and secrets.scan(empty).count() == 0
-    clash = secrets.scan(odd.withColumn("spans", F.lit("mine")))
+    _, both = secrets.spans("token=q7Zx9Kp2Lm8Rt4Vw6Yb1", model)
+    assert secrets.joined(both) == "assign:0:26,markov:0:26"
+    assert secrets.scan(odd, model).count() == len(ODD) and secrets.scan(empty, model).count() == 0
+    clash = secrets.scan(odd.withColumn("spans", F.lit("mine")), model)
     assert {r.spans for r in clash.collect()} == {""}
+    assert not secrets.train(secrets.labelled_samples(spark).limit(0)).any()
 
 
 # --- 10 ---
