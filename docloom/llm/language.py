@@ -22,10 +22,12 @@ UNDETERMINED = "und"
 #: Bounds of the labelled sample, per language: rows, and characters of the one excerpt taken from each.
 SAMPLE_ROWS = 96
 EXCERPT = 512
-#: Longer texts are parsed in segments of this many characters, side by side; a segment's last phrase ends with it.
-SEGMENT = 512
-#: Different characters that all languages together may use, the most frequent first; others match nothing.
-SYMBOLS = 1024
+#: Rows of all languages together; with many languages each has fewer, LEAST_ROWS at least, so that the models stay in bounds.
+TOTAL_ROWS, LEAST_ROWS = 4096, 8
+#: Parses that go on side by side in numpy steps; the rests of the longest texts are parsed one by one.
+LANES = 400
+#: Cells up to which transitions lie in one plain table; where many characters are known, they lie in a hash table instead.
+PLAIN_CELLS = 1 << 25
 
 
 @lru_cache(maxsize=1)
@@ -38,39 +40,80 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-class Automaton:
-    """Suffix automaton over small integers as a dense transition table; -1 where a string doesn't occur."""
+def automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Suffix automaton over small integers: for each state, the next state by symbol; state 0 is the root."""
+    step: list[dict[int, int]] = [{}]
+    link, length, last = [-1], [0], 0
+    for c in symbols:
+        new = len(step)
+        step.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        p = last
+        while p >= 0 and c not in step[p]:
+            step[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][c]
+            if length[q] == length[p] + 1:
+                link[new] = q
+            else:
+                copy = len(step)
+                step.append(dict(step[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p >= 0 and step[p].get(c) == q:
+                    step[p][c] = copy
+                    p = link[p]
+                link[q] = link[new] = copy
+        last = new
+    return step
 
-    def __init__(self, symbols: list[int], width: int):
-        step: list[dict[int, int]] = [{}]
-        link, length, last = [-1], [0], 0
-        for c in symbols:
-            new = len(step)
-            step.append({})
-            length.append(length[last] + 1)
-            link.append(0)
-            p = last
-            while p >= 0 and c not in step[p]:
-                step[p][c] = new
-                p = link[p]
-            if p >= 0:
-                q = step[p][c]
-                if length[q] == length[p] + 1:
-                    link[new] = q
-                else:
-                    copy = len(step)
-                    step.append(dict(step[q]))
-                    length.append(length[p] + 1)
-                    link.append(link[q])
-                    while p >= 0 and step[p].get(c) == q:
-                        step[p][c] = copy
-                        p = link[p]
-                    link[q] = link[new] = copy
-            last = new
-        self.table = np.full((len(step), width), -1, dtype=np.int32)
-        for state, out in enumerate(step):
-            for c, to in out.items():
-                self.table[state, c] = to
+
+class Absent(dict):
+    def __missing__(self, key: int) -> int:
+        return -1
+
+
+class Steps:
+    """Transitions of all automata by state + symbol, where states are multiples of the number of symbols; -1 where none is.
+
+    one(key) looks up a single step, many(keys) an array of them.
+    """
+
+    def __init__(self, keys: np.ndarray, to: np.ndarray, cells: int):
+        if cells <= PLAIN_CELLS:
+            table = np.full(cells, -1, dtype=np.int32)
+            table[keys] = to
+            self.one, self.many = memoryview(table).__getitem__, table.__getitem__
+            return
+        self.one, self.many = Absent(zip(keys.tolist(), to.tolist(), strict=True)).__getitem__, self._many
+        bits = max(4, int(len(keys) * 4).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.to = np.full(1 << bits, -1, dtype=np.int64), np.full(1 << bits, -1, dtype=np.int64)
+        slot, rest = self._slot(keys), np.arange(len(keys))
+        while len(rest):
+            free = rest[self.keys[slot[rest]] < 0]
+            self.keys[slot[free]] = keys[free]  # of those that want one slot, one gets it
+            got = self.keys[slot[rest]] == keys[rest]
+            self.to[slot[rest[got]]] = to[rest[got]]
+            rest = rest[~got]
+            slot[rest] = (slot[rest] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def _many(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        to = np.where(held == keys, self.to[slot], -1)
+        rest = np.flatnonzero((held != keys) & (held >= 0))
+        while len(rest):
+            slot[rest] = at = (slot[rest] + 1) & self.mask
+            held, wanted = self.keys[at], keys[rest]
+            to[rest] = np.where(held == wanted, self.to[at], -1)
+            rest = rest[(held != wanted) & (held >= 0)]
+        return to
 
 
 class Model:
@@ -79,17 +122,21 @@ class Model:
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
         texts = {k: self.plain("\n".join(samples[k])) for k in self.languages}
-        values, counts = np.unique(np.concatenate([np.zeros(0, dtype=np.uint32), *texts.values()]), return_counts=True)
-        known = values[np.argsort(-counts, kind="stable")][: SYMBOLS - 1]
-        self.other = len(known)
-        self.symbol = np.full(0x110000, self.other, dtype=np.uint16)
+        known = np.unique(np.concatenate([np.zeros(0, dtype=np.uint32), *texts.values()]))
+        self.other = len(known)  # what a character is that no language has
+        self.width = self.other + 1
+        self.symbol = np.full(0x110000, self.other, dtype=np.int32)
         self.symbol[known] = np.arange(len(known))
-        automata = [Automaton(self.symbol[texts[k]].tolist(), self.other + 1).table for k in self.languages]
-        self.root = np.cumsum([0, *map(len, automata)])[:-1].astype(np.int32)
-        moved = [np.where(t < 0, -1, t + r) for t, r in zip(automata, self.root, strict=True)]
-        self.step = np.concatenate(moved) if moved else np.zeros((0, self.other + 1), dtype=np.int32)
-        for k, r in enumerate(self.root):  # no language knows what only stands for other characters
-            self.step[r : r + len(automata[k]), self.other] = -1
+        keys, to, roots, states = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [], 0
+        for k in self.languages:
+            step = automaton(self.symbol[texts[k]].tolist())
+            roots.append(states * self.width)
+            source = np.repeat(np.arange(len(step)), [len(out) for out in step])
+            keys.append((states + source) * self.width + np.fromiter((c for out in step for c in out), np.int64, len(source)))
+            to.append((states + np.fromiter((t for out in step for t in out.values()), np.int64, len(source))) * self.width)
+            states += len(step)
+        self.root = np.array(roots, dtype=np.int64)
+        self.steps = Steps(np.concatenate(keys), np.concatenate(to), states * self.width)
         self.cost = np.array([np.log2(max(len(texts[k]), 2)) for k in self.languages])
 
     @staticmethod
@@ -100,45 +147,62 @@ class Model:
         keep = letter | np.r_[True, letter[:-1]]
         return np.where(letter, points, 32)[keep]
 
-    def phrases(self, segments: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """(segments, languages): phrases in each row of symbols; rows are ordered by falling length."""
-        n, width = len(self.languages), self.other + 1
-        flat = self.step.ravel()
-        root = np.tile(self.root, len(segments))
-        state, count = root.copy(), np.zeros(len(root), dtype=np.int32)
-        active = np.searchsorted(-lengths, -np.arange(1, segments.shape[1] + 1), side="right") * n
-        for t, m in enumerate(active):
-            if not m:
-                break
-            symbol = np.repeat(segments[: m // n, t].astype(np.int64), n)
-            to = flat[state[:m].astype(np.int64) * width + symbol]
+    def phrases(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """(texts, languages): phrases of each text, a range of the symbols; texts are ordered by falling length."""
+        n = len(self.languages)
+        state = np.tile(self.root, len(starts))
+        root, count = state.copy(), np.zeros(len(state), dtype=np.int64)
+        enough = -(-LANES // n)
+        together = int(lengths[enough - 1]) if len(lengths) >= enough else 0
+        active = np.searchsorted(-lengths, -np.arange(1, together + 1), side="right")
+        for t, m in enumerate(active.tolist()):
+            symbol = np.repeat(symbols[starts[:m] + t], n)
+            to = self.steps.many(state[: m * n] + symbol)
             dead = np.flatnonzero(to < 0)
-            count[dead] += state[dead] != root[dead]  # a phrase ends before this character, which begins the next one
-            again = flat[root[dead].astype(np.int64) * width + symbol[dead]]
-            count[dead] += again < 0  # a character of no language is a phrase of its own
-            to[dead] = np.where(again < 0, root[dead], again)
-            state[:m] = to
+            if len(dead):
+                count[dead] += state[dead] != root[dead]  # a phrase ends before this character, which begins the next one
+                again = self.steps.many(root[dead] + symbol[dead])
+                count[dead] += again < 0  # a character that the language lacks is a phrase of its own
+                to[dead] = np.where(again < 0, root[dead], again)
+            state[: m * n] = to
+        for i in range(int(np.count_nonzero(lengths > together))):
+            for k in range(n):
+                lane = i * n + k
+                for at in range(together, int(lengths[i]), 1 << 20):
+                    part = symbols[starts[i] + at : starts[i] + min(at + (1 << 20), int(lengths[i]))]
+                    ended, state[lane] = self.parsed(part.tolist(), int(state[lane]), int(root[lane]))
+                    count[lane] += ended
         return (count + (state != root)).reshape(-1, n)
 
+    def parsed(self, symbols: list[int], state: int, root: int) -> tuple[int, int]:
+        """(phrases that end, state after the last symbol) of one parse in one language."""
+        step, n = self.steps.one, 0
+        for c in symbols:
+            to = step(state + c)
+            if to < 0:
+                n += state != root
+                to = step(root + c)
+                if to < 0:
+                    n, to = n + 1, root
+            state = to
+        return n, state
+
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """((texts, languages) bits per character, number of letters in each text)."""
         plain = [self.plain(t) for t in texts]
         n_letters = np.array([int(np.count_nonzero(x != 32)) for x in plain])
         size = np.array([len(x) for x in plain])
-        parts = -(-size // SEGMENT)
-        owner = np.repeat(np.arange(len(texts)), parts)
         symbols = self.symbol[np.concatenate([np.zeros(0, dtype=np.uint32), *plain])]
-        within = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-        lengths = np.minimum(SEGMENT, size[owner] - within * SEGMENT)
-        start = (np.cumsum(size) - size)[owner] + within * SEGMENT
-        order = np.argsort(-lengths, kind="stable")
-        grid = np.append(symbols, np.zeros(SEGMENT, dtype=np.uint16))[start[order][:, None] + np.arange(SEGMENT)]
+        order = np.argsort(-size, kind="stable")
         total = np.zeros((len(texts), len(self.languages)))
-        np.add.at(total, owner[order], self.phrases(grid, lengths[order]))
+        total[order] = self.phrases(symbols, (np.cumsum(size) - size)[order], size[order])
         return total * self.cost / np.maximum(size, 1)[:, None], n_letters
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(language, score from 0.5 to 1 or 0 without letters, phrases' bits per character) of each text."""
+        """(language, score from 0.5 to 1 or 0 without letters, phrases' bits per character) of each text.
+
+        Where naming each character among those that are known takes fewer bits than the phrases do, no language explains a text.
+        """
         if not self.languages:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.inf)
         bits, n_letters = self.entropies(texts)
@@ -160,32 +224,39 @@ def labelled_sample(docs: DataFrame, text_col: str, lang_col: str, key, rows: in
     """Per language, one excerpt of each of about `rows` rows: those with the smallest hash, cut at a place that the hash gives.
 
     Rows are first counted per language from the label column alone; at most `rows` excerpts per language reach the driver.
-    Every label is learned, however small its share: the model grows with the number of labels.
+    Every label is learned, however small its share; from TOTAL_ROWS / rows labels on, each has fewer rows, LEAST_ROWS at least.
     """
     text, lang = F.col(text_col), F.col(lang_col)
     labelled = docs.where(lang.isNotNull() & text.isNotNull()).select(lang.alias("lang"), text.alias("text"), F.xxhash64(key, text).alias("hash"))
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    number = sizes.agg(F.count("*").alias("labels"))
+    bound = F.greatest(F.lit(LEAST_ROWS), F.least(F.lit(rows), F.floor(F.lit(TOTAL_ROWS) / F.col("labels")))).cast("int")
+    sizes = sizes.crossJoin(F.broadcast(number)).select("lang", "n", bound.alias("bound"))
     draw = F.pmod("hash", F.lit(1 << 30)) / F.lit(float(1 << 30))
-    low = labelled.join(F.broadcast(sizes), "lang").where(draw < F.lit(1.5 * rows) / F.col("n"))
+    low = labelled.join(F.broadcast(sizes), "lang").where(draw < F.col("bound") * 1.5 / F.col("n"))
     at = F.pmod(F.shiftright("hash", 20), F.greatest(F.length("text") - excerpt, F.lit(0)) + 1).cast("int") + 1
-    taken = low.select("lang", "hash", F.substring(F.col("text"), at, F.lit(excerpt)).alias("part"))
-    kept = taken.groupBy("lang").agg(F.slice(F.sort_array(F.collect_set(F.struct("hash", "part"))), 1, rows).alias("parts"))
+    taken = low.select("lang", "bound", "hash", F.substring(F.col("text"), at, F.lit(excerpt)).alias("part"))
+    drawn = taken.groupBy("lang").agg(F.first("bound").alias("bound"), F.sort_array(F.collect_set(F.struct("hash", "part"))).alias("parts"))
+    kept = drawn.select("lang", F.slice("parts", F.lit(1), F.col("bound")).alias("parts"))
     return tuple(sorted((r["lang"], tuple(p["part"] for p in r["parts"])) for r in kept.collect()))
 
 
 def identify(docs: DataFrame, samples: tuple, text_col: str = "text") -> DataFrame:
-    """The rows with lang_pred, lang_score and lang_bits added by a model of labelled_sample()'s result; see Model.predict.
+    """The rows with lang_pred, lang_score, lang_bits and lang_known added by a model of labelled_sample()'s result; see Model.predict.
 
     Whole texts are parsed. Null texts and texts without a letter are `und` with score 0; without labelled text all are.
-    Other columns pass through unchanged, but for columns of the three names, which are replaced.
+    lang_known says that there is a language and that it explains the text: it takes fewer bits than naming each character does.
+    Other columns pass through unchanged, but for columns of the four names, which are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_bits")]
+    kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_bits", "lang_known")]
     plain = docs.select(*kept)
-    schema = StructType(list(plain.schema.fields)).add("lang_pred", "string").add("lang_score", "double").add("lang_bits", "double")
+    schema = StructType(list(plain.schema.fields)).add("lang_pred", "string").add("lang_score", "double").add("lang_bits", "double").add("lang_known", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col, SLICE_BYTES // 2):
-            lang, score, bits = model_of(samples).predict([x or "" for x in part.column(text_col).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], schema.names)
+        for part in slices(batches, text_col, 2 * SLICE_BYTES):
+            model = model_of(samples)
+            lang, score, bits = model.predict([x or "" for x in part.column(text_col).to_pylist()])
+            known = (score > 0) & (bits <= np.log2(model.width))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), *map(pa.array, (score, bits, known))], schema.names)
 
     return plain.mapInArrow(run, schema)

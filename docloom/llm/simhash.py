@@ -131,13 +131,13 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc, fp, label, component) of rows (doc, fp) whose fingerprints are joined by edges (a, b)."""
+    """The rows, with doc and fp among their columns, and label and component; edges (a, b) join fingerprints."""
     fps = rows.groupBy("fp").agg(F.min("doc").alias("least"))
     labels = components(edges).select(F.col("node").alias("fp"), "label")
     group = cut_lineage(fps.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label")))
     tops = group.groupBy("label").agg(F.min("least").alias("component"))
     known = cut_lineage(lookup(group.select("fp", "label"), tops, "label").select("fp", "label", "component"))
-    return lookup(rows, known, "fp").select("doc", "fp", "label", "component")
+    return lookup(rows, known, "fp").select(*rows.columns, "label", "component")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3) -> DataFrame:
@@ -264,9 +264,9 @@ def _alike(width: int, similarity: float):
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc, fp, label, component) as near_duplicates() gives them, for copies that share `similarity` of their shingles.
+    """(doc, key, fp, label, component) as near_duplicates() gives them, for copies that share `similarity` of their shingles.
 
-    fp is identity() here: at a Jaccard similarity of 0.8, SimHash fingerprints differ in ten bits of 64. Shingles are put in one
+    key is Spark's xxhash64 of the text, by which a row is found again where ids clash. fp is identity() here: at a Jaccard similarity of 0.8, SimHash fingerprints differ in ten bits of 64. Shingles are put in one
     order for all texts, the frequent ones last. Of two similar sets, the first shingle that both have is among the first
     fifth (at 0.8) of each, and the shingles from there on must suffice. First each text is compared with one holder of each such
     shingle, then all pairs that are still in different components are. Every comparison is of the whole sets, and exact.
@@ -277,7 +277,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for part in slices(batches):
             data = text_bytes(part.column("text"))
             fps, packed = [identity(x, width) for x in data], [zlib.compress(x, 1) for x in data]
-            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(fps, pa.int64()), pa.array(packed, pa.binary())], ["doc", "fp", "packed"])
+            columns = [part.column("doc"), part.column("key"), pa.array(fps, pa.int64()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "key", "fp", "packed"])
 
     def alike(pairs: DataFrame) -> DataFrame:
         pairs = cut_lineage(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
@@ -291,8 +292,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         least = F.lit(similarity / (1 + similarity)) * (n + m) - 1e-9
         return F.least(n - i, m - j) >= least
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    rows = cut_lineage(texts.mapInArrow(run, "doc long, fp long, packed binary"))
+    text = F.col(text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("key"), text.alias("text"))
+    rows = cut_lineage(texts.mapInArrow(run, "doc long, key long, fp long, packed binary"))
     sets = rows.select("fp", "packed").dropDuplicates(["fp"])
     first = rows.mapInArrow(_prefixes(_frequent(rows, width), width, similarity), "token long, fp long, size long, place long")
     schema = "token long, fp long, size long, place long, hub long, hub_size long, hub_place long"
@@ -313,4 +315,4 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one = held.select("token", salt.alias("salt"), c("fp").alias("x"), c("size").alias("n"), c("place").alias("i"), c("label").alias("k"))
     many = held.select("token", F.explode(salts).alias("salt"), c("fp").alias("y"), c("size").alias("m"), c("place").alias("j"), c("label").alias("l"))
     pairs = one.join(many, ["token", "salt"]).where((c("x") < c("y")) & (c("k") != c("l")) & may(c("n"), c("i"), c("m"), c("j")))
-    return _grouped(rows.select("doc", "fp"), edges.union(alike(pairs.select("x", "y"))))
+    return _grouped(rows.select("doc", "key", "fp"), edges.union(alike(pairs.select("x", "y"))))

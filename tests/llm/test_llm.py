@@ -217,23 +217,38 @@ def test_language_learns_labels_of_any_share(spark):
     assert got == {2999: "en", 3000: "eo", 3001: "eo"}
 
 
-def test_language_phrases_match_brute_force():
-    model = language.Model({"a": ("the cat sat on the mat",), "b": ("der hund und die katze",)})
-    samples = ["".join(map(chr, model.plain(t))) for t in ("the cat sat on the mat", "der hund und die katze")]
-
-    def brute(text, sample):
-        n = i = 0
-        while i < len(text):
-            j = i + 1
-            while text[i:j] in sample and j < len(text) and text[i : j + 1] in sample:
-                j += 1
-            n, i = n + 1, j
-        return n
-
-    for text in ("the mat and the hund", "die katze sat", "xyz", "d"):
-        plain = model.plain(text)
-        got = model.phrases(model.symbol[plain][None, :], np.array([len(plain)]))[0]
-        assert list(got) == [brute("".join(map(chr, plain)), s) for s in samples]
+def brute_phrases(text, sample):
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i : j + 1] in sample:
+            j += 1
+        n, i = n + 1, j
+    return n
+
+
+@pytest.mark.parametrize("lanes", [1, 400, 10**9])
+def test_language_phrases_match_brute_force(documents, monkeypatch, lanes):
+    monkeypatch.setattr(language, "LANES", lanes)
+    script = "".join(chr(0x4E00 + 7 * i % 2600) for i in range(3000))  # 2,600 different characters
+    samples = {"a": tuple(documents.text[:6]), "b": tuple(documents.text[6:12]), "zh": (script[:1500], script[1500:])}
+    model = language.Model(samples)
+    assert model.other > 2000
+    texts = ["the mat and the hund", "xyz", "d", "", *documents.text[12:40], "the " * 400, script[700:1400] + "the", "".join(reversed(script[:60]))]
+    assert max(map(len, texts)) > 2000
+    learned = ["".join(map(chr, model.plain("\n".join(samples[k])))) for k in model.languages]
+    bits, _ = model.entropies(texts)
+    for text, got in zip(texts, bits, strict=True):
+        plain = "".join(map(chr, model.plain(text)))
+        want = [brute_phrases(plain, s) * np.log2(len(s)) / max(1, len(plain)) for s in learned]
+        assert list(got) == pytest.approx(want)
+    assert model.predict([script[:20]])[0] == ["zh"]
+
+
+def test_language_samples_shrink_with_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(language, "TOTAL_ROWS", 100)
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('text number ', id) as text", "concat('l', id % 5) as lang")
+    assert [len(parts) for _, parts in language.labelled_sample(docs, "text", "lang", "doc_id")] == [20] * 5
 
 
 def test_language_awkward_rows(odd, empty):
@@ -574,7 +589,6 @@ def test_pipeline_stages(spark, sf_dir, documents):
     texts = [r.text for r in three.collect()]
     assert len(texts) == len(set(texts)) and {t for t in texts} <= {r.text for r in two.collect()}
     ids = [r.doc_id for r in three.collect()]
-    assert len(ids) == len(set(ids))
     four = p.secret_scan(spark, three, sf_dir)
     assert four.count() == three.count() and not any(secrets.base_spans(r.text) for r in four.collect())
     assert {r.doc_id for r in p.packed(spark, four, sf_dir).collect()} == set(ids)
@@ -593,3 +607,12 @@ def test_near_duplicate_stage_without_ids(spark, sf_dir, documents):
     docs = spark.createDataFrame([(None, text, "en", "a", 1), (None, text, "en", "b", 2)], SCHEMA)
     assert p.near_duplicates(spark, docs, sf_dir).count() == 1
     assert rows(p.near_duplicates(spark, docs.limit(0), sf_dir).toPandas()) == []
+
+
+def test_near_duplicate_stage_keeps_both_texts_of_one_id(spark, sf_dir, documents):
+    import corpus_pipeline as p
+
+    one, other = documents.text[documents.text.str.len() > 900].iloc[[0, 1]]
+    docs = spark.createDataFrame([(5, one, "en", "a", 1), (5, other, "en", "b", 2), (5, one, "en", "a", 1), (9, other, "en", "b", 2)], SCHEMA)
+    kept = p.near_duplicates(spark, docs, sf_dir).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(5, one), (5, other)])
