@@ -217,7 +217,10 @@ def _prefixes(frequent: np.ndarray, width: int, similarity: float):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows ordered by token and fp, those whose token several fps have, once each, with the first one's fp, size and place."""
+    """Of rows ordered by token, place and fp, those whose token several fps have, once each, with the first one's fp, size and place.
+
+    The first one has the fewest rarer shingles, so it is the one with the fewest edits among copies of a text.
+    """
     names = ["token", "fp", "size", "place"]
     rest, first = np.zeros((4, 0), dtype=np.int64), None
 
@@ -298,7 +301,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = rows.select("fp", "packed").dropDuplicates(["fp"])
     first = rows.mapInArrow(_prefixes(_frequent(rows, width), width, similarity), "token long, fp long, size long, place long")
     schema = "token long, fp long, size long, place long, hub long, hub_size long, hub_place long"
-    shared = cut_lineage(first.repartition("token").sortWithinPartitions("token", "fp").mapInArrow(_shared, schema))
+    shared = cut_lineage(first.repartition("token").sortWithinPartitions("token", "place", "fp").mapInArrow(_shared, schema))
     c = F.col
     stars = shared.where((c("fp") != c("hub")) & may(c("size"), c("place"), c("hub_size"), c("hub_place")))
     edges = alike(stars.select(c("fp").alias("x"), c("hub").alias("y")))
