@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from docloom.llm.warc import BREAKING, ENTITIES, HIDDEN
+#: The query reads pages step by step; here regular expressions do, for whole pages and the references that the tables hold.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+HIDDEN = ("script", "style", "head", "template", "noscript")
+BREAKING = "address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
 
 
 def _uuid(kind: str, *parts: str) -> str:
@@ -23,23 +26,31 @@ def _text(column: str) -> str:
     return f"regexp_replace({text}, '^[ \\n]+|[ \\n]+$', '', 'g')"
 
 
+def _title(column: str) -> str:
+    """The first title, its references decoded as those of the text are."""
+    title = f"regexp_extract({column}, '<title\\b[^>]*>(.*?)</title\\s*>', 1, 'si')"
+    for name, character in ENTITIES:
+        title = f"replace({title}, '{name}', '{character}')"
+    return f"regexp_replace(regexp_replace({title}, '[ \\t\\r\\n\\f]+', ' ', 'g'), '^ | $', '', 'g')"
+
+
 OP7 = f"""
 WITH responses AS (
   SELECT page_id, url AS target_uri, coalesce(html, '') AS html, {_uuid("response", "page_id", "url", "md5(html)")} AS refers_to FROM pages
 ), texts AS (
-  SELECT *, {_text("html")} AS text, 'sha256:' || sha256(html) AS source_digest,
-    regexp_replace(regexp_replace(regexp_extract(html, '<title\\b[^>]*>(.*?)</title\\s*>', 1, 'si'), '[ \\t\\r\\n\\f]+', ' ', 'g'), '^ | $', '', 'g') AS title
+  SELECT *, {_text("html")} AS text, 'sha256:' || sha256(html) AS source_digest, 'Content-Type: text/html; charset=utf-8' || chr(10) || 'Content-Length: ' || strlen(html) AS source_headers,
+    {_title("html")} AS title
   FROM responses
 ), records AS (
-  SELECT page_id, 'conversion' AS warc_type, refers_to, target_uri, 'text/plain' AS content_type, source_digest, text AS block FROM texts
+  SELECT page_id, 'conversion' AS warc_type, refers_to, target_uri, 'text/plain' AS content_type, source_digest, source_headers, text AS block FROM texts
   UNION ALL
-  SELECT page_id, 'metadata', refers_to, target_uri, 'application/warc-fields', source_digest,
+  SELECT page_id, 'metadata', refers_to, target_uri, 'application/warc-fields', source_digest, source_headers,
     concat_ws(chr(13) || chr(10), 'title: ' || title, 'source-length: ' || strlen(html), 'text-length: ' || strlen(text),
       'links: ' || len(regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref\\s*=')), 'source-digest: ' || source_digest)
   FROM texts
 )
 SELECT page_id, warc_type, {_uuid("derivative", "refers_to", "warc_type")} AS record_id, refers_to, target_uri, '2024-01-01T00:00:00Z' AS date,
   content_type, strlen(block) AS content_length, 'sha256:' || sha256(block) AS block_digest, source_digest,
-  'Content-Type: text/html; charset=utf-8' AS source_headers, block
+  source_headers, block
 FROM records
 """

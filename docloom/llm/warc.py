@@ -1,18 +1,33 @@
 """WARC derivatives: from response records, linked metadata and plain-text conversion records.
 
 Records are rows: type, id, target, date, content type, refers-to, block digest, headers and block. Ids are name-based, so a
-repeated run gives the same ones. The steps are column expressions, so nothing but the page itself is moved.
+repeated run gives the same ones. A page is read once from left to right, in time that grows with its length alone.
 """
 
 from __future__ import annotations
 
+import gzip
+import re
+from collections.abc import Iterator
+from html import unescape
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from docloom.llm.common import slices
 
-#: Entities that are spelled out in text. The ampersand comes last, so that "&amp;lt;" stays "&lt;".
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&euro;", "€"), ("&amp;", "&"))
-HIDDEN = ("script", "style", "head", "template", "noscript")
-BREAKING = "address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
+#: Elements whose content is no text. The first three go on to the end of the page where they aren't closed; of the others, a tag
+#: that isn't closed hides nothing.
+RAW, HIDDEN = ("script", "style", "title"), ("script", "style", "title", "head", "template", "noscript")
+BREAKING = frozenset(
+    "address article aside blockquote br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split()
+)
+#: A comment's start, an element's tag, or another tag. Only that part of a page is searched after which a ">" still comes.
+TAG = re.compile(r"<(?:!--|(/?)([A-Za-z][A-Za-z0-9:-]*)[^>]*>|[!?/][^>]*>)")
+TITLE, HREF = re.compile(r"<title\b[^>]*>", re.IGNORECASE), re.compile(r"\bhref\s*=", re.IGNORECASE)
+CLOSERS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE) for name in HIDDEN}
 
 
 def record_id(kind: str, *parts: Column) -> Column:
@@ -26,49 +41,85 @@ def digest(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block.cast("binary"), 256))
 
 
-def plain_text(html: Column) -> Column:
-    """Text of a page: hidden elements and comments out, block elements as line ends, tags out, entities spelled, blanks folded."""
-    hidden = "|".join(HIDDEN)
-    text = F.regexp_replace(html, rf"(?is)<!--.*?-->|<({hidden})\b[^>]*>.*?</\1\s*>", " ")
-    text = F.regexp_replace(text, rf"(?i)</?(?:{BREAKING})\b[^>]*>", "\n")
-    text = F.regexp_replace(text, r"<[A-Za-z/!?][^>]*>", "")
-    for name, character in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(character))
-    text = F.regexp_replace(text, r" {2,}| *[\t\r\f][ \t\r\f]*", " ")
-    text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
-    return F.btrim(text, F.lit(" \n"))
+def read_page(html: str) -> tuple[str, str, int]:
+    """(text, title, links) of a page.
 
-
-def title(html: Column) -> Column:
-    found = F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
-    return F.regexp_replace(F.regexp_replace(found, r"[ \t\r\n\f]+", " "), r"^ | $", "")
+    Hidden elements and comments turn into a blank, tags of blocks into line ends, other tags into nothing; then character
+    references are decoded and blanks folded. A comment that isn't closed, or a tag that the page's end cuts off, hides the rest.
+    """
+    end, at, links = html.rfind(">") + 1, 0, 0
+    out, unclosed = [], set()
+    while m := TAG.search(html, at, end):
+        out.append(html[at : m.start()])
+        at = m.end()
+        if m[2] is None:
+            if m[0] == "<!--":
+                closed = html.find("-->", at)
+                at = closed + 3 if closed >= 0 else len(html)
+                out.append(" ")
+            continue
+        name = m[2].lower()
+        if name in CLOSERS and not m[1] and name not in unclosed:
+            closer = CLOSERS[name].search(html, at, end)
+            if closer or name in RAW:
+                at = closer.end() if closer else len(html)
+                out.append(" ")
+            else:
+                unclosed.add(name)
+        elif name in BREAKING:
+            out.append("\n")
+        elif name == "a" and not m[1]:
+            links += HREF.search(m[0]) is not None
+    rest = html[at:]
+    cut = re.search(r"<[A-Za-z/!?]", rest)
+    out.append(rest[: cut.start()] if cut else rest)
+    text = re.sub(r"[ \t\r\f]+", " ", unescape("".join(out)))
+    opened = TITLE.search(html, 0, end)
+    closed = CLOSERS["title"].search(html, opened.end(), end) if opened else None
+    title = re.sub(r"\s+", " ", unescape(html[opened.end() : closed.start()])).strip() if closed else ""
+    return re.sub(r" ?\n[ \n]*", "\n", text).strip(" \n"), title, links
+
+
+def with_text(records: DataFrame, html_col: str = "html") -> DataFrame:
+    """The rows with text, title and links of the page in html_col, which isn't null."""
+    schema = StructType(list(records.schema.fields)).add("text", "string").add("title", "string").add("links", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, html_col):
+            text, title, links = zip(*map(read_page, part.column(html_col).to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text), pa.array(title), pa.array(links)], schema.names)
+
+    return records.mapInArrow(run, schema)
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Response records of a table of pages, one per row: the form in which derive() takes its input."""
+    """Response records of a table of pages, one per row: the form in which derive() takes its input. A null page counts as empty."""
     url, html = F.col(url_col), F.col(html_col)
+    header = lambda name, value: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"))
+    length = F.coalesce(F.octet_length(html), F.lit(0))
     return pages.select(
         F.col(id_col).alias("source_id"), record_id("response", F.col(id_col), url, F.md5(html)).alias("record_id"), url.alias("target_uri"), F.lit(date).alias("date"),
-        F.array(F.struct(F.lit("Content-Type").alias("name"), F.lit("text/html; charset=utf-8").alias("value"))).alias("headers"), html.alias("block"),
+        F.array(header("Content-Type", F.lit("text/html; charset=utf-8")), header("Content-Length", length)).alias("headers"), html.alias("block"),
     )
 
 
 def derive(records: DataFrame) -> DataFrame:
     """Two rows per response: its metadata record and its conversion record, both with refers_to set to the response's id.
 
-    records: source_id, record_id, target_uri, date, headers (array of name and value) and block (HTML), as responses() gives
-    them; other columns are left out. source_digest is the digest of the response's block, source_headers its headers, one
-    "name: value" per line; both are kept in either record. A null block counts as empty, a null target stays null. Rows stand
-    alone: equal responses give equal derivatives, and an empty table gives none.
+    records: source_id, record_id, target_uri, date, headers (array of name and value) and block (HTML), as responses() and
+    read_archives() give them; other columns are left out. source_digest is the digest of the response's block, source_headers
+    its headers, one "name: value" per line; both are kept in either record. A null block counts as empty, a null target stays
+    null. Pages of any length and brokenness take time in proportion to their length. Rows stand alone: equal responses give
+    equal derivatives, and an empty table gives none.
     """
     html = F.coalesce("block", F.lit(""))
-    base = records.select(
+    base = with_text(records.select(
         "source_id", F.col("record_id").alias("refers_to"), "target_uri", "date", digest(html).alias("source_digest"), html.alias("html"),
         F.array_join(F.transform(F.coalesce("headers", F.array()), lambda h: F.concat_ws(": ", h["name"], h["value"])), "\n").alias("source_headers"),
-    ).withColumn("text", plain_text(F.col("html")))
+    ))
     fields = (
-        ("title", title(F.col("html"))), ("source-length", F.octet_length("html")), ("text-length", F.octet_length("text")),
-        ("links", F.regexp_count("html", F.lit(r"(?i)<a\b[^>]*\bhref\s*="))), ("source-digest", F.col("source_digest")),
+        ("title", F.col("title")), ("source-length", F.octet_length("html")), ("text-length", F.octet_length("text")),
+        ("links", F.col("links")), ("source-digest", F.col("source_digest")),
     )
     described = F.concat_ws("\r\n", *(F.concat(F.lit(f"{name}: "), value.cast("string")) for name, value in fields))
     record = lambda kind, content, block: F.struct(F.lit(kind).alias("type"), F.lit(content).alias("content_type"), block.alias("block"))
@@ -82,8 +133,66 @@ def derive(records: DataFrame) -> DataFrame:
     )
 
 
+#: Header of a record and column that it comes from. The last two keep what the source said of itself.
+LINES = (
+    ("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", "date"), ("WARC-Target-URI", "target_uri"), ("WARC-Refers-To", "refers_to"),
+    ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"), ("X-Source-Digest", "source_digest"),
+)
+
+
 def serialized(derived: DataFrame) -> DataFrame:
-    """(source_id, warc_type, record): each record as the text of a WARC/1.1 file, for a sink."""
-    lines = (("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", "date"), ("WARC-Target-URI", "target_uri"), ("WARC-Refers-To", "refers_to"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"))
-    head = F.concat_ws("\r\n", F.lit("WARC/1.1"), *(F.concat(F.lit(f"{name}: "), F.col(c).cast("string")) for name, c in lines))
+    """(source_id, warc_type, record): each record as the text of a WARC/1.1 file, for a sink; a null header is left out.
+
+    The source's digest stands in X-Source-Digest, and each of its headers in a line X-Source-Header.
+    """
+    sources = F.transform(F.filter(F.split("source_headers", "\n"), lambda h: h != ""), lambda h: F.concat(F.lit("X-Source-Header: "), h))
+    head = F.concat_ws("\r\n", F.lit("WARC/1.1"), *(F.concat(F.lit(f"{name}: "), F.col(c).cast("string")) for name, c in LINES), sources)
     return derived.select("source_id", "warc_type", F.concat(head, F.lit("\r\n\r\n"), "block", F.lit("\r\n\r\n")).alias("record"))
+
+
+def _fields(head: bytes) -> list[tuple[str, str]]:
+    """Header lines after the first one."""
+    lines = (line.partition(b":") for line in head.split(b"\r\n")[1:])
+    return [(name.strip().decode("utf-8", "replace"), value.strip().decode("utf-8", "replace")) for name, mark, value in lines if mark]
+
+
+def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-cased name, block) of each record of a WARC file, gzipped or not; a record that is cut off ends the file."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    at = 0
+    while (at := data.find(b"WARC/", at)) >= 0:
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            return
+        fields = {name.lower(): value for name, value in _fields(data[at:end])}
+        length = fields.get("content-length", "")
+        start = end + 4
+        if not length.isdecimal() or start + int(length) > len(data):
+            return
+        at = start + int(length)
+        yield fields, data[start:at]
+
+
+def read_archives(files: DataFrame) -> DataFrame:
+    """Response records of WARC files, a table with a column `content` as spark.read.format("binaryFile") gives it.
+
+    A row per record of type response, with the header of the HTTP message taken off; source_id is its record id. Bytes that are
+    not UTF-8 turn into U+FFFD. A file is held by one task, so files should be of the usual size, about a gigabyte at most.
+    """
+    schema = "source_id string, record_id string, target_uri string, date string, headers array<struct<name: string, value: string>>, block string"
+    kinds = [pa.string()] * 4 + [pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])), pa.string()]
+    names = ["source_id", "record_id", "target_uri", "date", "headers", "block"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                for fields, block in parsed(content.as_py() or b""):
+                    if fields.get("warc-type") != "response":
+                        continue
+                    head, _, body = block.partition(b"\r\n\r\n")
+                    headers = [{"name": name, "value": value} for name, value in _fields(head)]
+                    known = [fields.get(x) for x in ("warc-record-id", "warc-record-id", "warc-target-uri", "warc-date")]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((*known, headers, body.decode("utf-8", "replace")), kinds, strict=True)], names)
+
+    return files.select("content").mapInArrow(run, schema)

@@ -2,8 +2,10 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -444,13 +446,84 @@ def test_warc_matches_sql(spark, sf_dir):
 def test_warc_records(spark):
     html = "<html><head><title> A  b </title></head><body><p>x &amp;lt; y<br>z</p><script>no</script><!-- no --><a href='/q'>q</a></body></html>"
     pages = spark.createDataFrame([(1, "http://h/", html), (1, "http://h/", html), (2, None, None), (3, "", "")], "page_id long, url string, html string")
-    responses = warc.responses(pages)
+    responses = warc.responses(pages.withColumn("text", F.lit("mine")))
     got = warc.derive(responses).collect()
     assert len(got) == 8 and {r.refers_to for r in got} == {r.record_id for r in responses.collect()}
     text = next(r for r in got if r.source_id == 1 and r.warc_type == "conversion")
-    assert text.block == "x &lt; y\nz\nq" and text.source_headers == "Content-Type: text/html; charset=utf-8" and text.content_length == len(text.block.encode())
+    assert text.block == "x &lt; y\nz\nq" and text.content_length == len(text.block.encode())
+    assert text.source_headers == f"Content-Type: text/html; charset=utf-8\nContent-Length: {len(html)}"
     assert "title: A b\r\n" in next(r.block for r in got if r.source_id == 1 and r.warc_type == "metadata")
-    assert warc.serialized(warc.derive(responses)).count() == 8 and warc.derive(warc.responses(pages.limit(0))).count() == 0
+    assert warc.derive(warc.responses(pages.limit(0))).count() == 0
+
+
+class Reader(HTMLParser):
+    """Text of a page by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in warc.HIDDEN:
+            self.hidden.append(tag)
+        elif not self.hidden and tag in warc.BREAKING:
+            self.out.append("\n")
+
+    def handle_endtag(self, tag):
+        if tag in self.hidden:
+            self.hidden.remove(tag)
+            self.out.append("" if self.hidden else " ")
+        elif not self.hidden and tag in warc.BREAKING:
+            self.out.append("\n")
+
+    def handle_comment(self, data):
+        self.out.append(" ")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+
+
+def test_warc_text_matches_the_standard_parser(spark, sf_dir):
+    pages = [r.html for r in table(spark, sf_dir, "pages").collect()]
+    pages += [
+        "It&#8217;s &#x41; caf&eacute; &auml;&szlig; &amp;amp; &nosuch; &copy 5", "<P CLASS=a>one<DIV>two</DIV><Br/>three", "a < b and <3 <b>c</b>", "<p>x<script>var a='</p>';</script >y",
+        "<!DOCTYPE html><title>t &ouml;</title>body", "<noscript>n</noscript>m<template><p>t</p></template>z", "text <!-- c <b> --> more", "",
+    ]
+    for html in pages:
+        reader = Reader()
+        reader.feed(html)
+        reader.close()
+        want = re.sub(r" ?\n[ \n]*", "\n", re.sub(r"[ \t\r\f]+", " ", "".join(reader.out))).strip(" \n")
+        assert warc.read_page(html)[0] == want
+    assert warc.read_page("<title>caf&eacute;</title>x")[1] == "café" and warc.read_page("<a href=x><A HREF = y><a name=z>")[2] == 2
+
+
+@pytest.mark.parametrize("part", ["<!--", "<script>", "<p", "<a href=", "<head>", "<title>", "</p", "<", "&", "<b>", "<noscript><template>"])
+def test_warc_broken_pages_take_linear_time(part):
+    start = time.process_time()
+    warc.read_page("seen " + part * (1_000_000 // len(part)))
+    assert time.process_time() - start < 3
+    assert warc.read_page("seen <script>var a = 1;")[0] == "seen" and warc.read_page("seen <a href=")[0] == "seen" and warc.read_page("seen <head>x")[0] == "seen x"
+
+
+def test_warc_files(spark, tmp_path):
+    import gzip
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nServer: x\r\n\r\n<p>WARC/1.1 caf\xc3\xa9</p>"
+    head = "WARC/1.1\r\nWARC-Type: {}\r\nWARC-Record-ID: <urn:uuid:{}>\r\nWARC-Date: 2024-05-06T07:08:09Z\r\nWARC-Target-URI: http://h/\r\nContent-Length: {}\r\n\r\n"
+    record = lambda kind, i, block: head.format(kind, i, len(block)).encode() + block + b"\r\n\r\n"
+    data = record("warcinfo", 1, b"x: y") + record("response", 2, http) + record("response", 3, http)
+    (tmp_path / "a.warc").write_bytes(data)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(data) + gzip.compress(record("response", 4, http)))
+    (tmp_path / "c.warc").write_bytes(data[:-30])
+    found = warc.read_archives(spark.read.format("binaryFile").load(str(tmp_path)))
+    assert sorted(r.record_id[10:-1] for r in found.collect()) == ["2", "2", "2", "3", "3", "4"]
+    made = warc.derive(found).where("warc_type = 'conversion'").collect()
+    assert {(r.block, r.target_uri, r.date, r.source_headers) for r in made} == {("WARC/1.1 café", "http://h/", "2024-05-06T07:08:09Z", "Content-Type: text/html\nServer: x")}
+    lines = warc.serialized(warc.derive(found)).first().record
+    fields, block = next(warc.parsed(lines.encode()))
+    assert fields["x-source-digest"] == made[0].source_digest and "X-Source-Header: Server: x\r\n" in lines and len(block) == int(fields["content-length"])
 
 
 # --- 8 ---
