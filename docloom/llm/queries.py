@@ -34,12 +34,13 @@ def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     samples = language.labelled_sample(docs, "text", "lang", "doc_id", rows=quality.SAMPLE_ROWS)
-    return quality.judge(docs.select("doc_id", "text"), samples).drop("text")
+    judged = quality.judge(docs.select("doc_id", "text"), samples)
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "class_distance", "word_distance")
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = urls.judge(table(spark, sf_dir, "pages", "page_id", "url"))
-    return judged.select("page_id", "host", "path", "rule", "probability", "verdict")
+    judged = urls.judge(table(spark, sf_dir, "pages", "page_id", "url"), urls.train(urls.labelled_urls(spark)))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "probability")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,69 +2,54 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import random
 from zlib import crc32
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 14
 NGRAMS = (3, 4, 5)
 #: Rules as (host, path, verdict); the longest that fits wins.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: Labelled table for training: (url, 1 if it is to be kept).
-LABELLED = tuple((u, 1) for u in """
-https://docs.python.example.org/3/library/functions.html
-https://en.wiki.example.org/articles/photosynthesis
-https://www.university.example.edu/physics/lectures/week3.html
-https://blog.gardener.example.net/en/2023/planting-tomatoes
-https://news.daily.example.com/world/2024/05/elections
-https://www.museum.example.org/collections/paintings/17
-https://library.city.example.net/en/opening-hours
-https://recipes.kitchen.example.com/soups/lentil
-https://m.weather.example.net/forecast/berlin
-https://forum.photo.example.net/threads/4021
-https://journal.science.example.org/articles/10432.html
-https://www.history.example.net/en/romans/roads
-https://tutorials.code.example.com/linux/permissions
-https://archive.letters.example.org/1891/paris
-https://shop.books.example.com/fr/romans
-https://school.math.example.edu/algebra/groups
-https://www.town.example.net/de/rathaus
-https://health.clinic.example.org/es/consejos
-https://maps.trail.example.net/hikes/12
-https://blog.language.example.com/es/gramatica
-https://the.things.example.net/en/36472
-https://www.then.example.net/fr/1821
-https://m.other.example.net/de/8654
-https://www.north.example.net/es/38270.html
-""".split()) + tuple((u, 0) for u in """
-https://cheap-pills.example.net/buy-now
-https://blog.cheap-pills.example.net/en/discount
-http://www.casino-bonus.example.com/free-spins/win
-http://best-casino.example.net/jackpot?aff=1
-https://adult-video.example.net/xxx/hot
-http://xxx-cams.example.com/live
-https://replica-watches.example.net/sale/cheap
-http://viagra-online.example.com/order-pills
-https://loans-fast.example.net/payday/approved
-http://free-download-crack.example.net/keygen
-https://poker-win.example.com/bonus-casino
-http://pills-shop.example.net/cheap-viagra
-https://sex-dating.example.net/hot-singles
-http://click-ads.example.com/track/popup
-https://seo-links.example.net/backlinks-cheap
-http://torrent-crack.example.com/full-version
-https://betting-bonus.example.net/slots/free
-http://lottery-winner.example.com/claim-prize
-https://weight-loss-pills.example.net/miracle
-http://cheap-replica.example.com/handbags-sale
-https://porn-tube.example.net/free-xxx
-http://payday-cash.example.com/loan-now
-https://spam-offers.example.net/win-prize-now
-http://bonus-slots.example.com/casino-online
-""".split())
+#: Most labelled rows that the model is fitted on; of a larger table, those with the smallest hash.
+LABELLED_ROWS = 20_000
+#: Labelled table to begin with: words that hosts and paths of unwanted pages are made of, and of wanted ones.
+UNWANTED = (
+    "adult backlinks betting bingo bonus buy-now cams cash-advance casino cheap clickbait coupon-hack crack credit-fix dating debt-relief deals-now "
+    "diet-pills discount escort fake-id followers forex-profit free-money free-spins full-download gambling get-rich giveaway hookup hot-singles jackpot "
+    "keygen loans lottery magic-pills miracle nulled nude payday pharmacy pills poker popup porn prize-winner replica serial-key sexy slots spam "
+    "sweepstakes torrent traffic-bot viagra warez weight-loss win-prize xxx"
+).split()
+WANTED = (
+    "agenda algebra archive articles astronomy biology blog books botany bridges buildings chemistry city climate clinic coast code council courses "
+    "culture docs economy energy essays exhibition farm festival films forum gallery garden geology grammar guide harbour health history hikes "
+    "hospital island journal kitchen languages law lectures letters library local manual maps market medicine metro museum music news notes opera "
+    "painting parish park photos physics planet poems press railway recipes research river schedule school science society sport station stories "
+    "theatre tools town trail translation tutorial university village weather wiki wildlife workshop world"
+).split()
+LETTERS = "eeeeeaaaattttooooiiinnnsssshhhhrrrddlllluuccmmffppggbbwwyvk"
+FRONTS, ZONES, TONGUES = ("", "", "www.", "m.", "blog."), ("com", "net", "org"), ("en", "de", "fr", "es", "it")
+
+
+def labelled_urls(spark: SparkSession, n: int = 3000, seed: int = 1) -> DataFrame:
+    """(url, keep): a labelled table to begin with; judge() takes any other of this shape.
+
+    A third of the urls have a word of UNWANTED in the host or the path; the others are made of WANTED and of invented names.
+    """
+    draw, rows = random.Random(seed), []
+    for i in range(n):
+        keep = int(i % 3 > 0)
+        name = "".join(draw.choices(LETTERS, k=draw.randint(4, 10)))
+        host, path = draw.choice((name, draw.choice(WANTED), f"{draw.choice(WANTED)}-{name}")), draw.choice((draw.choice(WANTED), str(draw.randint(1, 9999)), name))
+        if not keep:
+            bad = draw.choice(UNWANTED)
+            host, path = draw.choice(((f"{bad}-{name}", path), (f"{name}-{bad}", path), (bad, path), (host, bad), (f"{bad}-{draw.choice(UNWANTED)}", path)))
+        ending = draw.choice(("", "", "/", ".html", "?page=2", "#top"))
+        section = draw.choice((f"{draw.choice(TONGUES)}/", f"{draw.choice(TONGUES)}/", ""))
+        rows.append((f"{draw.choice(('http', 'https'))}://{draw.choice(FRONTS)}{host}.example.{draw.choice(ZONES)}/{section}{path}{ending}", keep))
+    return spark.createDataFrame(rows, "url string, keep int")
 
 
 def features(host: str, path: str) -> np.ndarray:
@@ -77,32 +62,38 @@ def features(host: str, path: str) -> np.ndarray:
     return np.fromiter(found, np.int64)
 
 
-def split_url(url: str) -> tuple[str, str]:
-    """(host with A-Z lower-cased, path); both empty where the text has no "://"."""
-    _, mark, rest = url.partition("://")
-    if not mark:
-        return "", ""
-    ends = [i for c in "/?#" if (i := rest.find(c)) >= 0]
-    at = min(ends, default=len(rest))
-    host = rest[:at].encode().lower().decode()
-    path = rest[at:] if rest[at : at + 1] == "/" else ""
-    return host, path.partition("?")[0].partition("#")[0]
+def parts_of(url: str) -> tuple[Column, Column]:
+    """(host with A-Z lower-cased, path) of a column; both empty where it is null or has no "://"."""
+    rest = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1), F.lit(""))
+    host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return host, F.regexp_extract(rest, r"(?s)^[^/?#]*(/[^?#]*)", 1)
+
 
+def train(labelled: DataFrame, rounds: int = 400, rate: float = 3.0, penalty: float = 1e-5, most: int = LABELLED_ROWS) -> tuple[np.ndarray, float]:
+    """(weights, bias) by gradient descent on all of a labelled table (url, keep), of which at most `most` rows are used.
 
-@lru_cache(maxsize=4)
-def train(labelled: tuple = LABELLED, rounds: int = 300, rate: float = 0.5, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
-    """(weights, bias) by full-batch gradient descent; the table is small and given, so the fit is the same everywhere."""
-    rows = [features(*split_url(u)) for u, _ in labelled]
-    y = np.array([label for _, label in labelled], dtype=float)
+    Rows come in the order of their hashes, so a table gives the same model wherever its rows lie. Rows with a null are left out;
+    an empty table gives a model that answers one half.
+    """
+    host, path = parts_of("url")
+    usable = labelled.where(F.col("url").isNotNull() & F.col("keep").isin(0, 1))
+    taken = usable.select(host.alias("host"), path.alias("path"), "keep", F.xxhash64("url").alias("hash")).orderBy("hash", "host", "path", "keep").limit(most)
+    table = taken.toPandas()
+    rows = [features(h, p) for h, p in zip(table.host, table.path, strict=True)]
+    y = table.keep.to_numpy(dtype=float)
     weights, bias = np.zeros(BUCKETS), 0.0
-    for _ in range(rounds):
-        z = np.array([weights[r].sum() / np.sqrt(max(1, len(r))) for r in rows]) + bias
-        error = 1 / (1 + np.exp(-z)) - y
-        gradient = penalty * len(rows) * weights
-        for r, e in zip(rows, error, strict=True):
-            gradient[r] += e / np.sqrt(max(1, len(r)))
-        weights -= rate * gradient
-        bias -= rate * error.mean()
+    if not rows:
+        return weights, bias
+    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    bucket, scale = np.concatenate(rows), np.sqrt([max(1, len(r)) for r in rows])
+    before = weights, bias
+    for i in range(rounds):
+        ahead = i / (i + 3)  # accelerated gradient descent: a step from a point further along the last one
+        w, c = weights + ahead * (weights - before[0]), bias + ahead * (bias - before[1])
+        error = 1 / (1 + np.exp(-(np.bincount(at, w[bucket], len(rows)) / scale + c))) - y
+        before = weights, bias
+        weights = w - rate * (np.bincount(bucket, (error / scale)[at], BUCKETS) / len(rows) + penalty * w)
+        bias = c - rate * error.mean()
     return weights, bias
 
 
@@ -114,30 +105,28 @@ def probability(host: str, path: str, model: tuple[np.ndarray, float]) -> float:
 
 def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     """Struct (rule, verdict) of the longest rule that fits, null where none does; equal lengths: the first listed."""
-    fits = F.lit(None)
+    fits = F.lit(None).cast("struct<rule: string, verdict: string>")
     for domain, prefix, verdict in sorted(rules, key=lambda r: len(r[0]) + len(r[1])):
         match = ((host == domain) | host.endswith(f".{domain}")) & path.startswith(prefix)
         fits = F.when(match, F.struct(F.lit(domain + prefix).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(fits)
     return fits
 
 
-def judge(pages: DataFrame, rules: tuple = RULES, labelled: tuple = LABELLED, url_col: str = "url") -> DataFrame:
-    """The rows with host, path, rule, probability (that a url is to be kept) and verdict (allow or block) added.
+def judge(pages: DataFrame, model: tuple[np.ndarray, float], rules: tuple = RULES, url_col: str = "url") -> DataFrame:
+    """The rows with host, path, rule, verdict (allow or block) and probability (that a url is to be kept) added.
 
-    A rule's verdict comes first; the model judges the rest, at 0.5. A null url, or one without "://", has empty host and path
-    and is judged by the model alike. Each row is judged alone; columns of the added names are replaced, others pass through.
+    model: the result of train(). A rule's verdict comes first; the model judges the rest, at 0.5. A null url, or one without
+    "://", has empty host and path and is judged by the model alike. Each row is judged alone, urls of any length as a whole;
+    columns of the added names are replaced, others pass through.
     """
     plain = pages.select(*(c for c in pages.columns if c not in ("host", "path", "rule", "probability", "verdict")))
-    rest = F.coalesce(F.regexp_extract(url_col, r"(?s)^.*?://(.*)$", 1), F.lit(""))
-    host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    path = F.regexp_extract(rest, r"(?s)^[^/?#]*(/[^?#]*)", 1)
+    host, path = parts_of(url_col)
 
     @F.pandas_udf("double")
     def scored(hosts, paths):
-        model = train(labelled)
         return hosts.combine(paths, lambda h, p: probability(h, p, model))
 
     parts = plain.withColumn("host", host).withColumn("path", path)
-    ruled, model = rule_of(F.col("host"), F.col("path"), rules), F.when(F.col("probability") >= 0.5, "allow").otherwise("block")
+    ruled, modelled = rule_of(F.col("host"), F.col("path"), rules), F.when(F.col("probability") >= 0.5, "allow").otherwise("block")
     found = parts.withColumn("probability", scored("host", "path"))
-    return found.select(*parts.columns, ruled["rule"].alias("rule"), "probability", F.coalesce(ruled["verdict"], model).alias("verdict"))
+    return found.select(*parts.columns, ruled["rule"].alias("rule"), F.coalesce(ruled["verdict"], modelled).alias("verdict"), "probability")

@@ -347,20 +347,53 @@ def test_quality_awkward_rows(odd, empty):
 # --- 5 ---
 
 
+def brute_parts(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.split("[/?#]", rest)[0]
+    path = re.split("[?#]", rest[len(host) :])[0]
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), path
+
+
+def brute_probability(model, host, path):
+    """The same model by plain sums over the set of hashed n-grams."""
+    grams = {f"{mark}{part[i : i + n]}" for mark, part in (("h", f"^{host}$"), ("p", f"^{path}$")) for n in (3, 4, 5) for i in range(len(part) - n + 1)}
+    buckets = {zlib.crc32(g.encode()) % 16384 for g in grams}
+    return 1 / (1 + math.exp(-(sum(model[0][b] for b in buckets) / math.sqrt(max(1, len(buckets))) + model[1])))
+
+
 def test_urls(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").toPandas().merge(llm.op5_urls(spark, sf_dir).toPandas(), on="page_id")
-    model = urls.train()
-    for r in pages.itertuples():
-        host, path = urls.split_url(r.url)
-        fits = [(d + p, v) for d, p, v in urls.RULES if (host == d or host.endswith(f".{d}")) and path.startswith(p)]
-        rule, verdict = max(fits, key=lambda x: len(x[0])) if fits else (None, "allow" if urls.probability(host, path, model) >= 0.5 else "block")
-        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
-    awkward = [(1, None), (2, ""), (3, "nothing"), (4, "HTTP://EXAMPLE.Org?x"), (5, "a://b://c/d#e"), (5, "a://b://c/d#e"), (6, "x://notexample.org/es/1"), (7, "u://com/de/"), (8, "u://h/" + "a" * 100_000)]
-    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(awkward, "page_id long, url string")).collect()}
-    assert (got[1].host, got[1].path) == ("", "") == (got[3].host, got[3].path) and got[4].rule is None and got[5].host == "b:" and got[5].path == "//c/d"
-    assert got[6].rule == "org/" and got[7].rule == "com/de/" and got[7].verdict == "block"
-    assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
-    assert all((urls.probability(*urls.split_url(u), model) >= 0.5) == bool(y) for u, y in urls.LABELLED)
+    model = urls.train(urls.labelled_urls(spark))
+    awkward = [(-1, None), (-2, ""), (-3, "nothing"), (-4, "HTTP://EXAMPLE.Org?x"), (-5, "a://b://c/d#e"), (-5, "a://b://c/d#e"), (-6, "x://notexample.org/es/1")]
+    awkward += [(-7, "u://com/de/"), (-8, "u://h/" + "a" * 1_000_000), (-9, "u://a.b.EXAMPLE.org/en/1?x"), (-10, "u://example.org/en/#1")]
+    pages = table(spark, sf_dir, "pages", "page_id", "url").union(spark.createDataFrame(awkward, "page_id long, url string"))
+    rules = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+    found = urls.judge(pages, model).collect()
+    assert len(found) == pages.count()
+    for r in found:
+        host, path = brute_parts(r.url)
+        names = [host.split(".", i)[-1] for i in range(host.count(".") + 1)]
+        fits = [k for k in rules if k.split("/", 1)[0] in names and path.startswith("/" + k.split("/", 1)[1])]
+        rule = max(fits, key=len, default=None)
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == (rules[rule] if rule else "allow" if r.probability >= 0.5 else "block")
+        if len(path) < 1000:
+            assert r.probability == pytest.approx(brute_probability(model, *brute_parts(r.url)))
+    assert llm.op5_urls(spark, sf_dir).columns[:5] == ["page_id", "host", "path", "rule", "verdict"]
+    clash = urls.judge(pages.withColumn("verdict", F.lit("mine")), model)
+    assert {r.verdict for r in clash.collect()} <= {"allow", "block"} and urls.judge(pages.limit(0), model).count() == 0
+    assert not urls.train(urls.labelled_urls(spark).limit(0))[0].any()
+
+
+def test_urls_held_out_accuracy(spark):
+    labelled = urls.labelled_urls(spark)
+    held = F.crc32(F.col("url").cast("binary")) % 4 == 0
+    judged = urls.judge(labelled.where(held), urls.train(labelled.where(~held)), rules=()).collect()
+    assert len(judged) > 200 and np.mean([(r.verdict == "allow") == r.keep for r in judged]) > 0.95
+    names = [r.url.split("/")[2] for r in labelled.where("keep = 1").collect()]
+    model = urls.train(labelled)
+    assert np.mean([brute_probability(model, n, "/en/77") >= 0.5 for n in names]) > 0.95
 
 
 # --- 6 and 9 ---
