@@ -14,11 +14,21 @@ def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder of spark.checkpoint.dir; a folder of our own only where the session names none."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Where the session names none, a folder of our own does in
+    local mode, as in tests; elsewhere that is an error, since other machines couldn't read it."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

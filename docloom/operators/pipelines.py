@@ -31,7 +31,9 @@ def canonical_items(items: DataFrame, evidence: DataFrame, checks: DataFrame) ->
     """Items with the status of their last check, their deduplicated evidence counted, their confidence, and what is wrong with them."""
     kept = knowledge.evidence_dedup(evidence, "ordinal")
     verified = knowledge.verified_items(items, checks)
-    rated = verified.drop("confidence").join(knowledge.confidence(kept), "item_id", "left").join(kept.groupBy("item_id").agg(F.count("*").alias("evidence_count")), "item_id", "left")
+    counts = kept.groupBy("item_id").agg(F.count("*").alias("_n"))
+    rated = verified.drop("confidence").join(knowledge.confidence(kept), "item_id", "left").join(counts, "item_id", "left")
+    rated = rated.withColumn("evidence_count", F.coalesce("_n", F.lit(0))).drop("_n")
     return rated.join(knowledge.item_findings(rated), "item_id")
 
 
