@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.base import shared_folder
+
 #: Bytes of text that a task turns into Python objects at a time.
 SLICE_BYTES = 2 << 20
 
@@ -20,14 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor shares; our own only where the session names none, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize in the shared folder, so that a lost executor costs no step before this one."""
     shared_folder(df.sparkSession)

@@ -6,8 +6,9 @@ probabilities after each history sum to one. Tables are kept in hash partitions:
 by the second word, the history table by the first. A text's log-probability is a sum, so each partition adds its part to
 each text, and a text's parts meet once at the end.
 
-Rows that move are blobs of sorted, narrow and compressed columns, one per task and partition. Words that hold a thousandth
-of all tokens, of which there are at most a thousand, are counted beforehand and dealt out by both words of the bigram.
+Rows that move are blobs of sorted, narrow and compressed columns, one per task and partition. Words that hold more than a
+quarter of a partition's share of all tokens are counted beforehand and dealt out by both words of the bigram; what must meet
+with such a history goes to as many partitions as its tokens fill, so no partition grows with the input.
 """
 
 from __future__ import annotations
@@ -30,10 +31,13 @@ from docloom.llm.common import cut_lineage, slices, text_bytes, words_of
 K, SHARE = 5, 1e-3
 #: The end of a text, which is also the history of its first word; no word contains a line end.
 END = np.uint64(xxh64_intdigest(b"\n"))
-BLOCK_TOKENS = 2 << 20
+BLOCK_TOKENS = 3 << 19
 #: Text bytes per partition of the tables, parts in which a task goes through a partition, and texts per final group.
-PARTITION_BYTES, PARTS, GROUP_TEXTS = 32 << 20, 8, 4096
-HOT = 1000
+PARTITION_BYTES, PARTS, GROUP_TEXTS = 32 << 20, 16, 4096
+#: Words that hold this share of a partition's tokens are dealt out; a history that does has parts of a quarter of a partition.
+HOT_SHARE = 0.25
+#: Most frequent words that each partition names; which words are dealt out doesn't change the results.
+NAMED = 1000
 TOKENS, TEXTS, HISTORIES, PENDING, WORDS, SUMS = range(6)
 MOVED = "bucket long, part int, kind int, payload binary"
 SCORES = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -151,6 +155,11 @@ def place(words: np.ndarray, partitions: int) -> tuple[np.ndarray, np.ndarray]:
     return (words % np.uint64(partitions)).astype(np.int64), (words // np.uint64(partitions) % np.uint64(PARTS)).astype(np.int64)
 
 
+def spread_over(counts: np.ndarray, tokens: int, partitions: int) -> np.ndarray:
+    """Partitions that each frequent history's tokens are dealt to, by its count."""
+    return np.clip(np.ceil(counts / max(tokens, 1) * partitions / HOT_SHARE).astype(np.int64), 1, partitions)
+
+
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """One hash of two, for things that are dealt by both."""
     with np.errstate(over="ignore"):
@@ -196,7 +205,7 @@ def _counted(group: pa.Table) -> pa.Table:
     parts = [unpack(p.as_py()) for p in group.column("payload")]
     words, code = coded(np.concatenate([p[0] for p in parts]))
     n = np.bincount(code, np.concatenate([p[1] for p in parts])).astype(np.int64)
-    top = np.lexsort((words, -n))[:HOT]
+    top = np.lexsort((words, -n))[:NAMED]
     times = spectrum_of(n)
     columns = [[int(n.sum())], [len(n)], [times.tolist()], [words[top].view(np.int64).tolist()], [n[top].tolist()]]
     kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
@@ -339,7 +348,7 @@ def _spectrum(hot: np.ndarray, hot_counts: np.ndarray):
     return run
 
 
-def _scored(partitions: int, hot: np.ndarray, hot_counts: np.ndarray):
+def _scored(partitions: int, hot: np.ndarray, hot_counts: np.ndarray, parts_of_hot: np.ndarray):
     """Sums per text, to the group of the text; followers, words and tokens whose bigram is new, to the partition of the history."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -361,8 +370,11 @@ def _scored(partitions: int, hot: np.ndarray, hot_counts: np.ndarray):
                 out.append((b, 0, WORDS, pack(part.words[known[at]], part.word_n[known[at]])))
             new = np.flatnonzero(~seen)
             history, rows = part.histories[part.v[new]], part.rows[part.t[new]]
-            deal = np.where(np.isin(history, hot), mixed(history, rows.astype(np.uint64)), history)
-            for b, at in _dealt(place(deal, partitions)[0]):
+            bucket, _ = place(history, partitions)
+            often = np.flatnonzero(np.isin(history, hot))
+            parts = parts_of_hot[np.searchsorted(hot, history[often])]
+            bucket[often] = (bucket[often] + (mixed(history[often], rows[often].astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)) % partitions
+            for b, at in _dealt(bucket):
                 keys, v = coded(history[at])
                 out.append((b, 0, PENDING, pack(keys, v, rows[at], part.n[new[at]], count[new[at]])))
         if merged := texts.merge():
@@ -424,9 +436,8 @@ def _backed_off(hot: np.ndarray, hot_counts: np.ndarray, word_cut: np.ndarray, t
             return _merged(bucket, found)
         if PENDING not in found:
             return _table([])
-        frequent = next(x for x in group.column("frequent").to_pylist() if x is not None)
-        pair_cut = discounts(np.array(next(x["numbers"] for x in frequent if x["history"] is None)[: K + 3]))
-        frequent = [(x["history"], x["numbers"]) for x in frequent if x["history"] is not None]
+        pair_cut = discounts(np.array(group.column("times")[0].as_py()[: K + 3]))
+        frequent = [(x["history"], x["numbers"]) for x in group.column("frequent").to_pylist() if x is not None]
         pending = found[PENDING]
         history = np.concatenate([p[0][p[1]] for p in pending])
         rows, n, count = (np.concatenate([p[i].astype(np.int64) for p in pending]) for i in (2, 3, 4))
@@ -488,8 +499,8 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     times = [F.sum(F.col("times")[r]).alias(f"t{r}") for r in range(K + 3)]
     sums = counted.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v"), *times).first()
     tokens, types = sums["n"] or 0, sums["v"] or 0
-    often = counted.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).where(F.col("x.counts") * HOT >= tokens)
-    often = often.select("x.words", "x.counts").collect()  # at most HOT rows
+    often = counted.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).where(F.col("x.counts") * partitions >= F.lit(HOT_SHARE) * tokens)
+    often = often.select("x.words", "x.counts").collect()  # at most 1 / HOT_SHARE rows per partition
     hot = np.array([r["words"] for r in often], dtype=np.int64).view(np.uint64)
     order = np.argsort(hot)
     hot, hot_counts = hot[order], np.array([r["counts"] for r in often], dtype=np.int64)[order]
@@ -501,11 +512,16 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     moved = rows.mapInArrow(_bigrams(partitions, hot), MOVED)
     numbers = moved.groupBy("bucket").applyInArrow(_spectrum(hot, hot_counts), "history long, numbers array<long>")
     numbers = numbers.groupBy("history").agg(F.array(*(F.sum(F.get("numbers", F.lit(i))) for i in range(2 * K + 1))).alias("numbers"))
-    frequent = numbers.agg(F.collect_list(F.struct("history", "numbers")).alias("frequent"))
-    everywhere = F.explode(F.sequence(F.lit(0), F.lit(partitions - 1)).cast("array<bigint>")).alias("bucket")
-    frequent = frequent.select(everywhere, F.lit(0).alias("part"), F.lit(-1).alias("kind"), F.lit(None).cast("binary").alias("payload"), "frequent")
-    parts = moved.groupBy("bucket").applyInArrow(_scored(partitions, hot, hot_counts), MOVED)
-    parts = parts.withColumn("frequent", F.lit(None).cast(frequent.schema["frequent"].dataType)).union(frequent)
-    parts = parts.groupBy("bucket").applyInArrow(_backed_off(hot, hot_counts, word_cut, tokens, unknown), MOVED)
     times = numbers.where(F.col("history").isNull()).select(F.col("numbers").alias("times"))
+    parts_of_hot = spread_over(hot_counts, tokens, partitions)
+    first = place(hot, partitions)[0]
+    where = docs.sparkSession.createDataFrame(list(zip(hot.view(np.int64).tolist(), first.tolist(), parts_of_hot.tolist(), strict=True)), "history long, first long, n long")
+    at = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    frequent = numbers.join(F.broadcast(where), "history").select("history", "numbers", "first", at.alias("i")).select(
+        ((F.col("first") + F.col("i")) % partitions).alias("bucket"), F.lit(0).alias("part"), F.lit(-1).alias("kind"), F.lit(None).cast("binary").alias("payload"),
+        F.struct("history", "numbers").alias("frequent"),
+    )
+    parts = moved.groupBy("bucket").applyInArrow(_scored(partitions, hot, hot_counts, parts_of_hot), MOVED)
+    parts = parts.withColumn("frequent", F.lit(None).cast(frequent.schema["frequent"].dataType)).union(frequent)
+    parts = parts.crossJoin(F.broadcast(times)).groupBy("bucket").applyInArrow(_backed_off(hot, hot_counts, word_cut, tokens, unknown), MOVED)
     return parts.crossJoin(F.broadcast(times)).groupBy("bucket").applyInArrow(_final(tokens, types), SCORES)

@@ -298,6 +298,16 @@ def test_katz_matches_brute_force(spark, sf_dir, documents):
     assert found[found.held_out].score.sum() > found[found.held_out].base_score.sum()
 
 
+def test_katz_deals_frequent_words_to_many_partitions(spark, documents, monkeypatch):
+    monkeypatch.setattr(katz, "PARTITION_BYTES", 20_000)
+    texts = list(documents.text[:120]) + ["the cat the dog the end " * 400, "a b c the " * 300, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = katz.score(docs, F.col("doc_id") % 3 == 1).toPandas().set_index("id")
+    for i, want in enumerate(brute_katz(texts, [i % 3 == 1 for i in range(len(texts))])):
+        assert tuple(got.loc[i, ["n_tokens", "n_known", "train_tokens"]]) == want[:3]
+        assert got.loc[i, "score"] == pytest.approx(want[4], rel=1e-6) and got.loc[i, "base_score"] == pytest.approx(want[3], rel=1e-6)
+
+
 def test_katz_awkward_rows(spark, odd, empty):
     docs = [(r[0], r[1]) for r in ODD]
     got = katz.score(odd, F.col("doc_id") == 4).toPandas()
