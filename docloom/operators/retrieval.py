@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
@@ -48,15 +49,31 @@ def statistics(records: DataFrame, source: str, record: str, text: str) -> DataF
     return lengths.join(means, "source")
 
 
-def bm25(records: DataFrame, query: str, source: str, record: str, text: str) -> DataFrame:
-    """Records that hold every term of the query, with their score; df, size and mean length are those of the record's source.
-
-    A term that is more than one token must occur as these tokens in a row. Only records with the query's tokens are scored.
-    """
+def _phrases(query: str) -> list[list[str]]:
     phrases = [re.findall(r"[^\W_]+", t) for t in query_terms(query)]
     phrases = [list(x) for x in dict.fromkeys(map(tuple, phrases)) if x]
     if not phrases:
         raise QueryError("terms")
+    return phrases
+
+
+def _scored(counted: DataFrame, means: DataFrame, n_phrases: int) -> DataFrame:
+    """Hits (source, record, score) of counts tf0, tf1, ... and of the sources' records, mean length and df0, df1, ..."""
+    hits = counted.where(" AND ".join(f"tf{i} > 0" for i in range(n_phrases))).join(means, "source")
+    score = F.lit(0.0)
+    for i in range(n_phrases):
+        tf, n = F.col(f"tf{i}"), F.col(f"df{i}")
+        idf = F.log(1 + (F.col("records") - n + 0.5) / (n + 0.5))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    return hits.select("source", "record", F.round(score, 6).alias("score"))
+
+
+def bm25(records: DataFrame, query: str, source: str, record: str, text: str) -> DataFrame:
+    """Records that hold every term of the query, with their score; df, size and mean length are those of the record's source.
+
+    A term that is more than one token must occur as these tokens in a row. This scans all texts; search_index() doesn't.
+    """
+    phrases = _phrases(query)
     base = records.select(F.col(source).alias("source"), F.col(record).alias("record"), T.tokens(F.col(text)).alias("tokens"))
 
     def count(phrase: list[str]) -> Column:
@@ -68,13 +85,58 @@ def bm25(records: DataFrame, query: str, source: str, record: str, text: str) ->
     counted = base.select("source", "record", F.size("tokens").alias("length"), *(count(p).alias(f"tf{i}") for i, p in enumerate(phrases)))
     df = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))]
     means = counted.groupBy("source").agg(F.count("*").alias("records"), F.avg("length").alias("mean"), *df)
-    hits = counted.where(" AND ".join(f"tf{i} > 0" for i in range(len(phrases)))).join(means, "source")
-    score = F.lit(0.0)
-    for i in range(len(phrases)):
-        tf, n = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("records") - n + 0.5) / (n + 0.5))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return hits.select("source", "record", F.round(score, 6).alias("score"))
+    return _scored(counted, means, len(phrases))
+
+
+#: Folders that the postings of an index lie in, by the hash of their term.
+INDEX_FOLDERS = 64
+
+
+def _folder(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(INDEX_FOLDERS)).cast("int")
+
+
+def write_index(records: DataFrame, path: str, source: str, record: str, text: str) -> None:
+    """A stored index: postings (term, source, record, positions, length) in folders by term, and statistics of each source.
+
+    Rows are dealt by ranges of term and record, so that a frequent term fills several files. The table `done` is written last:
+    an index without it was cut off and isn't there.
+    """
+    spark = records.sparkSession
+    base = records.select(F.col(source).alias("source"), F.col(record).alias("record"), T.tokens(F.col(text)).alias("tokens"))
+    base.groupBy("source").agg(F.count("*").alias("records"), F.avg(F.size("tokens")).alias("mean")).write.mode("overwrite").parquet(f"{path}/sources")
+    each = base.select("source", "record", F.size("tokens").alias("length"), F.posexplode("tokens").alias("pos", "term"))
+    rows = each.groupBy("term", "source", "record", "length").agg(F.sort_array(F.collect_list("pos")).alias("positions")).withColumn("folder", _folder(F.col("term")))
+    dealt = rows.repartitionByRange("folder", "term", "record").sortWithinPartitions("folder", "term", "record")
+    dealt.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
+    spark.range(1).write.mode("overwrite").parquet(f"{path}/done")
+
+
+def search_index(spark: SparkSession, path: str, query: str, sources: list[str] | None = None) -> DataFrame:
+    """What bm25() gives, from a stored index: only the folders and row groups of the query's tokens are read.
+
+    sources: the scope, what the actor may see and has asked for; without it all sources are searched.
+    """
+    check_page(1, sources)
+    phrases = _phrases(query)
+    tokens = list(dict.fromkeys(t for p in phrases for t in p))
+    folders = [r[0] for r in spark.createDataFrame([(t,) for t in tokens], "t string").select(_folder(F.col("t"))).distinct().collect()]
+    found = spark.read.parquet(f"{path}/postings").where(F.col("folder").isin(folders) & F.col("term").isin(tokens))
+    means = spark.read.parquet(f"{path}/sources")
+    if sources is not None:
+        found, means = found.where(F.col("source").isin(sources)), means.where(F.col("source").isin(sources))
+    none = F.array().cast("array<int>")
+    places = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("positions"))), none).alias(f"p{i}") for i, t in enumerate(tokens)]
+    held = found.groupBy("source", "record", "length").agg(*places)
+
+    def count(phrase: list[str]) -> Column:
+        at = [f"p{tokens.index(t)}" for t in phrase]
+        together = lambda i: functools.reduce(lambda a, b: a & b, (F.array_contains(c, i + k) for k, c in enumerate(at)))
+        return F.size(at[0]) if len(at) == 1 else F.size(F.filter(at[0], together))
+
+    counted = held.select("source", "record", "length", *(count(p).alias(f"tf{i}") for i, p in enumerate(phrases)))
+    df = counted.groupBy("source").agg(*(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))))
+    return _scored(counted, means.join(df, "source"), len(phrases))
 
 
 def fused(hits: DataFrame, k: int = 60) -> DataFrame:

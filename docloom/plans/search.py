@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.functions.base import r6, read
+from docloom.functions.base import r6, read, shared_folder
 from docloom.operators import evaluation, folds, profile, relational, retrieval
 from docloom.plans.registry import query
+from docloom.sources import sinks
 
 LEXICAL = "the of"
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
@@ -18,15 +21,39 @@ h AS (SELECT source, record, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2
 FROM c JOIN m USING (source) WHERE a > 0 AND b > 0), f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, record) AS rank FROM h)"""
 
 
+def _index(spark: SparkSession, sf_dir: str) -> str:
+    """The stored index of the documents in the shared folder: built by a session's first search, read by all of them."""
+    path = f"{shared_folder(spark)}/index-{hashlib.sha256(f'{spark.sparkContext.applicationId} {sf_dir}'.encode()).hexdigest()[:16]}"
+    if sinks.table_there(spark, f"{path}/done") is None:
+        retrieval.write_index(read(spark, sf_dir, "documents", "doc_id", "source", "text"), path, "source", "doc_id", "text")
+    return path
+
+
+@query("k06_stored_index", f"WITH t AS (SELECT source, {TOKENS} AS tok FROM documents), u AS (SELECT source, unnest(tok) AS term FROM t) SELECT source, term, count(*) AS n FROM u GROUP BY ALL")
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spark.read.parquet(f"{_index(spark, sf_dir)}/postings")
+    return found.groupBy("source", "term").agg(F.sum(F.size("positions")).alias("n"))
+
+
+@query("r02_scan", f"WITH {BM25} SELECT source, record, score FROM f")
+def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.bm25(read(spark, sf_dir, "documents", "doc_id", "source", "text"), LEXICAL, "source", "doc_id", "text")
+
+
+@query("r05_scoped_search", f"WITH {BM25} SELECT source, record, score FROM f WHERE source IN ('src1', 'src2')")
+def scoped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.search_index(spark, _index(spark, sf_dir), LEXICAL, ["src1", "src2", "absent"])
+
+
 @query("r02_bm25", f"WITH {BM25} SELECT source, record, score, rank::INTEGER AS rank, round(1 / (60 + rank), 9) AS rrf FROM f")
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.bm25(read(spark, sf_dir, "documents", "doc_id", "source", "text"), LEXICAL, "source", "doc_id", "text")
+    hits = retrieval.search_index(spark, _index(spark, sf_dir), LEXICAL)
     return retrieval.fused(hits).withColumn("rrf", F.round("rrf", 9))
 
 
 @query("l03_merged_page", f"WITH {BM25} SELECT source, record, score, rank::INTEGER AS rank, round(1 / (60 + rank), 9) AS rrf FROM f ORDER BY rank, source, record LIMIT 20")
 def merged_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.bm25(read(spark, sf_dir, "documents", "doc_id", "source", "text"), LEXICAL, "source", "doc_id", "text")
+    hits = retrieval.search_index(spark, _index(spark, sf_dir), LEXICAL)
     return retrieval.page(hits, 20).withColumn("rrf", F.round("rrf", 9))
 
 

@@ -22,7 +22,7 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 
 
-def _there(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
+def table_there(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
     """The table at a path, or nothing where there is none yet; only Spark looks, so that any store works."""
     try:
         return (spark.read.schema(schema) if schema else spark.read).parquet(path)
@@ -33,7 +33,7 @@ def _there(spark: SparkSession, path: str, schema: StructType | None = None) ->
 
 
 def _read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    found = _there(spark, path, like.schema)
+    found = table_there(spark, path, like.schema)
     return spark.createDataFrame([], like.schema) if found is None else found
 
 
@@ -134,7 +134,7 @@ def cache_key(params: dict) -> str:
 def cached(spark: SparkSession, root: str, params: dict, build) -> DataFrame:
     """The table of these parameters, built once."""
     path = f"{root}/{cache_key(params)}"
-    found = _there(spark, path)
+    found = table_there(spark, path)
     if found is None:
         build().write.parquet(path)
         found = spark.read.parquet(path)

@@ -1,6 +1,7 @@
 """Operators on small tables: folds, joins, knowledge, control, evaluation."""
 
 import itertools
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -201,6 +202,19 @@ def test_bm25_phrases_and_empty_results(spark):
     assert retrieval.bm25(docs, "absent", "source", "record", "text").count() == 0
 
 
+def test_stored_index_answers_as_the_scan_does(spark, tmp_path, capsys):
+    texts = [("s", 1, "x-ray of x ray x"), ("s", 2, "ray x"), ("t", 3, ""), ("t", 4, "x ray of of the x-ray"), ("u", 5, None)]
+    docs = spark.createDataFrame(texts, "source string, record long, text string")
+    path = f"{tmp_path}/index"
+    retrieval.write_index(docs, path, "source", "record", "text")
+    for query in ("x-ray", "x", "x of", "of x-ray", "ray-of-x ray", "absent", "x x"):
+        assert collect(retrieval.search_index(spark, path, query)) == collect(retrieval.bm25(docs, query, "source", "record", "text"))
+    assert [r.record for r in retrieval.search_index(spark, path, "x", ["t", "v"]).collect()] == [4]
+    retrieval.search_index(spark, path, "ray").explain("formatted")
+    plan = capsys.readouterr().out
+    assert re.search(r"PartitionFilters: \[[^\n]*folder", plan) and re.search(r"PushedFilters: \[[^\n]*term,ray", plan)
+
+
 def test_aggregates(spark):
     found = aggregates.conflicts(spark.createDataFrame([(1, "a", "x"), (1, "b", "x")], "k int, p string, q string"), "k", ["p", "q"])
     assert collect(found) == [(1, ["p"])]
