@@ -21,10 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialize in the shared folder, so that a lost executor costs no step before this one."""
+#: Rows of narrow tables that a file of cut lineage may hold.
+ROWS_A_FILE = 500_000
+
+
+def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Materialize in the shared folder, so that a lost executor costs no step before this one.
+
+    rows: a bound on the rows of a narrow table, where known; it is then written to as few files as its size needs.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return (df if rows is None else df.coalesce(rows // ROWS_A_FILE + 1)).checkpoint()
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -72,7 +79,7 @@ def hot_keys(df: DataFrame, key: str, share: int = 1000) -> DataFrame:
     """Keys that hold more than 1/share of all rows, so at most `share` rows: safe to broadcast."""
     n = df.groupBy(key).agg(F.count("*").alias("_n"))
     total = n.agg(F.sum("_n").alias("_total"))
-    return n.join(F.broadcast(total), F.col("_n") * share > F.col("_total")).select(key)
+    return n.join(F.broadcast(total), F.col("_n") * share > F.col("_total")).select(key).repartition(1)
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

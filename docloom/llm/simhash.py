@@ -31,6 +31,8 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 SALTS = 16
 #: Shingles that are put last because they are frequent, and shingles counted at a time to find them; any choice gives all pairs.
 FREQUENT, BLOCK = 100_000, 1 << 21
+#: Narrow rows that a row with a text counts for, where files are cut by their size: 10,000 texts a file.
+TEXTS_A_FILE = 50
 
 
 def _lanes() -> np.ndarray:
@@ -127,7 +129,7 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     many = many.join(hot, "key", "left").select("key", "y", F.explode(salts).alias("salt"))
     close = (F.col("x") != F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= max_bits)
     found = one.hint("shuffle_hash").join(many, (one.key == many.key) & (one.salt == many.salt) & close)
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return cut_lineage(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
 def _grouped(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -285,11 +287,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def alike(pairs: DataFrame) -> DataFrame:
         pairs = cut_lineage(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        n = pairs.count()
         needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-        some = cut_lineage(sets.join(needed, "fp", "left_semi"))
+        some = cut_lineage(sets.join(needed, "fp", "left_semi"), TEXTS_A_FILE * n)
         left = lookup(pairs, some.withColumnRenamed("fp", "a"), "a")
-        both = lookup(cut_lineage(left), some.select(F.col("fp").alias("b"), F.col("packed").alias("of")), "b")
-        return cut_lineage(both.select("a", "b", "packed", "of").mapInArrow(_alike(width, similarity), "a long, b long"))
+        both = lookup(cut_lineage(left, TEXTS_A_FILE * n), some.select(F.col("fp").alias("b"), F.col("packed").alias("of")), "b")
+        return cut_lineage(both.select("a", "b", "packed", "of").mapInArrow(_alike(width, similarity), "a long, b long"), TEXTS_A_FILE * n)
 
     def may(n, i, m, j):
         least = F.lit(similarity / (1 + similarity)) * (n + m) - 1e-9
@@ -308,9 +311,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     labels = components(edges).select(c("node").alias("fp"), "label")
     held = shared.drop("hub", "hub_size", "hub_place").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    held = cut_lineage(held)
+    held = cut_lineage(held, shared.count())
     mixed = held.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    held = cut_lineage(held.join(mixed, "token", "left_semi"))
+    held = held.join(mixed, "token", "left_semi")
     hot = F.broadcast(cut_lineage(hot_keys(held, "token")).withColumn("hot", F.lit(True)))
     held = held.join(hot, "token", "left")
     salt = F.when(c("hot"), F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).otherwise(0)
