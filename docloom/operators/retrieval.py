@@ -97,7 +97,7 @@ def _folder(term: Column) -> Column:
 
 
 def write_index(records: DataFrame, path: str, source: str, record: str, text: str) -> None:
-    """A stored index: postings (term, source, record, positions, length) in folders by term, and statistics of each source.
+    """A stored index: postings (term, source, record, pos, length) in folders by term, and statistics of each source.
 
     Rows are dealt by ranges of term and record, so that a frequent term fills several files. The table `done` is written last:
     an index without it was cut off and isn't there.
@@ -105,8 +105,7 @@ def write_index(records: DataFrame, path: str, source: str, record: str, text: s
     spark = records.sparkSession
     base = records.select(F.col(source).alias("source"), F.col(record).alias("record"), T.tokens(F.col(text)).alias("tokens"))
     base.groupBy("source").agg(F.count("*").alias("records"), F.avg(F.size("tokens")).alias("mean")).write.mode("overwrite").parquet(f"{path}/sources")
-    each = base.select("source", "record", F.size("tokens").alias("length"), F.posexplode("tokens").alias("pos", "term"))
-    rows = each.groupBy("term", "source", "record", "length").agg(F.sort_array(F.collect_list("pos")).alias("positions")).withColumn("folder", _folder(F.col("term")))
+    rows = base.select("source", "record", F.size("tokens").alias("length"), F.posexplode("tokens").alias("pos", "term")).withColumn("folder", _folder(F.col("term")))
     dealt = rows.repartitionByRange("folder", "term", "record").sortWithinPartitions("folder", "term", "record")
     dealt.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
     spark.range(1).write.mode("overwrite").parquet(f"{path}/done")
@@ -125,14 +124,15 @@ def search_index(spark: SparkSession, path: str, query: str, sources: list[str]
     means = spark.read.parquet(f"{path}/sources")
     if sources is not None:
         found, means = found.where(F.col("source").isin(sources)), means.where(F.col("source").isin(sources))
-    none = F.array().cast("array<int>")
-    places = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("positions"))), none).alias(f"p{i}") for i, t in enumerate(tokens)]
-    held = found.groupBy("source", "record", "length").agg(*places)
+    in_phrases = {t for p in phrases if len(p) > 1 for t in p}
+    counts = [F.count_if(F.col("term") == t).alias(f"n{i}") for i, t in enumerate(tokens)]
+    places = [F.collect_list(F.when(F.col("term") == t, F.col("pos"))).alias(f"p{i}") for i, t in enumerate(tokens) if t in in_phrases]
+    held = found.groupBy("source", "record", "length").agg(*counts, *places)
 
     def count(phrase: list[str]) -> Column:
-        at = [f"p{tokens.index(t)}" for t in phrase]
-        together = lambda i: functools.reduce(lambda a, b: a & b, (F.array_contains(c, i + k) for k, c in enumerate(at)))
-        return F.size(at[0]) if len(at) == 1 else F.size(F.filter(at[0], together))
+        at = [tokens.index(t) for t in phrase]
+        together = lambda i: functools.reduce(lambda a, b: a & b, (F.array_contains(f"p{c}", i + k) for k, c in enumerate(at)))
+        return F.col(f"n{at[0]}") if len(at) == 1 else F.size(F.filter(f"p{at[0]}", together))
 
     counted = held.select("source", "record", "length", *(count(p).alias(f"tf{i}") for i, p in enumerate(phrases)))
     df = counted.groupBy("source").agg(*(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))))
