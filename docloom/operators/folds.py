@@ -1,22 +1,37 @@
-"""Ordered folds: state that depends on what was emitted, one group at a time. Groups are single documents, users or topics."""
+"""Ordered folds: state that depends on what was emitted. A group is streamed through its task; only the fold's state is held."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, groupby, islice
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+OUT_ROWS = 4096
 
-def fold(df: DataFrame, keys: list[str], order: list[str], step: Callable[[list[dict]], Iterator[dict]], schema: str) -> DataFrame:
-    """Rows that `step` yields from each group's rows, sorted; the keys are added by step's own rows."""
-    names = [c.strip().split()[0] for c in schema.split(", ")]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(order, kind="stable").to_dict("records")
-        return pd.DataFrame(list(step(rows)), columns=names)
+def fold(df: DataFrame, keys: list[str], order: list[str], step: Callable[[Iterable[dict]], Iterator[dict]], schema: str) -> DataFrame:
+    """Rows that `step` yields from each group's rows, which it gets one after another in order; the keys are added by step's own rows.
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    Groups are dealt by their keys and sorted by Spark, so a group of any size goes through its task batch by batch. A fold needs
+    what came before, so a group isn't split.
+    """
+    fields = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(fields)
+    ordered = df.repartition(*keys).sortWithinPartitions(*keys, *(F.asc_nulls_last(c) for c in order))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = chain.from_iterable(b.slice(i, OUT_ROWS).to_pylist() for b in batches for i in range(0, b.num_rows, OUT_ROWS))
+        out = chain.from_iterable(step(group) for _, group in groupby(rows, itemgetter(*keys)))
+        while part := list(islice(out, OUT_ROWS)):
+            yield pa.RecordBatch.from_pylist(part, schema=arrow)
+
+    return ordered.mapInArrow(run, fields)
 
 
 def timed_chunks(df: DataFrame, key: str, target: float = 45.0, overlap: int = 2) -> DataFrame:
@@ -25,7 +40,7 @@ def timed_chunks(df: DataFrame, key: str, target: float = 45.0, overlap: int = 2
     A final rest is a chunk of its own if it has a segment that no chunk has yet. An overlap of 0 keeps none.
     """
 
-    def step(rows: list[dict]) -> Iterator[dict]:
+    def step(rows: Iterable[dict]) -> Iterator[dict]:
         held, done, n = [], -1, 0
         for i, r in enumerate(rows):
             held.append((i, r))
@@ -43,7 +58,7 @@ def timed_chunks(df: DataFrame, key: str, target: float = 45.0, overlap: int = 2
 def bounded_batches(df: DataFrame, key: str, order: list[str], most: int = 16, span: float = 180.0) -> DataFrame:
     """Rows (key, at) in order, a new batch after `most` rows or beyond `span` from the batch's first row."""
 
-    def step(rows: list[dict]) -> Iterator[dict]:
+    def step(rows: Iterable[dict]) -> Iterator[dict]:
         n, first, batch = 0, None, -1
         for r in rows:
             if first is None or n >= most or r["at"] - first > span:
@@ -58,7 +73,7 @@ def bounded_batches(df: DataFrame, key: str, order: list[str], most: int = 16, s
 def merged_blocks(df: DataFrame, key: str, most: int = 260) -> DataFrame:
     """Neighbouring blocks (key, order, page, tokens, text) of a page joined while they have at most `most` tokens together."""
 
-    def step(rows: list[dict]) -> Iterator[dict]:
+    def step(rows: Iterable[dict]) -> Iterator[dict]:
         held: dict | None = None
         for r in rows:
             if held and held["page"] == r["page"] and held["tokens"] + r["tokens"] <= most:
@@ -77,7 +92,7 @@ def merged_blocks(df: DataFrame, key: str, most: int = 260) -> DataFrame:
 def capped_windows(df: DataFrame, key: str, gap: float = 2.0, cap: float = 75.0) -> DataFrame:
     """Intervals merged where the gap is small and the whole stays within the cap; one that exceeds it opens a new window."""
 
-    def step(rows: list[dict]) -> Iterator[dict]:
+    def step(rows: Iterable[dict]) -> Iterator[dict]:
         start = end = None
         n = 0
         for r in rows:
@@ -97,7 +112,7 @@ def capped_windows(df: DataFrame, key: str, gap: float = 2.0, cap: float = 75.0)
 def distinct_frames(df: DataFrame, key: str, bits: int = 5, seconds: float = 15.0) -> DataFrame:
     """Frames (key, frame, at, hash) that differ from the last kept one by `bits`, or come `seconds` after it."""
 
-    def step(rows: list[dict]) -> Iterator[dict]:
+    def step(rows: Iterable[dict]) -> Iterator[dict]:
         last = None
         for r in rows:
             if last is None or ((int(r["hash"]) ^ int(last["hash"])) & (2**64 - 1)).bit_count() >= bits or r["at"] - last["at"] >= seconds:
@@ -111,22 +126,24 @@ def distinct_frames(df: DataFrame, key: str, bits: int = 5, seconds: float = 15.
 def leaders(df: DataFrame, key: str, least: float = 0.9) -> DataFrame:
     """Greedy clusters of vectors (key, id, vector) in order of id: a vector joins the first leader with that cosine, else leads.
 
-    The groups are topics. Leaders are compared as one matrix, so a topic costs its size times its number of leaders.
+    The groups are topics; a topic's leaders are held as one matrix, so it costs its size times its number of leaders.
     """
     import numpy as np
 
     kind = df.schema[key].dataType.simpleString()
 
-    def step(rows: list[dict]) -> Iterator[dict]:
+    def step(rows: Iterable[dict]) -> Iterator[dict]:
         kept, names = np.zeros((0, 0)), []
         for r in rows:
             v = np.asarray(r["vector"], dtype=float)
             v = v / (np.linalg.norm(v) or 1.0)
-            hits = np.flatnonzero(kept @ v >= least) if names else []
+            hits = np.flatnonzero(kept[: len(names)] @ v >= least) if names else []
             if len(hits):
                 yield {key: r[key], "id": r["id"], "leader": names[hits[0]]}
                 continue
-            kept = np.vstack([kept, v]) if names else v[None, :]
+            if len(names) == len(kept):  # room for twice as many
+                kept = np.concatenate([kept.reshape(len(kept), len(v)), np.zeros((max(16, len(kept)), len(v)))])
+            kept[len(names)] = v
             names.append(r["id"])
             yield {key: r[key], "id": r["id"], "leader": r["id"]}
 
@@ -136,7 +153,7 @@ def leaders(df: DataFrame, key: str, least: float = 0.9) -> DataFrame:
 def rows_by_mean(words: DataFrame, tolerance: float) -> DataFrame:
     """Words (page, word, x, y) in rows: a word joins the row whose running mean y is within the tolerance."""
 
-    def step(rows: list[dict]) -> Iterator[dict]:
+    def step(rows: Iterable[dict]) -> Iterator[dict]:
         total, n, row = 0.0, 0, -1
         for r in rows:
             if not n or abs(r["y"] - total / n) > tolerance:
@@ -150,14 +167,14 @@ def rows_by_mean(words: DataFrame, tolerance: float) -> DataFrame:
 def job_states(events: DataFrame, key: str, moves: dict[str, tuple[str, ...]], first: str, terminal: tuple[str, ...]) -> DataFrame:
     """The state of each job after its events (key, seq, state): moves that are not allowed are refused, a terminal state stays."""
 
-    def step(rows: list[dict]) -> Iterator[dict]:
+    def step(rows: Iterable[dict]) -> Iterator[dict]:
         state, refused, taken = first, 0, 0
         for r in rows:
             if state not in terminal and r["state"] in moves.get(state, ()):
                 state, taken = r["state"], taken + 1
             else:
                 refused += 1
-        yield {key: rows[0][key], "state": state, "taken": taken, "refused": refused}
+        yield {key: r[key], "state": state, "taken": taken, "refused": refused}
 
     kind = events.schema[key].dataType.simpleString()
     return fold(events, [key], ["seq"], step, f"{key} {kind}, state string, taken long, refused long")
@@ -166,7 +183,7 @@ def job_states(events: DataFrame, key: str, moves: dict[str, tuple[str, ...]], f
 def sentence_chunks(df: DataFrame, key: str, budget: int = 200, overlap: int = 1) -> DataFrame:
     """Sentences (key, order, tokens, text) gathered up to a token budget, the last `overlap` opening the next chunk."""
 
-    def step(rows: list[dict]) -> Iterator[dict]:
+    def step(rows: Iterable[dict]) -> Iterator[dict]:
         held, fresh, n = [], 0, 0
         for r in rows:
             if fresh and sum(h["tokens"] for h in held) + r["tokens"] > budget:

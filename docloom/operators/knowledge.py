@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.functions.base import numbered
+from docloom.operators.relational import interval_join
 
 EVIDENCE_KEY = ["item_id", "source_id", "chunk_id", "segment_id", "start", "end", "kind", "relation"]
 
@@ -47,12 +48,12 @@ def confidence(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("item_id").agg(F.max(F.when(F.col("relation") == "support", F.col("confidence"))).alias("confidence"))
 
 
-def overlapping(evidence: DataFrame, windows: DataFrame) -> DataFrame:
-    """Evidence and windows of one source that share a segment or overlap in time, each pair once."""
-    e = evidence.select("source_id", "evidence_id", "segments", F.col("start").alias("e_start"), F.col("end").alias("e_end"))
-    w = windows.select("source_id", "window_id", F.col("segments").alias("w_segments"), "start", "end")
-    by_segment = e.withColumn("s", F.explode("segments")).join(w.withColumn("s", F.explode("w_segments")), ["source_id", "s"]).select("source_id", "evidence_id", "window_id")
-    by_time = e.join(w, "source_id").where((F.col("e_start") <= F.col("end")) & (F.col("start") <= F.col("e_end"))).select("source_id", "evidence_id", "window_id")
+def overlapping(evidence: DataFrame, windows: DataFrame, cell: float = 60.0) -> DataFrame:
+    """Evidence and windows of one source that share a segment or overlap in time (met in cells of time), each pair once."""
+    e = evidence.select("source_id", "evidence_id", F.explode("segments").alias("s"))
+    by_segment = e.join(windows.select("source_id", "window_id", F.explode("segments").alias("s")), ["source_id", "s"]).select("source_id", "evidence_id", "window_id")
+    times = evidence.select("source_id", "evidence_id", "start", "end"), windows.select("source_id", "window_id", "start", "end")
+    by_time = interval_join(*times, ["source_id"], cell).select("source_id", "evidence_id", F.col("r_window_id").alias("window_id"))
     return by_segment.union(by_time).distinct()
 
 

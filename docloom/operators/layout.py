@@ -21,13 +21,16 @@ def line_boxes(words: DataFrame) -> DataFrame:
     return lines.withColumn("place", F.when(high > low, (F.col("y0") - low) / (high - low)).otherwise(0.0))
 
 
-def best_overlap(boxes: DataFrame, others: DataFrame, key: str, other: str) -> DataFrame:
-    """For each box of a page the other source's box that it overlaps most, ties to the smaller id."""
-    b = others.select("page", F.col(other).alias("_id"), *(F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")))
+def best_overlap(boxes: DataFrame, others: DataFrame, key: str, other: str, cell: float = 128.0) -> DataFrame:
+    """For each box of a page the other source's box that it overlaps most, ties to the smaller id; they meet in cells of a grid."""
+    in_cells = lambda df: df.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell)))).withColumn(
+        "cy", F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell)))
+    )
+    b = in_cells(others).select("page", "cx", "cy", F.col(other).alias("_id"), *(F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")))
     width = F.least("x1", "_x1") - F.greatest("x0", "_x0")
     height = F.least("y1", "_y1") - F.greatest("y0", "_y0")
-    pairs = boxes.join(b, "page").where((width > 0) & (height > 0)).withColumn("area", width * height)
-    by = Window.partitionBy(key).orderBy(F.desc("area"), "_id")
+    pairs = in_cells(boxes).join(b, ["page", "cx", "cy"]).where((width > 0) & (height > 0)).withColumn("area", width * height)
+    by = Window.partitionBy("page", key).orderBy(F.desc("area"), "_id")
     return pairs.withColumn("_p", F.row_number().over(by)).where("_p = 1").select(key, F.col("_id").alias(other), "area")
 
 
