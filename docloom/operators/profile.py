@@ -9,7 +9,7 @@ QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
 def numeric(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per column: counts, quantiles (linear), mean, population deviation, bias-corrected skew and kurtosis."""
+    """One row per column: counts, also of NaN and infinities, quantiles (linear), mean, population deviation, bias-corrected skew and kurtosis."""
     def stats(c: str) -> Column:
         x, n = F.col(c).cast("double"), F.count(c).cast("double")
         g1, g2 = F.skewness(x), F.kurtosis(x)
@@ -17,7 +17,8 @@ def numeric(df: DataFrame, columns: list[str]) -> DataFrame:
         kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
         q = F.percentile(x, F.array(*map(F.lit, QUANTILES)))
         return F.struct(
-            F.lit(c).alias("column"), F.count("*").alias("rows"), F.count(c).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.round(F.avg(x), 6).alias("mean"),
+            F.lit(c).alias("column"), F.count("*").alias("rows"), F.count(c).alias("n"), F.count_if(F.isnan(x)).alias("nan"),
+            F.count_if(F.abs(x) == float("inf")).alias("infinite"), F.min(x).alias("min"), F.max(x).alias("max"), F.round(F.avg(x), 6).alias("mean"),
             F.round(F.stddev_pop(x), 6).alias("std"), *(F.round(q[i], 6).alias(f"q{int(p * 100):02d}") for i, p in enumerate(QUANTILES)), F.round(skew, 5).alias("skew"), F.round(kurt, 5).alias("kurtosis"),
         )
 
@@ -36,8 +37,9 @@ def categorical(df: DataFrame, columns: list[str], top: int = 10) -> DataFrame:
 
 
 def summary(df: DataFrame) -> DataFrame:
-    """One row per column: type, missing and distinct values."""
-    parts = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.count_if(F.col(c).isNull()).alias("missing"), F.count_distinct(c).alias("unique")) for c, t in df.dtypes]
+    """One row per column: type, missing and distinct values, and how many rows of the table repeat another one."""
+    repeated = F.count("*") - F.count_distinct(F.struct(*df.columns))
+    parts = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.count_if(F.col(c).isNull()).alias("missing"), F.count_distinct(c).alias("unique"), repeated.alias("repeated")) for c, t in df.dtypes]
     return df.agg(*(p.alias(f"_{i}") for i, p in enumerate(parts))).select(F.inline(F.array(*(F.col(f"_{i}") for i in range(len(parts))))))
 
 

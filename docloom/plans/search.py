@@ -191,7 +191,7 @@ def expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@query("m01_numeric_profile", " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS rows, count({c}) AS n, min({c}) AS min, max({c}) AS max, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std, {', '.join(f"round(quantile_cont({c}, {q}), 6) AS q{int(q * 100):02d}" for q in profile.QUANTILES)}, round(skewness({c}), 5) AS skew, round(kurtosis({c}), 5) AS kurtosis FROM lineitem""" for c in NUMERIC))
+@query("m01_numeric_profile", " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS rows, count({c}) AS n, count(*) FILTER (isnan({c}::DOUBLE)) AS nan, count(*) FILTER (isinf({c}::DOUBLE)) AS infinite, min({c}) AS min, max({c}) AS max, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std, {', '.join(f"round(quantile_cont({c}, {q}), 6) AS q{int(q * 100):02d}" for q in profile.QUANTILES)}, round(skewness({c}), 5) AS skew, round(kurtosis({c}), 5) AS kurtosis FROM lineitem""" for c in NUMERIC))
 def numeric_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.numeric(read(spark, sf_dir, "lineitem", *NUMERIC), NUMERIC)
 
@@ -201,7 +201,7 @@ def categorical_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.categorical(read(spark, sf_dir, "orders", "o_orderstatus", "o_orderpriority"), ["o_orderstatus", "o_orderpriority"])
 
 
-@query("m03_summary", " UNION ALL ".join(f"""SELECT '{c}' AS "column", '{t}' AS type, count(*) FILTER ({c} IS NULL) AS missing, count(DISTINCT {c}) AS "unique" FROM part""" for c, t in (("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"), ("p_size", "int"), ("p_retailprice", "double"))))
+@query("m03_summary", " UNION ALL ".join(f"""SELECT '{c}' AS "column", '{t}' AS type, count(*) FILTER ({c} IS NULL) AS missing, count(DISTINCT {c}) AS "unique", (SELECT count(*) FROM part) - (SELECT count(*) FROM (SELECT DISTINCT * FROM part)) AS repeated FROM part""" for c, t in (("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"), ("p_size", "int"), ("p_retailprice", "double"))))
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.summary(read(spark, sf_dir, "part"))
 
