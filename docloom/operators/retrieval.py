@@ -99,14 +99,15 @@ def _folder(term: Column) -> Column:
 def write_index(records: DataFrame, path: str, source: str, record: str, text: str) -> None:
     """A stored index: postings (term, source, record, pos, length) in folders by term, and statistics of each source.
 
-    Rows are dealt by ranges of term and record, so that a frequent term fills several files. The table `done` is written last:
-    an index without it was cut off and isn't there.
+    A folder's rows are dealt to several files by their record, as many as the shuffle's partitions need, so that a frequent term
+    fills several. The table `done` is written last: an index without it was cut off and isn't there.
     """
     spark = records.sparkSession
     base = records.select(F.col(source).alias("source"), F.col(record).alias("record"), T.tokens(F.col(text)).alias("tokens"))
     base.groupBy("source").agg(F.count("*").alias("records"), F.avg(F.size("tokens")).alias("mean")).write.mode("overwrite").parquet(f"{path}/sources")
     rows = base.select("source", "record", F.size("tokens").alias("length"), F.posexplode("tokens").alias("pos", "term")).withColumn("folder", _folder(F.col("term")))
-    dealt = rows.repartitionByRange("folder", "term", "record").sortWithinPartitions("folder", "term", "record")
+    files = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // INDEX_FOLDERS)
+    dealt = rows.repartition("folder", F.pmod(F.xxhash64("record"), F.lit(files))).sortWithinPartitions("folder", "term", "record")
     dealt.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
     spark.range(1).write.mode("overwrite").parquet(f"{path}/done")
 
