@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +15,18 @@ from docloom.functions.base import shared_folder
 SLICE_BYTES = 2 << 20
 
 
+_held: dict[object, object] = {}
+
+
+def held_alone(key: object, build: Callable[[], object]) -> object:
+    """What `build` makes, kept in the task process until something else is asked for: a worker goes from stage to stage, and the
+    models of earlier ones make room."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """Named columns of one parquet table; only these reach the scan."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

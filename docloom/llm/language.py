@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from docloom.llm.common import slices
+from docloom.llm.common import held_alone, slices
 
 UNDETERMINED = "und"
 #: Bounds of the labelled sample, per language: rows, and characters of the one excerpt taken from each.
@@ -214,10 +214,9 @@ class Model:
         return [self.languages[i] if k else UNDETERMINED for i, k in zip(best, n_letters, strict=True)], score, first
 
 
-@lru_cache(maxsize=1)
 def model_of(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> Model:
     """One per task process: the sample is small to send, the automata are built where they are used."""
-    return Model(dict(samples))
+    return held_alone(("language", samples), lambda: Model(dict(samples)))
 
 
 def labelled_sample(docs: DataFrame, text_col: str, lang_col: str, key, rows: int = SAMPLE_ROWS, excerpt: int = EXCERPT) -> tuple:
