@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -113,6 +115,37 @@ def folder_sizes(given: Given) -> DataFrame:
     return tables.folder_sizes(given("path string, length long", ("file:/r/a/x", 5), ("file:/r/a/y/z", 7), ("file:/r/b/x", 5), ("file:/r/top", 99)), "/r")
 
 
+def _archive(members: dict[str, str]) -> bytearray:
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in members.items():
+            z.writestr(name, text)
+    return bytearray(buffer.getvalue())
+
+
+@case("s18_zip_members", "i long, name string, status string", (0, "a.txt", "ok"), (0, "A.TXT", "collision"), (0, "../up", "unsafe_path"), (0, "bomb", "ratio"), (1, None, "not_an_archive"))
+def zip_members(given: Given) -> DataFrame:
+    rows = (0, _archive({"a.txt": "x", "A.TXT": "y", "../up": "z", "bomb": "0" * 900_000})), (1, bytearray(b"no"))
+    found = parse.parsed(given("i long, raw binary", *rows), parse.zip_members, "raw", parse.MEMBERS, ("i",))
+    return found.withColumn("name", F.when(F.col("status") != "not_an_archive", F.col("name")))
+
+
+@case("s23_docx_blocks", "kind string, level long, text string", ("heading", 1, "Title"), ("paragraph", 0, "Body"), ("list_item", 0, "item"), ("table", 0, "a | b"))
+def docx_blocks(given: Given) -> DataFrame:
+    p = lambda text, style="": f"<w:p><w:pPr>{style}</w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>"
+    cells = "".join(f"<w:tc>{p(x)}</w:tc>" for x in "ab")
+    body = p("Title", '<w:pStyle w:val="Heading1"/>') + p("Body") + p("item", "<w:numPr/>") + p(" ") + f"<w:tbl><w:tr>{cells}</w:tr></w:tbl>"
+    space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    file = _archive({"word/document.xml": f'<w:document xmlns:w="{space}"><w:body>{body}</w:body></w:document>'})
+    return parse.parsed(given("i long, raw binary", (0, file)), office.docx_blocks, "raw", parse.BLOCKS, ("i",))
+
+
+@case("s28_mailboxes", "i long, name string, kind string", (0, "Sent Items", "sent"))
+def mailboxes(given: Given) -> DataFrame:
+    part = lambda k: F.pandas_udf(lambda lines: lines.map(lambda x: parse.mailbox(x)[k]), "string")
+    return each(given, "t string", [('(\\HasNoChildren \\Sent) "/" "Sent Items"',)], name=part(0)("t"), kind=part(1)("t"))
+
+
 # --- sinks and stores -------------------------------------------------------------------------------------------------------
 
 
@@ -294,6 +327,12 @@ def published(given: Given) -> DataFrame:
 # --- joins ------------------------------------------------------------------------------------------------------------------
 
 
+@case("j03_committed_records", "record_id string, run_id string", ("a", "r"), ("c", "r"))
+def committed_records(given: Given) -> DataFrame:
+    references = given("record_id string, run_id string", ("a", "r"), ("b", "s"), ("c", "r"), ("d", "absent"))
+    return materials.committed(references, given("run_id string, state string", ("r", "committed"), ("s", "failed")))
+
+
 @case("j08_overlapping", "source_id string, evidence_id long, window_id long", ("s", 1, 10), ("s", 1, 11))
 def overlapping(given: Given) -> DataFrame:
     e = given("source_id string, evidence_id long, segments array<long>, start double, end double", ("s", 1, [1], 0.0, 1.0), ("s", 2, [7], 50.0, 51.0))
@@ -405,6 +444,19 @@ def confidence(given: Given) -> DataFrame:
     return knowledge.confidence(given(EVIDENCE, *EVIDENCES))
 
 
+@case("a08_evidence_range", "item_id string, start double, end double", ("a", 1.0, 9.0), ("b", None, None))
+def evidence_range(given: Given) -> DataFrame:
+    start, end = filters.evidence_times("e")
+    items = given("item_id string, e array<struct<start:double,end:double>>", ("a", [(4.0, 9.0), (1.0, 2.0)]), ("b", []))
+    return items.select("item_id", start.alias("start"), end.alias("end"))
+
+
+@case("a24_visual_inventory", "kind string, n long, complete long, first_incomplete string", ("image", 2, 1, "b"), ("video", 1, 1, None))
+def visual_inventory(given: Given) -> DataFrame:
+    rows = ("a", "image", "x", "y"), ("b", "image", None, "y"), ("c", "video", "x", "y")
+    return materials.validation_report(given("resource_id string, kind string, url string, title string", *rows), ["url", "title"])
+
+
 @case("a27_merged_resources", "url string, blocks string", ("u", "1,2,3"), (None, "9"), (None, "9"))
 def merged_resources(given: Given) -> DataFrame:
     return aggregates.merged_resources(given("url string, blocks array<int>", ("u", [1, 2]), ("u", [2, 3]), (None, [9]), (None, [9])), "url", "blocks")
@@ -692,6 +744,12 @@ def available(given: Given) -> DataFrame:
 STAGES = "stage_id string, after array<string>, config_hash string"
 
 
+@case("t04_key_conflicts", "owner string, key string, intent string", ("a", "1", "y"))
+def key_conflicts(given: Given) -> DataFrame:
+    schema = "owner string, key string, intent string"
+    return sinks.key_conflicts(given(schema, ("a", "1", "y"), ("a", "2", "x"), ("b", "1", "x")), given(schema, ("a", "1", "x"), ("b", "1", "x")), ["owner", "key"], "intent")
+
+
 @case("t05_preview", "stage_id string, state string", ("a", "skipped"), ("b", "skipped"), ("c", "ready"), ("d", "stale"), ("e", "stale"))
 def preview(given: Given) -> DataFrame:
     stages = given(STAGES, ("a", [], "1"), ("b", ["a"], "1"), ("c", ["b"], "1"), ("d", ["a"], "2"), ("e", ["d"], "1"))
