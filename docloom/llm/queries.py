@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, katz, language, packing, quality, secrets, simhash, sql, topk, urls, warc
+from docloom.llm import bpe, compression, importance, katz, language, packing, quality, secrets, simhash, sql, substrings, topk, urls, warc
 from docloom.llm.common import crc_bucket, table
 
 #: Where executors find the vocabulary; a parameter of the operators.
@@ -67,5 +67,23 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.select("vec_id", whole.alias("vector")), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_katz": op3_katz, "op4_quality": op4_quality, "op5_urls": op5_urls, "op6_packing": op6_packing, "op7_warc": op7_warc, "op8_secrets": op8_secrets, "op9_bpe": op9_bpe, "op10_topk": op10_topk}
-ORACLES: dict[str, str] = {"op7_warc": sql.OP7}
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
+
+
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.compress(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_language, op3_katz, op4_quality, op5_urls, op6_packing, op7_warc, op8_secrets, op9_bpe, op10_topk, op11_importance, op12_substrings,
+        op13_codes,
+    )
+}
+ORACLES: dict[str, str] = {"op7_warc": sql.OP7, "op13_codes": sql.OP13}

@@ -54,3 +54,32 @@ SELECT page_id, warc_type, {_uuid("derivative", "refers_to", "warc_type")} AS re
   source_headers, block
 FROM records
 """
+
+
+def _codes(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Plain Lloyd rounds: every part against every entry of its codebook."""
+    away = "list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint"
+    steps = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, list_transform(embedding, lambda x: floor(x::double * 256)::bigint)) AS n, vec_id, label,
+    list_transform(embedding, lambda x: floor(x::double * 256)::bigint) AS vector
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS MATERIALIZED (
+  SELECT n, p, vector[p * (len(vector) // {parts}) + 1 : (p + 1) * (len(vector) // {parts})] AS x FROM kept, range({parts}) t(p)
+), b0 AS (SELECT p, n - 1 AS e, x FROM v WHERE n <= {entries})"""
+    for i in range(rounds + 1):
+        steps += f""", a{i} AS MATERIALIZED (
+  SELECT v.n, v.p, any_value(v.x) AS x, min(({away}, b.e)) AS best FROM v JOIN b{i} b USING (p) GROUP BY v.n, v.p
+)"""
+        if i < rounds:
+            steps += f""", m{i} AS (SELECT p, best[2] AS e, unnest(x) AS c, generate_subscripts(x, 1) AS k FROM a{i}
+), s{i} AS (SELECT p, e, list(mean ORDER BY k) AS x FROM (SELECT p, e, k, (sum(c) - ((sum(c) % count(*)) + count(*)) % count(*)) // count(*) AS mean FROM m{i} GROUP BY p, e, k) GROUP BY p, e
+), b{i + 1} AS (SELECT b.p, b.e, coalesce(s.x, b.x)::bigint[] AS x FROM b{i} b LEFT JOIN s{i} s USING (p, e))"""
+    return f"""{steps}, d AS (SELECT n, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, sum(best[1])::bigint AS error FROM a{rounds} GROUP BY n
+), h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error, codebooks_sha256 FROM kept JOIN d USING (n), h
+"""
+
+
+OP13 = _codes()
