@@ -29,7 +29,7 @@ PATTERNS = (
 KINDS = (*(p[0] for p in PATTERNS), "markov")
 #: A candidate is a whole run of such characters that mixes letters with digits, or has a capital after a small letter.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
-MIXED = re.compile(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z].*[A-Z]")
+DIGIT, LETTER, SMALL, CAPITAL = (re.compile(x) for x in ("[0-9]", "[A-Za-z]", "[a-z]", "[A-Z]"))
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Log-likelihood ratio per character (natural logarithm) from which a candidate counts as random.
 LEAST_RATIO = 0.5
@@ -111,9 +111,15 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def mixed(s: str) -> bool:
+    """Whether letters and digits both occur, or a capital after a small letter; each scan reads the run once."""
+    small = SMALL.search(s)
+    return bool(DIGIT.search(s) and LETTER.search(s)) or bool(small and CAPITAL.search(s, small.end()))
+
+
 def model_spans(text: str, table: np.ndarray) -> list[tuple[int, int, str]]:
     """(start, end, kind) of candidates that the random model explains better."""
-    return [(*m.span(), "markov") for m in CANDIDATE.finditer(text) if MIXED.search(m[0]) and ratio(m[0], table) >= LEAST_RATIO]
+    return [(*m.span(), "markov") for m in CANDIDATE.finditer(text) if mixed(m[0]) and ratio(m[0], table) >= LEAST_RATIO]
 
 
 def spans(text: str, table: np.ndarray) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
