@@ -22,18 +22,23 @@ from docloom.llm.common import cut_lineage
 SHARD_ROWS, BLOCK_QUERIES, LEAF_ROWS = 16_384, 32_768, 64
 NONE = np.iinfo(np.int64).min
 LAST = np.iinfo(np.int64).max
-HITS = "query_id long, query_key long, vec_id long, score long"
+HITS = "query_row long, vec_id long, score long"
+#: Whole numbers below this are exact as floating-point numbers.
+EXACT = 2**53
 
 
 class BallTree:
     """Nodes over rows that are reordered so that each node owns a range of them."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
+        """rows: a number of its own for each row; vectors: whole numbers."""
         self.order = np.arange(len(ids))
         self.nodes: list[tuple] = []  # (low, high, centre, radius, smallest id, children)
-        self.vectors, self.ids = vectors, ids
+        self.far = int(max(vectors.max(initial=0), -vectors.min(initial=0)))
+        self.vectors, self.ids = vectors.astype(float), ids
         self._build(0, len(ids))
-        self.ids, self.vectors = ids[self.order], vectors[self.order]
+        self.rows, self.ids, self.whole = rows[self.order], ids[self.order], vectors[self.order]
+        self.vectors = self.vectors[self.order]
 
     def _build(self, low: int, high: int) -> int:
         rows = self.order[low:high]
@@ -54,8 +59,13 @@ class BallTree:
         self.nodes[node] = (low, high, centre, radius, int(self.ids[rows].min()), children)
         return node
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores), each (queries, k), best first, NONE where fewer; rows below a query's floor may be left out."""
+    def search(self, query_rows: np.ndarray, whole: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores), each (queries, k), best first, NONE where fewer; rows below a query's floor may be left out.
+
+        Products that may pass 2^53 are taken in 64-bit whole numbers, whose overflows cancel out where the sum fits; bounds then get some slack.
+        """
+        queries = whole.astype(float)
+        small = whole.shape[1] * self.far * int(max(whole.max(initial=0), -whole.min(initial=0))) < EXACT
         ids = np.full((len(queries), k), LAST)
         scores = np.full((len(queries), k), NONE)
         norms = np.linalg.norm(queries, axis=1)
@@ -65,7 +75,8 @@ class BallTree:
             _, _, node, active = heapq.heappop(heap)
             low, high, centre, radius, least, children = self.nodes[node]
             bound = queries[active] @ centre
-            bound += norms[active] * radius * (1 + 1e-9) + (abs(bound) * 1e-9 + 1e-3) * (radius > 0)
+            slack = 0.0 if small else norms[active] * float(np.linalg.norm(centre)) * 1e-9
+            bound += norms[active] * radius * (1 + 1e-9) + (abs(bound) * 1e-9 + 1e-3) * (radius > 0) + slack
             kth = np.maximum(scores[active, -1], floor[active]).astype(float)
             tied = (bound == kth) & ((least < ids[active, -1]) | (scores[active, -1] < floor[active]))
             go = (bound > kth) | tied
@@ -78,13 +89,13 @@ class BallTree:
                     count += 1
                     heapq.heappush(heap, (-float((queries[active] @ c + norms[active] * r).max()), count, child, active))
                 continue
-            found = np.rint(queries[active] @ self.vectors[low:high].T).astype(np.int64)
-            found[query_ids[active][:, None] == self.ids[low:high]] = NONE
+            found = np.rint(queries[active] @ self.vectors[low:high].T).astype(np.int64) if small else whole[active] @ self.whole[low:high].T
+            found[query_rows[active][:, None] == self.rows[low:high]] = NONE
             better = np.flatnonzero(found.max(axis=1) >= np.maximum(scores[active, -1], floor[active]))
             rows = active[better]
             all_scores = np.concatenate([scores[rows], found[better]], axis=1)
             all_ids = np.concatenate([ids[rows], np.where(found[better] == NONE, LAST, self.ids[low:high])], axis=1)
-            first = np.lexsort((all_ids, -all_scores.astype(float)), axis=-1)[:, :k] if k else all_ids[:, :0]
+            first = np.lexsort((all_ids, ~all_scores), axis=-1)[:, :k] if k else all_ids[:, :0]
             ids[rows] = np.take_along_axis(all_ids, first, axis=1)
             scores[rows] = np.take_along_axis(all_scores, first, axis=1)
         return ids, scores
@@ -92,7 +103,7 @@ class BallTree:
 
 def _matrix(rows: pa.Table, name: str) -> np.ndarray:
     flat = rows.column(name).combine_chunks()
-    values = flat.flatten().to_numpy(zero_copy_only=False).astype(float)
+    values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     return values.reshape(len(rows), -1) if len(rows) else values.reshape(0, 0)
 
 
@@ -104,12 +115,12 @@ def _searched(k: int) -> Callable:
         rows, queries = group.filter(pc.invert(asks)), group.filter(asks)
         names = [x.split()[0] for x in HITS.split(", ")]
         if not len(rows) or not len(queries):
-            return pa.table([pa.array([], pa.int64())] * 4, names)
-        tree = BallTree(rows.column("id").to_numpy(), _matrix(rows, "vector"))
-        query_ids, keys = queries.column("id").to_numpy(), queries.column("query_key").to_numpy()
-        ids, scores = tree.search(query_ids, _matrix(queries, "vector"), queries.column("floor").to_numpy(), k)
+            return pa.table([pa.array([], pa.int64())] * 3, names)
+        tree = BallTree(rows.column("row").to_numpy(), rows.column("id").to_numpy(), _matrix(rows, "vector"))
+        keys = queries.column("row").to_numpy()
+        ids, scores = tree.search(keys, _matrix(queries, "vector"), queries.column("floor").to_numpy(), k)
         row, at = np.nonzero(scores > NONE)
-        return pa.table([query_ids[row], keys[row], ids[row, at], scores[row, at]], names)
+        return pa.table([keys[row], ids[row, at], scores[row, at]], names)
 
     return run
 
@@ -120,33 +131,36 @@ def usable(column: str) -> Column:
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "vector") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best rows for each query row, by inner product, ties to the smaller id.
+    """(query_id, rank, vec_id, score, query_copy): the k best rows for each query row, by inner product, ties to the smaller id.
 
-    vectors: an id and an array of whole numbers; products are exact up to 2^53. Rows with a null id or an unusable vector take
-    no part; a query meets only vectors of its own length. Rows with the query's id are its own and are no candidates; equal
-    rows count once. A query with fewer than k candidates gets all; without any it has no row. A null is_query is false.
+    vectors: an id and an array of whole numbers. Rows with a null id or an unusable vector take no part, nor do vectors whose squared length
+    reaches 2^62; all products of the others are exact. A query meets only vectors of its own length. Only the query's own row is no candidate:
+    each repeated row counts, and so do other rows of the query's id. query_copy tells query rows of one id apart, from 0 by rising vector.
+    A query with fewer than k candidates gets all; without any it has no row. A null is_query is false.
     """
-    whole = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
-    rows = rows.where(F.col("vec_id").isNotNull() & usable("vector")).dropDuplicates(["vec_id", "vector"])
-    rows = rows.withColumn("size", F.size("vector")).withColumn("query_key", F.xxhash64("vec_id", "vector"))
-    rows = cut_lineage(rows)
+    vector = F.col(vector_col)
+    fits = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) < 2.0**62
+    rows = vectors.where(F.col(id_col).isNotNull() & usable(vector_col)).where(fits)
+    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector, lambda x: x.cast("long")).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    rows = cut_lineage(rows.withColumn("size", F.size("vector")).withColumn("row", F.monotonically_increasing_id()))
     sizes = rows.groupBy("size").agg(F.count("*").alias("n"), F.count_if("is_query").alias("q"))
     shape = sizes.select("size", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("shards"), F.ceil(F.greatest("q", F.lit(1)) / BLOCK_QUERIES).cast("int").alias("blocks"))
-    rows = rows.join(F.broadcast(shape), "size").withColumn("shard", F.pmod("query_key", F.col("shards")).cast("int"))
+    rows = rows.join(F.broadcast(shape), "size").withColumn("shard", F.pmod(F.xxhash64("row"), F.col("shards")).cast("int"))
     none, zero = F.lit(int(NONE)), F.lit(0)
-    columns = ["size", "shard", "block", F.col("vec_id").alias("id"), "query_key", "vector", "floor"]
+    columns = ["size", "shard", "block", F.col("vec_id").alias("id"), "row", "vector", "floor"]
     stored = rows.withColumn("floor", F.lit(None).cast("long"))
     asked = rows.where("is_query").withColumn("floor", none)
     here = stored.withColumn("block", zero).select(*columns).union(asked.withColumn("block", zero).select(*columns))
     near = cut_lineage(here.groupBy("size", "shard", "block").applyInArrow(_searched(k), HITS))
-    floors = near.groupBy("query_key").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(none).alias("kth"))
-    informed = asked.join(floors, "query_key", "left").withColumn("floor", F.coalesce("kth", none))
+    floors = near.groupBy(F.col("query_row").alias("row")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(none).alias("kth"))
+    informed = asked.join(floors, "row", "left").withColumn("floor", F.coalesce("kth", none))
     others = F.filter(F.sequence(zero, F.col("shards") - 1), lambda s: s != F.col("shard"))
-    block = F.pmod(F.xxhash64("query_key", F.lit(1)), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64("row", F.lit(1)), F.col("blocks")).cast("int")
     sent = informed.withColumn("block", block).withColumn("shard", F.explode(others)).select(*columns)
     dealt = stored.withColumn("block", F.explode(F.sequence(zero, F.col("blocks") - 1))).select(*columns)
     far = dealt.union(sent).groupBy("size", "shard", "block").applyInArrow(_searched(k), HITS)
-    best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = near.unionByName(far).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    copy = F.row_number().over(Window.partitionBy("vec_id").orderBy("size", "vector", "row")) - 1
+    asking = rows.where("is_query").select(F.col("vec_id").alias("query_id"), F.col("row").alias("query_row"), copy.alias("query_copy"))
+    return ranked.join(asking, "query_row").select("query_id", "rank", "vec_id", "score", "query_copy")

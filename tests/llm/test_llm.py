@@ -655,6 +655,21 @@ def test_secrets_model(odd, empty, spark):
     assert not secrets.train(secrets.labelled_samples(spark).limit(0)).any()
 
 
+@pytest.mark.parametrize("part", ["a", "A", "7", "aB", "a1", "-", "password", "token ", "AKIA", "abcdef0 "])
+def test_secrets_of_long_runs_take_linear_time(part):
+    """Two million characters without a break; a run of one kind of character is no candidate."""
+    model = np.zeros((len(secrets.ALPHABET) + 1, len(secrets.ALPHABET) + 1))
+    began = time.time()
+    base, found = secrets.spans(part * (2_000_000 // len(part)), model + 1)
+    assert time.time() - began < 20
+    assert [s[2] for s in found if s not in base] == (["markov"] if part in ("aB", "a1") else [])
+
+
+@pytest.mark.parametrize("text", ["a" * 30 + "B", "A" * 30 + "b", "aB" + "c" * 20, "1" * 20 + "a", "a" * 20 + "1", "Abcdefghijklmnopq", "ABCDEFGHIJKLMNOPq"])
+def test_secrets_mixed_runs(text):
+    assert secrets.mixed(text) == bool(re.search(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z].*[A-Z]", text))
+
+
 # --- 10 ---
 
 
@@ -669,23 +684,44 @@ def test_topk_matches_brute_force(spark, sf_dir):
     assert got == sorted(want)
 
 
+def brute_topk(rows, is_query, k=5):
+    """rows: (id, vector) of usable whole-number vectors of one length; all products with Python's whole numbers."""
+    want = []
+    for at, (i, v) in enumerate(rows):
+        if is_query(i):
+            best = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), j) for other, (j, w) in enumerate(rows) if other != at)[:k]
+            want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+    return sorted(want)
+
+
+def found_topk(df, is_query):
+    return sorted(tuple(r)[:4] for r in topk.top_k(df, is_query).collect())
+
+
 def test_topk_ties_shards_and_awkward_vectors(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_ROWS", 40)
     monkeypatch.setattr(topk, "BLOCK_QUERIES", 2)
     rng = np.random.default_rng(4)
     vectors = [[int(x) for x in rng.integers(-3, 4, 3)] for _ in range(150)] + [[1, 1, 1]] * 100
-    data = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
-    bad = [(1000, None), (1050, [1.0, None, 2.0]), (1100, [float("nan")] * 3), (1150, [float("inf"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (1200, [1.0]), (0, data[0][1])]
+    good = list(enumerate(vectors)) + [(0, vectors[0]), (50, [3, 3, 3]), (50, vectors[50]), (7, vectors[7])]
+    data = [(i, [float(x) for x in v]) for i, v in good]
+    bad = [(1000, None), (1050, [1.0, None, 2.0]), (1100, [float("nan")] * 3), (1150, [float("inf"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (1200, [1.0]), (1250, [1e12] * 3)]
     df = spark.createDataFrame(data + bad, "vec_id long, vector array<double>")
-    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect()))
-    v = np.array(vectors)
-    want = []
-    for i in range(0, 250, 50):
-        best = sorted((-int(s), j) for j, s in enumerate(v @ v[i]) if j != i)[:5]
-        want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
-    assert got == sorted(want)
+    assert found_topk(df, F.col("vec_id") % 50 == 0) == brute_topk(good, lambda i: i % 50 == 0)
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
-    assert [tuple(r) for r in topk.top_k(df.where("vec_id < 3"), F.col("vec_id") == 0).select("query_id", "rank").collect()] == [(0, 1), (0, 2)]
+    assert [tuple(r)[:2] for r in topk.top_k(spark.createDataFrame(data[:3], df.schema), F.col("vec_id") == 0).collect()] == [(0, 1), (0, 2)]
+    copies = topk.top_k(df, F.col("vec_id") == 50).select("query_copy", "rank").collect()
+    assert sorted(map(tuple, copies)) == [(c, r) for c in range(3) for r in range(1, 6)]
+
+
+@pytest.mark.parametrize("size", [2**26, 2**30])
+def test_topk_is_exact_beyond_floating_point(spark, monkeypatch, size):
+    """Products of which a floating-point number keeps no last digit."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 60)
+    rng = np.random.default_rng(5)
+    rows = [(i, [size + int(x) for x in rng.integers(-2, 3, 2)]) for i in range(200)] + [(200, [size, 1]), (201, [size, -1]), (202, [-size, 0]), (203, [size, 0])]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    assert found_topk(df, F.col("vec_id") % 50 == 0) == brute_topk(rows, lambda i: i % 50 == 0)
 
 
 # --- pipeline ---
