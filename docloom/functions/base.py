@@ -32,6 +32,16 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows up to which a side of a join is sent to all executors.
+SENT_ROWS = 100_000
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join with a narrow table that has each key once: sent to all executors where it is counted to be small, else shuffled."""
+    small = right.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+    return left.join(F.broadcast(right) if small else right, key)
+
+
 def numbered(df: DataFrame, *order: Column | str, name: str = "number") -> DataFrame:
     """Rows with their place (from 1) in a total order, without sorting everything in one task.
 

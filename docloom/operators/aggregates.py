@@ -67,11 +67,26 @@ def histogram_audit(buckets: DataFrame, keys: list[str], place: str, total: str)
     return rows.select(*keys, F.col("_n").eqNullSafe(F.array_sort("_n")).alias("monotonic"), (F.element_at("_n", -1) == F.col("_t")).alias("closed"))
 
 
-def digest(df: DataFrame, keys: list[str], order: str, row: Column) -> DataFrame:
-    """sha256 of the rows' framed digests in order. Each group is a bounded record set, such as one source's partition."""
-    framed = df.select(*keys, F.col(order), F.sha2(row, 256).alias("_d"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_d"))), lambda x: x["_d"]), "")
-    return framed.groupBy(*keys).agg(F.sha2(joined, 256).alias("digest"), F.count("*").alias("n"))
+#: Consecutive numbers under one node of a digest's tree, and levels of nodes: any whole number of 64 bits finds its place.
+NODE_ROWS, NODE_LEVELS = 1024, 7
+
+
+def digest(df: DataFrame, keys: list[str], order: str, row: Column, rows: int = NODE_ROWS, levels: int = NODE_LEVELS) -> DataFrame:
+    """(digest, n) of each record set: the root of a tree of sha256 digests over ranges of a whole number that orders the rows.
+
+    A leaf frames the digests of the rows whose number lies in one range of `rows`, each with its number; a node frames those of the `rows` ranges below it. So
+    no task holds more than a range, and a changed row changes the path to its leaf only. Repeated numbers are framed by digest; a
+    null number comes first.
+    """
+    framed = df.select(*keys, F.col(order).cast("long").alias("_at"), F.sha2(row, 256).alias("_d"), F.lit(1).cast("long").alias("_n"))
+    for _ in range(levels):
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_d"))), lambda x: F.concat_ws(":", x["_at"].cast("string"), x["_d"]))
+        up = F.floor(F.col("_at") / rows) if rows & (rows - 1) else F.shiftright("_at", rows.bit_length() - 1)
+        framed = framed.withColumn("_up", up).groupBy(*keys, "_up").agg(F.sha2(F.array_join(parts, ";"), 256).alias("_d"), F.sum("_n").alias("_n"))
+        framed = framed.withColumnRenamed("_up", "_at")
+    # what is left is one node, or two where numbers have both signs
+    last = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_d"))), lambda x: F.concat_ws(":", x["_at"].cast("string"), x["_d"])), ";")
+    return framed.groupBy(*keys).agg(F.sha2(last, 256).alias("digest"), F.sum("_n").alias("n"))
 
 
 def inventory(tables: dict[str, DataFrame]) -> DataFrame:

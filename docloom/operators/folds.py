@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, groupby, islice
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from docloom.functions.base import looked_up, materialized
+
 OUT_ROWS = 4096
 
 
@@ -123,31 +127,86 @@ def distinct_frames(df: DataFrame, key: str, bits: int = 5, seconds: float = 15.
     return fold(df, [key], ["at", "frame"], step, f"{key} {kind}, frame long")
 
 
-def leaders(df: DataFrame, key: str, least: float = 0.9) -> DataFrame:
-    """Greedy clusters of vectors (key, id, vector) in order of id: a vector joins the first leader with that cosine, else leads.
+#: Rows of a topic that one round of leaders() settles in order, and topics whose new leaders a round sends to all rows.
+ROUND_ROWS, ROUND_TOPICS = 1024, 64
 
-    The groups are topics; a topic's leaders are held as one matrix, so it costs its size times its number of leaders.
-    """
-    import numpy as np
 
-    kind = df.schema[key].dataType.simpleString()
+def _led(least: float):
+    """Of a topic's rows in order: whom each joins, the first leader with that cosine, or itself; the rows must be few."""
 
-    def step(rows: Iterable[dict]) -> Iterator[dict]:
-        kept, names = np.zeros((0, 0)), []
-        for r in rows:
-            v = np.asarray(r["vector"], dtype=float)
-            v = v / (np.linalg.norm(v) or 1.0)
-            hits = np.flatnonzero(kept[: len(names)] @ v >= least) if names else []
-            if len(hits):
-                yield {key: r[key], "id": r["id"], "leader": names[hits[0]]}
-                continue
-            if len(names) == len(kept):  # room for twice as many
-                kept = np.concatenate([kept.reshape(len(kept), len(v)), np.zeros((max(16, len(kept)), len(v)))])
-            kept[len(names)] = v
-            names.append(r["id"])
-            yield {key: r[key], "id": r["id"], "leader": r["id"]}
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        units, names, kept = _units(group), group.column("id").to_pylist(), []
+        led = []
+        for i, v in enumerate(units):
+            hits = np.flatnonzero(units[kept] @ v >= least) if kept else []
+            kept += [] if len(hits) else [i]
+            led.append(names[kept[hits[0]]] if len(hits) else names[i])
+        return group.append_column("leader", pa.array(led, pa.int64()))
+
+    return run
+
+
+def _units(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """Vectors of length 1, or 0 where they have none."""
+    column = rows.column("vector")
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    m = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), np.finfo(float).tiny)
 
-    return fold(df, [key], ["id"], step, f"{key} {kind}, id long, leader long")
+
+def _joined(known: dict, least: float):
+    """The rows with the first of their topic's new leaders that has this cosine, or null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, OUT_ROWS) for i in range(0, batch.num_rows, OUT_ROWS)):
+                units, topics = _units(part), np.array(part.column("topic").to_pylist(), dtype=object)
+                led, taken = np.zeros(part.num_rows, dtype=np.int64), np.zeros(part.num_rows, dtype=bool)
+                for topic, (names, matrix) in known.items():
+                    at = np.flatnonzero(topics == topic)
+                    if len(at) and len(names):
+                        close = units[at] @ matrix.T >= least
+                        taken[at] = close.any(axis=1)
+                        led[at] = names[close.argmax(axis=1)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(led, pa.int64(), mask=~taken)], [*part.schema.names, "leader"])
+
+    return run
+
+
+def leaders(df: DataFrame, key: str, least: float = 0.9) -> DataFrame:
+    """Greedy clusters of vectors (key, id, vector) in order of id: a vector joins the first leader with that cosine, else leads.
+
+    Rounds: the first open rows of each topic are settled in order, in a task a topic. Their leaders, a bounded number, go to all tasks, and every
+    open row that one of them takes is settled too, wherever it lies; leaders come in order of id, so the first round that takes a row has its first leader.
+    The rows left go to the next round. A topic of any size is spread over all tasks; there are as many rounds as its leaders need. Ids are unique in a topic;
+    a vector of length 0 leads itself alone.
+    """
+    spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
+    rows = "topic string, id long, vector array<double>, leader long"
+    topic = F.to_json(F.struct(F.col(key).alias("of")))
+    open_rows = materialized(df.select(topic.alias("topic"), F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")))
+    names = df.select(topic.alias("topic"), F.col(key)).distinct()
+    settled: list[DataFrame] = []
+    while not open_rows.isEmpty():
+        sizes = materialized(open_rows.groupBy("topic").agg(F.count("*").alias("n")))
+        large = [r[0] for r in sizes.where(F.col("n") > ROUND_ROWS).orderBy(F.desc("n"), "topic").limit(ROUND_TOPICS).collect()]
+        waiting = sizes.where((F.col("n") > ROUND_ROWS) & ~F.col("topic").isin(large)).select("topic")
+        now = open_rows.join(waiting, "topic", "left_anti")
+        first = now.withColumn("_r", F.row_number().over(Window.partitionBy("topic").orderBy("id"))).where(F.col("_r") <= ROUND_ROWS).drop("_r")
+        led = materialized(first.groupBy("topic").applyInArrow(_led(least), rows))
+        settled.append(led.select("topic", "id", "leader"))
+        known = {}
+        for t in large:
+            new = led.where((F.col("topic") == t) & (F.col("id") == F.col("leader"))).select("id", "vector").orderBy("id").toArrow()
+            known[t] = new.column("id").to_numpy(), _units(new)
+        rest = open_rows.where(F.col("topic").isin(large)).join(led.select("topic", "id"), ["topic", "id"], "left_anti")
+        asked = materialized(rest.mapInArrow(_joined(known, least), rows)) if large else spark.createDataFrame([], rows)
+        settled.append(asked.where("leader IS NOT NULL").select("topic", "id", "leader"))
+        later = open_rows.join(waiting, "topic", "left_semi").select("topic", "id", "vector")
+        open_rows = materialized(asked.where("leader IS NULL").select("topic", "id", "vector").unionByName(later))
+    found = functools.reduce(DataFrame.unionByName, settled) if settled else spark.createDataFrame([], "topic string, id long, leader long")
+    return looked_up(found, names, "topic").select(F.col(key).cast(kind).alias(key), "id", "leader")
 
 
 def rows_by_mean(words: DataFrame, tolerance: float) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.base import materialized
 from docloom.operators.folds import fold
+from docloom.operators.relational import dyadic_pairs
 
 
 def line_boxes(words: DataFrame) -> DataFrame:
@@ -21,31 +22,29 @@ def line_boxes(words: DataFrame) -> DataFrame:
     return lines.withColumn("place", F.when(high > low, (F.col("y0") - low) / (high - low)).otherwise(0.0))
 
 
+BOX = [("x0", "x1"), ("y0", "y1")]
+
+
 def best_overlap(boxes: DataFrame, others: DataFrame, key: str, other: str, cell: float = 128.0) -> DataFrame:
-    """For each box of a page the other source's box that it overlaps most, ties to the smaller id; they meet in cells of a grid."""
-    in_cells = lambda df: df.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell)))).withColumn(
-        "cy", F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell)))
-    )
-    b = in_cells(others).select("page", "cx", "cy", F.col(other).alias("_id"), *(F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")))
-    width = F.least("x1", "_x1") - F.greatest("x0", "_x0")
-    height = F.least("y1", "_y1") - F.greatest("y0", "_y0")
-    pairs = in_cells(boxes).join(b, ["page", "cx", "cy"]).where((width > 0) & (height > 0)).withColumn("area", width * height)
-    by = Window.partitionBy("page", key).orderBy(F.desc("area"), "_id")
-    return pairs.withColumn("_p", F.row_number().over(by)).where("_p = 1").select(key, F.col("_id").alias(other), "area")
+    """For each box of a page the other source's box that it overlaps most, ties to the smaller id; they meet in cells of a grid, large ones
+    in large cells."""
+    b = others.select("page", F.col(other).alias("id"), "x0", "y0", "x1", "y1")
+    width = F.least("x1", "r_x1") - F.greatest("x0", "r_x0")
+    height = F.least("y1", "r_y1") - F.greatest("y0", "r_y0")
+    pairs = dyadic_pairs(boxes.select("page", key, "x0", "y0", "x1", "y1"), b, ["page"], BOX, cell).where((width > 0) & (height > 0))
+    found = pairs.withColumn("area", width * height).groupBy("page", key).agg(F.max_by(F.struct("r_id", "area"), F.struct("area", -F.col("r_id"))).alias("_best"))
+    return found.select(key, F.col("_best.r_id").alias(other), "_best.area")
 
 
 def near_groups(paths: DataFrame, gap: float) -> DataFrame:
     """(page, path_id, group): boxes of a page that come within `gap` of one another, directly or through others. A background stands alone.
 
-    Pairs are found in cells of a grid; labels move along them, and through the label's own label, until none changes.
+    Pairs meet in cells of a grid, large boxes in large cells; labels move along them, and through the label's own label, until none changes.
     """
-    cell = lambda c: F.floor(c / F.lit(max(gap, 1.0) * 16))
-    near = paths.where(~F.col("background"))
-    spread = near.select("page", "path_id", "x0", "y0", "x1", "y1", F.explode(F.sequence(cell(F.col("x0") - gap), cell(F.col("x1") + gap))).alias("cx"))
-    spread = spread.withColumn("cy", F.explode(F.sequence(cell(F.col("y0") - gap), cell(F.col("y1") + gap))))
-    b = spread.select("page", "cx", "cy", F.col("path_id").alias("_id"), *(F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")))
-    touch = (F.col("x0") - gap <= F.col("_x1")) & (F.col("_x0") - gap <= F.col("x1")) & (F.col("y0") - gap <= F.col("_y1")) & (F.col("_y0") - gap <= F.col("y1"))
-    edges = materialized(spread.join(b, ["page", "cx", "cy"]).where(touch).select("page", "path_id", "_id").distinct())
+    near = paths.where(~F.col("background")).select("page", "path_id", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    grown = near.select("page", "path_id", *((F.col(c) + d).alias(c) for c, d in (("x0", -gap), ("y0", -gap), ("x1", gap), ("y1", gap))))
+    pairs = dyadic_pairs(grown, near, ["page"], BOX, max(gap, 1.0) * 16)
+    edges = materialized(pairs.select("page", "path_id", F.col("r_path_id").alias("_id")).distinct())
     labels = materialized(edges.groupBy("page", "path_id").agg(F.min("_id").alias("group")))
     while True:
         heard = edges.join(labels.select("page", F.col("path_id").alias("_id"), "group"), ["page", "_id"]).groupBy("page", "path_id").agg(F.min("group").alias("heard"))

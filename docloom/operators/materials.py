@@ -377,32 +377,6 @@ def planned_within(resources: DataFrame, order: str, size: str, cap: float) -> D
     return resources.withColumn("planned", F.sum(size).over(by) <= cap)
 
 
-def class_models(df: DataFrame, label: str, features: list[str], k: int) -> dict:
-    """Per class the mean, the first k principal axes and the variance along them, from aggregated moments."""
-    import numpy as np
-
-    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
-    moments = df.groupBy(label).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(features)), *(F.covar_samp(features[i], features[j]).alias(f"c{i}_{j}") for i, j in pairs))
-    models = {}
-    for row in moments.collect():
-        cov = np.zeros((len(features), len(features)))
-        for i, j in pairs:
-            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
-        values, axes = np.linalg.eigh(cov)
-        models[row[label]] = (np.array([row[f"m{i}"] for i in range(len(features))]), axes[:, ::-1][:, :k], np.maximum(values[::-1][:k], 1e-12))
-    return models
-
-
-def identity_scores(df: DataFrame, features: list[str], model: tuple) -> DataFrame:
-    """(q, t2) of each row: the residual outside of a class model's axes, and Hotelling's T2 within them."""
-    mean, axes, variances = model
-    centred = [F.col(c) - float(m) for c, m in zip(features, mean, strict=True)]
-    scores = [sum((x * float(w) for x, w in zip(centred, axes[:, j], strict=True)), F.lit(0.0)) for j in range(axes.shape[1])]
-    fitted = [sum((s * float(axes[i, j]) for j, s in enumerate(scores)), F.lit(0.0)) for i in range(len(features))]
-    q = sum(((x - f) * (x - f) for x, f in zip(centred, fitted, strict=True)), F.lit(0.0))
-    return df.withColumn("q", q).withColumn("t2", sum((s * s / float(v) for s, v in zip(scores, variances, strict=True)), F.lit(0.0)))
-
-
 def reference_coverage(references: DataFrame, course: str, kind: str, kinds: list[str], supported: Column) -> DataFrame:
     """References of each course by kind, how many of them can be fetched, and their share."""
     fetched = F.count_if(supported)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from docloom.functions.base import materialized
 
 
 def join_all(frames: list[DataFrame], on: list[str], how: str = "inner", suffix: str = "_right", drop: tuple[str, ...] = ()) -> DataFrame:
@@ -38,36 +44,100 @@ def without(rows: DataFrame, blocked: DataFrame, key: str) -> DataFrame:
     return rows.join(blocked.select(key).distinct(), key, "left_anti")
 
 
+def dyadic_pairs(left: DataFrame, right: DataFrame, keys: list[str], axes: list[tuple[str, str]], width: float) -> DataFrame:
+    """Pairs with equal keys whose closed ranges meet on every axis; columns of the right side get the prefix r_.
+
+    Cells come in levels, each twice as wide as the one before. A row lives on the level whose cells are as wide as its longest range, where it
+    lies in two cells an axis at most, and visits the levels above on which rows of the other side live. A pair meets on the level of the longer
+    one, in the first cell that both share. So a range of a year among ranges of seconds costs as many rows as there are levels, and a hot key is
+    spread over its cells. Rows with a null bound, or whose range ends before it begins, meet none.
+    """
+
+    def level(prefix: str) -> Column:
+        lengths = ((F.col(prefix + high) - F.col(prefix + low)).cast("double") for low, high in axes)
+        return F.ceil(F.log2(F.greatest(F.lit(float(width)), *lengths) / width)).cast("int")
+
+    def cell(column: str) -> Column:
+        return F.floor(F.col(column) / (F.lit(float(width)) * F.pow(F.lit(2.0), F.col("_level"))))
+
+    def homes(rows: DataFrame, prefix: str) -> DataFrame:
+        sound = reduce(lambda x, y: x & y, (F.col(prefix + low) <= F.col(prefix + high) for low, high in axes))
+        return rows.where(sound).withColumn("_home", level(prefix))
+
+    def placed(rows: DataFrame, levels: Column, prefix: str) -> DataFrame:
+        rows = rows.withColumn("_level", F.explode(levels))
+        for i, (low, high) in enumerate(axes):
+            rows = rows.withColumn(f"_cell{i}", F.explode(F.sequence(cell(prefix + low), cell(prefix + high))))
+        return rows
+
+    a = homes(left, "")
+    b = homes(right.withColumnsRenamed({c: f"r_{c}" for c in right.columns if c not in keys}), "r_")
+    lived = [sorted(r[0] for r in side.select("_home").distinct().collect()) for side in (a, b)]  # no more than doubles have exponents
+    above = lambda levels: F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda x: x > F.col("_home"))
+    at_home = F.array("_home")
+    on = [*keys, "_level", *(f"_cell{i}" for i in range(len(axes)))]
+    one = placed(a, at_home, "").drop("_home").join(placed(b, F.concat(at_home, above(lived[0])), "r_").drop("_home"), on)
+    other = placed(a, above(lived[1]), "").drop("_home").join(placed(b, at_home, "r_").drop("_home"), on)
+    pairs = one.unionByName(other)
+    for i, (low, high) in enumerate(axes):
+        meet = (F.col(low) <= F.col(f"r_{high}")) & (F.col(f"r_{low}") <= F.col(high))
+        pairs = pairs.where(meet & (F.col(f"_cell{i}") == F.greatest(cell(low), cell(f"r_{low}"))))
+    return pairs.drop("_level", *(f"_cell{i}" for i in range(len(axes))))
+
+
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width: float) -> DataFrame:
     """Pairs with equal keys whose closed intervals (start, end) overlap; columns of the right side get the prefix r_.
 
-    Both sides are dealt to cells of `width`; a pair is kept in the first cell that both share, so that it comes once. A hot
-    key is spread over its cells.
+    width: that of the narrowest cells, about a common interval's length; any width gives the same pairs.
     """
-    cell = lambda c: F.floor(F.col(c) / width)
-    a = left.withColumn("_cell", F.explode(F.sequence(cell("start"), cell("end"))))
-    b = right.withColumnsRenamed({c: f"r_{c}" for c in right.columns if c not in keys})
-    b = b.withColumn("_cell", F.explode(F.sequence(cell("r_start"), cell("r_end"))))
-    pairs = a.join(b, [*keys, "_cell"]).where((F.col("start") <= F.col("r_end")) & (F.col("r_start") <= F.col("end")))
-    return pairs.where(F.col("_cell") == F.greatest(cell("start"), cell("r_start"))).drop("_cell")
+    return dyadic_pairs(left, right, keys, [("start", "end")], width)
+
+
+#: Bytes of needles that one automaton holds, and that a shard of needles has at most, but for a single longer one.
+AUTOMATON_BYTES = 8 << 20
 
 
-def contained(needles: DataFrame, hay: DataFrame, needle: str, text: str) -> DataFrame:
-    """Pairs where the needle's text occurs in the other text exactly.
+def contained(needles: DataFrame, hay: DataFrame, needle: str, text: str, needle_id: str, hay_id: str) -> DataFrame:
+    """(needle_id, hay_id) of the pairs where the needle's text occurs in the other text exactly, once each.
 
-    Candidates share the needle's second to fourth word as a shingle, so the pairs come from an equality join: between other
-    words, these are whole words wherever the needle occurs. Needles of fewer words have no such shingle and are sought in every
-    text; they are broadcast.
+    Needles are dealt to shards of bounded size; a shard goes to all tasks, which build an automaton of it and read each whole text once for all of its
+    needles. Texts aren't shuffled and move no farther than their task. Null texts hold nothing, null needles occur nowhere, the empty needle in every text.
     """
-    words = F.split(F.col(needle), r"\s+")
-    key = F.xxhash64(F.array_join(F.slice(words, 2, 3), " "))
-    starts = needles.where(F.size(words) >= 5).withColumn("_key", key)
-    parts = F.split(F.col(text), r"\s+")
-    shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(parts, i, 3), " "))))
-    dealt = hay.withColumn("_key", F.explode(shingles))
-    holds = F.contains(F.col(text), F.col(needle))
-    found = dealt.join(starts, "_key").where(holds).drop("_key")
-    return found.unionByName(hay.join(F.broadcast(needles.where(F.size(words) < 5)), holds))
+    wanted = needles.select(F.col(needle_id).alias("_n"), F.col(needle).alias("_s")).where("_s IS NOT NULL")
+    size = F.octet_length("_s") + 16
+    total = wanted.agg(F.sum(size)).first()[0] or 0
+    shards = -(-total * 2 // AUTOMATON_BYTES) or 1
+    dealt = materialized(wanted.withColumn("_shard", F.pmod(F.xxhash64("_n", "_s"), F.lit(shards))))
+    kinds = {f.name: f.dataType for f in (*needles.schema, *hay.schema)}
+    schema = StructType().add(needle_id, kinds[needle_id]).add(hay_id, kinds[hay_id])
+    texts = hay.select(F.col(hay_id).alias("_h"), F.col(text).alias("_t")).where("_t IS NOT NULL")
+    found = [texts.mapInArrow(_occurring(dealt.where(F.col("_shard") == i).select("_n", "_s").toArrow()), schema) for i in range(shards)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _occurring(shard: pa.Table):
+    """Rows (needle's id, text's id) of a shard of needles."""
+    ids, strings = shard.column("_n"), shard.column("_s").to_pylist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holders: dict[str, list[int]] = {}
+        for i, s in enumerate(strings):
+            holders.setdefault(s, []).append(i)
+        everywhere = holders.pop("", [])
+        automaton = ahocorasick.Automaton()
+        for s, at in holders.items():
+            automaton.add_word(s, at)
+        automaton.make_automaton()
+        for batch in batches:
+            rows, needles = [], []
+            for row, text in enumerate(batch.column("_t")):
+                hits = {id(at): at for _, at in automaton.iter(text.as_py())} if holders else {}
+                held = everywhere + [i for at in hits.values() for i in at]
+                needles += held
+                rows += [row] * len(held)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(needles, pa.int64())).combine_chunks(), batch.column("_h").take(pa.array(rows, pa.int64()))], ["a", "b"])
+
+    return run
 
 
 def complete_grid(counts: DataFrame, cell: str, period: str, value: str, least: int = 1) -> DataFrame:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import functools
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
@@ -49,7 +48,8 @@ def statistics(records: DataFrame, source: str, record: str, text: str) -> DataF
     return lengths.join(means, "source")
 
 
-def _phrases(query: str) -> list[list[str]]:
+def phrases_of(query: str) -> list[list[str]]:
+    """The different terms of a query, each as its tokens in a row."""
     phrases = [re.findall(r"[^\W_]+", t) for t in query_terms(query)]
     phrases = [list(x) for x in dict.fromkeys(map(tuple, phrases)) if x]
     if not phrases:
@@ -71,9 +71,9 @@ def _scored(counted: DataFrame, means: DataFrame, n_phrases: int) -> DataFrame:
 def bm25(records: DataFrame, query: str, source: str, record: str, text: str) -> DataFrame:
     """Records that hold every term of the query, with their score; df, size and mean length are those of the record's source.
 
-    A term that is more than one token must occur as these tokens in a row. This scans all texts; search_index() doesn't.
+    A term that is more than one token must occur as these tokens in a row. This scans all texts; a stored index (index.py) doesn't.
     """
-    phrases = _phrases(query)
+    phrases = phrases_of(query)
     base = records.select(F.col(source).alias("source"), F.col(record).alias("record"), T.tokens(F.col(text)).alias("tokens"))
 
     def count(phrase: list[str]) -> Column:
@@ -88,58 +88,6 @@ def bm25(records: DataFrame, query: str, source: str, record: str, text: str) ->
     return _scored(counted, means, len(phrases))
 
 
-#: Folders that the postings of an index lie in, by the hash of their term.
-INDEX_FOLDERS = 64
-
-
-def _folder(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(INDEX_FOLDERS)).cast("int")
-
-
-def write_index(records: DataFrame, path: str, source: str, record: str, text: str) -> None:
-    """A stored index: postings (term, source, record, pos, length) in folders by term, and statistics of each source.
-
-    A folder's rows are dealt to several files by their record, as many as the shuffle's partitions need, so that a frequent term
-    fills several. The table `done` is written last: an index without it was cut off and isn't there.
-    """
-    spark = records.sparkSession
-    base = records.select(F.col(source).alias("source"), F.col(record).alias("record"), T.tokens(F.col(text)).alias("tokens"))
-    base.groupBy("source").agg(F.count("*").alias("records"), F.avg(F.size("tokens")).alias("mean")).write.mode("overwrite").parquet(f"{path}/sources")
-    rows = base.select("source", "record", F.size("tokens").alias("length"), F.posexplode("tokens").alias("pos", "term")).withColumn("folder", _folder(F.col("term")))
-    files = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // INDEX_FOLDERS)
-    dealt = rows.repartition("folder", F.pmod(F.xxhash64("record"), F.lit(files))).sortWithinPartitions("folder", "term", "record")
-    dealt.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
-    spark.range(1).write.mode("overwrite").parquet(f"{path}/done")
-
-
-def search_index(spark: SparkSession, path: str, query: str, sources: list[str] | None = None) -> DataFrame:
-    """What bm25() gives, from a stored index: only the folders and row groups of the query's tokens are read.
-
-    sources: the scope, what the actor may see and has asked for; without it all sources are searched.
-    """
-    check_page(1, sources)
-    phrases = _phrases(query)
-    tokens = list(dict.fromkeys(t for p in phrases for t in p))
-    folders = [r[0] for r in spark.createDataFrame([(t,) for t in tokens], "t string").select(_folder(F.col("t"))).distinct().collect()]
-    found = spark.read.parquet(f"{path}/postings").where(F.col("folder").isin(folders) & F.col("term").isin(tokens))
-    means = spark.read.parquet(f"{path}/sources")
-    if sources is not None:
-        found, means = found.where(F.col("source").isin(sources)), means.where(F.col("source").isin(sources))
-    in_phrases = {t for p in phrases if len(p) > 1 for t in p}
-    counts = [F.count_if(F.col("term") == t).alias(f"n{i}") for i, t in enumerate(tokens)]
-    places = [F.collect_list(F.when(F.col("term") == t, F.col("pos"))).alias(f"p{i}") for i, t in enumerate(tokens) if t in in_phrases]
-    held = found.groupBy("source", "record", "length").agg(*counts, *places)
-
-    def count(phrase: list[str]) -> Column:
-        at = [tokens.index(t) for t in phrase]
-        together = lambda i: functools.reduce(lambda a, b: a & b, (F.array_contains(f"p{c}", i + k) for k, c in enumerate(at)))
-        return F.col(f"n{at[0]}") if len(at) == 1 else F.size(F.filter(f"p{at[0]}", together))
-
-    counted = held.select("source", "record", "length", *(count(p).alias(f"tf{i}") for i, p in enumerate(phrases)))
-    df = counted.groupBy("source").agg(*(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))))
-    return _scored(counted, means.join(df, "source"), len(phrases))
-
-
 def fused(hits: DataFrame, k: int = 60) -> DataFrame:
     """The rank of each hit within its source and the reciprocal of it, by which sources are merged."""
     by = Window.partitionBy("source").orderBy(F.desc("score"), "record")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docloom.plans import cases, composed, core, courses, documents, files, search, texts
+from docloom.plans import composed, core, courses, documents, files, search, texts
 from docloom.plans.registry import ORACLES, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "cases", "composed", "core", "courses", "documents", "files", "search", "texts"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "composed", "core", "courses", "documents", "files", "search", "texts"]
 FLAGSHIP = "r02_bm25"

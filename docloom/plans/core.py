@@ -57,7 +57,7 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("j15_containment", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "benchmark").withColumnRenamed("text", "passage")
-    return relational.contained(items, read(spark, sf_dir, "documents", "doc_id", "text"), "passage", "text").select("item_id", "doc_id")
+    return relational.contained(items, read(spark, sf_dir, "documents", "doc_id", "text"), "passage", "text", "item_id", "doc_id")
 
 
 @query("a01_cell_period_count", f"SELECT event_type, {DAY} AS day, count(*) AS n FROM events GROUP BY ALL")
@@ -128,7 +128,11 @@ def histogram_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.histogram_audit(counted, ["event_type"], "place", "total")
 
 
-@query("a21_digest", "SELECT c_nationkey, sha256(string_agg(sha256(c_name || '|' || c_mktsegment), '' ORDER BY c_custkey)) AS digest, count(*) AS n FROM customer GROUP BY c_nationkey")
+TREE = f"""n0 AS (SELECT c_nationkey AS k, c_custkey AS at, sha256(c_name || '|' || c_mktsegment) AS d, 1 AS n FROM customer),
+{", ".join(f"n{i + 1} AS (SELECT k, at >> 10 AS at, sha256(string_agg(at || ':' || d, ';' ORDER BY at, d)) AS d, sum(n) AS n FROM n{i} GROUP BY k, at >> 10)" for i in range(aggregates.NODE_LEVELS))}"""
+
+
+@query("a21_digest", f"WITH {TREE} SELECT k AS c_nationkey, sha256(string_agg(at || ':' || d, ';' ORDER BY at, d)) AS digest, sum(n)::BIGINT AS n FROM n{aggregates.NODE_LEVELS} GROUP BY k")
 def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.digest(read(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment", "c_nationkey"), ["c_nationkey"], "c_custkey", F.concat_ws("|", "c_name", "c_mktsegment"))
 

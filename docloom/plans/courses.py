@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import formulas
 from docloom.functions.base import r6, read
-from docloom.operators import layout, materials
+from docloom.operators import evaluation, layout, materials
 from docloom.plans.registry import query
 
 
@@ -170,3 +172,35 @@ def near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def formula_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = read(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice").withColumn("text", F.format_string("%d^2 + \\frac{%d}{x} = y_1", F.col("p_size"), F.col("p_partkey")))
     return parts.select("p_partkey", formulas.formula_tree("text").alias("t")).select("p_partkey", "t.*")
+
+
+#: A formula of each order line, and what is predicted for it, by the order's number: the same text, other spaces, other brackets, the declared part,
+#: another sign, another index, nothing, no formula, and letters for commands.
+REFERENCE = "\\frac{%d}{x_%d} + \\alpha^{%d}"
+PREDICTED = (REFERENCE, "\\frac {%d} {x_%d}+\\alpha ^{%d}", "(\\frac{(%d)}{x_{%d}}) + \\alpha^%d", "\\frac{%d}{x_{%d}}", "\\frac{%d}{x_%d} - \\alpha^{%d}", "\\frac{%d}{x_{%d0}} + \\alpha^{%d}", None, "\\frac{%d}{x_%d", "\\frac{%d}{x_%d} + α^{%d}")
+VERDICTS = ("exact", "normalized", "structural", "partial", "different", "different", "missing", "not_evaluable", "normalized")
+UNLIKE = ("", "", "", "symbol_error,operator_error,exponent_error,structure_error", "operator_error,structure_error", "symbol_error,subscript_error,fraction_error,structure_error", "", "", "")
+
+
+def _formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    values = [F.col("l_partkey"), F.col("l_linenumber"), F.col("l_quantity").cast("int")]
+    written = lambda form: F.lit(None).cast("string") if form is None else F.format_string(form, *values[: form.count("%d")])
+    kind = F.col("l_orderkey") % len(PREDICTED)
+    predicted = functools.reduce(lambda c, i: F.when(kind == i, written(PREDICTED[i])).otherwise(c), range(len(PREDICTED)), F.lit(None).cast("string"))
+    part = F.format_string(PREDICTED[3], *values[:2])
+    return lines.select("l_orderkey", "l_linenumber", F.lit("confirmed").alias("status"), written(REFERENCE).alias("reference"), predicted.alias("prediction"), F.array(part).alias("parts"))
+
+
+@query("e05_verdicts", f"""SELECT l_orderkey, l_linenumber, list_extract({list(VERDICTS)}, 1 + l_orderkey % {len(VERDICTS)}) AS verdict, list_extract({list(UNLIKE)}, 1 + l_orderkey % {len(UNLIKE)}) AS differences, true AS sound FROM lineitem""")
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluation.formula_verdicts(_formulas(spark, sf_dir))
+    return found.select("l_orderkey", "l_linenumber", "verdict", F.array_join("differences", ",").alias("differences"), "sound")
+
+
+@query("e05_containing", """WITH r AS (SELECT l_partkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL) SELECT p_partkey, sum(n)::BIGINT AS holders FROM part JOIN r ON l_partkey = p_partkey AND l_linenumber = 1 + p_partkey % 3 GROUP BY p_partkey""")
+def containing_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For a fraction of each part, how many lines' formulas hold it."""
+    lines = _formulas(spark, sf_dir).select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"), F.col("reference").alias("formula"))
+    asked = read(spark, sf_dir, "part", "p_partkey").withColumn("formula", F.format_string("\\frac{%d}{x_{%d}}", F.col("p_partkey"), F.col("p_partkey") % 3 + 1))
+    return evaluation.containing(lines, asked, "line", "p_partkey", "formula").groupBy("p_partkey").agg(F.count("*").alias("holders"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions.base import read
+from docloom.functions.base import materialized, read
+from docloom.operators import structure
 from docloom.plans.registry import query
 from docloom.sources import parse
 
@@ -35,19 +36,52 @@ def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.groupBy("conv_id", "turn", "kind").agg(F.count("*").alias("n"))
 
 
-@query("j14_list_depth", "SELECT page_id, 1::BIGINT AS depth, len(regexp_extract_all(html, '<li>'))::BIGINT AS items FROM pages WHERE contains(html, '<li>')")
-def list_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = parse.parsed(read(spark, sf_dir, "pages", "page_id", "html"), parse.html_blocks, "html", parse.BLOCKS, ("page_id",))
-    return blocks.where("kind = 'list_item'").groupBy("page_id").agg(F.max("level").alias("depth"), F.count("*").alias("items"))
+def _as_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, html): each conversation as a page of one numbered list with a list inside each turn's item.
+
+    Every second list has a start, every third is reversed; a fourth turn sets its number, a sixth one to no number. A turn's link stands in an item of the inner
+    list, in a quoted paragraph, or in the turn's item itself.
+    """
+    turns = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    value = F.when(F.col("turn") % 4 == 3, F.format_string(' value="%d"', F.col("turn") * 10)).when(F.col("turn") == 5, F.lit(' value="x"')).otherwise("")
+    link = F.format_string('<a href="#%d">%s</a>', "turn", "role")
+    inner = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("<li>"), link)).when(F.col("turn") % 3 == 1, F.concat(F.lit("<li>said<blockquote><p>"), link, F.lit("</blockquote>")))
+    around = F.when(F.col("turn") % 3 == 2, link).otherwise("")
+    plain = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    item = F.concat(F.lit("<li"), value, F.lit(">turn"), around, F.lit("<ul>"), F.coalesce(inner, F.lit("")), F.lit("<li>"), plain, F.lit("</ul>"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("item")))), lambda x: x["item"]), "\n")
+    head = F.concat(F.lit("<ol"), F.when(F.col("conv_id") % 2 == 0, F.format_string(' start="%d"', F.col("conv_id") % 5 + 1)).otherwise(""), F.when(F.col("conv_id") % 3 == 0, " reversed").otherwise(""), F.lit(">"))
+    return turns.groupBy("conv_id").agg(body.alias("body")).select("conv_id", F.concat(head, "body", F.lit("</ol>")).alias("html"))
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialized(parse.parsed(_as_html(spark, sf_dir), parse.html_nodes, "html", parse.NODES, ("conv_id",)))
 
 
-@query("j13_nearest_block", "SELECT page_id, 'list_item' AS owner, len(regexp_extract_all(html, '<a href'))::BIGINT AS links FROM pages WHERE contains(html, '<a href')")
+@query("j14_list_contexts", r"""WITH t AS (SELECT conv_id, turn, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+s AS (SELECT *, CASE WHEN conv_id % 2 = 0 THEN conv_id % 5 + 1 WHEN conv_id % 3 = 0 THEN n ELSE 1 END AS begins, CASE WHEN turn % 4 = 3 OR turn = 5 OR i = 1 THEN i END AS mark FROM t),
+m AS (SELECT *, max(mark) OVER (PARTITION BY conv_id ORDER BY i) AS at FROM s),
+o AS (SELECT m.conv_id, m.i, m.turn, CASE WHEN b.turn % 4 = 3 THEN b.turn * 10 WHEN b.turn = 5 THEN NULL ELSE m.begins END + (CASE WHEN m.conv_id % 3 = 0 THEN -1 ELSE 1 END) * (m.i - m.at) AS ordinal FROM m JOIN s b ON m.conv_id = b.conv_id AND m.at = b.i)
+SELECT conv_id, 1::BIGINT AS depth, true AS ordered, i::INTEGER AS item_index, ordinal::BIGINT AS ordinal, NULL::INTEGER AS parent_index, 'turn' AS text FROM o
+UNION ALL SELECT conv_id, 2, false, unnest(CASE WHEN turn % 3 = 2 THEN [1] ELSE [1, 2] END)::INTEGER, NULL, i::INTEGER, unnest(CASE turn % 3 WHEN 0 THEN ['', p] WHEN 1 THEN ['said', p] ELSE [p] END)
+FROM (SELECT o.*, trim(regexp_replace(text, '[\s]+', ' ', 'g')) AS p FROM o JOIN conversations USING (conv_id, turn))""")
+def list_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _nodes(spark, sf_dir)
+    found = materialized(structure.list_contexts(nodes, "conv_id"))
+    parents = found.select("conv_id", F.col("pre").alias("parent"), F.col("item_index").alias("parent_index"))
+    placed = found.join(parents, ["conv_id", "parent"], "left").join(nodes.select("conv_id", "pre", "text"), ["conv_id", "pre"])
+    return placed.select("conv_id", "depth", "ordered", "item_index", "ordinal", "parent_index", "text")
+
+
+@query("j13_nearest_block", "SELECT conv_id, turn, CASE turn % 3 WHEN 1 THEN 'p' ELSE 'li' END AS owner, CASE turn % 3 WHEN 2 THEN 'turn' ELSE '' END AS text, CASE turn % 3 WHEN 0 THEN 4 WHEN 1 THEN 6 ELSE 2 END::BIGINT AS around FROM conversations")
 def nearest_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The innermost block around each link, by the longest path that the link's path starts with."""
-    blocks = parse.parsed(read(spark, sf_dir, "pages", "page_id", "html"), parse.html_blocks, "html", parse.BLOCKS, ("page_id",))
-    links = blocks.where("kind = 'link'").select("page_id", "ordinal", F.split("path", "/").alias("steps"))
-    depths = links.select("page_id", "ordinal", F.explode(F.sequence(F.lit(1), F.size("steps") - 1)).alias("depth"), "steps")
-    prefixes = depths.select("page_id", "ordinal", "depth", F.array_join(F.slice("steps", 1, F.col("depth")), "/").alias("path"))
-    owners = prefixes.join(blocks.where("kind <> 'link'").select("page_id", "path", "kind"), ["page_id", "path"])
-    nearest = owners.groupBy("page_id", "ordinal").agg(F.max_by("kind", "depth").alias("owner"))
-    return nearest.groupBy("page_id", "owner").agg(F.count("*").alias("links"))
+    """The innermost block around each link, its own text, and how many elements surround the link."""
+    nodes = _nodes(spark, sf_dir)
+    links = nodes.where("href IS NOT NULL")
+    blocks = nodes.where(F.col("tag").isin("li", "p", "blockquote", "td", "h1", "h2", "h3"))
+    owners = structure.nearest(links, blocks, "conv_id")
+    depth = structure.ancestors(links, nodes, "conv_id").groupBy("conv_id", "pre").agg(F.count("*").alias("around"))
+    turns = links.select("conv_id", "pre", F.substring("href", 2, 9).cast("long").alias("turn"))
+    own = nodes.select("conv_id", F.col("pre").alias("owner"), "text")
+    found = turns.join(owners, ["conv_id", "pre"]).join(depth, ["conv_id", "pre"]).join(own, ["conv_id", "owner"])
+    return found.select("conv_id", "turn", F.col("tag").alias("owner"), "text", "around")

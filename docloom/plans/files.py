@@ -28,15 +28,6 @@ def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].union(parts[1])
 
 
-@query("s02_delimiter", "SELECT * FROM (VALUES ('tab', chr(9)), ('semicolon', ';'), ('comma', ',')) t(name, delimiter)")
-def delimiter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root, rows = fresh(spark), []
-    for name, sep in (("tab", "\t"), ("semicolon", ";"), ("comma", ",")):
-        spark.createDataFrame([(f"a{sep}bé",), (f"1{sep}2",)], "value string").coalesce(1).write.option("encoding", "ISO-8859-1").text(f"{root}/{name}")
-        rows.append((name, tables.delimiter(spark, f"{root}/{name}")))
-    return spark.createDataFrame(rows, "name string, delimiter string")
-
-
 @query("s03_french_csv", "SELECT s_suppkey, s_name || ' é' AS s_name, s_acctbal FROM supplier")
 def french_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = fresh(spark)
@@ -68,20 +59,6 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select(F.get_json_object("value", "$.n_nationkey").cast("long").alias("key"), F.get_json_object("value", "$.n_name").alias("name"))
 
 
-@query("s09_config", "SELECT * FROM (VALUES ('a', '1'), ('b', '\"x\"'), ('c', 'true'), ('d', '-2.5'), ('e', 'null')) t(key, value)")
-def config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = office.config("a: 1\nb: x # note\nc: true\nd: -2.5\n# no\ne:\n")
-    return spark.createDataFrame([(k, json.dumps(v)) for k, v in found.items()], "key string, value string")
-
-
-CODE = 'import os\nfrom a import b\nclass C:\n    "doc"\n    def f(self): pass\n'
-
-
-@query("s17_python_symbols", "SELECT * FROM (VALUES ('import', 'os', 1::BIGINT), ('import', 'a.b', 2), ('class', 'C', 3), ('function', 'f', 5)) t(kind, name, line)")
-def python_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.parsed(spark.createDataFrame([(1, CODE)], "i long, t string"), parse.python_symbols, "t", parse.SYMBOLS, ("i",)).select("kind", "name", "line")
-
-
 @query("s24_notebook_cells", """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS cell,
 CASE WHEN role = 'assistant' THEN 'code' ELSE 'markdown' END AS kind, CASE WHEN role = 'assistant' THEN 'python' END AS language, text FROM conversations""")
 def notebook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,14 +139,6 @@ def cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.cached(spark, root, {"b": [2], "a": 1}, lambda: count(parts.limit(0)))
 
 
-@query("k18_run_log", "SELECT * FROM (VALUES ('r', 'param', 'k', '5'), ('r', 'metric', 'recall', '0.5'), ('s', 'param', 'k', '6')) t(run, kind, name, value)")
-def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = fresh(spark)
-    sinks.run_log(spark, root, "r", {"k": 5}, {"recall": 0.5})
-    sinks.run_log(spark, root, "s", {"k": 6}, {})
-    return spark.read.parquet(f"{root}/runs")
-
-
 @query("a12_grouped_facts", "SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL")
 def grouped_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.cell_counts(read(spark, sf_dir, "documents", "source", "lang"), ["source", "lang"])

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.functions.base import r6, read, shared_folder
-from docloom.operators import evaluation, folds, profile, relational, retrieval
+from docloom.functions.base import materialized, r6, read, shared_folder
+from docloom.operators import evaluation, folds, index, profile, relational, retrieval
 from docloom.plans.registry import query
-from docloom.sources import sinks
 
 LEXICAL = "the of"
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
@@ -21,18 +20,33 @@ h AS (SELECT source, record, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2
 FROM c JOIN m USING (source) WHERE a > 0 AND b > 0), f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, record) AS rank FROM h)"""
 
 
-def _index(spark: SparkSession, sf_dir: str) -> str:
-    """The stored index of the documents in the shared folder: built by a session's first search, read by all of them."""
-    path = f"{shared_folder(spark)}/index-{hashlib.sha256(f'{spark.sparkContext.applicationId} {sf_dir}'.encode()).hexdigest()[:16]}"
-    if sinks.table_there(spark, f"{path}/done") is None:
-        retrieval.write_index(read(spark, sf_dir, "documents", "doc_id", "source", "text"), path, "source", "doc_id", "text")
-    return path
+DOCUMENTS = ("source", "doc_id", "text")
+
+
+def _index(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """The stored index in the shared folder with the parts that the documents need now, and the names of these; a session's searches share it."""
+    docs = read(spark, sf_dir, "documents", *DOCUMENTS)
+    path = f"{shared_folder(spark)}/index-{spark.sparkContext.applicationId}"
+    live = materialized(index.contents(index.leaves(docs, *DOCUMENTS)))
+    index.update(docs, path, *DOCUMENTS, live)
+    return path, live
+
+
+def _search(spark: SparkSession, sf_dir: str, text: str, sources: list[str] | None = None) -> index.Search:
+    return index.Search(spark, *_index(spark, sf_dir), text, sources)
 
 
 @query("k06_stored_index", f"WITH t AS (SELECT source, {TOKENS} AS tok FROM documents), u AS (SELECT source, unnest(tok) AS term FROM t) SELECT source, term, count(*) AS n FROM u GROUP BY ALL")
 def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spark.read.parquet(f"{_index(spark, sf_dir)}/postings")
-    return found.groupBy("source", "term").agg(F.count("*").alias("n"))
+    path, live = _index(spark, sf_dir)
+    found = spark.read.parquet(f"{path}/postings").join(live.select("content"), "content", "left_semi")
+    return found.select("source", "term", F.explode("entries.at").alias("at")).groupBy("source", "term").agg(F.sum(F.size("at")).alias("n"))
+
+
+@query("k07_parts", f"""WITH t AS (SELECT source, count(*) AS records, round(avg(len({TOKENS})), 6) AS mean FROM documents GROUP BY source) SELECT source, records, mean, ceil(records / 128)::INTEGER AS blocks FROM t""")
+def index_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, live = _index(spark, sf_dir)
+    return index.parts(spark, path).join(live.select("content"), "content", "left_semi").select("source", "records", r6(F.col("mean")).alias("mean"), "blocks")
 
 
 @query("r02_scan", f"WITH {BM25} SELECT source, record, score FROM f")
@@ -42,21 +56,58 @@ def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r05_scoped_search", f"WITH {BM25} SELECT source, record, score FROM f WHERE source IN ('src1', 'src2')")
 def scoped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.search_index(spark, _index(spark, sf_dir), LEXICAL, ["src1", "src2", "absent"])
+    return _search(spark, sf_dir, LEXICAL, ["src1", "src2", "absent"]).scored().drop("content")
 
 
 @query("r02_bm25", f"WITH {BM25} SELECT source, record, score, rank::INTEGER AS rank, round(1 / (60 + rank), 9) AS rrf FROM f")
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.search_index(spark, _index(spark, sf_dir), LEXICAL)
+    hits = _search(spark, sf_dir, LEXICAL).scored().drop("content")
     return retrieval.fused(hits).withColumn("rrf", F.round("rrf", 9))
 
 
+@query("r02_top", f"WITH {BM25} SELECT source, record, score, rank::INTEGER AS rank FROM f WHERE rank <= 10")
+def top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir, LEXICAL).top(10)
+
+
 @query("l03_merged_page", f"WITH {BM25} SELECT source, record, score, rank::INTEGER AS rank, round(1 / (60 + rank), 9) AS rrf FROM f ORDER BY rank, source, record LIMIT 20")
 def merged_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.search_index(spark, _index(spark, sf_dir), LEXICAL)
+    """No source has more hits on a page than the page has places."""
+    hits = _search(spark, sf_dir, LEXICAL).top(20).drop("rank")
     return retrieval.page(hits, 20).withColumn("rrf", F.round("rrf", 9))
 
 
+#: Queries of all widths, from a term of nearly all documents to one that none holds.
+WIDTHS = ("the", "of the", "der die", "que", "stella", "zzzz")
+
+
+@query("r05_guarded", " UNION ALL ".join(f"""SELECT '{q}' AS query, count(*) > 1000 AS refused, CASE WHEN count(*) <= 1000 THEN count(*) END AS hits FROM (SELECT {TOKENS} AS tok FROM documents) WHERE {" AND ".join(f"list_contains(tok, '{t}')" for t in q.split())}""" for q in WIDTHS))
+def guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broad queries are refused over the whole table; the others give all their hits."""
+    path, live = _index(spark, sf_dir)
+
+    def answer(text: str) -> DataFrame:
+        try:
+            hits = index.Search(spark, path, live, text).guarded()
+        except retrieval.QueryError:
+            return live.limit(1).select(F.lit(text).alias("query"), F.lit(True).alias("refused"), F.lit(None).cast("long").alias("hits"))
+        return hits.agg(F.lit(text).alias("query"), F.lit(False).alias("refused"), F.count("*").alias("hits"))
+
+    return functools.reduce(DataFrame.unionByName, map(answer, WIDTHS))
+
+
+@query("r06_changed_ranges", """WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT source, true AS changed FROM s WHERE source IN (SELECT source FROM documents WHERE doc_id = (SELECT max(doc_id) FROM documents)) UNION ALL SELECT source, false FROM s WHERE source NOT IN (SELECT source FROM documents WHERE doc_id = (SELECT max(doc_id) FROM documents))""")
+def changed_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last document is edited: of its source one range gets another digest, and no other source changes."""
+    docs = read(spark, sf_dir, "documents", *DOCUMENTS)
+    last = F.broadcast(docs.agg(F.max("doc_id").alias("last")))
+    edited = docs.join(last).withColumn("text", F.when(F.col("doc_id") == F.col("last"), F.concat("text", F.lit("!"))).otherwise(F.col("text"))).drop("last")
+    kept, live = (index.leaves(x, *DOCUMENTS).select("source", "range", "digest") for x in (docs, edited))
+    both = kept.join(live.withColumnRenamed("digest", "now"), ["source", "range"], "full")
+    n = F.count_if(~F.col("digest").eqNullSafe(F.col("now")))
+    return both.groupBy("source").agg(n.alias("n")).select("source", F.when(F.col("n") <= 1, F.col("n") == 1).alias("changed"))
+
+
 @query("r01_postings", f"WITH t AS (SELECT source, {TOKENS} AS tok FROM documents), u AS (SELECT source, unnest(tok) AS term FROM t) SELECT source, term, count(*) AS n FROM u GROUP BY ALL")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = retrieval.postings(read(spark, sf_dir, "documents", "doc_id", "source", "text"), "source", "doc_id", "text")
@@ -235,3 +286,10 @@ def scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = parts.groupBy("i").agg(F.avg("x").alias("m"))
     steep = parts.join(mean, "i").groupBy("vec_id").agg(F.regr_slope("x", "m").alias("s")).where("abs(s) > 0.01")
     return profile.scatter_corrected(v, "vec_id", "e").join(steep, "vec_id", "left_semi").withColumn("x", F.round("x", 3) + 0.0)
+
+
+@query("m10_identities", None)
+def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = profile.verified_identities(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), "vec_id", "label", "embedding")
+    return found.select("vec_id", "label", r6(F.col("q")).alias("q"), r6(F.col("t2")).alias("t2"), "accepted", "accepting")
+

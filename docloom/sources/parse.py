@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 BLOCKS = "ordinal long, kind string, level long, path string, text string, href string"
+NODES = "pre long, end long, tag string, level long, start string, value string, reversed boolean, href string, text string"
 SEGMENTS = "seg_id long, start double, end double, text string"
 LINES = "line long, text string"
 CELLS = "cell long, kind string, language string, text string"
@@ -118,6 +119,57 @@ def html_blocks(text: str) -> Iterator[tuple]:
             n += 1
 
 
+class _Tree(HTMLParser):
+    """Elements of a page in document order, each with the place of its last descendant and the text that it holds itself."""
+
+    #: Start tags that end an open element of the first kind, as far out as the nearest of the others.
+    ENDS = {"li": ("li", ("ul", "ol")), "td": ("td", ("tr", "table")), "th": ("th", ("tr", "table")), "tr": ("tr", ("table",)), "p": ("p", ("body", "li", "td", "div", "blockquote"))}
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.nodes: list[list] = []
+        self.open: list[int] = []
+
+    def close_to(self, depth: int) -> None:
+        for i in self.open[depth:]:
+            self.nodes[i][1] = len(self.nodes) - 1
+        del self.open[depth:]
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in self.ENDS:
+            kind, walls = self.ENDS[tag]
+            for depth in range(len(self.open) - 1, -1, -1):
+                at = self.nodes[self.open[depth]][2]
+                if at == kind:
+                    self.close_to(depth)
+                if at == kind or at in walls:
+                    break
+        named, pre = dict(attrs), len(self.nodes)
+        self.nodes.append([pre, pre, tag, len(self.open), named.get("start"), named.get("value"), "reversed" in named, named.get("href"), []])
+        if tag not in _Page.VOID:
+            self.open.append(pre)
+
+    def handle_endtag(self, tag: str) -> None:
+        for depth in range(len(self.open) - 1, -1, -1):
+            if self.nodes[self.open[depth]][2] == tag:
+                self.close_to(depth)
+                return
+
+    def handle_data(self, data: str) -> None:
+        if self.open:
+            self.nodes[self.open[-1]][8].append(data)
+
+
+def html_nodes(text: str) -> Iterator[tuple]:
+    """The elements of a page as NODES; an element without an end tag ends with what surrounds it."""
+    tree = _Tree()
+    tree.feed(text)
+    tree.close()
+    tree.close_to(0)
+    for *node, parts in tree.nodes:
+        yield *node, " ".join("".join(parts).split())
+
+
 TIME = re.compile(r"(?:(\d{1,2}):)?(\d{2}):(\d{2})[.,](\d{3})")
 ARROW = re.compile(rf"({TIME.pattern})\s+-->\s+({TIME.pattern})(?:\s.*)?")
 

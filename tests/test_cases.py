@@ -1,4 +1,4 @@
-"""Queries over small tables that hold an operator's special cases; their SQL is the table of results that the cases must give."""
+"""Special cases of operators: small tables, and the rows that each must give."""
 
 from __future__ import annotations
 
@@ -6,41 +6,27 @@ import io
 import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pytest
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
+from tests.compare import value
 
 from docloom.functions import formulas
 from docloom.functions import text as T
 from docloom.operators import aggregates, control, evaluation, filters, folds, knowledge, layout, materials, pipelines, relational, windows
-from docloom.plans.registry import query
 from docloom.sources import office, parse, sinks, tables
 
-TYPES = {"long": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 Given = Callable[..., DataFrame]
-
-
-def _literal(value: object) -> str:
-    if value is None or isinstance(value, bool | int | float):
-        return "NULL" if value is None else str(value)
-    return "'" + str(value).replace("'", "''") + "'"
+CASES: dict[str, tuple[Callable[[Given], DataFrame], str, tuple]] = {}
 
 
 def case(name: str, schema: str, *rows: tuple) -> Callable:
     """Registers a function of `given` (schema, rows to a table) with the rows that it gives; arrays are compared joined by commas."""
-    fields = [x.strip().split(" ") for x in schema.split(",")]
-    columns = ", ".join(f'CAST("{c}" AS {TYPES[t]}) AS "{c}"' for c, t in fields)
-    values = ", ".join(f"({', '.join(map(_literal, r))})" for r in rows)
-    sql = f"SELECT {columns} FROM (VALUES {values}) t({', '.join(f'"{c}"' for c, _ in fields)})"
 
     def add(function: Callable[[Given], DataFrame]) -> Callable:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = function(lambda given, *data: spark.createDataFrame(list(data), given))
-            flat = {c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") if isinstance(df.schema[c].dataType, ArrayType) else F.col(c) for c, _ in fields}
-            return df.select(*(flat[c].cast(t).alias(c) for c, t in fields))
-
-        run.__name__, run.__doc__ = function.__name__, function.__doc__
-        return query(name, sql)(run)
+        CASES[name] = function, schema, rows
+        return function
 
     return add
 
@@ -356,17 +342,6 @@ def frame_matches(given: Given) -> DataFrame:
     return knowledge.frame_matches(given("formula_id string, variants array<string>", ("f", ["a", "b"]), ("g", ["a"])), frames, 2)
 
 
-NEEDLES = ("One two three four five", "ne two three four five", "one two three four five", "two three", "three four ", "b", "e f i v e")
-HAYSTACKS = ('he said "One two three four five six" today', "[one two three four five, six]", "xone two three four fivex", "one two three.", "ab")
-
-
-@query("j15_short_and_inner", f"SELECT i AS item_id, d AS doc_id FROM (VALUES {', '.join(f"({i}::BIGINT, '{n}')" for i, n in enumerate(NEEDLES))}) n(i, p) JOIN (VALUES {', '.join(f"({i}::BIGINT, '{t}')" for i, t in enumerate(HAYSTACKS))}) h(d, t) ON contains(t, p)")
-def short_and_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages that are short, begin inside a word, or stand beside punctuation."""
-    left, right = (spark.createDataFrame(list(enumerate(x)), s) for x, s in ((NEEDLES, "item_id long, passage string"), (HAYSTACKS, "doc_id long, text string")))
-    return relational.contained(left, right, "passage", "text").select("item_id", "doc_id")
-
-
 @case("j16_hit_problems", "hit_id string, problems string", ("h", ""), ("i", "version,window"), ("j", "missing"))
 def hit_problems(given: Given) -> DataFrame:
     hits = given("hit_id string, record_id string, version int, start int, end int", ("h", "r", 1, 0, 5), ("i", "r", 2, 0, 50), ("j", "q", 1, 0, 1))
@@ -648,11 +623,6 @@ def breadcrumb(given: Given) -> DataFrame:
 FORMULAS = [("a+b", "a+b", None), ("a + b", "a+b", None), ("(a)+b", "a+b", None), ("a+b", "a-b", None), ("a+", "b", None), (None, None, "absent"), ("a", None, None), ("a", "a", "ambiguous"), (None, "a", "absent")]
 
 
-@case("f30_formula_verdict", "i long, verdict string", (0, "exact"), (1, "normalized"), (2, "structural"), (3, "different"), (4, "not_evaluable"), (5, "absent"), (6, "missing"), (7, "ambiguous"), (8, "unexpected"))
-def formula_verdict(given: Given) -> DataFrame:
-    return each(given, "r string, p string, s string", FORMULAS, verdict=formulas.formula_verdict("r", "p", "s")["verdict"])
-
-
 @case("f29_formula_differences", "i long, found string", (0, "symbol_error,exponent_error,structure_error"), (1, ""))
 def formula_differences(given: Given) -> DataFrame:
     found = F.pandas_udf(lambda a, b: a.combine(b, lambda x, y: ",".join(formulas.differences(formulas.parse(x), formulas.parse(y)))), "string")
@@ -793,3 +763,13 @@ def until_stable(given: Given) -> DataFrame:
 @case("t15_planned_within", "course_id string, n long, planned boolean", ("c", 1, True), ("c", 2, False), ("d", 1, True))
 def planned_within(given: Given) -> DataFrame:
     return materials.planned_within(given("course_id string, n int, size double", ("c", 1, 6.0), ("c", 2, 5.0), ("d", 1, 9.0)), "n", "size", 10.0)
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_case(spark, name):
+    function, schema, want = CASES[name]
+    df = function(lambda given, *data: spark.createDataFrame(list(data), given))
+    fields = [x.strip().split(" ") for x in schema.split(",")]
+    flat = {c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") if isinstance(df.schema[c].dataType, ArrayType) else F.col(c) for c, _ in fields}
+    got = df.select(*(flat[c].cast(t).alias(c) for c, t in fields)).collect()
+    assert sorted(repr(tuple(map(value, r))) for r in got) == sorted(repr(tuple(map(value, r))) for r in want)

@@ -25,13 +25,6 @@ def test_formula_parser():
     assert formulas.loose("X plus Y ist gleich 2 mal Z.") == "x+y=2*z" and formulas.loose("x²") == "x^2"
 
 
-def test_formula_verdicts(spark):
-    cases = [("a+b", "a+b", None), ("a + b", "a+b", None), ("(a)+b", "a+b", None), ("a+b", "a-b", None), ("a+", "b", None), (None, None, "absent"), ("a", None, None), ("a", "a", "ambiguous"), (None, "a", "absent")]
-    df = spark.createDataFrame(cases, "r string, p string, s string").coalesce(1)
-    got = [r.v.verdict for r in df.select(formulas.formula_verdict("r", "p", "s").alias("v")).collect()]
-    assert got == ["exact", "normalized", "structural", "different", "not_evaluable", "absent", "missing", "ambiguous", "unexpected"]
-
-
 def test_layout(spark):
     boxes = spark.createDataFrame([(1, 1, 0.0, 0.0, 5.0, 5.0, False), (1, 2, 6.0, 0.0, 9.0, 5.0, False), (1, 3, 11.0, 0.0, 14.0, 5.0, False), (1, 4, 90.0, 90.0, 95.0, 95.0, False), (1, 9, 0.0, 0.0, 100.0, 100.0, True)], "page int, path_id int, x0 double, y0 double, x1 double, y1 double, background boolean")
     assert collect(layout.near_groups(boxes, 2.0)) == [(1, 1, 1), (1, 2, 1), (1, 3, 1), (1, 4, 4), (1, 9, 9)]
@@ -110,14 +103,3 @@ def test_token_windows_cover_the_text(spark):
     rows = materials.token_windows(spark.createDataFrame([(1, text), (2, "..."), (3, " ")], "id int, text string"), "text", 5).orderBy("id", "chunk").collect()
     parts = [text[r.start : r.end] for r in rows if r.id == 1]
     assert "".join(parts) == text and parts[0].strip() == "one two," and [(r.start, r.end) for r in rows if r.id == 3] == [(0, 1)]
-
-
-def test_class_models(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(5)
-    base = rng.normal(size=(200, 1)) @ np.array([[1.0, 2.0, 3.0]]) + rng.normal(scale=0.01, size=(200, 3))
-    df = spark.createDataFrame([("a", *map(float, x)) for x in base], "label string, x double, y double, z double")
-    model = materials.class_models(df, "label", ["x", "y", "z"], 1)["a"]
-    scored = materials.identity_scores(df.limit(20).union(spark.createDataFrame([("b", 5.0, -5.0, 1.0)], df.schema)), ["x", "y", "z"], model).collect()
-    assert max(r.q for r in scored if r.label == "a") < 0.01 < 1 < next(r.q for r in scored if r.label == "b")

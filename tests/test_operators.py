@@ -1,7 +1,6 @@
 """Operators on small tables: folds, joins, knowledge, control, evaluation."""
 
 import itertools
-import re
 
 import pytest
 from hypothesis import given, settings
@@ -17,22 +16,6 @@ def collect(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_interval_join_gives_each_pair_once(spark):
-    left = spark.createDataFrame([("a", 0.0, 10.0), ("a", 9.0, 31.0), ("b", 0.0, 1.0)], "k string, start double, end double")
-    right = spark.createDataFrame([("a", 10.0, 12.0), ("a", 0.0, 100.0), ("b", 1.0, 1.0), ("b", 1.1, 2.0)], "k string, start double, end double")
-    want = sorted((k, s, e, s2, e2) for (k, s, e), (k2, s2, e2) in itertools.product(map(tuple, left.collect()), map(tuple, right.collect())) if k == k2 and s <= e2 and s2 <= e)
-    assert collect(relational.interval_join(left, right, ["k"], 4.0)) == want
-
-
-def test_contained_finds_every_occurrence(spark):
-    texts = ['he said "One two three four five six" today', "[one two three four five, six]", "xone two three four fivex", "  one  two three four five", "one two three.", "one two", "ab", "", None]
-    needles = ["One two three four five", "ne two three four five", "one two three four five", " one  two three four five", "one two three", "two three", "three four ", "one", "b", " ", "", "e f i v e", None]
-    left = spark.createDataFrame(list(enumerate(needles)), "item_id int, passage string")
-    right = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    want = [(i, d) for i, n in enumerate(needles) for d, t in enumerate(texts) if n is not None and t is not None and n in t]
-    assert collect(relational.contained(left, right, "passage", "text").select("item_id", "doc_id")) == want
-
-
 def test_acl_owner_or_grant(spark):
     rows = spark.createDataFrame([("s1", "me"), ("s2", "you"), ("s3", None), ("s4", "you")], "id string, owner string")
     grants = spark.createDataFrame([("s2", "me", "read"), ("s3", "me", "read"), ("s4", "me", "write"), ("s2", "me", "read")], "id string, subject string, permission string")
@@ -85,11 +68,6 @@ def test_capped_windows_and_frames(spark):
     assert collect(folds.distinct_frames(frames, "v")) == [("v", 0), ("v", 2), ("v", 3)]
 
 
-def test_leaders(spark):
-    vectors = spark.createDataFrame([("t", 1, [1.0, 0.0]), ("t", 2, [0.99, 0.1]), ("t", 3, [0.0, 1.0]), ("t", 4, [0.0, 0.0])], "t string, id long, vector array<double>")
-    assert collect(folds.leaders(vectors, "t")) == [("t", 1, 1), ("t", 2, 1), ("t", 3, 3), ("t", 4, 4)]
-
-
 def test_blocks_sentences_rows_jobs(spark):
     blocks = spark.createDataFrame([("d", 0, 1, 100, "a"), ("d", 1, 1, 150, "b"), ("d", 2, 1, 20, "c"), ("d", 3, 2, 5, "e")], "d string, order long, page long, tokens long, text string")
     assert [r[1:5] for r in collect(folds.merged_blocks(blocks, "d"))] == [(0, 1, 1, 250), (2, 2, 1, 20), (3, 3, 2, 5)]
@@ -202,19 +180,6 @@ def test_bm25_phrases_and_empty_results(spark):
     assert retrieval.bm25(docs, "absent", "source", "record", "text").count() == 0
 
 
-def test_stored_index_answers_as_the_scan_does(spark, tmp_path, capsys):
-    texts = [("s", 1, "x-ray of x ray x"), ("s", 2, "ray x"), ("t", 3, ""), ("t", 4, "x ray of of the x-ray"), ("u", 5, None)]
-    docs = spark.createDataFrame(texts, "source string, record long, text string")
-    path = f"{tmp_path}/index"
-    retrieval.write_index(docs, path, "source", "record", "text")
-    for query in ("x-ray", "x", "x of", "of x-ray", "ray-of-x ray", "absent", "x x"):
-        assert collect(retrieval.search_index(spark, path, query)) == collect(retrieval.bm25(docs, query, "source", "record", "text"))
-    assert [r.record for r in retrieval.search_index(spark, path, "x", ["t", "v"]).collect()] == [4]
-    retrieval.search_index(spark, path, "ray").explain("formatted")
-    plan = capsys.readouterr().out
-    assert re.search(r"PartitionFilters: \[[^\n]*folder", plan) and re.search(r"PushedFilters: \[[^\n]*term,ray", plan)
-
-
 def test_aggregates(spark):
     found = aggregates.conflicts(spark.createDataFrame([(1, "a", "x"), (1, "b", "x")], "k int, p string, q string"), "k", ["p", "q"])
     assert collect(found) == [(1, ["p"])]
