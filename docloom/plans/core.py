@@ -129,7 +129,7 @@ def histogram_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TREE = f"""n0 AS (SELECT c_nationkey AS k, c_custkey AS at, sha256(c_name || '|' || c_mktsegment) AS d, 1 AS n FROM customer),
-{", ".join(f"n{i + 1} AS (SELECT k, at >> 10 AS at, sha256(string_agg(at || ':' || d, ';' ORDER BY at, d)) AS d, sum(n) AS n FROM n{i} GROUP BY k, at >> 10)" for i in range(aggregates.NODE_LEVELS))}"""
+{", ".join(f"n{i + 1} AS (SELECT k, at // 1024 AS at, sha256(string_agg(at || ':' || d, ';' ORDER BY at, d)) AS d, sum(n) AS n FROM n{i} GROUP BY k, at // 1024)" for i in range(aggregates.NODE_LEVELS))}"""
 
 
 @query("a21_digest", f"WITH {TREE} SELECT k AS c_nationkey, sha256(string_agg(at || ':' || d, ';' ORDER BY at, d)) AS digest, sum(n)::BIGINT AS n FROM n{aggregates.NODE_LEVELS} GROUP BY k")
