@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docloom.plans import audits, composed, core, courses, documents, files, knowledge, search, texts
+from docloom.plans import audits, composed, core, courses, documents, files, knowledge, predicates, search, texts
 from docloom.plans.registry import ORACLES, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "audits", "composed", "core", "courses", "documents", "files", "knowledge", "search", "texts"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "audits", "composed", "core", "courses", "documents", "files", "knowledge", "predicates", "search", "texts"]
 FLAGSHIP = "r02_bm25"

@@ -128,11 +128,11 @@ def histogram_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.histogram_audit(counted, ["event_type"], "place", "total")
 
 
-TREE = f"""n0 AS (SELECT c_nationkey AS k, c_custkey AS at, sha256(c_name || '|' || c_mktsegment) AS d, 1 AS n FROM customer),
-{", ".join(f"n{i + 1} AS (SELECT k, at // 1024 AS at, sha256(string_agg(at || ':' || d, ';' ORDER BY at, d)) AS d, sum(n) AS n FROM n{i} GROUP BY k, at // 1024)" for i in range(aggregates.NODE_LEVELS))}"""
+TREE = f"""n0 AS (SELECT c_nationkey AS k, c_custkey AS pos, sha256(c_name || '|' || c_mktsegment) AS d, 1 AS n FROM customer),
+{", ".join(f"n{i + 1} AS (SELECT k, pos // 1024 AS pos, sha256(string_agg(pos || ':' || d, ';' ORDER BY pos, d)) AS d, sum(n) AS n FROM n{i} GROUP BY k, pos // 1024)" for i in range(aggregates.NODE_LEVELS))}"""
 
 
-@query("a21_digest", f"WITH {TREE} SELECT k AS c_nationkey, sha256(string_agg(at || ':' || d, ';' ORDER BY at, d)) AS digest, sum(n)::BIGINT AS n FROM n{aggregates.NODE_LEVELS} GROUP BY k")
+@query("a21_digest", f"WITH {TREE} SELECT k AS c_nationkey, sha256(string_agg(pos || ':' || d, ';' ORDER BY pos, d)) AS digest, sum(n)::BIGINT AS n FROM n{aggregates.NODE_LEVELS} GROUP BY k")
 def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.digest(read(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment", "c_nationkey"), ["c_nationkey"], "c_custkey", F.concat_ws("|", "c_name", "c_mktsegment"))
 
