@@ -9,7 +9,7 @@ substring's interior is named alike wherever it stands. Two kinds of symbols the
    determines whatever surrounds it. Equal windows have equal anchors, so a window whose anchor only one document holds isn't repeated.
 2. The windows that both leave open, by the hash of their words, compared exactly one by one.
 
-Names of units and windows are compared on 128 bits. Tasks join equal names of a block of texts first, and send one row for
+Names of units and windows are compared on 95 bits. Tasks join equal names of a block of texts first, and send one row for
 each: all but the block's smallest holder are known to be repeats there and then, so that a passage in a third of all documents sends one row a block.
 """
 
@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from docloom.llm.common import cut_lineage, slices, text_bytes, words_of
+from docloom.llm.common import slices, text_bytes, words_of
 
-#: Rounds of recompression after which symbols make units, and words that are parsed in one go.
-UNIT_LEVEL, PIECE_WORDS = 9, 1 << 18
+#: Rounds of recompression after which symbols make units, symbols of the first round that make an anchor, and words that are parsed in one go.
+UNIT_LEVEL, ANCHOR, PIECE_WORDS = 9, 4, 1 << 16
 #: Bytes of text whose equal names are joined before they are sent.
 BLOCK_BYTES = 4 << 20
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+INVERSE = np.uint64(pow(int(A), -1, 1 << 64))
 
 
 def salt(number: int) -> np.uint64:
@@ -61,39 +62,31 @@ def named_words(words: list[bytes]) -> np.ndarray:
 
 
 class Level:
-    """Symbols after some rounds: name and check name, first word, piece; and where the symbols of the round before went."""
+    """Symbols after some rounds: name, first word, piece."""
 
-    def __init__(self, name: np.ndarray, check: np.ndarray, start: np.ndarray, piece: np.ndarray):
-        self.name, self.check, self.start, self.piece = name, check, start, piece
+    def __init__(self, name: np.ndarray, start: np.ndarray, piece: np.ndarray):
+        self.name, self.start, self.piece = name, start, piece
 
-    def round(self, number: int) -> tuple[Level, np.ndarray, np.ndarray]:
-        """(next level, first, last): runs and pairs named. first[i] is the first symbol that is sure to be formed alike when nothing
-        before symbol i is known, last[e] is the end of those that are when nothing from e on is."""
+    def round(self, number: int) -> tuple[Level, np.ndarray, np.ndarray, np.ndarray]:
+        """(next level, run of each symbol, symbol of each run, whether a run is a right one): runs named, then pairs of a left and a right one."""
         n = len(self.name)
         opens = np.ones(n, dtype=bool)
         opens[1:] = (self.name[1:] != self.name[:-1]) | (self.piece[1:] != self.piece[:-1])
-        at = np.flatnonzero(opens)
-        length = np.diff(np.r_[at, n]).astype(np.uint64)
         run = np.cumsum(opens) - 1
-        name, check, piece = self.name[at], self.check[at], self.piece[at]
-        many = length > 1
-        name = np.where(many, joined(name, length, 4 * number + 1), name)
-        check = np.where(many, joined(check, length, 4 * number + 2), check)
+        at = np.flatnonzero(opens)
+        name, piece, start = self.name[at], self.piece[at], self.start[at]
+        if len(at) < n:
+            length = np.diff(np.r_[at, n])
+            many = np.flatnonzero(length > 1)
+            name[many] = joined(name[many], length[many].astype(np.uint64), 2 * number + 1)
         right = (mix(name + salt(number)) & np.uint64(1)).astype(bool)
         pair = np.zeros(len(at), dtype=bool)
         pair[:-1] = ~right[:-1] & right[1:] & (piece[1:] == piece[:-1])
-        stays = np.r_[True, ~pair[:-1]][: len(at)]
-        following = np.minimum(np.arange(len(at)) + 1, len(at) - 1)
-        name = np.where(pair, joined(name, name[following], 4 * number + 3), name)[stays]
-        check = np.where(pair, joined(check, check[following], 4 * number + 4), check)[stays]
-        new = np.r_[np.cumsum(stays) - 1, len(name)]
-        begin = run + 1
-        begin = begin + (np.r_[right, False])[begin]
-        first = np.r_[new[np.minimum(begin, len(at))], len(name)]
-        end = run  # symbols before e; its last run is left out
-        end = end - (np.r_[~right, False][end - 1] & (end > 0))
-        last = np.r_[0, np.where(end > 0, new[end - 1] + 1, 0)]
-        return Level(name, check, self.start[at][stays], piece[stays]), first, last
+        two = np.flatnonzero(pair)
+        name[two] = joined(name[two], name[two + 1], 2 * number + 2)
+        stays = np.ones(len(at), dtype=bool)
+        stays[two + 1] = False
+        return Level(name[stays], start[stays], piece[stays]), run, np.cumsum(stays) - 1, right
 
 
 class Parse:
@@ -101,28 +94,46 @@ class Parse:
 
     def __init__(self, names: np.ndarray, piece: np.ndarray, width: int):
         n = len(names)
-        self.width, self.n, self.piece, self.words = width, n, piece, names
+        if not 0 < width < 16:
+            raise ValueError("windows are of 1 to 15 words")
+        self.width, self.n, self.words = width, n, names
         self.whole = np.zeros(n, dtype=bool)
         if n >= width:
             self.whole[: n - width + 1] = piece[width - 1 :] == piece[: n - width + 1]
 
-    def parse(self) -> None:
-        """Sets anchor (one name per window) and, of the units, unit, unit_check, unit_start, unit_end, where the end is that of the windows
-        that start in a unit and lie in its piece."""
-        n, width = self.n, self.width
-        level = Level(self.words[:, 0], self.words[:, 1], np.arange(n), self.piece)
-        self.anchor = np.zeros(n, dtype=np.uint64)
-        opened = np.flatnonzero(self.whole)
-        low, high = opened, opened + width
-        for number in range(UNIT_LEVEL):
-            following, first, last = level.round(number)
-            if len(opened):
-                up, down = first[low], last[high]
-                done = up >= down
-                self.anchor[opened[done]] = _least(level.name, low[done], high[done])
-                opened, low, high = opened[~done], up[~done], down[~done]
-            level = following
-        self.anchor[opened] = _least(level.name, low, high)
+        self.base = Level(names[:, 0], np.arange(n), piece)
+        self.first = self.sums = None
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """(starts of whole windows, name of each one's anchor): the least run of `ANCHOR` neighbouring symbols of the first round among those that the
+        window's words determine; where there are fewer, the least word.
+
+        Of a window's runs the first and the last may go on outside. Of the symbols between, a right one in front might belong to a pair
+        with what comes before it, and a left one at the end to one with what follows; all others are formed alike wherever the words stand.
+        """
+        level, run, symbol, right = self.first = self.first or self.base.round(0)
+        starts = np.flatnonzero(self.whole)
+        low = run[starts] + 1
+        low += np.r_[right, False][low]
+        high = run[starts + self.width - 1]  # runs before the last one
+        high -= ~right[high - 1] & (high > 0)
+        ends = np.r_[symbol, len(level.name)]
+        low, high = ends[np.minimum(low, len(symbol))], np.where(high > 0, symbol[high - 1] + 1, 0)
+        anchor = np.empty(len(starts), dtype=np.uint64)
+        some = high - low >= ANCHOR
+        names = level.name
+        for k in range(1, ANCHOR):
+            names = joined(names[:-1], level.name[k:], 3000 + k)
+        anchor[some] = _least(names, low[some], high[some] - ANCHOR + 1)
+        rest = starts[~some]
+        anchor[~some] = _least(mix(self.words[:, 0] + B), rest, rest + self.width)
+        return starts, anchor
+
+    def units(self) -> None:
+        """Sets unit, unit_check, unit_start, unit_end, where the end is that of the windows that start in a unit and lie in its piece."""
+        level = (self.first or self.base.round(0))[0]
+        for number in range(1, UNIT_LEVEL):
+            level = level.round(number)[0]
         self._units(level)
 
     def _units(self, level: Level) -> None:
@@ -132,37 +143,45 @@ class Parse:
         last = np.searchsorted(level.start, reach - 1, "right") - 1  # the symbol that holds its last word
         ok = (reach <= n) & (level.piece[np.minimum(last, len(level.piece) - 1)] == level.piece) if n else np.zeros(0, dtype=bool)
         i, j = np.flatnonzero(ok), last[ok]
-        unit, check = level.name[i], level.check[i]
+        unit = level.name[i]
         step = 0
         while len(at := np.flatnonzero(i + step < j)):
             step += 1
             unit[at] = joined(unit[at], level.name[i[at] + step], 1001)
-            check[at] = joined(check[at], level.check[i[at] + step], 1002)
-        self.unit, self.unit_check, self.unit_start, self.unit_end = mix(unit + B), mix(check + B), level.start[i], end[i]
+        self.unit, self.unit_start, self.unit_end = mix(unit + B), level.start[i], end[i]
+        self.unit_check = self.checks(level.start[i], end[j])
+
+    def checks(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """A second name of the words of each range: a polynomial of their other halves, wherever the range stands."""
+        if self.sums is None:
+            self.sums = np.r_[np.uint64(0), np.cumsum(self.words[:, 1] * np.cumprod(np.full(self.n, A)))]
+        place = np.cumprod(np.full(self.n + 1, INVERSE))
+        return mix((self.sums[high] - self.sums[low]) * place[low])
 
     def windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(name, check) of the windows that start there, from all their words: names of 1, 2, 4 ... words make up those of the width."""
-        out = []
-        for column, tag in ((0, 2001), (1, 2002)):
-            size, at, name, powers = 1, starts, None, self.words[:, column]
-            while size <= self.width:
-                if self.width & size:
-                    name = powers[at] if name is None else joined(name, powers[at], tag)
-                    at = at + size
-                powers = joined(powers[: max(len(powers) - size, 0)], powers[size:], tag)
-                size *= 2
-            out.append(name)
-        return out[0], out[1]
+        size, at, name, powers = 1, starts, None, self.words[:, 0]
+        while size <= self.width:
+            if self.width & size:
+                name = powers[at] if name is None else joined(name, powers[at], 2001)
+                at = at + size
+            powers = joined(powers[: max(len(powers) - size, 0)], powers[size:], 2001)
+            size *= 2
+        return name, self.checks(starts, starts + self.width)
 
 
 def _least(names: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """The least name, once mixed, of each range; no range is empty."""
-    out = np.full(len(low), np.iinfo(np.uint64).max)
-    step = 0
-    while len(low) and (inside := low + step < high).any():
-        out[inside] = np.minimum(out[inside], mix(names[low[inside] + step] + A))
-        step += 1
-    return out
+    """The least name of each range; no range is empty or longer than 15: minima of 1, 2, 4 and 8 names in a row, two of which cover a range."""
+    if not len(low):
+        return np.zeros(0, dtype=np.uint64)
+    rows = [names]
+    for size in (1, 2, 4):
+        row, n = rows[-1].copy(), max(len(names) - size, 0)
+        row[:n] = np.minimum(row[:n], rows[-1][size:])
+        rows.append(row)
+    power = np.array([0, 0, 1, 1, 2, 2, 2, 2, 3, 3, 3, 3, 3, 3, 3, 3])[high - low]
+    flat, base = np.concatenate(rows), power * len(names)
+    return np.minimum(flat[base + low], flat[base + high - (1 << power)])
 
 
 def pieces(texts: list[bytes], width: int) -> Iterator[tuple[list[list[bytes]], list[int], bool]]:
@@ -196,38 +215,41 @@ def numbered(held: list[list[bytes]], of: list[int], width: int) -> tuple[Parse,
 class Gathered:
     """Names of a block with their documents, each name once with the smallest of them."""
 
-    SCHEMA = "name long, check long, doc long, other boolean, own long"
+    SCHEMA = "name long, check int, doc long, other boolean, own long"
 
     def __init__(self):
         self.rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(self, name: np.ndarray, check: np.ndarray, doc: np.ndarray) -> None:
-        self.rows.append((name, check, doc))
+    def add(self, name: np.ndarray, check: np.ndarray | None, doc: np.ndarray) -> None:
+        """check: of what is compared by its name; an anchor has none, which is 0 here."""
+        short = np.zeros(len(name), dtype=np.int32) if check is None else (check >> np.uint64(33)).astype(np.int32) | 1
+        self.rows.append((name, short, doc))
 
     def batch(self) -> pa.RecordBatch:
         """A row per name and block with the block's smallest document, and whether it has others; and of these, which are repeats, a row each
-        that meets no other (own is the document there, else null)."""
-        name, check, doc = (np.concatenate(x) for x in zip(*self.rows, strict=True)) if self.rows else [np.zeros(0, dtype=np.int64)] * 3
+        that meets no other (own is the document there, else null). Rows are in order of documents, which spares disk."""
+        name, check, doc = (np.concatenate(x) for x in zip(*self.rows, strict=True)) if self.rows else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))
         self.rows = []
         order = np.lexsort((doc, check, name))
-        name, check, doc = name[order].view(np.int64), check[order].view(np.int64), doc[order]
+        name, check, doc = name[order].view(np.int64), check[order], doc[order]
         new = np.r_[True, (name[1:] != name[:-1]) | (check[1:] != check[:-1])][: len(name)]
         fresh = new | np.r_[True, doc[1:] != doc[:-1]][: len(name)]
         name, check, doc, new = name[fresh], check[fresh], doc[fresh], new[fresh]
-        others = ~np.r_[new[1:], True][: len(name)]
-        own = pa.array(doc, pa.int64(), mask=new)
-        return pa.RecordBatch.from_arrays([pa.array(name), pa.array(check), pa.array(doc), pa.array(others | ~new), own], ["name", "check", "doc", "other", "own"])
+        others = ~np.r_[new[1:], True][: len(name)] | ~new
+        order = np.argsort(doc, kind="stable")
+        name, check, doc, new, others = (x[order] for x in (name, check, doc, new, others))
+        return pa.RecordBatch.from_arrays([pa.array(name), pa.array(check), pa.array(doc), pa.array(others), pa.array(doc, pa.int64(), mask=new)], ["name", "check", "doc", "other", "own"])
 
 
 def resolved(rows: DataFrame) -> DataFrame:
-    """(doc, name, repeat) of the names that several documents hold: repeat says whether a smaller one than doc does.
+    """(doc, name, check, repeat) of the names that several documents hold: repeat says whether a smaller one than doc does.
 
     rows: as Gathered.batch() gives them. A name has a row per block, so no group grows as fast as the number of its holders.
     """
     same = Window.partitionBy("name", "check", "own")
     seen = rows.withColumn("least", F.min("doc").over(same)).withColumn("most", F.max("doc").over(same)).withColumn("several", F.max("other").over(same))
     repeat = F.col("own").isNotNull() | (F.col("doc") > F.col("least"))
-    return seen.where((F.col("least") < F.col("most")) | F.col("several")).select("doc", "name", repeat.alias("repeat"))
+    return seen.where((F.col("least") < F.col("most")) | F.col("several")).select("doc", "name", "check", repeat.alias("repeat"))
 
 
 def _first(width: int):
@@ -238,11 +260,11 @@ def _first(width: int):
             docs, out = part.column("doc").to_numpy(), Gathered()
             for held, of, _ in pieces(text_bytes(part.column("text")), width):
                 p, text = numbered(held, of, width)
-                p.parse()
-                at = np.flatnonzero(p.whole)
-                anchor, doc = p.anchor[at], docs[text[at]]
+                at, anchor = p.anchors()
+                p.units()
+                doc = docs[text[at]]
                 new = np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])][: len(at)]
-                out.add(anchor[new], np.zeros(np.count_nonzero(new), dtype=np.uint64), doc[new])
+                out.add(anchor[new], None, doc[new])
                 out.add(p.unit, p.unit_check, docs[text[p.unit_start]])
             yield out.batch()
 
@@ -295,12 +317,14 @@ def _second(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = Gathered(), 0
         for part in slices(batches, "packed", BLOCK_BYTES // 4):
-            docs, shared, repeats = part.column("doc").to_numpy(), _keyed(part.column("shared")), _keyed(part.column("repeats"))
+            docs, shared, repeats = pc.fill_null(part.column("doc"), 0).to_numpy(), _keyed(part.column("shared")), _keyed(part.column("repeats"))
             for held, of, _ in pieces([zlib.decompress(x) for x in part.column("packed").to_pylist()], width):
                 p, text = numbered(held, of, width)
-                p.parse()
-                at = np.flatnonzero(p.whole & ~_repeated(p, text, repeats))
-                at = at[_among(p.anchor[at], text[at], shared)]
+                at, anchor = p.anchors()
+                at = at[_among(anchor, text[at], shared)]
+                if len(repeats):
+                    p.units()
+                    at = at[~_repeated(p, text, repeats)[at]]
                 out.add(*p.windows(at), docs[text[at]])
                 size += len(at)
             if size > PIECE_WORDS:
@@ -345,7 +369,7 @@ def _last(width: int):
                 p, text = numbered(held, [chosen[i] for i in of], width)
                 starts = np.zeros(p.n, dtype=bool)
                 if units:
-                    p.parse()
+                    p.units()
                     starts = _repeated(p, text, repeated)
                 left = np.flatnonzero(p.whole & ~starts)
                 starts[left[_among(p.windows(left)[0], text[left], found)]] = True
@@ -376,14 +400,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     known = rows.where(F.col("doc").isNotNull())
-    found = resolved(known.mapInArrow(_first(width), Gathered.SCHEMA)).groupBy("doc")
-    found = found.agg(F.collect_set("name").alias("shared"), F.collect_set(F.when(F.col("repeat"), F.col("name"))).alias("repeats"))
-    found = cut_lineage(found)
-    texts = rows.mapInArrow(_packed_texts, "doc long, packed binary")
-    asked = texts.join(found, "doc")
-    opened = cut_lineage(asked.mapInArrow(_second(width), Gathered.SCHEMA))
-    windows = cut_lineage(resolved(opened).where("repeat").groupBy("doc").agg(F.collect_set("name").alias("windows")))
-    units = found.where(F.size("repeats") > 0).select("doc", "repeats")
-    marks = units.join(windows, "doc", "full")
-    judged = texts.join(marks, "doc", "left").select("doc", "packed", "repeats", "windows")
+    anchor = F.col("check") == 0
+    found = resolved(known.mapInArrow(_first(width), Gathered.SCHEMA)).where(anchor | F.col("repeat")).groupBy("doc")
+    found = found.agg(F.collect_set(F.when(anchor, F.col("name"))).alias("shared"), F.collect_set(F.when(~anchor, F.col("name"))).alias("repeats"))
+    # one query reads texts and names twice, by the same exchanges; in order of id, blocks are the same ones when a task is run again
+    asked = rows.mapInArrow(_packed_texts, "doc long, packed binary").join(found.hint("merge"), "doc", "left")
+    open_windows = asked.sortWithinPartitions("doc", "packed").mapInArrow(_second(width), Gathered.SCHEMA)
+    windows = resolved(open_windows).where("repeat").groupBy("doc").agg(F.collect_set("name").alias("windows"))
+    judged = asked.join(windows.hint("merge"), "doc", "left").select("doc", "packed", "repeats", "windows", F.size("shared").alias("asked"))
     return judged.mapInArrow(_last(width), "doc_id long, n_words long, n_removed long, kept_sha256 string")

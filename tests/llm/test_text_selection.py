@@ -171,16 +171,16 @@ def test_equal_windows_have_equal_anchors():
         for _ in range(2):
             words = [b"w%d" % x for x in draw.integers(0, 3, draw.integers(0, 30))] + passage + [b"w%d" % x for x in draw.integers(0, 3, draw.integers(0, 30))]
             p, _ = substrings.numbered([words], [0], 13)
-            p.parse()
-            for i in np.flatnonzero(p.whole).tolist():
-                assert seen.setdefault(tuple(words[i : i + 13]), p.anchor[i]) == p.anchor[i]
+            at, anchor = p.anchors()
+            for i, name in zip(at.tolist(), anchor.tolist(), strict=True):
+                assert seen.setdefault(tuple(words[i : i + 13]), name) == name
 
 
 def test_frequent_passages_send_a_row_a_block():
     """A name that all documents of a block hold is sent once; the others are known to be repeats without meeting any."""
     out = substrings.Gathered()
     name = np.array([3] * 500 + [4], dtype=np.uint64)
-    out.add(name, name, np.r_[np.arange(500)[::-1], 7])
+    out.add(name, name << np.uint64(40), np.r_[np.arange(500)[::-1], 7])
     rows = out.batch().to_pylist()
     assert [(r["name"], r["doc"], r["other"]) for r in rows if r["own"] is None] == [(3, 0, True), (4, 7, False)]
     assert sorted(r["doc"] for r in rows if r["own"] is not None) == list(range(1, 500))
