@@ -110,8 +110,19 @@ def all_of(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def report(metrics: DataFrame, title: str) -> str:
-    """A small result as a Markdown table, for a report file."""
-    rows = metrics.limit(1000).collect()
-    head = " | ".join(metrics.columns)
-    return "\n".join([f"# {title}", "", f"| {head} |", "|" + "-|" * len(metrics.columns), *(f"| {' | '.join(map(str, r))} |" for r in rows)])
+def write_report(metrics: DataFrame, root: str, title: str) -> DataFrame:
+    """A report bundle in a new folder: all rows as JSON, and as a Markdown table in order of their columns; the manifest (part, rows, digest) is written last.
+
+    Spark writes every row, however many there are; the parts' digests are those of what is read back.
+    """
+    spark, columns = metrics.sparkSession, metrics.columns
+    metrics.write.json(f"{root}/metrics")
+    cells = [F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")) for c in columns]
+    head = [f"# {title}", "", f"| {' | '.join(columns)} |", "|" + "-|" * len(columns)]
+    lines = spark.createDataFrame(list(enumerate(head, -len(head))), "place long, value string")
+    rows = metrics.select(F.lit(0).cast("long").alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+    lines.unionByName(rows).orderBy("place", "value").select("value").write.text(f"{root}/report")
+    parts = [("metrics", spark.read.schema(metrics.schema).json(f"{root}/metrics")), ("report", spark.read.text(f"{root}/report"))]
+    manifest = spark.createDataFrame([(name, int(mark.split(":")[0]), mark) for name, mark in ((n, table_digest(df)) for n, df in parts)], "part string, rows long, digest string")
+    manifest.coalesce(1).write.parquet(f"{root}/manifest")
+    return spark.read.parquet(f"{root}/manifest")

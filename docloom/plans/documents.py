@@ -85,3 +85,30 @@ def nearest_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = nodes.select("conv_id", F.col("pre").alias("owner"), "text")
     found = turns.join(owners, ["conv_id", "pre"]).join(depth, ["conv_id", "pre"]).join(own, ["conv_id", "owner"])
     return found.select("conv_id", "turn", F.col("tag").alias("owner"), "text", "around")
+
+
+def _order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_orderkey, html): each order as a page: its status and priority as headings, its lines as a table, a quote, and code in two forms."""
+    lines = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    row = F.format_string("<tr><td>%d<td>%d</td><td><b>%s</b> &amp; more", "l_partkey", F.col("l_quantity").cast("int"), "l_returnflag")
+    held = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", row.alias("row")))), lambda x: x["row"]), "")
+    tables = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(held.alias("rows"))
+    orders = read(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority").join(tables, "o_orderkey")
+    head = F.concat(F.lit("<!DOCTYPE html><title>Order</title><h1>Order "), "o_orderkey", F.lit("</h1><h3>"), "o_orderpriority", F.lit("</h3><table><thead><tr><th>part<th>quantity<th>flag</thead>"))
+    tail = F.concat(F.lit("</table><blockquote>of "), "o_orderstatus", F.lit("</blockquote><pre><code class='language-sql'>SELECT\n  "), "o_orderkey", F.lit("</code></pre><p>see <code>x</code> and"))
+    return orders.select("o_orderkey", F.concat(head, "rows", tail).alias("html"))
+
+
+@query("s12_tables", """SELECT l_orderkey AS o_orderkey, r::INTEGER AS "row", unnest([0, 1, 2])::INTEGER AS "column", false AS header, unnest([l_partkey::VARCHAR, l_quantity::INTEGER::VARCHAR, '& more']) AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS r FROM lineitem) WHERE l_orderkey IN (SELECT o_orderkey FROM orders)
+UNION ALL SELECT o_orderkey, 0, unnest([0, 1, 2])::INTEGER, true, unnest(['part', 'quantity', 'flag']) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = materialized(parse.parsed(_order_pages(spark, sf_dir), parse.html_nodes, "html", parse.NODES, ("o_orderkey",)))
+    return structure.table_cells(nodes, "o_orderkey").select("o_orderkey", "row", "column", "header", "text")
+
+
+@query("s12_typed_blocks", """SELECT o_orderkey, unnest(['title', 'heading', 'heading', 'quote', 'code', 'paragraph']) AS kind, unnest([0, 1, 3, 0, 0, 0])::BIGINT AS level, unnest(['Order', 'Order ' || o_orderkey, o_orderpriority, 'of ' || o_orderstatus, 'SELECT' || chr(10) || '  ' || o_orderkey, 'see x and']) AS text FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+def typed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles, headings with their level, quotes, code with its line ends, and paragraphs, of pages that have all of them."""
+    blocks = parse.parsed(_order_pages(spark, sf_dir), parse.html_blocks, "html", parse.BLOCKS, ("o_orderkey",))
+    return blocks.where("kind <> 'cell'").select("o_orderkey", "kind", "level", "text")

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.base import r6, read, shared_folder
-from docloom.operators import aggregates, filters, profile, retrieval, windows
+from docloom.operators import aggregates, filters, pipelines, profile, retrieval, windows
 from docloom.plans.registry import query
-from docloom.sources import office, parse, sinks, tables
+from docloom.sources import parse, sinks, tables
 
 
 def fresh(spark: SparkSession) -> str:
@@ -188,3 +187,12 @@ def scoped_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     grants = spark.createDataFrame([("src1", "me", "read"), ("src2", "me", "read"), ("src3", "me", "read"), ("src5", "me", "write")], "source string, subject string, permission string")
     docs = read(spark, sf_dir, "documents", "doc_id", "source").where(F.col("source").isin("src1", "src2", "src5"))
     return relational.visible(docs, grants, "me", "source")
+
+
+@query("k13_report", """WITH m AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL) SELECT '| ' || l_suppkey || ' | ' || l_returnflag || ' | ' || n || ' |' AS line FROM m UNION ALL SELECT unnest(['# Lines', '', '| l_suppkey | l_returnflag | n |', '|-|-|-|'])""")
+def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report bundle of all suppliers' lines, written and read again."""
+    root = fresh(spark)
+    metrics = read(spark, sf_dir, "lineitem", "l_suppkey", "l_returnflag").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"))
+    pipelines.write_report(metrics, f"{root}/bundle", "Lines")
+    return spark.read.text(f"{root}/bundle/report").withColumnRenamed("value", "line")

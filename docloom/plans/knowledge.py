@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.base import micros, r6, read
-from docloom.operators import filters, folds, knowledge, layout, materials, relational, windows
+from docloom.operators import filters, folds, knowledge, layout, relational, windows
 from docloom.plans.registry import query
 
 STATES = "['verified', 'rejected', 'pending', 'unverified']"

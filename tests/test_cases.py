@@ -14,7 +14,7 @@ from tests.compare import value
 
 from docloom.functions import formulas
 from docloom.functions import text as T
-from docloom.operators import aggregates, control, evaluation, filters, folds, knowledge, layout, materials, pipelines, relational, windows
+from docloom.operators import aggregates, control, filters, folds, knowledge, layout, materials, pipelines, relational, windows
 from docloom.sources import office, parse, sinks, tables
 
 Given = Callable[..., DataFrame]

@@ -1,6 +1,5 @@
 """Operators on small tables: folds, joins, knowledge, control, evaluation."""
 
-import itertools
 
 import pytest
 from hypothesis import given, settings

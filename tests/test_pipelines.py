@@ -78,7 +78,7 @@ def test_workflows(spark):
         pipelines.until_stable(numbers, lambda df: df.select((F.col("n") + 1).alias("n")), 3)
 
 
-def test_stores_and_times(spark):
+def test_stores_and_times(spark, tmp_path):
     chunks = spark.createDataFrame([(1, "t", ["a", "b"], None)], "id int, text string, tags array<string>, lang string")
     row = pipelines.chunk_store(chunks, "id", "text", ["tags", "lang"]).first()
     assert row.metadata == {"tags": "a,b"} and row.id == "1"
@@ -86,5 +86,9 @@ def test_stores_and_times(spark):
     assert [r.x and r.x.isoformat() for r in times.select(pipelines.parsed_times(F.col("t")).alias("x")).collect()] == ["2024-01-02T00:00:00", "2024-02-03T00:00:00", None]
     with pytest.raises(Exception, match="no time"):
         spark.createDataFrame([("soon",)], "t string").select(pipelines.parsed_times(F.col("t"))).collect()
-    assert pipelines.report(chunks.select("id"), "R") == "# R\n\n| id |\n|-|\n| 1 |"
+    metrics = spark.createDataFrame([(i, "a|b" if i % 2 else None) for i in range(2500)], "n long, t string")
+    manifest = {r.part: r.rows for r in pipelines.write_report(metrics, f"{tmp_path}/report", "R").collect()}
+    assert manifest == {"metrics": 2500, "report": 2504}
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/report/report").collect()]
+    assert {"# R", "| n | t |", "|-|-|", r"| 1 | a\|b |", "| 2 |  |"} <= set(lines)
     assert list(parse.text_blocks("a\n\n\nb"))[1][4] == "b"
