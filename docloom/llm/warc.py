@@ -7,13 +7,16 @@ repeated run gives the same ones. A page is read once from left to right, in tim
 from __future__ import annotations
 
 import gzip
+import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from docloom.llm.common import slices
@@ -103,33 +106,44 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     )
 
 
+#: Digests that a source states of itself.
+GIVEN = ("given_block_digest", "given_payload_digest")
+
+
 def derive(records: DataFrame) -> DataFrame:
     """Two rows per response: its metadata record and its conversion record, both with refers_to set to the response's id.
 
     records: source_id, record_id, target_uri, date, headers (array of name and value) and block (HTML), as responses() and
-    read_archives() give them; other columns are left out. source_digest is the digest of the response's block, source_headers
+    read_archives() give them; other columns are left out. Of archives these come too, and are used where they are: raw_digest, the digest of the
+    payload as it lies in the archive, in place of the block's; given_block_digest and given_payload_digest, which the source states and which are kept;
+    form: of "other" no text is made, so it has its metadata record alone, and "plain" is text as it stands. source_digest is the digest of the response's block, source_headers
     its headers, one "name: value" per line; both are kept in either record. A null block counts as empty, a null target stays
     null. Pages of any length and brokenness take time in proportion to their length. Rows stand alone: equal responses give
     equal derivatives, and an empty table gives none.
     """
-    html = F.coalesce("block", F.lit(""))
+    block = F.coalesce("block", F.lit(""))
+    there = [c for c in GIVEN if c in records.columns]
+    form = F.col("form") if "form" in records.columns else F.lit("html")
+    own = F.coalesce("raw_digest", digest(block)) if "raw_digest" in records.columns else digest(block)
     base = with_text(records.select(
-        "source_id", F.col("record_id").alias("refers_to"), "target_uri", "date", digest(html).alias("source_digest"), html.alias("html"),
-        F.array_join(F.transform(F.coalesce("headers", F.array()), lambda h: F.concat_ws(": ", h["name"], h["value"])), "\n").alias("source_headers"),
+        "source_id", F.col("record_id").alias("refers_to"), "target_uri", "date", own.alias("source_digest"), block.alias("body"), form.alias("form"), *there,
+        F.when(form == "html", block).otherwise("").alias("html"), F.array_join(F.transform(F.coalesce("headers", F.array()), lambda h: F.concat_ws(": ", h["name"], h["value"])), "\n").alias("source_headers"),
     ))
+    base = base.withColumn("text", F.when(F.col("form") == "plain", F.col("body")).otherwise(F.col("text")))
     fields = (
-        ("title", F.col("title")), ("source-length", F.octet_length("html")), ("text-length", F.octet_length("text")),
+        ("title", F.col("title")), ("source-length", F.octet_length("body")), ("text-length", F.octet_length("text")),
         ("links", F.col("links")), ("source-digest", F.col("source_digest")),
     )
     described = F.concat_ws("\r\n", *(F.concat(F.lit(f"{name}: "), value.cast("string")) for name, value in fields))
     record = lambda kind, content, block: F.struct(F.lit(kind).alias("type"), F.lit(content).alias("content_type"), block.alias("block"))
-    both = F.array(record("metadata", "application/warc-fields", described), record("conversion", "text/plain", F.col("text")))
-    rows = base.select("source_id", "refers_to", "target_uri", "date", "source_digest", "source_headers", F.explode(both).alias("r"))
+    alone, text = record("metadata", "application/warc-fields", described), record("conversion", "text/plain", F.col("text"))
+    both = F.when(F.col("form") == "other", F.array(alone)).otherwise(F.array(alone, text))
+    rows = base.select("source_id", "refers_to", "target_uri", "date", "source_digest", "source_headers", *there, F.explode(both).alias("r"))
     kind, block = F.col("r.type"), F.col("r.block")
     return rows.select(
         "source_id", kind.alias("warc_type"), record_id("derivative", F.col("refers_to"), kind).alias("record_id"), "refers_to", "target_uri", "date",
         F.col("r.content_type").alias("content_type"), F.octet_length(block).cast("long").alias("content_length"), digest(block).alias("block_digest"),
-        "source_digest", "source_headers", block.alias("block"),
+        "source_digest", "source_headers", block.alias("block"), *there,
     )
 
 
@@ -145,8 +159,9 @@ def serialized(derived: DataFrame) -> DataFrame:
 
     The source's digest stands in X-Source-Digest, and each of its headers in a line X-Source-Header.
     """
+    stated = [F.concat(F.lit(f"X-{c.replace('_', '-').title()}: "), F.col(c)) for c in GIVEN if c in derived.columns]
     sources = F.transform(F.filter(F.split("source_headers", "\n"), lambda h: h != ""), lambda h: F.concat(F.lit("X-Source-Header: "), h))
-    head = F.concat_ws("\r\n", F.lit("WARC/1.1"), *(F.concat(F.lit(f"{name}: "), F.col(c).cast("string")) for name, c in LINES), sources)
+    head = F.concat_ws("\r\n", F.lit("WARC/1.1"), *(F.concat(F.lit(f"{name}: "), F.col(c).cast("string")) for name, c in LINES), *stated, sources)
     return derived.select("source_id", "warc_type", F.concat(head, F.lit("\r\n\r\n"), "block", F.lit("\r\n\r\n")).alias("record"))
 
 
@@ -174,15 +189,71 @@ def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, data[start:at]
 
 
+#: Media types beside text/* whose payload is text.
+TEXTUAL = ("application/xhtml+xml", "application/xml", "application/json", "application/javascript")
+CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9._:-]+)", re.IGNORECASE)
+
+
+def _unchunked(body: bytes) -> bytes:
+    """The payload of a chunked message; what isn't chunked after all stays as it is."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = body[at:end].split(b";")[0].strip()
+        if not re.fullmatch(b"[0-9A-Fa-f]{1,15}", size):
+            return body
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        if end + 2 + n > len(body):
+            return body
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return body
+
+
+def payload_of(headers: dict[str, str], body: bytes) -> tuple[bytes, str, str]:
+    """(payload, form, text) of an HTTP message, by its headers (names in lower case): transfer and content codings undone, the text in its charset.
+
+    form is html, plain, or other, which has no text. Without a Content-Type, a payload with a NUL is other, one with a "<" is html. A coding that the payload
+    doesn't have is not undone. The charset is that of the header, else of a meta tag at the start, else UTF-8; bytes that are wrong in it turn into U+FFFD.
+    """
+    if "chunked" in headers.get("transfer-encoding", "").lower():
+        body = _unchunked(body)
+    for coding in reversed(headers.get("content-encoding", "").lower().replace(" ", "").split(",")):
+        try:
+            body = gzip.decompress(body) if coding in ("gzip", "x-gzip") else zlib.decompress(body) if coding == "deflate" else body
+        except (OSError, EOFError, zlib.error):
+            break
+    kind, _, parameters = headers.get("content-type", "").partition(";")
+    kind = kind.strip().lower()
+    if kind in ("text/html", "application/xhtml+xml"):
+        form = "html"
+    elif kind:
+        form = "plain" if kind.startswith("text/") or kind in TEXTUAL or kind.endswith(("+xml", "+json")) else "other"
+    else:
+        form = "other" if b"\0" in body[:1024] else "html" if b"<" in body[:1024] else "plain"
+    if form == "other":
+        return body, form, ""
+    named = CHARSET.search(parameters) or CHARSET.search(body[:1024].decode("latin-1") if form == "html" else "")
+    try:
+        text = body.decode(named[1] if named else "utf-8", "replace")
+    except LookupError:
+        text = body.decode("utf-8", "replace")
+    return body, form, text
+
+
 def read_archives(files: DataFrame) -> DataFrame:
     """Response records of WARC files, a table with a column `content` as spark.read.format("binaryFile") gives it.
 
-    A row per record of type response, with the header of the HTTP message taken off; source_id is its record id. Bytes that are
-    not UTF-8 turn into U+FFFD. A file is held by one task, so files should be of the usual size, about a gigabyte at most.
+    A row per record of type response, with the header of the HTTP message taken off and its codings undone (payload_of()); source_id is its record id.
+    raw_digest is that of the message's body as it lies in the archive; the digests that the record states are kept beside it. A file is held by
+    one task, so files should be of the usual size, about a gigabyte at most.
     """
-    schema = "source_id string, record_id string, target_uri string, date string, headers array<struct<name: string, value: string>>, block string"
-    kinds = [pa.string()] * 4 + [pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])), pa.string()]
-    names = ["source_id", "record_id", "target_uri", "date", "headers", "block"]
+    schema = StructType.fromDDL(
+        "source_id string, record_id string, target_uri string, date string, headers array<struct<name: string, value: string>>, block string, "
+        "raw_digest string, given_block_digest string, given_payload_digest string, form string"
+    )
+    kinds = [to_arrow_type(f.dataType) for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +263,9 @@ def read_archives(files: DataFrame) -> DataFrame:
                         continue
                     head, _, body = block.partition(b"\r\n\r\n")
                     headers = [{"name": name, "value": value} for name, value in _fields(head)]
+                    _, form, text = payload_of({h["name"].lower(): h["value"] for h in headers}, body)
                     known = [fields.get(x) for x in ("warc-record-id", "warc-record-id", "warc-target-uri", "warc-date")]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((*known, headers, body.decode("utf-8", "replace")), kinds, strict=True)], names)
+                    row = (*known, headers, text, f"sha256:{hashlib.sha256(body).hexdigest()}", fields.get("warc-block-digest"), fields.get("warc-payload-digest"), form)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], schema.names)
 
     return files.select("content").mapInArrow(run, schema)
