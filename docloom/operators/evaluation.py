@@ -96,7 +96,7 @@ def integrity(child: DataFrame, parent: DataFrame, child_key: str, parent_key: s
 
 
 def named_formulas(df: DataFrame, column: str, prefix: str) -> DataFrame:
-    """The rows with the named tree of a formula as columns prefix_normal, prefix_root, prefix_size, prefix_inner, prefix_tree, prefix_error."""
+    """The rows with the named tree of a formula as columns prefix_normal, prefix_root, prefix_canonical, prefix_size, prefix_inner, prefix_tree, prefix_error."""
     named = df.withColumn("_f", formulas.named_formula(F.col(column)))
     return named.select(*df.columns, *(F.col(f"_f.{c}").alias(f"{prefix}_{c}") for c in formulas.NAMED.names))
 
@@ -117,7 +117,7 @@ def formula_verdicts(cases: DataFrame) -> DataFrame:
     """Cases (status, reference, prediction, parts) with verdict, differences and sound added.
 
     The verdict is the first that holds: ambiguous; for an absent reference absent or unexpected; missing; exact; normalized; structural, where the trees are equal;
-    partial, where the prediction is one of the reference's parts; different; and not_evaluable where a formula that must be read can't be.
+    equivalent, where their canonical forms are; partial, where the prediction is one of the reference's parts; different; and not_evaluable where a formula that must be read can't be.
     parts: formulas (array of strings) that count as a part of the answer; each must be a proper subtree of the reference, else sound is false and it counts for nothing. A null or
     empty array has none.
     """
@@ -132,7 +132,7 @@ def formula_verdicts(cases: DataFrame) -> DataFrame:
         F.when(F.col("status") == "ambiguous", "ambiguous").when(absent, F.when(F.col("prediction").isNull(), "absent").otherwise("unexpected"))
         .when(F.col("prediction").isNull(), "missing").when(F.col("reference") == F.col("prediction"), "exact").when(F.col("_r_normal") == F.col("_p_normal"), "normalized")
         .when(F.col("_r_root").isNull() | F.col("_p_root").isNull(), "not_evaluable").when(F.col("_r_root") == F.col("_p_root"), "structural")
-        .when(F.array_contains("_roots", F.col("_p_root")), "partial").otherwise("different")
+        .when(F.col("_r_canonical") == F.col("_p_canonical"), "equivalent").when(F.array_contains("_roots", F.col("_p_root")), "partial").otherwise("different")
     )
     rows = rows.withColumn("verdict", verdict)
     unlike = F.col("verdict").isin("partial", "different")

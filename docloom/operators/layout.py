@@ -137,6 +137,51 @@ def line_classes(lines: DataFrame) -> DataFrame:
     return fold(lines, ["page"], ["line"], step, "page long, line long, class string")
 
 
+#: Starts of numbered paragraphs, of bullets, and of bullets by a Roman number alone, which must be indented.
+NUMBERED, BULLET, ROMAN = r"^\s*\d+\.\d+\s", r"(?i)^\s*([-–•▪●]|[a-z]\)|\([ivxlcdm]+\))\s+\S", r"(?i)^\s*[ivxlcdm]+\s+\S"
+#: Tolerances in points: of a left edge, of a level's indent, of an indent that goes on, between lines of a paragraph; the least points of a heading; a full line's share.
+EDGE, LEVEL, DEEPER, LEADING, HEADING, FULL = 5.0, 10.0, 5.0, 15.0, 2, 0.6
+
+
+def page_line_classes(lines: DataFrame) -> DataFrame:
+    """(page, line, class) by ordered rules, from lines (page, line, text, x0, y0, left, rel_width, score, contents, margin, footnote).
+
+    The first rule that holds counts: a numbered paragraph is body; a bullet has level 1 or 2 by its indent against the bullet before; a line that goes on from a
+    body or bullet line (near below, no shallower) has its class; then heading by score, line of contents, sentence end (body), margin, footnote; of the others
+    a left-aligned line is body if it fills the column, or goes on in small letters or digits close below a body line. What is left is other. left is the page's
+    indent; score, contents, margin and footnote are the predicates of a line alone. Lines with a null text are other.
+    """
+    text = F.col("text")
+    bullet = F.regexp_like(text, F.lit(BULLET)) | (F.regexp_like(text, F.lit(ROMAN)) & (F.col("x0") > F.col("left") + 15))
+    alone = F.when(F.regexp_like(text, F.lit(NUMBERED)), "body").when(bullet, "bullet")
+    after = (
+        F.when(text.isNull(), "other").when(F.col("score") >= HEADING, "heading").when(F.col("contents"), "contents").when(F.regexp_like(text, F.lit(r"[.!?]\s*$")), "body")
+        .when(F.col("margin"), "margin").when(F.col("footnote"), "footnote").when(F.abs(F.col("x0") - F.col("left")) >= EDGE, "other").when(F.col("rel_width") > FULL, "body")
+        .when(F.regexp_like(text, F.lit(r"^[\p{Ll}\p{Nd}]")), "open").otherwise("other")
+    )
+    rows = lines.select("page", "line", F.col("x0").cast("double").alias("x0"), F.col("y0").cast("double").alias("y0"), alone.alias("alone"), after.alias("after"))
+
+    def step(group: list[dict]) -> Iterator[dict]:
+        last, indent = None, None  # the line before with its class; where the last bullet stood
+        for r in group:
+            gap = abs(r["y0"] - last["y0"]) if last else None
+            if r["alone"] == "bullet":
+                now = "bullet_2" if indent is not None and r["x0"] > indent + LEVEL else "bullet_1"
+                indent = r["x0"]
+            elif r["alone"]:
+                now = r["alone"]
+            elif last and last["class"] in ("body", "bullet_1", "bullet_2") and gap < 1.5 * LEADING and r["x0"] >= last["x0"] - DEEPER:
+                now = last["class"]
+            elif r["after"] == "open":
+                now = "body" if last and last["class"] == "body" and gap < LEADING else "other"
+            else:
+                now = r["after"]
+            last = {**r, "class": now}
+            yield {"page": r["page"], "line": r["line"], "class": now}
+
+    return fold(rows, ["page"], ["line"], step, "page long, line long, class string")
+
+
 def page_metadata(words: DataFrame, key: str = "page") -> DataFrame:
     """Type sizes, fonts, share of bold words and outer indents of each page, from words (x_start, x_end, size, font, is_bold)."""
     return words.groupBy(key).agg(

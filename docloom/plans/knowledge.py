@@ -251,6 +251,26 @@ def line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("page", "line", score.alias("score"), layout.margin_line(n % 20 / 20, text).alias("margin"), layout.contents_line(F.concat(text, F.lit(" . . . 7"))).alias("contents"))
 
 
+PLACED = rf"""WITH RECURSIVE {LINES}, p AS (SELECT page, line, CASE line % 9 WHEN 0 THEN '1.2 ' WHEN 2 THEN '• ' WHEN 3 THEN 'b) ' WHEN 5 THEN 'iv ' ELSE '' END || text AS text, CASE WHEN line % 4 = 3 THEN 90.0 WHEN line % 11 = 5 THEN 72.0 ELSE 50.0 END AS x0, y0 + CASE WHEN line % 8 = 7 THEN 20 ELSE 0 END AS y0 FROM h),
+f AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY line) AS i, CASE WHEN regexp_matches(text, '^\s*\d+\.\d+\s') THEN 'body' WHEN regexp_matches(text, '^\s*([-–•▪●]|[a-z]\)|\([ivxlcdm]+\))\s+\S', 'i') OR (regexp_matches(text, '^\s*[ivxlcdm]+\s+\S', 'i') AND x0 > 65) THEN 'bullet' END AS alone,
+CASE WHEN line % 13 = 7 THEN 'heading' WHEN line % 17 = 4 THEN 'contents' WHEN regexp_matches(text, '[.!?]\s*$') THEN 'body' WHEN line % 19 = 1 THEN 'margin' WHEN line % 23 = 6 THEN 'footnote' WHEN x0 - 50 >= 5 THEN 'other' WHEN length(text) / 100.0 > 0.6 THEN 'body' WHEN regexp_matches(text, '^[\p{{Ll}}\p{{Nd}}]') THEN 'open' ELSE 'other' END AS later FROM p)"""
+
+
+@query("p26_page_lines", rf"""{PLACED}, r AS (SELECT page, i, line, x0, y0, CASE WHEN alone = 'bullet' THEN 'bullet_1' WHEN alone IS NOT NULL THEN alone WHEN later = 'open' THEN 'other' ELSE later END AS class, CASE WHEN alone = 'bullet' THEN x0 END AS bx FROM f WHERE i = 1
+UNION ALL SELECT f.page, f.i, f.line, f.x0, f.y0, CASE WHEN f.alone = 'bullet' THEN CASE WHEN f.x0 > r.bx + 10 THEN 'bullet_2' ELSE 'bullet_1' END WHEN f.alone IS NOT NULL THEN f.alone WHEN r.class IN ('body', 'bullet_1', 'bullet_2') AND abs(f.y0 - r.y0) < 22.5 AND f.x0 >= r.x0 - 5 THEN r.class
+WHEN f.later = 'open' THEN CASE WHEN r.class = 'body' AND abs(f.y0 - r.y0) < 15 THEN 'body' ELSE 'other' END ELSE f.later END, CASE WHEN f.alone = 'bullet' THEN f.x0 ELSE r.bx END FROM r JOIN f ON f.page = r.page AND f.i = r.i + 1) SELECT page, line, class FROM r""")
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents at places of their own, some with the starts of numbered paragraphs and bullets."""
+    n = F.col("line")
+    start = F.when(n % 9 == 0, "1.2 ").when(n % 9 == 2, "• ").when(n % 9 == 3, "b) ").when(n % 9 == 5, "iv ").otherwise("")
+    lines = _lines(spark, sf_dir).withColumn("text", F.concat(start, "text")).withColumn("x0", F.when(n % 4 == 3, 90.0).when(n % 11 == 5, 72.0).otherwise(50.0))
+    rows = lines.select(
+        "page", "line", "text", "x0", (F.col("y0") + F.when(n % 8 == 7, 20).otherwise(0)).alias("y0"), F.lit(50.0).alias("left"), (F.length("text") / 100).alias("rel_width"),
+        F.when(n % 13 == 7, 2).otherwise(1).alias("score"), (n % 17 == 4).alias("contents"), (n % 19 == 1).alias("margin"), (n % 23 == 6).alias("footnote"),
+    )
+    return layout.page_line_classes(rows)
+
+
 # --- words of pages ---------------------------------------------------------------------------------------------------------
 
 WORDS = "w AS (SELECT user_id AS page, event_id, round(value * 7, 3) AS x, round(value * 7 + 3, 3) AS x_end, event_id % 40 AS y FROM events)"

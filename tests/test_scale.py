@@ -222,7 +222,7 @@ def test_formula_verdicts(spark):
         ("a+", "b", None, None, "not_evaluable"), (None, None, "absent", None, "absent"), ("a", None, None, None, "missing"), ("a", "a", "ambiguous", None, "ambiguous"),
         (None, "a", "absent", None, "unexpected"), (r"\alpha+1", "α + 1", None, None, "normalized"), ("Γ(x)", r"\Gamma x", None, None, "structural"),
         ("a+b*c", "(b*c)", None, ["b*c"], "partial"), ("a+b*c", "b*c", None, ["a"], "different"), ("a+b*c", "b*c", None, None, "different"), ("a+b*c", "b*c", None, ["b*c", "b+c"], "partial"),
-        ("x^{a+b}", "a+b", None, ["a + b"], "partial"), ("a", "b", None, ["a"], "different"), ("a+b", "b", None, ["b", "("], "partial"),
+        ("x^{a+b}", "a+b", None, ["a + b"], "partial"), ("a", "b", None, ["a"], "different"), ("a+b", "b", None, ["b", "("], "partial"), ("a+b*c", "c*b + a", None, None, "equivalent"),
     ]
     df = spark.createDataFrame([(i, s, r, p, q) for i, (r, p, s, q, _) in enumerate(cases)], "i int, status string, reference string, prediction string, parts array<string>")
     found = sorted(evaluation.formula_verdicts(df).collect())
@@ -238,6 +238,17 @@ def test_containing_formulas(spark):
     assert collect(evaluation.containing(references, asked, "r", "p", "f")) == [("r", "p"), ("s", "p")]
 
 
+@pytest.mark.parametrize(
+    ("left", "right", "same"),
+    [
+        ("a+(b+c)", "(c+a)+b", True), ("a-b", "-b+a", True), ("a-(b-c)", "a+c-b", True), ("2*3*x", "6x", True), ("x=y+1", "1+y=x", True), ("a*(-b)", "-(a*b)", True), ("x+0", "x", True), ("1*x", "x", True),
+        ("a/b", "b/a", False), ("a-b", "b-a", False), ("x^2*3", "3^2*x", False), ("2(a+b)", "2a+2b", False), ("a<b", "b<a", False), ("x+1", "x+1.0", False), ("0*x", "0", True),
+    ],
+)
+def test_canonical_forms(left, right, same):
+    assert (formulas.canonical(formulas.parse(left)) == formulas.canonical(formulas.parse(right))) == same
+
+
 @pytest.mark.parametrize(("letter", "command"), [("α", r"\alpha"), ("λ", r"\lambda"), ("ς", r"\varsigma"), ("Ω", r"\Omega"), ("ϕ", "ϕ")])
 def test_greek_letters_are_commands(letter, command):
     assert formulas.normalized(letter) == [command]
