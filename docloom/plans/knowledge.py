@@ -135,12 +135,12 @@ def item_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.item_findings(rows).select("item_id.*", F.array_join("codes", ",").alias("codes"))
 
 
-@query("e17_plan_coverage", """WITH u AS (SELECT l_partkey AS f, count(*) AS n FROM lineitem WHERE l_discount > 0.08 GROUP BY ALL UNION ALL SELECT -o_orderkey, 1 FROM orders WHERE o_orderstatus = 'P')
+@query("e17_plan_coverage", """WITH u AS (SELECT l_partkey AS f, count(*) AS n FROM lineitem WHERE l_discount > 0.08 GROUP BY ALL UNION ALL SELECT -1 - o_orderkey, 1 FROM orders WHERE o_orderstatus = 'P')
 SELECT coalesce(p_partkey, f) AS fact_id, CASE WHEN p_partkey IS NULL THEN 'unknown' WHEN n IS NULL THEN 'unassigned' WHEN n > 1 THEN 'repeated' ELSE 'assigned' END AS state FROM part FULL JOIN u ON f = p_partkey""")
 def plan_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as facts, heavily reduced lines and open orders as chapters that claim them."""
     plan = read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_discount").where("l_discount > 0.08").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("fact_ids"))
-    other = read(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").where("o_orderstatus = 'P'").select("o_orderkey", F.array(-F.col("o_orderkey")).alias("fact_ids"))
+    other = read(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").where("o_orderstatus = 'P'").select("o_orderkey", F.array(-1 - F.col("o_orderkey")).alias("fact_ids"))
     return knowledge.plan_coverage(plan.union(other), read(spark, sf_dir, "part", F.col("p_partkey").alias("fact_id")))
 
 

@@ -112,10 +112,14 @@ def needs_visual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority").select("o_orderkey", seen.alias("visual"))
 
 
-@query("p22_evidence_types", rf"""WITH {LINES} SELECT doc_id, line, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)\bthe\b') THEN 'english' END, CASE WHEN regexp_matches(text, '(?i)\b(der|die|das)\b') THEN 'german' END, CASE WHEN regexp_matches(text, '\d{{2,}}') THEN 'number' END], lambda x: x IS NOT NULL), ',') AS types FROM l""")
+#: A word by itself, whatever its alphabet.
+ALONE = r"(?i)(^|[^\p{L}\p{N}])(%s)([^\p{L}\p{N}]|$)"
+EVIDENCE = {"english": ALONE % "the", "german": ALONE % "der|die|das", "number": "[0-9]{2,}"}
+
+
+@query("p22_evidence_types", f"""WITH {LINES} SELECT doc_id, line, array_to_string(list_filter([{', '.join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in EVIDENCE.items())}], lambda x: x IS NOT NULL), ',') AS types FROM l""")
 def evidence_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = filters.cues(F.col("text"), {"english": r"(?i)\bthe\b", "german": r"(?i)\b(der|die|das)\b", "number": r"\d{2,}"})
-    return _lines(spark, sf_dir).select("doc_id", "line", F.array_join(found, ",").alias("types"))
+    return _lines(spark, sf_dir).select("doc_id", "line", F.array_join(filters.cues(F.col("text"), EVIDENCE), ",").alias("types"))
 
 
 @query("p23_expression_verdict", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'rejected' WHEN l_linestatus = 'F' AND l_quantity >= 40 THEN 'accepted' WHEN l_quantity < 15 THEN 'rejected' ELSE 'review' END AS verdict FROM lineitem")
