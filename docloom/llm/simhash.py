@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 from xxhash import xxh64_intdigest
 
 from docloom.llm import golay
-from docloom.llm.common import SLICE_BYTES, cut_lineage, held_alone, hot_keys, lookup, slices, text_bytes, words_of
+from docloom.llm.common import ROWS_A_FILE, SLICE_BYTES, cut_lineage, held_alone, hot_keys, lookup, slices, text_bytes, words_of
 from docloom.llm.components import components
 
 SEED = 42
@@ -290,7 +290,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pairs = cut_lineage(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         n = pairs.count()
         needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-        some = cut_lineage(sets.join(needed, "fp", "left_semi"), TEXTS_A_FILE * n)
+        # only the texts that are needed are dealt and made different, to as many tasks as they fill
+        held = rows.select("fp", "packed").join(needed, "fp", "left_semi").repartition(TEXTS_A_FILE * n // ROWS_A_FILE + 1, "fp")
+        some = cut_lineage(held.dropDuplicates(["fp"]))
         left = lookup(pairs, some.withColumnRenamed("fp", "a"), "a")
         both = lookup(cut_lineage(left, TEXTS_A_FILE * n), some.select(F.col("fp").alias("b"), F.col("packed").alias("of")), "b")
         return cut_lineage(both.select("a", "b", "packed", "of").mapInArrow(_alike(width, similarity), "a long, b long"), TEXTS_A_FILE * n)
@@ -302,7 +304,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(text_col)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("key"), text.alias("text"))
     rows = cut_lineage(texts.mapInArrow(run, "doc long, key long, fp long, packed binary"))
-    sets = rows.select("fp", "packed").dropDuplicates(["fp"])
     first = rows.mapInArrow(_prefixes(_frequent(rows, width), width, similarity), "token long, fp long, size long, place long")
     schema = "token long, fp long, size long, place long, hub long, hub_size long, hub_place long"
     shared = cut_lineage(first.repartition("token").sortWithinPartitions("token", "place", "fp").mapInArrow(_shared, schema))
