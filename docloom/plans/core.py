@@ -392,7 +392,10 @@ def text_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.sha2(F.substring("text", 101, 400), 256).alias("part"))
 
 
-@query("t01_job_states", None)
+@query("t01_job_states", """WITH RECURSIVE t AS (SELECT user_id, event_type AS e, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 'new' AS state, 0::BIGINT AS taken FROM t UNION ALL SELECT t.user_id, t.i, CASE WHEN ok THEN t.e ELSE r.state END, r.taken + ok::BIGINT
+FROM r JOIN t ON t.user_id = r.user_id AND t.i = r.i + 1, LATERAL (SELECT list_contains(['new signup', 'new view', 'signup view', 'signup click', 'view click', 'view purchase', 'click purchase', 'click view', 'click error'], r.state || ' ' || t.e) AS ok))
+SELECT user_id, arg_max(state, i) AS state, max(taken) AS taken, max(i) - max(taken) AS refused FROM r GROUP BY user_id""")
 def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     moves = {"new": ("signup", "view"), "signup": ("view", "click"), "view": ("click", "purchase"), "click": ("purchase", "view", "error")}
     events = read(spark, sf_dir, "events", "user_id", "event_id", "event_type").withColumnsRenamed({"event_id": "seq", "event_type": "state"})

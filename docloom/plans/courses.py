@@ -122,7 +122,10 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materials.history(jobs, 5, 5, 2).select("job_id")
 
 
-@query("w09_token_windows", None)
+@query("w09_token_windows", r"""WITH b AS (SELECT item_id, length(text) AS n, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS t, regexp_split_to_array(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS g FROM benchmark),
+e AS (SELECT item_id, n, list_transform(range(1, len(t) + 1), lambda i: (list_sum(list_transform(t[1:i], lambda x: length(x))) + list_sum(list_transform(g[1:i], lambda x: length(x))))::BIGINT) AS e FROM b),
+c AS (SELECT item_id, list_concat([0], list_filter(list_transform(range(32, len(e) + 1, 32), lambda i: e[i]), lambda x: x < n AND x < e[-1]), [n]) AS c FROM e)
+SELECT item_id, (k - 1)::INTEGER AS chunk, c[k]::INTEGER AS start, c[k + 1]::INTEGER AS "end" FROM (SELECT *, unnest(range(1, len(c))) AS k FROM c)""")
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materials.token_windows(read(spark, sf_dir, "benchmark"), "text", 34).select("item_id", "chunk", "start", "end")
 
@@ -161,7 +164,9 @@ def line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.line_boxes(words).drop("height", "place")
 
 
-@query("j19_near_groups", None)
+@query("j19_near_groups", """WITH RECURSIVE b AS (SELECT p_brand AS page, p_partkey AS id, p_size * 20.0 AS x, p_retailprice AS y FROM part),
+e AS (SELECT a.id AS a, b.id AS b FROM b a JOIN b ON a.page = b.page AND a.x - 3 <= b.x + 5 AND b.x - 3 <= a.x + 5 AND a.y - 3 <= b.y + 5 AND b.y - 3 <= a.y + 5),
+r AS (SELECT id, id AS label FROM b UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.id) SELECT page, b.id AS path_id, min(label) AS "group" FROM b JOIN r USING (id) GROUP BY page, b.id""")
 def near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = read(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice", "p_brand")
     boxes = parts.select(F.col("p_brand").alias("page"), F.col("p_partkey").alias("path_id"), (F.col("p_size") * 20.0).alias("x0"), (F.col("p_size") * 20.0 + 5).alias("x1"), F.col("p_retailprice").alias("y0"), (F.col("p_retailprice") + 5).alias("y1"), F.lit(False).alias("background"))

@@ -136,7 +136,10 @@ def best_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.best_child(scored.select("label", "vec_id", "score"), "label", "vec_id")
 
 
-@query("r14_leader_clusters", None)
+@query("r14_leader_clusters", """WITH RECURSIVE t AS (SELECT label, vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings)),
+r AS (SELECT label, i, vec_id AS id, vec_id AS leader, [{'id': vec_id, 'v': v}] AS kept FROM t WHERE i = 1
+UNION ALL SELECT t.label, t.i, t.vec_id, coalesce(hit, t.vec_id), CASE WHEN hit IS NULL THEN list_append(r.kept, {'id': t.vec_id, 'v': t.v}) ELSE r.kept END
+FROM r JOIN t ON t.label = r.label AND t.i = r.i + 1, LATERAL (SELECT list_filter(r.kept, lambda k: list_inner_product(k.v, t.v) >= 0.9)[1].id AS hit)) SELECT label, id, leader FROM r""")
 def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return folds.leaders(vectors, "label", 0.9)
