@@ -17,6 +17,18 @@ def discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.groupBy("page_id").agg(F.count("*").alias("links"), F.count("section").alias("below_heading"))
 
 
+@query("s30_sections", """WITH s AS (SELECT conv_id, turn, role, max(CASE WHEN turn % 3 = 1 THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS h FROM conversations)
+SELECT conv_id, CASE WHEN h IS NOT NULL THEN 'Part ' || h END AS section, role AS title, 'w' || conv_id || '/' || turn || '.html' AS url FROM s""")
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as saved pages: a link per turn, a heading before every third; links before the first heading have no section."""
+    turns = read(spark, sf_dir, "conversations", "conv_id", "turn", "role")
+    heading = F.when(F.col("turn") % 3 == 1, F.format_string("<h2>Part <i>%d</i></h2>", "turn")).otherwise("")
+    line = F.concat(heading, F.format_string('<p>see <a class=x href="w%d/%d.html"> %s </a>.', "conv_id", "turn", "role"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"])
+    pages = turns.groupBy("conv_id").agg(F.array_join(parts, "\n").alias("html"))
+    return office.discovered(pages, "conv_id", "html").select("conv_id", "section", "title", "url")
+
+
 @query("m11_embedded", r"""WITH t AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS t FROM conversations),
 c AS (SELECT conv_id, turn, ('0x' || sha256(t)[64:64])::INTEGER AS i, count(*) AS n FROM t GROUP BY ALL), l AS (SELECT conv_id, turn, sqrt(sum(n * n)) AS len FROM c GROUP BY ALL)
 SELECT conv_id, turn, i, round(n / len, 6) AS v FROM c JOIN l USING (conv_id, turn)""")
