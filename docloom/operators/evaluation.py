@@ -95,22 +95,18 @@ def integrity(child: DataFrame, parent: DataFrame, child_key: str, parent_key: s
     return lost.groupBy(child_key).agg(F.count("*").alias("references"))
 
 
-def named_formulas(df: DataFrame, column: str, prefix: str) -> DataFrame:
-    """The rows with the named tree of a formula as columns prefix_normal, prefix_root, prefix_canonical, prefix_size, prefix_inner, prefix_tree, prefix_error."""
-    named = df.withColumn("_f", formulas.named_formula(F.col(column)))
-    return named.select(*df.columns, *(F.col(f"_f.{c}").alias(f"{prefix}_{c}") for c in formulas.NAMED.names))
-
-
-def formula_parts(references: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, part): the names of all proper subtrees of each formula."""
-    return named_formulas(references.select(key, column), column, "r").select(key, F.explode("r_inner").alias("part"))
+def formula_parts(references: DataFrame, key: str, column: str, sizes: list[int] | None = None) -> DataFrame:
+    """(key, part): the names of all proper subtrees of each formula, or of those with one of the sizes."""
+    return references.select(key, F.explode(formulas.part_names(F.col(column), sizes)).alias("part"))
 
 
 def containing(references: DataFrame, predictions: DataFrame, key: str, other: str, column: str, least: int = 2) -> DataFrame:
     """(key, other): each prediction with the references that hold it as a proper part, by an equality join of names; formulas of fewer than `least`
-    nodes, such as a single symbol, are left out."""
-    asked = named_formulas(predictions.select(other, column), column, "p").where(F.col("p_size") >= least)
-    return formula_parts(references, key, column).join(asked.select(other, F.col("p_root").alias("part")), "part").select(key, other)
+    nodes, such as a single symbol, are left out. Only parts of a size that is asked for are joined; a formula's tokens bound how many sizes there are."""
+    rooted = predictions.select(other, formulas.rooted_formula(F.col(column)).alias("_f"))
+    asked = materialized(rooted.select(other, F.col("_f.root").alias("part"), F.col("_f.size").alias("_size")).where(F.col("_size") >= least))
+    sizes = [r[0] for r in asked.select("_size").distinct().collect()]
+    return formula_parts(references, key, column, sizes).join(asked.select(other, "part"), "part").select(key, other)
 
 
 def formula_verdicts(cases: DataFrame) -> DataFrame:
@@ -121,20 +117,5 @@ def formula_verdicts(cases: DataFrame) -> DataFrame:
     parts: formulas (array of strings) that count as a part of the answer; each must be a proper subtree of the reference, else sound is false and it counts for nothing. A null or
     empty array has none.
     """
-    known = cases.withColumn("_id", F.monotonically_increasing_id())
-    known = materialized(named_formulas(named_formulas(known, "reference", "_r"), "prediction", "_p"))
-    parts = named_formulas(known.select("_id", F.explode("parts").alias("_part"), "_r_inner"), "_part", "_q")
-    proper = F.coalesce(F.array_contains("_r_inner", F.col("_q_root")), F.lit(False))
-    parts = parts.groupBy("_id").agg(F.collect_set(F.when(proper, F.col("_q_root"))).alias("_roots"), F.bool_and(proper).alias("_sound"))
-    rows = known.join(parts, "_id", "left")
-    absent = (F.col("status") == "absent") | F.col("reference").isNull()
-    verdict = (
-        F.when(F.col("status") == "ambiguous", "ambiguous").when(absent, F.when(F.col("prediction").isNull(), "absent").otherwise("unexpected"))
-        .when(F.col("prediction").isNull(), "missing").when(F.col("reference") == F.col("prediction"), "exact").when(F.col("_r_normal") == F.col("_p_normal"), "normalized")
-        .when(F.col("_r_root").isNull() | F.col("_p_root").isNull(), "not_evaluable").when(F.col("_r_root") == F.col("_p_root"), "structural")
-        .when(F.col("_r_canonical") == F.col("_p_canonical"), "equivalent").when(F.array_contains("_roots", F.col("_p_root")), "partial").otherwise("different")
-    )
-    rows = rows.withColumn("verdict", verdict)
-    unlike = F.col("verdict").isin("partial", "different")
-    found = formulas.tree_differences(F.when(unlike, F.col("_r_tree")), F.when(unlike, F.col("_p_tree")))
-    return rows.select(*cases.columns, "verdict", F.coalesce(found, F.array().cast("array<string>")).alias("differences"), F.coalesce("_sound", F.lit(True)).alias("sound"))
+    found = cases.withColumn("_f", formulas.formula_verdict("status", "reference", "prediction", "parts"))
+    return found.select(*cases.columns, "_f.verdict", "_f.differences", "_f.sound")

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import json
 import random
 from collections import Counter
 
@@ -232,6 +233,28 @@ def test_formula_verdicts(spark):
     assert evaluation.formula_verdicts(df.limit(0)).count() == 0
 
 
+def test_verdicts_move_no_rows(spark):
+    df = spark.createDataFrame([("confirmed", "a+b", "b", ["b"])], "status string, reference string, prediction string, parts array<string>")
+    assert "Exchange" not in evaluation.formula_verdicts(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_of_forms():
+    """Formulas that share a form but for their numbers have equal names just where their trees are equal."""
+    texts = [f.replace("A", a).replace("B", b) for f in (r"\frac{A}{x_B} + y", "A^B", "xA²", "x^{A2}", "(A) * B", "A.B", "A B", "-A₁₂", "[A|B|]") for a in ("1", "2", "12", "1.5") for b in ("2", "x", "1.5")]
+    named = {}
+    for text in texts:
+        found = formulas._nodes(text)
+        if found:
+            named[text] = (found[0][-1], json.dumps(formulas.parse(text)), len(set(found[0][:-1])))
+    assert len(named) > 60 and len({n for n, _, _ in named.values()}) == len({t for _, t, _ in named.values()}) == len({(n, t) for n, t, _ in named.values()})
+    assert all(formulas._nodes(t)[1].filled(formulas._nodes(t)[2]) == formulas.parse(t) for t in named)
+
+
+def test_parts_of_sizes(spark):
+    references = spark.createDataFrame([("r", r"\frac{1}{x_1} + y")], "r string, f string")
+    assert [evaluation.formula_parts(references, "r", "f", sizes).count() for sizes in (None, [5], [3, 5], [2])] == [5, 1, 2, 0]
+
+
 def test_containing_formulas(spark):
     references = spark.createDataFrame([("r", "a+b*c"), ("s", r"\frac{b*c}{2} + b*c"), ("t", "b*c"), ("u", "("), ("v", None)], "r string, f string")
     asked = spark.createDataFrame([("p", "(b * c)"), ("q", "b"), ("w", "2+2")], "p string, f string")
