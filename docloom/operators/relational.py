@@ -191,11 +191,10 @@ def companion(resources: DataFrame, lectures: DataFrame) -> DataFrame:
     """
     parent = resources.join(lectures.select(F.col("lecture_id").alias("parent_id")).distinct(), "parent_id").select("resource_id", F.col("parent_id").alias("lecture_id"), F.lit("parent").alias("status"))
     rest = resources.join(parent.select("resource_id"), "resource_id", "left_anti")
-    shared = rest.select("resource_id", F.explode_outer("sections").alias("section"))
-    shared = shared.join(lectures.select("lecture_id", F.explode("sections").alias("section")), "section", "left")
-    n = F.count_distinct("lecture_id")
-    by_section = shared.groupBy("resource_id").agg(
-        F.when(n == 1, F.min("lecture_id")).alias("lecture_id"),
-        F.when(n == 1, "section").when(n > 1, "ambiguous").otherwise("none").alias("status"),
-    )
+    # a section's lectures are one where the smallest and the largest are; so each section goes to its resources as one row
+    owners = lectures.select("lecture_id", F.explode("sections").alias("section")).groupBy("section").agg(F.min("lecture_id").alias("_low"), F.max("lecture_id").alias("_high"))
+    shared = rest.select("resource_id", F.explode_outer("sections").alias("section")).join(owners, "section", "left")
+    by_section = shared.groupBy("resource_id").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    one = F.col("_low") == F.col("_high")
+    by_section = by_section.select("resource_id", F.when(one, F.col("_low")).alias("lecture_id"), F.when(one, "section").when(~one, "ambiguous").otherwise("none").alias("status"))
     return parent.unionByName(by_section)

@@ -33,6 +33,18 @@ def test_companion(spark):
     assert got == {"r1": ("l1", "parent"), "r2": ("l1", "section"), "r3": (None, "ambiguous"), "r4": (None, "none")}
 
 
+def test_companion_of_large_sections(spark):
+    """A section's lectures aren't multiplied out by its resources: 2,000 by 2,000 would be 4 million rows."""
+    resources = spark.range(2000).selectExpr("id AS resource_id", "CAST(NULL AS long) AS parent_id", "array('s', IF(id = 7, 't', NULL)) AS sections")
+    lectures = spark.range(2000).selectExpr("id AS lecture_id", "array('s') AS sections").unionByName(spark.sql("SELECT 5L AS lecture_id, array('u') AS sections"))
+    assert [r.asDict()["n"] for r in relational.companion(resources, lectures).groupBy("status").agg(F.count("*").alias("n")).collect()] == [2000]
+    plan = relational.companion(resources, lectures)._jdf.queryExecution().optimizedPlan().toString()
+    left = plan[plan.index("Join LeftOuter") :]
+    assert "Aggregate [section" in left  # lectures are gathered by section before they meet resources
+    only = relational.companion(resources.where("resource_id = 7").withColumn("sections", F.array(F.lit("u"), F.lit("v"))), lectures)
+    assert [(r.lecture_id, r.status) for r in only.collect()] == [(5, "section")]
+
+
 def test_numbered_is_a_total_order(spark):
     rows = spark.range(1000).withColumn("x", (F.col("id") * 7919) % 1000)
     got = {r.x: r.number for r in numbered(rows, "x").collect()}
