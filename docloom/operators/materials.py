@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from docloom.functions import text as T
+from docloom.functions.base import materialized
 
 
 def source_page(sources: DataFrame, kind: str, part: str) -> DataFrame:
@@ -173,10 +174,25 @@ def required_actions(resources: DataFrame, files: DataFrame) -> DataFrame:
     return resources.join(have, "resource_id", "left").select("resource_id", action.alias("action"))
 
 
-def material_plan(resources: DataFrame, lectures: DataFrame) -> DataFrame:
-    """Each resource with the sorted lectures that share a section with it."""
-    pairs = resources.select("resource_id", F.explode_outer("sections").alias("s")).join(lectures.select("lecture_id", F.explode("sections").alias("s")), "s", "left")
-    return pairs.groupBy("resource_id").agg(F.sort_array(F.collect_set("lecture_id")).alias("lectures"))
+#: Lectures in all plans up to which these are sent to all executors.
+SENT_LECTURES = 4_000_000
+
+
+def material_plan(resources: DataFrame, lectures: DataFrame, separator: str | None = None) -> DataFrame:
+    """Each resource with the sorted lectures that share a section with it, as an array or, with a separator, as one text.
+
+    Lectures are gathered once for each set of sections that resources have, and resources look their set up; nothing is multiplied out by resource.
+    """
+    wanted = resources.select("resource_id", F.coalesce(F.array_sort(F.array_distinct(F.array_compact("sections"))), F.array().cast(resources.schema["sections"].dataType)).alias("_set"))
+    wanted = wanted.groupBy("resource_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_set")))).alias("_set"))
+    pairs = wanted.select("_set").distinct().select("_set", F.explode("_set").alias("s")).join(lectures.select("lecture_id", F.explode("sections").alias("s")), "s")
+    plans = materialized(pairs.groupBy("_set").agg(F.sort_array(F.collect_set("lecture_id")).alias("lectures")))
+    named = plans.agg(F.count("*"), F.sum(F.size("lectures"))).first()
+    none = F.array().cast(plans.schema["lectures"].dataType)
+    if separator is not None:
+        plans, none = plans.withColumn("lectures", F.array_join("lectures", separator)), F.lit("")
+    found = wanted.join(F.broadcast(plans) if max(named[0], named[1] or 0) <= SENT_LECTURES else plans, "_set", "left")
+    return found.select("resource_id", F.coalesce("lectures", none).alias("lectures"))
 
 
 def urls_by_index(files: DataFrame, urls: DataFrame, overwrite: bool = False) -> DataFrame:

@@ -54,7 +54,7 @@ def committed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def material_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     resources = read(spark, sf_dir, "customer", "c_custkey", "c_nationkey").select(F.col("c_custkey").alias("resource_id"), F.array("c_nationkey").alias("sections"))
     lectures = read(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey").select(F.col("s_suppkey").alias("lecture_id"), F.array("s_nationkey").alias("sections"))
-    return materials.material_plan(resources, lectures).select(F.col("resource_id").alias("c_custkey"), F.array_join("lectures", ",").alias("lectures"))
+    return materials.material_plan(resources, lectures, ",").withColumnRenamed("resource_id", "c_custkey")
 
 
 @query("j17_lecture_tasks", """WITH d AS (SELECT o_custkey, count(*) AS n, min(o_orderkey) AS k FROM orders GROUP BY o_custkey) SELECT coalesce(c_custkey, o_custkey) AS lecture_id, CASE WHEN n = 1 AND s_suppkey IS NOT NULL THEN k END AS resource_id,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.functions.base import numbered
-from docloom.operators import aggregates, control, evaluation, filters, folds, knowledge, profile, relational, retrieval, windows
+from docloom.operators import aggregates, control, evaluation, filters, folds, knowledge, profile, relational, retrieval, windows, materials
 
 
 def collect(df):
@@ -45,6 +45,16 @@ def test_companion_of_large_sections(spark):
     assert [(r.lecture_id, r.status) for r in only.collect()] == [(5, "section")]
 
 
+def test_material_plan_of_sets(spark):
+    resources = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "a", None]), (3, ["b"]), (4, []), (5, None), (6, ["z"]), (1, ["c"])], "resource_id long, sections array<string>")
+    lectures = spark.createDataFrame([(10, ["a", "c"]), (9, ["b"]), (11, ["b", "b"]), (12, None)], "lecture_id long, sections array<string>")
+    want = {1: [9, 10, 11], 2: [9, 10, 11], 3: [9, 11], 4: [], 5: [], 6: []}
+    assert {r.resource_id: r.lectures for r in materials.material_plan(resources, lectures).collect()} == want
+    assert {r.resource_id: r.lectures for r in materials.material_plan(resources, lectures, ",").collect()} == {k: ",".join(map(str, v)) for k, v in want.items()}
+    plan = materials.material_plan(resources, lectures)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan and "Generate explode" not in plan  # resources only look their set up
+
+
 def test_numbered_is_a_total_order(spark):
     rows = spark.range(1000).withColumn("x", (F.col("id") * 7919) % 1000)
     got = {r.x: r.number for r in numbered(rows, "x").collect()}
