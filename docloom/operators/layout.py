@@ -39,22 +39,52 @@ def best_overlap(boxes: DataFrame, others: DataFrame, key: str, other: str, cell
 def near_groups(paths: DataFrame, gap: float) -> DataFrame:
     """(page, path_id, group): boxes of a page that come within `gap` of one another, directly or through others. A background stands alone.
 
-    Pairs meet in cells of a grid, large boxes in large cells; labels move along them, and through the label's own label, until none changes.
+    Boxes that begin in one small cell are all near one another, so a cell is one node. Whether two cells hold a near pair is told by the boxes at their corners
+    (`_corners`), which are all that meet; labels of cells move along these pairs, and through the label's own label, until none changes.
     """
     near = paths.where(~F.col("background")).select("page", "path_id", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
-    grown = near.select("page", "path_id", *((F.col(c) + d).alias(c) for c, d in (("x0", -gap), ("y0", -gap), ("x1", gap), ("y1", gap))))
-    pairs = dyadic_pairs(grown, near, ["page"], BOX, max(gap, 1.0) * 16)
-    edges = materialized(pairs.select("page", "path_id", F.col("r_path_id").alias("_id")).distinct())
-    labels = materialized(edges.groupBy("page", "path_id").agg(F.min("_id").alias("group")))
+    side, place = gap / 2, lambda c: F.floor(F.col(c) / side).cast("double") if gap > 0 else F.col(c)
+    sound = F.coalesce((F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1")) & ~F.isnan("x0") & ~F.isnan("y0") & F.lit(gap >= 0), F.lit(False))
+    placed = near.withColumn("_x", F.when(sound, place("x0"))).withColumn("_y", F.when(sound, place("y0")))
+    cell = F.min("path_id").over(Window.partitionBy("page", "_x", "_y"))
+    held = placed.withColumn("_cell", F.when(F.col("_x").isNull(), F.col("path_id")).otherwise(cell))
+    held = materialized(held.withColumn("_first", F.min("_cell").over(Window.partitionBy("page", "path_id"))))
+    boxes, odd = held.select("page", "_cell", "x0", "y0", "x1", "y1"), held.where("_x IS NULL").select("page", "_cell", "x0", "y0", "x1", "y1")
+    grown = lambda rows: rows.select("page", "_cell", *((F.col(c) + d).alias(c) for c, d in (("x0", -gap), ("y0", -gap), ("x1", gap), ("y1", gap))))
+    meet = lambda left, right: dyadic_pairs(grown(left), right, ["page"], BOX, max(gap, 1.0) * 16).select("page", "_cell", "r__cell")
+    ends = _corners(held.where("_x IS NOT NULL"))
+    same = held.where("_first <> _cell").select("page", "_cell", F.col("_first").alias("r__cell"))  # boxes of one id
+    pairs = meet(ends, ends).unionByName(same).unionByName(same.select("page", F.col("r__cell").alias("_cell"), F.col("_cell").alias("r__cell")))
+    if not odd.isEmpty():  # boxes that end before they begin, and gaps below 0, go by pairs
+        pairs = pairs.unionByName(meet(odd, boxes)).unionByName(meet(boxes, odd))
+    edges = materialized(pairs.select("page", "_cell", F.col("r__cell").alias("_id")).distinct())
+    labels = materialized(edges.groupBy("page", "_cell").agg(F.min("_id").alias("group")))
     while True:
-        heard = edges.join(labels.select("page", F.col("path_id").alias("_id"), "group"), ["page", "_id"]).groupBy("page", "path_id").agg(F.min("group").alias("heard"))
-        step = labels.join(heard, ["page", "path_id"]).select("page", "path_id", F.col("group").alias("old"), F.least("group", "heard").alias("group"))
-        up = step.select("page", F.col("path_id").alias("group"), F.col("group").alias("top"))
-        step = materialized(step.join(up, ["page", "group"]).select("page", "path_id", "old", F.col("top").alias("group")))
-        labels = step.select("page", "path_id", "group")
+        heard = edges.join(labels.select("page", F.col("_cell").alias("_id"), "group"), ["page", "_id"]).groupBy("page", "_cell").agg(F.min("group").alias("heard"))
+        step = labels.join(heard, ["page", "_cell"]).select("page", "_cell", F.col("group").alias("old"), F.least("group", "heard").alias("group"))
+        up = step.select("page", F.col("_cell").alias("group"), F.col("group").alias("top"))
+        step = materialized(step.join(up, ["page", "group"]).select("page", "_cell", "old", F.col("top").alias("group")))
+        labels = step.select("page", "_cell", "group")
         if step.where("group <> old").isEmpty():
             alone = paths.where("background").select("page", "path_id", F.col("path_id").alias("group"))
-            return labels.union(alone)
+            return held.select("page", "path_id", "_cell").join(labels, ["page", "_cell"]).select("page", "path_id", "group").distinct().union(alone)
+
+
+def _corners(boxes: DataFrame) -> DataFrame:
+    """The boxes of each cell that none other of it goes beyond toward some corner; of equal boxes one.
+
+    Two boxes of different cells are ordered by where their cells lie, so on an axis only one of the two bounds counts: the end of the first against the beginning of the second.
+    If any pair of two cells is near, so is the pair of those that go farthest toward one another.
+    """
+    different = boxes.groupBy("page", "_cell", "_x", "_y", "x0", "y0", "x1", "y1").agg(F.count("*").alias("_n"))
+    kept = F.lit(False)
+    for x in ("x0", "-x1"):
+        for y in ("y0", "-y1"):
+            best = f"_{x}{y}"
+            before = Window.partitionBy("page", "_x", "_y").orderBy(F.expr(x), F.expr(y)).rowsBetween(Window.unboundedPreceding, -1)
+            different = different.withColumn(best, F.min(F.expr(y)).over(before))
+            kept = kept | F.col(f"`{best}`").isNull() | (F.expr(y) < F.col(f"`{best}`"))
+    return different.where(kept).select("page", "_cell", "x0", "y0", "x1", "y1")
 
 
 def paragraphs(lines: DataFrame, tolerance: float) -> DataFrame:

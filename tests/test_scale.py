@@ -84,6 +84,35 @@ def test_near_groups_of_boxes_of_all_sizes(spark):
     assert collect(layout.near_groups(spark.createDataFrame(rows, SCHEMA), gap)) == sorted(((r[0], r[1], label[r[1]]) for r in rows), key=repr)
 
 
+def _near_groups(rows, gap):
+    """near_groups() pair by pair; boxes of one id are one."""
+    plain = [r for r in rows if not r[6]]
+    label = {(r[0], r[1]): r[1] for r in rows}
+    for a, b in itertools.combinations(plain, 2):
+        if a[0] == b[0] and (a[1] == b[1] or (a[2] - gap <= b[4] and b[2] - gap <= a[4] and a[3] - gap <= b[5] and b[3] - gap <= a[5])):
+            low, high = sorted((label[a[:2]], label[b[:2]]))
+            label = {k: low if v == high and k[0] == a[0] else v for k, v in label.items()}
+    return sorted({(*r[:2], label[r[:2]]) for r in rows}, key=repr)
+
+
+@pytest.mark.parametrize("seed, gap, span, sizes", [(1, 3.0, 25, (0, 1, 2)), (2, 2.0, 60, (1, 5)), (3, 0.0, 12, (0, 1, 3)), (4, 7.0, 90, (2, 30))])
+def test_near_groups_of_crowded_boxes(spark, seed, gap, span, sizes):
+    draw, rows = random.Random(seed), []
+    for i in range(60):
+        x, y = draw.randrange(-span, span) / 2, draw.randrange(-span, span) / 2
+        rows.append((1 + i % 2, i // 2 if i < 50 else draw.randrange(20), x, y, x + draw.choice(sizes), y + draw.choice(sizes), False))
+    assert collect(layout.near_groups(spark.createDataFrame(rows, SCHEMA), gap)) == _near_groups(rows, gap)
+
+
+def test_copies_of_boxes_meet_once(spark):
+    """4,000 boxes at one place would be 16 million pairs."""
+    rows = spark.range(4000).selectExpr("1 AS page", "int(id) AS path_id", "id % 4 * 0.25 AS x0", "0D AS y0", "id % 4 + 1D AS x1", "5D AS y1", "false AS background")
+    held = rows.selectExpr("*", "0 AS _cell", "0D AS _x", "0D AS _y").drop("background")
+    assert layout._corners(held).count() <= 4
+    assert layout.near_groups(rows, 3.0).where("group = 0").count() == 4000
+
+
+
 # --- containment ---
 
 
