@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.functions import text
 from docloom.sources import parse, sinks, tables
 from docloom.streaming import events as stream
 
@@ -129,3 +130,11 @@ def test_streams(spark, tmp_path, sf_dir):
     assert states.select("user_id").distinct().count() == events.select("user_id").distinct().count()
     assert run(stream.first_requests(source, ["user_id"], "ts"), "f", "append").count() <= events.count()
     assert run(stream.sessions(source, "ts", "user_id"), "s", "append").count() >= 0
+
+
+def test_an_embedding_hashes_each_token_once(spark):
+    rows = spark.createDataFrame([("a b a",), ("Ä, 1",), ("",), (None,)], "t string")
+    vectors = [r.v for r in rows.select(text.hash_embedding(F.col("t")).alias("v")).collect()]
+    assert all(abs(sum(x * x for x in v) - 1) < 1e-9 for v in vectors[:2]) and vectors[2] == [0.0] * 16
+    plan = rows.select(text.hash_embedding(F.col("t")).alias("v"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("sha2(") == 1  # not once more in each lambda
