@@ -103,8 +103,8 @@ def _order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS r FROM lineitem) WHERE l_orderkey IN (SELECT o_orderkey FROM orders)
 UNION ALL SELECT o_orderkey, 0, unnest([0, 1, 2])::INTEGER, true, unnest(['part', 'quantity', 'flag']) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
 def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = materialized(parse.parsed(_order_pages(spark, sf_dir), parse.html_nodes, "html", parse.NODES, ("o_orderkey",)))
-    return structure.table_cells(nodes, "o_orderkey").select("o_orderkey", "row", "column", "header", "text")
+    cells = parse.parsed(_order_pages(spark, sf_dir), parse.html_cells, "html", parse.TABLE_CELLS, ("o_orderkey",))
+    return cells.select("o_orderkey", "row", "column", "header", "text")
 
 
 @query("s12_typed_blocks", """SELECT o_orderkey, unnest(['title', 'heading', 'heading', 'quote', 'code', 'paragraph']) AS kind, unnest([0, 1, 3, 0, 0, 0])::BIGINT AS level, unnest(['Order', 'Order ' || o_orderkey, o_orderpriority, 'of ' || o_orderstatus, 'SELECT' || chr(10) || '  ' || o_orderkey, 'see x and']) AS text FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")

@@ -132,6 +132,25 @@ def test_streams(spark, tmp_path, sf_dir):
     assert run(stream.sessions(source, "ts", "user_id"), "s", "append").count() >= 0
 
 
+def test_cells_of_nested_tables(spark):
+    page = "<tr><td>lost</td></tr><table><tr><th>a<td>b <table><tr><td>c<td>d<tr><td>e</table> f<tr><td>g</table><td>h<table><td>no row</table>"
+    pages = spark.createDataFrame([(1, page), (2, None), (3, "<p>")], "doc long, html string")
+    cells = parse.parsed(pages, parse.html_cells, "html", parse.TABLE_CELLS, ("doc",))
+    assert "Exchange" not in cells._jdf.queryExecution().executedPlan().toString()
+    found = {r.text: (r.table, r.row, r.column, r.header) for r in cells.collect()}
+    outer, inner = found["a"][0], found["c"][0]
+    assert outer < inner and found == {"a": (outer, 0, 0, True), "b f": (outer, 0, 1, False), "c": (inner, 0, 0, False), "d": (inner, 0, 1, False), "e": (inner, 1, 0, False), "g": (outer, 1, 0, False)}
+
+
+def test_parsed_rows_come_in_small_batches():
+    """However many rows a batch of texts, or one text, gives."""
+    rows = [(1, "x")] * 10_000 + [(2, "y" * 600_000)] * 5 + [(3, None)]
+    found = list(parse.batched(iter(rows)))
+    assert [r for part in found for r in part] == rows and all(0 < len(part) <= parse.BATCH_ROWS for part in found)
+    assert max(sum(len(r[1] or "") for r in part) for part in found) <= parse.BATCH_CHARACTERS + 600_000
+    assert list(parse.batched(iter([]))) == []
+
+
 def test_an_embedding_hashes_each_token_once(spark):
     rows = spark.createDataFrame([("a b a",), ("Ä, 1",), ("",), (None,)], "t string")
     vectors = [r.v for r in rows.select(text.hash_embedding(F.col("t")).alias("v")).collect()]
