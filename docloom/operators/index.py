@@ -13,6 +13,9 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +24,13 @@ from docloom.functions.base import SENT_ROWS, looked_up, materialized
 from docloom.operators.retrieval import K1, MAX_MATCHES, B, QueryError, check_page, phrases_of
 from docloom.sources.sinks import table_there
 
-#: Ranges of a source's digest, records of a block, and blocks of each source that a top-k search scores first.
-RANGES, BLOCK, FIRST_BLOCKS = 64, 128, 2
+#: Ranges of a source's digest, records of a block, blocks of a file, and blocks of each source that a top-k search scores first.
+RANGES, BLOCK, FILE_BLOCKS, FIRST_BLOCKS = 64, 128, 16, 2
 #: Names that a filter lists; beyond it they are joined.
 LISTED = 1000
 #: A score is rounded to six digits; a bound below a score by less than this may belong to an equal one.
 SLACK = 2e-6
-POSTING = "struct<record:bigint,length:int,at:array<int>>"
+POSTINGS = "content string, term string, block int, most double, n int, entries array<struct<record:bigint,length:int,at:array<int>>>"
 
 
 def leaves(records: DataFrame, source: str, record: str, text: str) -> DataFrame:
@@ -65,25 +68,51 @@ def update(records: DataFrame, path: str, source: str, record: str, text: str, l
     if not n:
         return 0
     named = missing.select(F.to_json(F.struct("source")).alias("_key"), "content")
-    rows = records.select(F.to_json(F.struct(F.col(source).alias("source"))).alias("_key"), F.col(source).alias("source"), F.col(record).cast("long").alias("record"), T.tokens(F.col(text)).alias("tokens"))
-    rows = looked_up(rows, named, "_key").drop("_key").withColumn("length", F.coalesce(F.size("tokens"), F.lit(0)))
-    sizes = rows.groupBy("content", "source").agg(F.count("*").alias("records"), F.avg("length").alias("mean"))
+    rows = records.select(F.to_json(F.struct(F.col(source).alias("source"))).alias("_key"), F.col(source).alias("source"), F.col(record).cast("long").alias("record"), F.col(text).alias("text"))
+    rows = looked_up(rows, named, "_key").drop("_key")
+    sizes = rows.groupBy("content", "source").agg(F.count("*").alias("records"), F.avg(F.coalesce(F.size(T.tokens(F.col("text"))), F.lit(0))).alias("mean"))
     sizes = materialized(sizes.withColumn("blocks", F.ceil(F.col("records") / BLOCK).cast("int")))
     rows = looked_up(rows, sizes.select("content", "mean", "blocks"), "content")
     block = F.pmod(F.xxhash64("record"), F.col("blocks")).cast("int")
-    tokens = rows.select("content", "source", "record", "length", "mean", block.alias("block"), F.posexplode("tokens").alias("pos", "term"))
-    held = tokens.groupBy("content", "source", "term", "block", "mean", "record", "length").agg(F.sort_array(F.collect_list("pos")).alias("at"))
-    one = F.struct("record", "length", "at")
-    impact = _impact(F.size("at"), F.col("length"), F.col("mean"))
-    postings = held.groupBy("content", "source", "term", "block").agg(F.max(impact).alias("most"), F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(one)).alias("entries"))
-    spread = F.pmod(F.xxhash64("term", (F.col("block") / 4096).cast("int")), F.lit(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)))
-    dealt = postings.repartition("content", spread).sortWithinPartitions("content", "term", "block")
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("content").parquet(f"{path}/postings")
+    # The texts move once and whole; all tokens of a file's blocks are then in one task.
+    dealt = rows.select("content", "mean", block.alias("block"), "record", "text").withColumn("file", (F.col("block") / FILE_BLOCKS).cast("int")).repartition("content", "file")
+    tokens = dealt.withColumn("tokens", T.tokens(F.col("text"))).drop("text")
+    postings = tokens.groupBy("content", "file").applyInArrow(_postings, POSTINGS)
+    ordered = postings.sortWithinPartitions("content", "term", "block")
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("content").parquet(f"{path}/postings")
     sizes.select("content", "source", "records", "mean", "blocks").coalesce(1).write.mode("append").parquet(f"{path}/parts")
     return n
 
 
-def _impact(tf: Column, length: Column, mean: Column) -> Column:
+def _postings(file: pa.Table) -> pa.Table:
+    """A row per term and block of one file's records, in this order: its largest impact, how many records hold it, and where. Rows that repeat a record at
+    its length are one entry."""
+    tokens, record, block = file.column("tokens").combine_chunks(), file.column("record"), file.column("block").to_numpy()
+    lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy()
+    held, of_row = np.unique(np.stack([block, record.is_valid().to_numpy(), pc.fill_null(record, 0).to_numpy(), lengths], axis=1, dtype=np.int64), axis=0, return_inverse=True)
+    words = tokens.flatten().dictionary_encode()
+    by_name = pc.sort_indices(words.dictionary).to_numpy()
+    place = np.empty(len(by_name), np.int32)
+    place[by_name] = np.arange(len(by_name), dtype=np.int32)
+    term, owner = place[words.indices.to_numpy()], np.repeat(of_row.reshape(-1).astype(np.int32), lengths)
+    pos = np.arange(len(term), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
+    order = np.lexsort((pos, owner, term))
+    term, owner, pos = term[order], owner[order], pos[order]
+    new = np.r_[True, (term[1:] != term[:-1]) | (owner[1:] != owner[:-1])][: len(term)]
+    starts = np.append(np.flatnonzero(new), len(term)).astype(np.int32)
+    term, (block, known, number, length) = term[starts[:-1]], held[owner[starts[:-1]]].T
+    new = np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])][: len(term)]
+    heads = np.append(np.flatnonzero(new), len(term)).astype(np.int32)
+    first = heads[:-1]
+    impact = _impact(np.diff(starts), length, file.column("mean")[0].as_py())
+    most = np.maximum.reduceat(impact, first) if len(first) else impact
+    one = pa.StructArray.from_arrays([pa.array(number, mask=known == 0), pa.array(length, pa.int32()), pa.ListArray.from_arrays(starts, pa.array(pos))], ["record", "length", "at"])
+    content = pa.repeat(file.column("content")[0], len(first))
+    columns = [content, words.dictionary.take(pa.array(by_name[term[first]])), pa.array(block[first], pa.int32()), pa.array(most), pa.array(np.diff(heads)), pa.ListArray.from_arrays(heads, one)]
+    return pa.table(columns, ["content", "term", "block", "most", "n", "entries"])
+
+
+def _impact(tf: Column | np.ndarray, length: Column | np.ndarray, mean: Column | float) -> Column | np.ndarray:
     """What a term adds to a record's score, but for its rarity; it grows with tf."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
@@ -107,8 +136,8 @@ class Search:
         self.single = all(len(p) == 1 for p in self.phrases)
         stored = table_there(spark, f"{path}/postings")
         if stored is None:
-            stored = spark.createDataFrame([], f"content string, source string, term string, block int, most double, n int, entries array<{POSTING}>")
-        self.postings = self._chosen(stored.where(F.col("term").isin(self.tokens)), self.parts.select("content"), "content").drop("source")
+            stored = spark.createDataFrame([], POSTINGS)
+        self.postings = self._chosen(stored.where(F.col("term").isin(self.tokens)), self.parts.select("content"), "content")
 
     def _by_part(self, rows: DataFrame, known: DataFrame) -> DataFrame:
         """Rows with what is known of their part, a row each: sent to all executors where the parts were counted to be few."""

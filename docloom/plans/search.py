@@ -39,8 +39,9 @@ def _search(spark: SparkSession, sf_dir: str, text: str, sources: list[str] | No
 @query("k06_stored_index", f"WITH t AS (SELECT source, {TOKENS} AS tok FROM documents), u AS (SELECT source, unnest(tok) AS term FROM t) SELECT source, term, count(*) AS n FROM u GROUP BY ALL")
 def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, live = _index(spark, sf_dir)
-    found = spark.read.parquet(f"{path}/postings").join(live.select("content"), "content", "left_semi")
-    return found.select("source", "term", F.explode("entries.at").alias("at")).groupBy("source", "term").agg(F.sum(F.size("at")).alias("n"))
+    found = spark.read.parquet(f"{path}/postings").join(live.select("content", "source"), "content")
+    times = F.aggregate("entries.at", F.lit(0).cast("long"), lambda n, at: n + F.size(at))
+    return found.groupBy("source", "term").agg(F.sum(times).alias("n"))
 
 
 @query("k07_parts", f"""WITH t AS (SELECT source, count(*) AS records, round(avg(len({TOKENS})), 6) AS mean FROM documents GROUP BY source) SELECT source, records, mean, ceil(records / 128)::INTEGER AS blocks FROM t""")

@@ -146,6 +146,33 @@ def test_a_search_sees_a_table_that_changes(spark, sf_dir, tmp_path):
         assert found == collect(catalog.QUERIES["r02_scan"](spark, str(tmp_path)))
 
 
+def shuffled_rows(spark):
+    """Rows that all stages so far have written for a shuffle."""
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_a_build_moves_records_and_not_tokens(spark, tmp_path):
+    draw = random.Random(3)
+    rows = [("ab"[i % 2], i, " ".join(f"w{draw.randrange(500)}" for _ in range(300))) for i in range(600)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    names = index.materialized(live(docs))
+    before = shuffled_rows(spark)
+    index.update(docs, str(tmp_path), *COLUMNS, names)
+    assert shuffled_rows(spark) - before < 2 * len(rows)
+
+
+def test_postings_of_repeated_and_nameless_records(spark, tmp_path):
+    docs = spark.createDataFrame([("s", 1, "b a b"), ("s", 1, "a c a"), ("s", None, "B"), ("s", 2, None), ("s", 3, "--")], SCHEMA)
+    built(docs, str(tmp_path))
+    found = spark.read.parquet(f"{tmp_path}/postings").orderBy("term").collect()
+    entries = {r.term: [tuple(e) for e in r.entries] for r in found}
+    assert entries == {"a": [(1, 3, [0, 1, 2])], "b": [(None, 1, [0]), (1, 3, [0, 2])], "c": [(1, 3, [1])]}
+    assert [(r.n, r.block) for r in found] == [(1, 0), (2, 0), (1, 0)]
+
+
 def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], SCHEMA)
     assert built(docs, str(tmp_path))[0] == 0
