@@ -186,8 +186,11 @@ def absorbance(v: Column) -> Column:
 def normal_variate(v: Column) -> Column:
     """A spectrum less its mean, over its deviation (of the sample)."""
     n = F.size(v).cast("double")
-    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n
-    return F.transform(v, lambda x: (x - mean) / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + (y - mean) * (y - mean)) / (n - 1)))
+    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.nullif(n, F.lit(0.0))
+    deviation = lambda m: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + (y - m) * (y - m)) / F.nullif(n - 1, F.lit(0.0)))
+    # an array of one value names it, so that it is computed once and not for each part
+    known = lambda value, use: F.transform(F.array(value), use)[0]
+    return known(mean, lambda m: known(deviation(m), lambda d: F.transform(v, lambda x: (x - m) / d)))
 
 
 def scatter_corrected(df: DataFrame, key: str, vector: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators on small tables: folds, joins, knowledge, control, evaluation."""
 
+import statistics
 
 import pytest
 from hypothesis import given, settings
@@ -209,3 +210,12 @@ def test_aggregates(spark):
     spectra = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [3.0, 5.0, 7.0])], "id int, v array<double>")
     got = {(r.id, r.i): r.x for r in profile.scatter_corrected(spectra, "id", "v").collect()}
     assert got[1, 0] == pytest.approx(got[2, 0]) and got[1, 2] == pytest.approx(got[2, 2])
+
+
+def test_variates_of_short_and_long_spectra(spark):
+    long = [float(i % 7) for i in range(300)]
+    rows = spark.createDataFrame([(1, [5.0]), (2, []), (3, [1.0, 3.0]), (4, long)], "id int, v array<double>")
+    found = dict(collect(rows.select("id", profile.normal_variate(F.col("v")).alias("x"))))
+    mean, deviation = statistics.mean(long), statistics.stdev(long)
+    assert found[1] == [None] and found[2] == [] and found[3] == pytest.approx([-(0.5**0.5), 0.5**0.5])
+    assert found[4] == pytest.approx([(x - mean) / deviation for x in long])
