@@ -67,9 +67,14 @@ def verified_items(items: DataFrame, checks: DataFrame) -> DataFrame:
 
 
 def frame_matches(formulas: DataFrame, frames: DataFrame, least: int) -> DataFrame:
-    """Formulas whose variants occur in at least `least` frames, with the number of frames."""
-    pairs = formulas.select("formula_id", F.explode("variants").alias("v")).join(frames.select("frame_id", F.explode("variants").alias("v")), "v")
-    return pairs.groupBy("formula_id").agg(F.count_distinct("frame_id").alias("frames")).where(F.col("frames") >= least)
+    """Formulas whose variants occur in at least `least` frames, with the number of frames.
+
+    A variant's frames go to a formula as one set, and not as a row for each pair of a formula and a frame.
+    """
+    held = frames.select("frame_id", F.explode("variants").alias("v")).groupBy("v").agg(F.collect_set("frame_id").alias("held"))
+    found = formulas.select("formula_id", F.explode("variants").alias("v")).join(held, "v")
+    frames_of = F.array_distinct(F.flatten(F.collect_list("held")))
+    return found.groupBy("formula_id").agg(F.size(frames_of).cast("long").alias("frames")).where(F.col("frames") >= least)
 
 
 def evidence_gate(candidates: DataFrame, segments: DataFrame) -> DataFrame:

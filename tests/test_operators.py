@@ -219,3 +219,12 @@ def test_variates_of_short_and_long_spectra(spark):
     mean, deviation = statistics.mean(long), statistics.stdev(long)
     assert found[1] == [None] and found[2] == [] and found[3] == pytest.approx([-(0.5**0.5), 0.5**0.5])
     assert found[4] == pytest.approx([(x - mean) / deviation for x in long])
+
+
+def test_frames_go_to_a_formula_as_sets(spark):
+    """Both formulas share all of 200 frames by each of three variants: 1,200 pairs, but six rows of the join."""
+    formulas = spark.createDataFrame([("f", ["a", "b", "c"]), ("g", ["a", "b", "c"]), ("h", ["d"]), ("i", None)], "formula_id string, variants array<string>")
+    frames = spark.createDataFrame([(i, ["a", "b", "c"]) for i in range(200)] + [(None, ["d"])], "frame_id long, variants array<string>")
+    found = knowledge.frame_matches(formulas, frames, 1)
+    assert collect(found) == [("f", 200), ("g", 200)]
+    assert "partial_collect_list(held" in found._jdf.queryExecution().toString()
