@@ -1,5 +1,6 @@
 """Operators on small tables: folds, joins, knowledge, control, evaluation."""
 
+import hashlib
 import statistics
 
 import pytest
@@ -8,8 +9,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.functions.base import numbered
+from docloom.functions.base import numbered, read
 from docloom.operators import aggregates, control, evaluation, filters, folds, knowledge, profile, relational, retrieval, windows, materials
+from docloom.plans import files
 
 
 def collect(df):
@@ -228,3 +230,14 @@ def test_frames_go_to_a_formula_as_sets(spark):
     found = knowledge.frame_matches(formulas, frames, 1)
     assert collect(found) == [("f", 200), ("g", 200)]
     assert "partial_collect_list(held" in found._jdf.queryExecution().toString()
+
+
+def test_single_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    docs = [(i, f"text {i}") for i in range(400)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(files, "fresh", lambda _: f"{tmp_path}/blobs")
+    monkeypatch.setattr(files, "read", lambda *a: read(*a).repartition(4))
+    found = collect(files.verified_blobs(spark, str(tmp_path)))
+    hashes = [(hashlib.sha256(f"text {i}\n".encode()).hexdigest(), len(f"text {i}\n")) for i in range(0, 400, 20)]
+    assert found == sorted(x for x in hashes if x[0][0] in "13579")
+    assert len({p.name[:10] for p in (tmp_path / "blobs").glob("part-*")}) > 1
