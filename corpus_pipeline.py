@@ -27,8 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what passes the base rules and lies near a language's distributions."""
-    samples = language.labelled_sample(docs, "text", "lang", "doc_id", rows=quality.SAMPLE_ROWS)
-    return quality.judge(docs.select(*COLUMNS), samples).where("kept").select(*COLUMNS)
+    return quality.judge(docs.select(*COLUMNS), quality.learned(docs)).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,15 +13,16 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from docloom.llm.common import held_alone, slices, words_of
+from docloom.llm.common import cut_lineage, held_alone, slices, words_of
 from docloom.llm.language import code_points
 
-#: Rows per language in the labelled sample that references are made of.
-SAMPLE_ROWS = 192
 COMMON_WORDS = 40
+#: Shares are counted in millionths, so that sums are exact; medians are found on ten-thousandths, which bounds the values of a histogram.
+SHARE, FINE = 1_000_000, 100
 #: Largest distance of the character classes, and largest sum of both distances, at which a document still counts as text
 #: of a language. One odd histogram alone is common in short clean texts, two are not.
 MAX_CHARACTERS, MAX_SUM = 0.3, 0.52
@@ -58,23 +59,38 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip(parts.sum(axis=-1) / 2, 0, 1))
 
 
+def whole_shares(text: str) -> np.ndarray:
+    """class_shares in whole millionths."""
+    counts = np.bincount(class_table()[code_points(text)], minlength=len(CLASSES))
+    return counts * SHARE // max(1, counts.sum())
+
+
 class References:
-    """Character-class and common-word shares of each language, from the more typical half of the sample's excerpts."""
+    """Character-class and common-word shares of each language, from the more typical half of its texts."""
 
-    def __init__(self, samples: dict[str, tuple[str, ...]]):
-        self.languages = sorted(samples)
-        self.classes, self.words, self.shares = [], [], []
+    def __init__(self, found: dict[str, tuple[np.ndarray, list[tuple[bytes, int]], int]]):
+        """found: for each language the class shares, the common words with their counts, and the number of all words."""
+        self.languages = sorted(found)
+        self.words, self.shares = [], []
         for k in self.languages:
-            shares = np.array([class_shares(x) for x in samples[k]])
+            _, common, total = found[k]
+            share = np.array([n for _, n in common]) / max(1, total)
+            self.words.append({w: i for i, (w, _) in enumerate(common)})
+            self.shares.append(np.append(share, 1 - share.sum()))
+        self.classes = np.array([found[k][0] for k in self.languages]).reshape(-1, len(CLASSES))
+
+    @classmethod
+    def of_samples(cls, samples: dict[str, tuple[str, ...]]) -> References:
+        """From excerpts, whose first and last words may be cut."""
+        found = {}
+        for k, excerpts in samples.items():
+            shares = np.array([class_shares(x) for x in excerpts])
             far = divergence(shares, np.median(shares, axis=0))
             typical = np.argsort(far, kind="stable")[: max(1, (len(far) + 1) // 2)]
-            self.classes.append(shares[typical].mean(axis=0))
-            words = Counter(w for i in typical for w in samples[k][i].lower().encode().split()[1:-1])
+            words = Counter(w for i in typical for w in excerpts[i].lower().encode().split()[1:-1])
             common = sorted(words, key=lambda w: (-words[w], w))[:COMMON_WORDS]
-            share = np.array([words[w] for w in common]) / max(1, sum(words.values()))
-            self.words.append({w: i for i, w in enumerate(common)})
-            self.shares.append(np.append(share, 1 - share.sum()))
-        self.classes = np.array(self.classes).reshape(-1, len(CLASSES))
+            found[k] = shares[typical].mean(axis=0), [(w, words[w]) for w in common], sum(words.values())
+        return cls(found)
 
     def distances(self, text: str, words: list[bytes]) -> tuple[float, float]:
         """The two distances to the language that is nearest by their sum; 0 without a reference or below the minimum length."""
@@ -92,7 +108,56 @@ class References:
 
 
 def references_of(samples: tuple) -> References:
-    return held_alone(("quality", samples), lambda: References(dict(samples)))
+    return held_alone(("quality", samples), lambda: References.of_samples(dict(samples)))
+
+
+def learned(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> References:
+    """References from every labelled text, whole. Only a language's medians, sums and common words reach the driver.
+
+    A language's typical texts are those whose class shares lie no farther from its median shares than half of its texts do.
+    """
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_alone("quality", tuple)  # nothing, in place of an earlier stage's model
+        for part in slices(batches):
+            found = [whole_shares(x) for x in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(found, pa.list_(pa.int32()))], ["lang", "shares"])
+
+    def distance(lang: str, found: np.ndarray) -> np.ndarray:
+        return np.floor(divergence(found / SHARE, medians[lang]) * SHARE / FINE).astype(np.int64)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            far = [int(distance(k, np.array(x))) for k, x in zip(part.column("lang").to_pylist(), part.column("shares").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(far, pa.int64())], ["lang", "shares", "far"])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            seen: dict[str, Counter] = defaultdict(Counter)
+            for k, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
+                if distance(k, whole_shares(text)) <= half[k]:
+                    found = text.lower().encode().split()
+                    seen[k].update(found)
+                    seen[k][None] += len(found)
+            rows = [(k, w, n) for k, counted in seen.items() for w, n in counted.items()]
+            yield pa.RecordBatch.from_pylist([dict(zip(("lang", "word", "n"), r, strict=True)) for r in rows], pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())]))
+
+    table = cut_lineage(labelled.mapInArrow(shares, "lang string, shares array<int>"))
+    each = [F.get("shares", F.lit(i)) for i in range(len(CLASSES))]
+    middle = table.groupBy("lang").agg(F.array(*(F.percentile(F.floor(x / FINE), 0.5) for x in each)).alias("at")).collect()
+    medians = {r["lang"]: np.array(r["at"]) * FINE / SHARE for r in middle}
+    table = cut_lineage(table.mapInArrow(placed, "lang string, shares array<int>, far long"))
+    limits = table.groupBy("lang").agg(F.percentile("far", 0.5).alias("half"))
+    half = {r["lang"]: r["half"] for r in limits.collect()}
+    typical = table.join(F.broadcast(limits), "lang").where("far <= half")
+    sums = {r["lang"]: np.array(r["sums"], float) for r in typical.groupBy("lang").agg(F.array(*map(F.sum, each)).alias("sums")).collect()}
+    counted = labelled.mapInArrow(words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.col("word").isNotNull(), F.desc("n"), "word")
+    common = defaultdict(list)
+    for r in counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= COMMON_WORDS + 1).orderBy("lang", "place").collect():
+        common[r["lang"]].append((r["word"] and bytes(r["word"]), r["n"]))
+    return References({k: (x / max(1, x.sum()), common[k][1:], common[k][0][1]) for k, x in sums.items()})
 
 
 def repeated_words(codes: np.ndarray) -> int:
@@ -128,10 +193,10 @@ def counts(text: str) -> tuple[int, int, int, int, int]:
     return len(codes), len(text) - blanks, sum(map(text.count, SYMBOLS)), repeated, repeated_words(codes)
 
 
-def judge(docs: DataFrame, samples: tuple, text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, references: References | tuple, text_col: str = "text") -> DataFrame:
     """The rows with COUNTS, base_failed, class_distance, word_distance and kept added.
 
-    samples: the result of language.labelled_sample(). Null texts count as empty and fail, as all texts below 50 words do.
+    references: the result of learned(), or (language, excerpts) of a few labelled texts. Null texts count as empty and fail, as all texts below 50 words do.
     Each row is judged alone, so equal rows are judged alike. Columns of the added names are replaced, others pass through.
     """
     added = [*((c, "long") for c in COUNTS), ("base_failed", "boolean"), ("class_distance", "double"), ("word_distance", "double"), ("kept", "boolean")]
@@ -141,7 +206,9 @@ def judge(docs: DataFrame, samples: tuple, text_col: str = "text") -> DataFrame:
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs = references_of(samples)
+        if isinstance(references, References):
+            held_alone("quality", tuple)
+        refs = references if isinstance(references, References) else references_of(references)
         for part in slices(batches, text_col):
             rows = []
             for text in part.column(text_col).to_pylist():

@@ -33,8 +33,7 @@ def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    samples = language.labelled_sample(docs, "text", "lang", "doc_id", rows=quality.SAMPLE_ROWS)
-    judged = quality.judge(docs.select("doc_id", "text"), samples)
+    judged = quality.judge(docs.select("doc_id", "text"), quality.learned(docs))
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "class_distance", "word_distance")
 
 

@@ -354,6 +354,18 @@ def test_quality_awkward_rows(odd, empty):
     assert all(r.base_failed or r.kept for r in quality.judge(odd, ()).collect())
 
 
+def test_quality_references_count_every_labelled_text(spark):
+    rows = [("en", f"the cat{i} and the dog sat on word{i}") for i in range(1500)] + [("en", "ZZZ 999 ###")] * 300 + [("de", "der hund"), (None, "no label"), ("fr", None)]
+    refs = quality.learned(spark.createDataFrame(rows, "lang string, text string"))
+    assert refs.languages == ["de", "en"] and set(refs.words[0]) == {b"der", b"hund"}
+    shares = sorted([quality.class_shares(t) for k, t in rows[:1800]], key=lambda x: float(quality.divergence(x, np.median([quality.class_shares(t) for _, t in rows[:1800]], axis=0))))
+    assert refs.classes.sum(axis=1) == pytest.approx([1, 1]) and refs.classes[1] == pytest.approx(np.mean(shares[:900], axis=0), abs=0.02)
+    common = {w: refs.shares[1][i] for w, i in refs.words[1].items()}
+    assert common[b"the"] == pytest.approx(2 / 8) and common[b"dog"] == pytest.approx(1 / 8) and b"zzz" not in common
+    once = [w for w in common if w.startswith((b"cat", b"word"))]
+    assert once and all(common[w] < 1 / 8 / 800 for w in once)  # one of over 800 texts: a sample of 192 rows can't tell
+
+
 # --- 5 ---
 
 
