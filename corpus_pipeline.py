@@ -31,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of texts that share 0.8 of their five-word shingles.
+    """Keeps one document of each group of texts whose SimHash fingerprints differ in at most 3 bits, or that share 0.8 of their five-word shingles.
 
     It is the one with the smallest id, and of different texts with that id in the group the one with the smallest hash. Rows
     count by id and text, so groups of different texts may keep rows of the same id; equal rows are repeats, of which one stays.

@@ -9,7 +9,6 @@ and each meeting is then verified on all 64 bits.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -31,8 +30,12 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 SALTS = 16
 #: Shingles that are put last because they are frequent, and shingles counted at a time to find them; any choice gives all pairs.
 FREQUENT, BLOCK = 100_000, 1 << 21
-#: Narrow rows that a row with a text counts for, where files are cut by their size: 10,000 texts a file.
-TEXTS_A_FILE = 50
+#: Narrow rows that a row with counters, or with a text, counts for, where files are cut by their size: 50,000 and 1,000 a file.
+COUNTERS_A_FILE, TEXTS_A_FILE = 10, 500
+#: Counters of a set of shingles, a byte each, and the largest number in them.
+COUNTERS, FULL = 128, 255
+#: Bits that tell which texts are fetched, so at most 2 MB are broadcast; texts whose bit another one has set come along for nothing.
+MARKS = 1 << 24
 
 
 def _lanes() -> np.ndarray:
@@ -66,12 +69,17 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return sums.view(np.uint8).reshape(len(sums), 64).sum(axis=0, dtype=np.int64)
 
 
+def majority(counts: np.ndarray, n: int) -> int:
+    """The fingerprint of n hashes, of which so many have each bit set, as a signed long."""
+    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(data: bytes, width: int = 3) -> int:
     counts, n = np.zeros(64, dtype=np.int64), 0
     for hashes in shingle_hashes(data, width):
         counts += bit_counts(hashes)
         n += len(hashes)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
+    return majority(counts, n)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -132,14 +140,14 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     return cut_lineage(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
-def _grouped(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """The rows, with doc and fp among their columns, and label and component; edges (a, b) join fingerprints."""
-    fps = rows.groupBy("fp").agg(F.min("doc").alias("least"))
-    labels = components(edges).select(F.col("node").alias("fp"), "label")
-    group = cut_lineage(fps.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label")))
+def _grouped(rows: DataFrame, edges: DataFrame, by: str = "fp") -> DataFrame:
+    """The rows, with doc and `by` among their columns, and label and component; edges (a, b) join values of `by`."""
+    values = rows.groupBy(by).agg(F.min("doc").alias("least"))
+    labels = components(edges).select(F.col("node").alias(by), "label")
+    group = cut_lineage(values.join(labels, by, "left").select(by, "least", F.coalesce("label", by).alias("label")))
     tops = group.groupBy("label").agg(F.min("least").alias("component"))
-    known = cut_lineage(lookup(group.select("fp", "label"), tops, "label").select("fp", "label", "component"))
-    return lookup(rows, known, "fp").select(*rows.columns, "label", "component")
+    known = cut_lineage(lookup(group.select(by, "label"), tops, "label").select(by, "label", "component"))
+    return lookup(rows, known, by).select(*rows.columns, "label", "component")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3) -> DataFrame:
@@ -157,25 +165,44 @@ def shingle_set(data: bytes, width: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(data, width)]))
 
 
-def identity(data: bytes, width: int) -> int:
+def identity(hashes: np.ndarray) -> int:
     """One number for all texts with the same set of shingles, as a signed long; 0 without words."""
-    hashes = shingle_set(data, width)
     return int(np.uint64(xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64)) if len(hashes) else 0
 
 
-def _unpacked(data: bytes, width: int) -> np.ndarray:
-    """shingle_set() of a text that is held compressed, to spare disk."""
-    return shingle_set(zlib.decompress(data), width).view(np.int64)
+def counters(hashes: np.ndarray) -> bytes:
+    """How many of the hashes have each remainder modulo COUNTERS, a byte each; FULL stands for itself and all larger numbers."""
+    return np.minimum(np.bincount((hashes % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS), FULL).astype(np.uint8).tobytes()
+
+
+def _described(width: int):
+    """Rows (doc, key, fp, node, size, counts) of texts: fingerprint, identity(), and size and counters() of the set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_alone("near copies", tuple)  # nothing, in place of an earlier stage's model
+        for part in slices(batches):
+            fps, nodes, sizes, counts = [], [], [], []
+            for data in text_bytes(part.column("text")):
+                hashes = np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(data, width)])
+                fps.append(majority(bit_counts(hashes) if len(hashes) else np.zeros(64, dtype=np.int64), len(hashes)))
+                hashes = np.unique(hashes)
+                nodes.append(identity(hashes))
+                sizes.append(len(hashes))
+                counts.append(counters(hashes))
+            columns = [part.column("doc"), part.column("key"), *(pa.array(x, pa.int64()) for x in (fps, nodes, sizes)), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "key", "fp", "node", "size", "counts"])
+
+    return run
 
 
-def _frequent(rows: DataFrame, width: int) -> np.ndarray:
+def _frequent(texts: DataFrame, width: int) -> np.ndarray:
     """The most frequent shingles, at most `FREQUENT`, in falling order; counted in blocks, where they must come twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size = [], 0
         for batch in batches:
-            for data in batch.column("packed").to_pylist():
-                block.append(_unpacked(data, width))
+            for data in (x for part in slices([batch]) for x in text_bytes(part.column("text"))):
+                block.append(shingle_set(data, width).view(np.int64))
                 size += len(block[-1])
                 if size >= BLOCK:
                     yield counted(block)
@@ -187,43 +214,43 @@ def _frequent(rows: DataFrame, width: int) -> np.ndarray:
         values, n = np.unique(np.concatenate(block), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(values[n > 1]), pa.array(n[n > 1])], ["token", "n"])
 
-    top = rows.select("packed").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    top = texts.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     found = top.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
     return found.column("token").to_numpy()
 
 
 def _prefixes(frequent: np.ndarray, width: int, similarity: float):
-    """Rows (token, fp, size, place): the first shingles of each set, the frequent ones last, that two similar sets can't both miss."""
+    """Rows (token, node, size, place): the first shingles of each set, the frequent ones last, that two similar sets can't both miss."""
     order = np.argsort(frequent)
     known = frequent[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "packed", SLICE_BYTES // 4):
-            tokens, fps, sizes, places = [], [], [], []
-            for fp, data in zip(part.column("fp").to_pylist(), part.column("packed").to_pylist(), strict=True):
-                hashes = _unpacked(data, width)
-                n = len(hashes)
+        for part in slices(batches):
+            tokens, nodes, sizes, places = [], [], [], []
+            for data in text_bytes(part.column("text")):
+                found = shingle_set(data, width)
+                hashes, n = found.view(np.int64), len(found)
                 many = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
                 at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
                 last = known[at] == hashes if len(known) else np.zeros(n, dtype=bool)
                 rare = hashes[~last][:many]
                 rest = frequent[np.sort(order[at[last]])[::-1][: many - len(rare)]] if len(rare) < many else hashes[:0]
                 tokens += [rare, rest]
-                fps.append(np.full(many, fp))
+                nodes.append(np.full(many, identity(found)))
                 sizes.append(np.full(many, n))
                 places.append(np.arange(many))
-            columns = [np.concatenate(x).astype(np.int64) for x in (tokens, fps, sizes, places)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["token", "fp", "size", "place"])
+            columns = [np.concatenate(x).astype(np.int64) for x in (tokens, nodes, sizes, places)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["token", "node", "size", "place"])
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows ordered by token, place and fp, those whose token several fps have, once each, with the first one's fp, size and place.
+    """Of rows ordered by token, place and node, those whose token several nodes have, once each, with the first one's node, size and place.
 
     The first one has the fewest rarer shingles, so it is the one with the fewest edits among copies of a text.
     """
-    names = ["token", "fp", "size", "place"]
+    names = ["token", "node", "size", "place"]
     rest, first = np.zeros((4, 0), dtype=np.int64), None
 
     def out(rows: np.ndarray, hubs: np.ndarray) -> pa.RecordBatch:
@@ -250,77 +277,140 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(rest, first[:, None])
 
 
-def _alike(width: int, similarity: float):
-    """Rows (a, b) of those whose sets of shingles have at least this Jaccard similarity."""
+def _possible(similarity: float):
+    """Rows (a, b) of those whose counters leave it open that the sets have this similarity: no set shares more than the lesser number in each counter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "counts"):
+            left, right = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, COUNTERS) for c in ("counts", "of"))
+            both = np.minimum(left, right)
+            least = similarity / (1 + similarity) * (part.column("size").to_numpy() + part.column("of_size").to_numpy()) - 1e-9
+            keep = (both.sum(axis=1, dtype=np.int64) >= least) | (both == FULL).any(axis=1)
+            yield part.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def _marked(words: np.ndarray):
+    """Of rows with a key, those whose bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices([batch], "packed", SLICE_BYTES // 4):
-                keep, last, left = [], None, None
-                for x, data, of in zip(*(part.column(c).to_pylist() for c in ("a", "packed", "of")), strict=True):
-                    if x != last:
-                        last, left = x, _unpacked(data, width)
-                    both = np.sort(np.concatenate([left, _unpacked(of, width)]))
-                    common = int(np.count_nonzero(both[1:] == both[:-1]))
-                    keep.append(common / (len(both) - common) >= similarity)
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            bits = batch.column("key").to_numpy() & (MARKS - 1)
+            yield batch.filter(pa.array((words[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1) == 1))
 
     return run
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc, key, fp, label, component) as near_duplicates() gives them, for copies that share `similarity` of their shingles.
+def _marks(keys: DataFrame) -> np.ndarray:
+    """MARKS bits in words of 64, one set for each key."""
+    words = np.zeros(MARKS >> 6, dtype=np.uint64)
+    bit = F.col("key").bitwiseAND(F.lit(MARKS - 1))
+    found = keys.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(key & 63 AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return words
 
-    key is Spark's xxhash64 of the text, by which a row is found again where ids clash. fp is identity() here: at a Jaccard similarity of 0.8, SimHash fingerprints differ in ten bits of 64. Shingles are put in one
-    order for all texts, the frequent ones last. Of two similar sets, the first shingle that both have is among the first
-    fifth (at 0.8) of each, and the shingles from there on must suffice. First each text is compared with one holder of each such
-    shingle, then all pairs that are still in different components are. Every comparison is of the whole sets, and exact.
-    Nulls, ties and repeats are as there.
-    """
+
+def _alike(width: int, similarity: float):
+    """Rows (a, b) of those whose sets of shingles have at least this Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            keep, last, left = [], None, None
+            for x, data, of in zip(part.column("a").to_pylist(), text_bytes(part.column("text")), text_bytes(part.column("of")), strict=True):
+                if x != last:
+                    last, left = x, shingle_set(data, width)
+                both = np.sort(np.concatenate([left, shingle_set(of, width)]))
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                keep.append(common / (len(both) - common) >= similarity)
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _with_node(width: int):
+    """Rows (node, text) of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_alone("near copies", tuple)  # nothing, in place of an earlier stage's model
         for part in slices(batches):
-            data = text_bytes(part.column("text"))
-            fps, packed = [identity(x, width) for x in data], [zlib.compress(x, 1) for x in data]
-            columns = [part.column("doc"), part.column("key"), pa.array(fps, pa.int64()), pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "key", "fp", "packed"])
+            nodes = [identity(shingle_set(x, width)) for x in text_bytes(part.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), part.column("text")], ["node", "text"])
+
+    return run
+
+
+def _fingerprint_edges(rows: DataFrame, max_bits: int) -> DataFrame:
+    """(a, b): nodes whose texts have fingerprints that differ in at most `max_bits` bits, over one node for each fingerprint."""
+    held = cut_lineage(rows.select("node", "fp").distinct())
+    first = cut_lineage(held.groupBy("fp").agg(F.min("node").alias("first")))
+    same = lookup(held, first, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    found = links(first.select("fp"), max_bits)
+    left = found.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a")
+    both = left.join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    return same.union(both.select(F.col("x").alias("a"), F.col("y").alias("b"))).where("a <> b")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bits: int = 3) -> DataFrame:
+    """(doc, key, fp, node, label, component) as near_duplicates() gives them, for copies that share `similarity` of their shingles as well.
+
+    Texts are linked whose fingerprints differ in at most `max_bits` bits, all of them, as in near_duplicates(); and those whose sets of
+    shingles have the Jaccard similarity, which at 0.8 lie ten bits of 64 apart, so fingerprints don't find them. key is Spark's
+    xxhash64 of the text, by which a row is found again where ids clash; node is identity(), and label is the smallest one reached.
+
+    For the sets, shingles are put in one order for all texts, the frequent ones last. Of two similar sets, the first shingle that both
+    have is among the first fifth (at 0.8) of each, and the shingles from there on must suffice. First each text is compared with one
+    holder of each such shingle, then all pairs that are still in different components are. Pairs whose counters rule the
+    similarity out need no texts; every other comparison is of the whole sets, and exact. Nulls, ties and repeats are as there.
+    docs is read several times, so it should be a table.
+    """
+
+    def sides(pairs: DataFrame, some: DataFrame, rows: int, **names: str) -> DataFrame:
+        left = cut_lineage(lookup(pairs, some.withColumnRenamed("node", "a"), "a"), rows)
+        return lookup(left, some.select(F.col("node").alias("b"), *(F.col(k).alias(v) for k, v in names.items())), "b")
+
+    def needed(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
     def alike(pairs: DataFrame) -> DataFrame:
         pairs = cut_lineage(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        n = pairs.count()
-        needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+        n = COUNTERS_A_FILE * pairs.count()
+        some = cut_lineage(rows.select("node", "size", "counts").join(needed(pairs), "node", "left_semi").dropDuplicates(["node"]), n)
+        both = sides(pairs, some, n, size="of_size", counts="of").select("a", "b", "size", "counts", "of_size", "of")
+        pairs = cut_lineage(both.mapInArrow(_possible(similarity), "a long, b long"), n)
+        n = TEXTS_A_FILE * pairs.count()
+        nodes = cut_lineage(needed(pairs), n)
+        marks = _marks(rows.select("node", "key").join(nodes, "node", "left_semi"))
         # only the texts that are needed are dealt and made different, to as many tasks as they fill
-        held = rows.select("fp", "packed").join(needed, "fp", "left_semi").repartition(TEXTS_A_FILE * n // ROWS_A_FILE + 1, "fp")
-        some = cut_lineage(held.dropDuplicates(["fp"]))
-        left = lookup(pairs, some.withColumnRenamed("fp", "a"), "a")
-        both = lookup(cut_lineage(left, TEXTS_A_FILE * n), some.select(F.col("fp").alias("b"), F.col("packed").alias("of")), "b")
-        return cut_lineage(both.select("a", "b", "packed", "of").mapInArrow(_alike(width, similarity), "a long, b long"), TEXTS_A_FILE * n)
+        held = texts.select("key", "text").mapInArrow(_marked(marks), "key long, text string").dropDuplicates(["key", "text"]).select("text").mapInArrow(_with_node(width), "node long, text string")
+        some = cut_lineage(held.join(nodes, "node", "left_semi").dropDuplicates(["node"]), n)
+        both = sides(pairs, some, n, text="of").select("a", "b", "text", "of")
+        return cut_lineage(both.mapInArrow(_alike(width, similarity), "a long, b long"), n)
 
     def may(n, i, m, j):
         least = F.lit(similarity / (1 + similarity)) * (n + m) - 1e-9
         return F.least(n - i, m - j) >= least
 
-    text = F.col(text_col)
+    text, c = F.col(text_col), F.col
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("key"), text.alias("text"))
-    rows = cut_lineage(texts.mapInArrow(run, "doc long, key long, fp long, packed binary"))
-    first = rows.mapInArrow(_prefixes(_frequent(rows, width), width, similarity), "token long, fp long, size long, place long")
-    schema = "token long, fp long, size long, place long, hub long, hub_size long, hub_place long"
-    shared = cut_lineage(first.repartition("token").sortWithinPartitions("token", "place", "fp").mapInArrow(_shared, schema))
-    c = F.col
-    stars = shared.where((c("fp") != c("hub")) & may(c("size"), c("place"), c("hub_size"), c("hub_place")))
-    edges = alike(stars.select(c("fp").alias("x"), c("hub").alias("y")))
-
-    labels = components(edges).select(c("node").alias("fp"), "label")
-    held = shared.drop("hub", "hub_size", "hub_place").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    rows = cut_lineage(texts.mapInArrow(_described(width), "doc long, key long, fp long, node long, size long, counts binary"))
+    known = cut_lineage(_fingerprint_edges(rows, max_bits))
+
+    first = texts.select("text").mapInArrow(_prefixes(_frequent(texts, width), width, similarity), "token long, node long, size long, place long")
+    schema = "token long, node long, size long, place long, hub long, hub_size long, hub_place long"
+    shared = cut_lineage(first.repartition("token").sortWithinPartitions("token", "place", "node").mapInArrow(_shared, schema))
+    stars = shared.where((c("node") != c("hub")) & may(c("size"), c("place"), c("hub_size"), c("hub_place")))
+    edges = known.union(alike(stars.select(c("node").alias("x"), c("hub").alias("y"))))
+
+    labels = components(edges).select("node", "label")
+    held = shared.drop("hub", "hub_size", "hub_place").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     held = cut_lineage(held, shared.count())
     mixed = held.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
     held = held.join(mixed, "token", "left_semi")
     hot = F.broadcast(cut_lineage(hot_keys(held, "token")).withColumn("hot", F.lit(True)))
     held = held.join(hot, "token", "left")
-    salt = F.when(c("hot"), F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salt = F.when(c("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).otherwise(0)
     salts = F.when(c("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    one = held.select("token", salt.alias("salt"), c("fp").alias("x"), c("size").alias("n"), c("place").alias("i"), c("label").alias("k"))
-    many = held.select("token", F.explode(salts).alias("salt"), c("fp").alias("y"), c("size").alias("m"), c("place").alias("j"), c("label").alias("l"))
+    one = held.select("token", salt.alias("salt"), c("node").alias("x"), c("size").alias("n"), c("place").alias("i"), c("label").alias("k"))
+    many = held.select("token", F.explode(salts).alias("salt"), c("node").alias("y"), c("size").alias("m"), c("place").alias("j"), c("label").alias("l"))
     pairs = one.join(many, ["token", "salt"]).where((c("x") < c("y")) & (c("k") != c("l")) & may(c("n"), c("i"), c("m"), c("j")))
-    return _grouped(rows.select("doc", "key", "fp"), edges.union(alike(pairs.select("x", "y"))))
+    return _grouped(rows.select("doc", "key", "fp", "node"), edges.union(alike(pairs.select("x", "y"))), "node")

@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.compare import rows, same
@@ -199,6 +200,45 @@ def test_near_copies_keep_texts_below_the_similarity(spark):
     assert 10 < len(pairs) < 30
 
 
+def test_near_copies_link_near_fingerprints_too(spark):
+    rng = np.random.default_rng(8)
+    passage, texts = prose(rng, 20, "s"), []
+    for _ in range(6):  # one passage forty times, and own words: near fingerprints, and sets of which a small part is shared
+        texts.append(" ".join(passage * 40 + prose(rng, 60)))
+    texts += [" ".join(prose(rng, 200)) for _ in range(10)]
+    whole = prose(rng, 200)
+    texts += [" ".join(whole), " ".join(whole[:100] + ["edited"] + whole[101:])]  # a copy with far fingerprints
+    texts += [" ".join(whole) + "\n", None, ""]  # equal sets, and no words
+    fps = [simhash.fingerprint((t or "").encode(), 5) for t in texts]
+    near = {(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3}
+    alike = brute_alike([t or "" for t in texts])
+    assert near - alike and alike - near
+    label = list(range(len(texts)))
+    for i, j in near | alike:
+        low, high = sorted((label[i], label[j]))
+        label = [low if x == high else x for x in label]
+    found = {r.doc: r for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[i].component for i in range(len(texts))] == label and [found[i].fp for i in range(len(texts))] == fps
+
+
+def test_near_copies_counters_rule_out_no_similar_sets():
+    rng = np.random.default_rng(9)
+    rows = []
+    for n in [1, 3, 50, 400, 4000, 60_000]:
+        for share in (0.5, 0.8, 0.81, 0.95, 1.0):
+            same = int(np.ceil(2 * share * n / (1 + share)))
+            one = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            other = np.unique(np.concatenate([one[:same], rng.integers(0, 1 << 63, n - same, dtype=np.uint64)]))
+            one = np.unique(one)
+            common = len(np.intersect1d(one, other))
+            rows.append((len(rows), common / (len(one) + len(other) - common), len(one), simhash.counters(one), len(other), simhash.counters(other)))
+    names = ["a", "b", "size", "counts", "of_size", "of"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+    kept = {i for part in simhash._possible(0.8)(iter([batch])) for i in part.column("a").to_pylist()}
+    assert kept >= {r[0] for r in rows if r[1] >= 0.8}
+    assert not kept & {r[0] for r in rows if r[1] < 0.6 and 50 <= r[2] <= 400}
+
+
 # --- 2 ---
 
 
