@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,5 +112,8 @@ def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s12_typed_blocks", """SELECT o_orderkey, unnest(['title', 'heading', 'heading', 'quote', 'code', 'paragraph']) AS kind, unnest([0, 1, 3, 0, 0, 0])::BIGINT AS level, unnest(['Order', 'Order ' || o_orderkey, o_orderpriority, 'of ' || o_orderstatus, 'SELECT' || chr(10) || '  ' || o_orderkey, 'see x and']) AS text FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
 def typed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles, headings with their level, quotes, code with its line ends, and paragraphs, of pages that have all of them."""
-    blocks = parse.parsed(_order_pages(spark, sf_dir), parse.html_blocks, "html", parse.BLOCKS, ("o_orderkey",))
-    return blocks.where("kind <> 'cell'").select("o_orderkey", "kind", "level", "text")
+
+    def typed(page: str) -> Iterator[tuple]:
+        return ((kind, level, text) for _, kind, level, _, text, _ in parse.html_blocks(page) if kind != "cell")
+
+    return parse.parsed(_order_pages(spark, sf_dir), typed, "html", "kind string, level long, text string", ("o_orderkey",))

@@ -157,3 +157,26 @@ def test_an_embedding_hashes_each_token_once(spark):
     assert all(abs(sum(x * x for x in v) - 1) < 1e-9 for v in vectors[:2]) and vectors[2] == [0.0] * 16
     plan = rows.select(text.hash_embedding(F.col("t")).alias("v"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("sha2(") == 1  # not once more in each lambda
+
+
+def test_pages_of_one_form_have_the_blocks_of_a_single_parse(monkeypatch):
+    import random
+
+    rng = random.Random(7)
+    tags = ["<p>", "</p>", "<li>", "</li>", "<ul>", "</ul>", "<h2>", "</h2>", "<pre class='x y'>", "</pre>", "<td>", "<TR>", "</table>", "<br>", "<br/>", "<a href='?a&amp;b'>", "</a>", '<img src="i" alt="&lt;">']
+    tags += ["<title>", "</title>", "<script>", "</script>", "<textarea>", "</textarea>", "<xmp>", "</xmp>", "<!DOCTYPE html>", "<!-- c -->", "<template>", "</template>", "<blockquote>", "</blockquote>", "<p"]
+    texts = ["", "", "a", " b\n c ", "&amp;", "&am", "&lt;p&gt;", "1 < 2", "&#0;", "x &", "\0", "\ue0001\ue001", ">"]
+    plain = parse._page_blocks
+    for _ in range(3000):
+        form = rng.choices(tags[:18] if rng.random() < 0.5 else tags, k=rng.randrange(1, 12))
+        for _ in range(4):
+            page = "".join(rng.choice(texts) + tag for tag in form) + rng.choice(texts)
+            got = list(parse.html_blocks(page))
+            with monkeypatch.context() as m:
+                m.setattr(parse, "_formed_blocks", lambda text: None)
+                assert got == list(parse.html_blocks(page)), page
+    parsed = []
+    monkeypatch.setattr(parse, "_page_blocks", lambda text: parsed.append(text) or plain(text))
+    for i in range(100):
+        assert [b[4] for b in parse.html_blocks(f"<h4>order {i} &amp; more</h4><pre>x\n {i}</pre><p>end")] == [f"order {i} & more", f"x\n {i}", "end"]
+    assert len(parsed) == 2  # the first page, and the form
