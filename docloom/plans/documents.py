@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.base import materialized, read
@@ -91,10 +91,15 @@ def nearest_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_orderkey, html): each order as a page: its status and priority as headings, its lines as a table, a quote, and code in two forms."""
-    lines = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
-    row = F.format_string("<tr><td>%d<td>%d</td><td><b>%s</b> &amp; more", "l_partkey", F.col("l_quantity").cast("int"), "l_returnflag")
-    held = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", row.alias("row")))), lambda x: x["row"]), "")
-    tables = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(held.alias("rows"))
+    lines = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag").repartition("l_orderkey")  # lines move as they are, not as collected rows
+
+    def row(line: Column) -> Column:
+        part, quantity = (F.coalesce(c.cast("string"), F.lit("null")) for c in (line["l_partkey"], line["l_quantity"].cast("int")))
+        return F.concat(F.lit("<tr><td>"), part, F.lit("<td>"), quantity, F.lit("</td><td><b>"), line["flag"])
+
+    flag = F.concat(F.coalesce("l_returnflag", F.lit("null")), F.lit("</b> &amp; more")).alias("flag")
+    held = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", flag)))
+    tables = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(held, row), "").alias("rows"))
     orders = read(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority").join(tables, "o_orderkey")
     head = F.concat(F.lit("<!DOCTYPE html><title>Order</title><h1>Order "), "o_orderkey", F.lit("</h1><h3>"), "o_orderpriority", F.lit("</h3><table><thead><tr><th>part<th>quantity<th>flag</thead>"))
     tail = F.concat(F.lit("</table><blockquote>of "), "o_orderstatus", F.lit("</blockquote><pre><code class='language-sql'>SELECT\n  "), "o_orderkey", F.lit("</code></pre><p>see <code>x</code> and"))
@@ -105,7 +110,7 @@ def _order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS r FROM lineitem) WHERE l_orderkey IN (SELECT o_orderkey FROM orders)
 UNION ALL SELECT o_orderkey, 0, unnest([0, 1, 2])::INTEGER, true, unnest(['part', 'quantity', 'flag']) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
 def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = parse.parsed(_order_pages(spark, sf_dir), parse.html_cells, "html", parse.TABLE_CELLS, ("o_orderkey",))
+    cells = parse.table_cells(_order_pages(spark, sf_dir), "html", ("o_orderkey",))
     return cells.select("o_orderkey", "row", "column", "header", "text")
 
 

@@ -180,3 +180,53 @@ def test_pages_of_one_form_have_the_blocks_of_a_single_parse(monkeypatch):
     for i in range(100):
         assert [b[4] for b in parse.html_blocks(f"<h4>order {i} &amp; more</h4><pre>x\n {i}</pre><p>end")] == [f"order {i} & more", f"x\n {i}", "end"]
     assert len(parsed) == 2  # the first page, and the form
+
+
+def test_cells_of_pages_of_one_form_are_those_of_a_single_parse(monkeypatch):
+    import random
+
+    rng = random.Random(11)
+    tags = ["<table>", "</table>", "<table>", "<tr>", "<tr>", "</tr>", "<td>", "<td>", "<td>", "</td>", "<TH>", "</th>", "<b>", "</b>", "<p>", "<td class='x > y'>", "<td a=b>", "<br>", "<br/>", "<!-- c -->", "<script>", "</script>", "<title>", "</title>", "<xmp>", "</xmp>", "<td", "<>"]
+    texts = ["", "a", "7", " b\n c\u00a0d ", "&amp;", "&am", "&lt;td&gt;", "1 < 2", "2 > 1", "&#0;", "x &", "\0", "\ue0001\ue001"]
+    for _ in range(3000):
+        form = rng.choices(tags[:16] if rng.random() < 0.7 else tags, k=rng.randrange(1, 14))
+        for _ in range(4):
+            page = "".join(rng.choice(texts) + tag for tag in form) + rng.choice(texts)
+            got = list(parse.html_cells(page))
+            with monkeypatch.context() as m:
+                m.setattr(parse, "_pieces", lambda text: None)
+                assert got == list(parse.html_cells(page)), page
+    trees, tree = [], parse._Tree
+    monkeypatch.setattr(parse, "_Tree", lambda: trees.append(1) or tree())
+    for i in range(100):
+        assert [c[1:] for c in parse.html_cells(f"<h5>{i}</h5><table><tr><th>n &gt; {i}<td> {i}\n{i} <b>no</b> &amp; more</table>")] == [(0, 0, True, f"n > {i}"), (0, 1, False, f"{i} {i} & more")]
+        assert list(parse.html_cells(f"<h5>{i}</h5>no table")) == []
+    assert len(trees) == 4  # the first page of each form, and the form
+
+
+def test_cells_leave_in_columns(spark, sf_dir):
+    """As html_cells() gives them, in small batches, whether pages have many cells, long ones or none."""
+    import pyarrow as pa
+
+    order = "<table><tr><th>part<th>n<tr><td>{0}<td>{0} &amp; more</table>"
+    pages = [order.format(i) for i in range(4000)] + [None, "", "<p>none", "<table>" + "<tr><td>x<td>y" * 10_000 + "</table>"] + ["<table><tr><td>" + "z" * 700_000 + "</table>"] * 4
+    want = [(i, *cell) for i, page in enumerate(pages) if page is not None for cell in parse.html_cells(page)]
+    batches = [list(zip(at, *cells, strict=True)) for at, cells in parse._held_cells(pa.array(pages))]
+    assert [row for batch in batches for row in batch] == want and all(0 < len(batch) < 2 * parse.BATCH_ROWS for batch in batches)
+    assert max(sum(len(row[-1]) for row in batch) for batch in batches) < parse.BATCH_CHARACTERS + 700_000
+    rows = spark.createDataFrame([(i, None if i % 7 == 3 else f"k{i}", page) for i, page in enumerate(pages)], "doc long, name string, html string")
+    cells = parse.table_cells(rows, "html", ("doc", "name"))
+    assert cells.schema == parse.parsed(rows, parse.html_cells, "html", parse.TABLE_CELLS, ("doc", "name")).schema
+    assert sorted(tuple(r) for r in cells.drop("name").collect()) == want and cells.where("name IS DISTINCT FROM if(doc % 7 = 3, NULL, 'k' || doc)").count() == 0
+    from docloom.plans import documents
+
+    plan = documents.tables(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+
+
+def test_lines_of_order_pages_move_once_and_as_they_are(spark, sf_dir):
+    from docloom.plans import documents
+
+    plan = documents._order_pages(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    moved = plan[plan.index("partial_collect_list") :]
+    assert moved.count("Exchange hashpartitioning") == 1 and plan.count("Exchange hashpartitioning") == 1 and "format_string" not in plan
